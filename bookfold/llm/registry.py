@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import simhash
+from . import bpe, simhash
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
+    "op2_bpe": bpe.op2_bpe,
 }
 ORACLE_SQL: dict[str, str] = {}
