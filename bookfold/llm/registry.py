@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import bpe, simhash
+from . import bpe, simhash, substring
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
     "op2_bpe": bpe.op2_bpe,
+    "op3_substring": substring.op3_substring,
 }
 ORACLE_SQL: dict[str, str] = {}
