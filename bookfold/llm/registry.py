@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import bpe, sharding, simhash, substring
+from . import bpe, packing, sharding, simhash, substring
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
     "op2_bpe": bpe.op2_bpe,
     "op3_substring": substring.op3_substring,
     "op4_sharding": sharding.op4_sharding,
+    "op5_packing": packing.op5_packing,
 }
 ORACLE_SQL: dict[str, str] = {}
