@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, packing, pii, quality_rules, sharding, simhash, substring
+from . import bpe, importance, language, packing, pii, quality_rules, sharding, simhash, substring
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
@@ -10,7 +10,9 @@ QUERIES = {
     "op3_substring": substring.op3_substring,
     "op4_sharding": sharding.op4_sharding,
     "op5_packing": packing.op5_packing,
+    "op6_importance": importance.op6_importance,
     "op8_quality_rules": quality_rules.op8_quality_rules,
+    "op9_language": language.op9_language,
     "op10_pii": pii.op10_pii,
 }
 ORACLE_SQL: dict[str, str] = {}
