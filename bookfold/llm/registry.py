@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, importance, language, packing, pii, quality_rules, sharding, simhash, substring
+from . import bpe, edit_embedding, importance, language, packing, pii, quality_rules, sharding, simhash, substring
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_sharding": sharding.op4_sharding,
     "op5_packing": packing.op5_packing,
     "op6_importance": importance.op6_importance,
+    "op7_fingerprints": edit_embedding.op7_fingerprints,
     "op8_quality_rules": quality_rules.op8_quality_rules,
     "op9_language": language.op9_language,
     "op10_pii": pii.op10_pii,
