@@ -3,18 +3,47 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from bookfold.llm import simhash
+from bookfold.llm import importance, packing, pii, simhash, substring
 
-COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+#: The stages draw, hash and permute, which SQL can't express; tests hold them against brute force.
 ORACLE_SQL = None
+#: Key of the pseudonyms; a deployment sets its own.
+PII_KEY = "public example key"
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that importance resampling towards the labelled good ones draws."""
+    return importance.resampled(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each component of close fingerprints (4-word shingles, 4 bits), the one with the smallest id."""
     return simhash.near_dedup(docs)
 
 
-STAGES = [("near_dedup", near_dedup)]
+def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without the words of 20-word windows that also start earlier."""
+    found = substring.substring_dedup(docs)
+    changed = {"text": F.col("kept"), "n_chars": F.when(F.col("n_removed") > 0, F.length("kept").cast("long")).otherwise(F.col("row.n_chars"))}
+    return found.select(*[changed.get(c, F.col(f"row.`{c}`") if c != "text" else None).alias(c) for c in docs.columns])
+
+
+def pii_pseudonyms(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts with pseudonyms for personal data."""
+    found = pii.pseudonymise(docs, PII_KEY, count_col="__replaced")
+    return found.withColumn("n_chars", F.when(F.col("__replaced") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).drop("__replaced")
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of documents in sequences of at most 4096 tokens."""
+    import public_tokenizers
+
+    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
+STAGES = [("quality", quality), ("near_dedup", near_dedup), ("substring_dedup", substring_dedup), ("pii", pii_pseudonyms), ("packing", pack)]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
