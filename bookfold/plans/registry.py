@@ -1,4 +1,299 @@
-"""Queries over the driver's tables and their SQL."""
+"""Queries over the driver's tables and their SQL, by the mapping of events to quotes, levels and orders."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import scalar as S
+from ..operators import levels as L
+from ..operators import simulate as G
+from ..operators.asof import asof_join, row_index
+from ..operators.nbbo import nbbo
+from ..operators.verify import first_violation, level_crossings
+from ..sources import fob
+
+HOUR = 3_600_000_000
+#: Time buckets of the unkeyed operators, in microseconds of event time.
+BUCKET = 24 * HOUR
+EV = "ev AS (SELECT event_id, epoch_us(ts) AS t, user_id, event_type, CAST(round(value*100) AS BIGINT) AS cents, event_id%2 AS side, CAST(floor(value/5) AS INTEGER) AS lvl, event_id%7 AS qty, CAST(user_id%8 AS INTEGER) AS venue FROM events)"
+T0 = "(SELECT CAST(min(epoch_us(ts)) + (max(epoch_us(ts)) - min(epoch_us(ts))) // 2 AS BIGINT) FROM events)"
+
+
+def ev(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    return e.select("event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("t"), "user_id", "event_type", F.round(F.col("value") * 100).cast("long").alias("cents"), (F.col("event_id") % 2).alias("side"), F.floor(F.col("value") / 5).cast("int").alias("lvl"), (F.col("event_id") % 7).alias("qty"), (F.col("user_id") % 8).cast("int").alias("venue"))
+
+
+def middle(e: DataFrame) -> int:
+    return e.agg(F.expr("cast(min(t) + (max(t) - min(t)) div 2 as long)")).first()[0]
+
+
+def _levels(s, d, **options) -> DataFrame:
+    e = ev(s, d).select("side", "lvl", "t", "event_id", "qty")
+    return L.level_history(e, ("side", "lvl"), "t", "qty", "event_id", **options).select("event_id", "side", "lvl", "open", "close", "qty", "onqty")
+
+
+def level_history(s, d):
+    return _levels(s, d)
+
+
+def level_intervals_coalesced(s, d):
+    return _levels(s, d, coalesce_intervals=True)
+
+
+LEVELS = "lv AS (SELECT event_id, side, lvl, t AS open, lead(t) OVER w AS close, qty, qty - coalesce(lag(qty) OVER w, 0) AS onqty FROM ev WINDOW w AS (PARTITION BY side, lvl ORDER BY t, event_id))"
+
+
+def snapshot_at(s, d):
+    return L.snapshot_at(_levels(s, d), middle(ev(s, d))).select("event_id", "side", "lvl", "qty")
+
+
+def decoded_flags(s, d):
+    return ev(s, d).where("qty <> 0").select("event_id", F.when(F.col("side") == 0, "b").otherwise("s").alias("side"), F.when(F.col("qty") % 3 == 1, "s").otherwise("u").alias("type"), S.floor_to(F.col("t") * 1000, 10_000).alias("t_ns"))
+
+
+def _views(e, *cols):
+    return e.where("event_type = 'view'").select("t", *cols)
+
+
+def _asof(exact: bool, by=(), **more):
+    def run(s, d):
+        e = ev(s, d)
+        left = e.where("event_type = 'purchase'").select("event_id", "t", *by)
+        return asof_join(left, _views(e, F.col("event_id").alias("view_id"), *by), "t", by, ("view_id",), exact, bucket=BUCKET, **more).select("event_id", "view_id", "right_time")
+
+    return run
+
+
+def _asof_sql(op: str, by: str = "", cond: str = "") -> str:
+    inner = f"SELECT l.event_id, r.event_id AS view_id, r.t AS right_time, l.t AS lt FROM (SELECT * FROM ev WHERE event_type='purchase') l ASOF LEFT JOIN (SELECT * FROM ev WHERE event_type='view') r ON {by} l.t {op} r.t"
+    if cond:
+        return f"WITH {EV}, x AS ({inner}) SELECT event_id, CASE WHEN {cond} THEN view_id END AS view_id, CASE WHEN {cond} THEN right_time END AS right_time FROM x"
+    return f"WITH {EV}, x AS ({inner}) SELECT event_id, view_id, right_time FROM x"
+
+
+def asof_index(s, d):
+    e = ev(s, d)
+    right = row_index(_views(e), "t", BUCKET)
+    left = e.where("event_type = 'purchase'").select("event_id", "t")
+    return asof_join(left, right, "t", values=("k",), bucket=BUCKET).select("event_id", F.coalesce("k", F.lit(-1)).cast("long").alias("idx"))
+
+
+def asof_index_compat(s, d):
+    """The index rule that skips ties but at index 0."""
+    e = ev(s, d)
+    right = row_index(_views(e), "t", BUCKET)
+    left = e.where("event_type = 'purchase'").select("event_id", "t")
+    found = asof_join(left, right, "t", values=("k",), allow_exact=False, bucket=BUCKET)
+    first = right.agg(F.min("t")).first()[0]
+    return found.select("event_id", F.when(F.col("t") < F.lit(first), -1).otherwise(F.coalesce("k", F.lit(0))).cast("long").alias("idx"))
+
+
+def _orders(e):
+    # prices around the barrier's middle, so that some orders are never violated
+    return e.where("event_type = 'purchase'").select(F.col("event_id").alias("order_id"), F.when(F.col("side") == 0, "b").otherwise("s").alias("side"), F.when(F.col("side") == 0, F.col("cents") % 300).otherwise(30000 + F.col("cents") % 20000).alias("price"), F.col("t").alias("open"), F.when(F.col("event_id") % 11 != 0, F.col("t") + F.col("cents") * 10_000_000).alias("close"))
+
+
+def _barrier(e):
+    return e.where("event_type = 'view'").groupBy("t").agg(F.max("cents").alias("nbb")).withColumn("nbo", F.col("nbb") + 50)
+
+
+def _verify(eq: bool, same: bool, touch: bool, pdiff: int = 0):
+    def run(s, d):
+        e = ev(s, d)
+        return first_violation(_orders(e), _barrier(e), pdiff, eq, same, touch, BUCKET).select("order_id", "side", "first_violation_k")
+
+    return run
+
+
+ORDERS = "o AS (SELECT event_id AS order_id, CASE WHEN side=0 THEN 'b' ELSE 's' END AS side, CASE WHEN side=0 THEN cents%300 ELSE 30000+cents%20000 END AS price, t AS open, CASE WHEN event_id%11<>0 THEN t+cents*10000000 END AS close FROM ev WHERE event_type='purchase'), b0 AS (SELECT t, max(cents) AS nbb, max(cents)+50 AS nbo FROM ev WHERE event_type='view' GROUP BY t), b AS (SELECT *, row_number() OVER (ORDER BY t)-1 AS k, lead(t) OVER (ORDER BY t) AS nt FROM b0)"
+
+
+def _verify_sql(eq: bool, same: bool, touch: bool, pdiff: int = 0) -> str:
+    buy, sell = ("nbb", "nbo") if same else ("nbo", "nbb")
+    e, c = ("=" if eq else ""), ("=" if touch else "")
+    hit = f"(o.side='b' AND o.price+({pdiff}) >{e} b.{buy} OR o.side='s' AND o.price-({pdiff}) <{e} b.{sell})"
+    live = f"(o.close IS NULL OR b.t <{c} o.close) AND (b.nt IS NULL OR b.nt >{c} o.open)"
+    return f"WITH {EV}, {ORDERS}, v AS (SELECT o.order_id, min(b.k) AS k FROM o JOIN b ON {live} AND {hit} GROUP BY 1) SELECT o.order_id, o.side, CAST(coalesce(v.k, (SELECT count(*) FROM b)) AS BIGINT) AS first_violation_k FROM o LEFT JOIN v USING (order_id)"
+
+
+def hit_times(s, d):
+    """The earlier of two violations and whether it falls in the order's life."""
+    e = ev(s, d)
+    o, b = _orders(e), _barrier(e)
+    two = first_violation(o, b, 0, bucket=BUCKET).withColumnRenamed("first_violation_k", "k1").join(first_violation(o, b, 2000, bucket=BUCKET).select("order_id", F.col("first_violation_k").alias("k2")), "order_id")
+    t = row_index(b, "t", BUCKET).select("k", F.col("t").alias("hit_t"))
+    j = two.withColumn("kk", F.least("k1", "k2")).join(t, F.col("kk") == F.col("k"), "left")
+    return j.select("order_id", "hit_t", F.coalesce((F.col("hit_t") >= F.col("open")) & (F.col("close").isNull() | (F.col("hit_t") < F.col("close"))), F.lit(False)).cast("int").alias("hit"))
+
+
+def _hit_sql() -> str:
+    def body(p):
+        return f"SELECT o.order_id, min(b.k) AS k FROM o JOIN b ON (o.close IS NULL OR b.t < o.close) AND (b.nt IS NULL OR b.nt > o.open) AND (o.side='b' AND o.price+{p} > b.nbo OR o.side='s' AND o.price-{p} < b.nbb) GROUP BY 1"
+
+    return f"WITH {EV}, {ORDERS}, v1 AS ({body(0)}), v2 AS ({body(2000)}) SELECT o.order_id, b.t AS hit_t, CASE WHEN b.t >= o.open AND (o.close IS NULL OR b.t < o.close) THEN 1 ELSE 0 END AS hit FROM o LEFT JOIN v1 USING (order_id) LEFT JOIN v2 USING (order_id) LEFT JOIN b ON b.k = least(coalesce(v1.k, v2.k), coalesce(v2.k, v1.k))"
+
+
+def crossings(s, d):
+    e = ev(s, d).where("event_type = 'view'").groupBy("t").agg(F.max("cents").alias("v"))
+    return level_crossings(e, 5000, bucket=BUCKET).select("t", "v", "next_time", "next_value")
+
+
+def _quotes(e):
+    return e.select("t", F.col("event_id").alias("iline"), F.col("venue").alias("bv"), F.col("cents").alias("bp"), F.col("qty").alias("bq"), (7 - F.col("venue")).alias("sv"), (F.col("cents") + 10 * F.col("qty")).alias("sp"), ((F.col("event_id") + 3) % 7).alias("sq"))
+
+
+def nbbo_published(s, d):
+    return nbbo(_quotes(ev(s, d)), 8, "published", BUCKET)
+
+
+def nbbo_every_event(s, d):
+    return nbbo(_quotes(ev(s, d)), 8, "every_event", BUCKET)
+
+
+def nbbo_stats(s, d):
+    r = nbbo(_quotes(ev(s, d)), 8, "every_event", BUCKET)
+    return r.select("iline", S.mask_text(F.col("b_ii"), 8).alias("bid_mask"), F.bit_count("s_ii").cast("int").alias("ask_venues"), S.has_bit(F.col("b_ii"), 3).cast("int").alias("has3"), S.clear_bit(F.col("s_ii"), 1).alias("without1"))
+
+
+def _nbbo_sql() -> str:
+    cols, side = [], {"b": ("venue", "cents", "qty"), "s": ("7-venue", "cents+10*qty", "(event_id+3)%7")}
+    for k, (v, p, q) in side.items():
+        for i in range(8):
+            ok = f"({q})>0 AND ({p})>0"
+            cols.append(f"last_value(CASE WHEN {v}={i} THEN {{'p': CAST({p} AS BIGINT), 'q': CAST(CASE WHEN {ok} THEN {q} ELSE 0 END AS BIGINT)}} END IGNORE NULLS) OVER w AS {k}{i}")
+    out = ["t AS time", "event_id AS iline"]
+    best = []
+    for k, f in (("b", "greatest"), ("s", "least")):
+        best.append(f"{f}({', '.join(f'CASE WHEN {k}{i}.q>0 THEN {k}{i}.p END' for i in range(8))}) AS p{k}")
+    for k, p, q, m, n in (("b", "nbb", "nbbq", "b_ii", "num_b"), ("s", "nbo", "nboq", "s_ii", "num_s")):
+        at = [f"coalesce({k}{i}.q>0 AND {k}{i}.p=p{k}, false)" for i in range(8)]
+        out += [f"coalesce(p{k}, 0) AS {p}", "CAST(" + "+".join(f"CASE WHEN {a} THEN {k}{i}.q ELSE 0 END" for i, a in enumerate(at)) + f" AS BIGINT) AS {q}"]
+        out += ["CAST(" + "+".join(f"CASE WHEN {a} THEN {1 << i} ELSE 0 END" for i, a in enumerate(at)) + f" AS BIGINT) AS {m}", "CAST(" + "+".join(f"CASE WHEN {a} THEN 1 ELSE 0 END" for a in at) + f" AS INTEGER) AS {n}"]
+    return f"{EV}, st AS (SELECT t, event_id, {', '.join(cols)} FROM ev WINDOW w AS (ORDER BY t, event_id ROWS UNBOUNDED PRECEDING)), bst AS (SELECT *, {', '.join(best)} FROM st), al AS (SELECT {', '.join(out)} FROM bst)"
+
+
+_FIELDS = "(nbb, nbo, nbbq, nboq, b_ii, s_ii)"
+
+
+def fob_encode(s, d):
+    e = ev(s, d).select(((F.floor(F.col("t") / HOUR) * HOUR)).cast("long").alias("time"), F.col("event_id").alias("seq"), F.col("side").alias("bs01"), F.col("cents").alias("price"), "qty")
+    return fob.encode_updates(e, 3, 1)
+
+
+def _text_sql(rows: str, kind: str = "u") -> str:
+    exact = lambda c, n: f"CASE WHEN {c}=0 THEN '0' ELSE CAST({c} // {10**n} AS VARCHAR) || '.' || lpad(CAST({c} % {10**n} AS VARCHAR), {n}, '0') END"
+    agg = lambda k: f"'[' || coalesce(string_agg('[' || {exact('price', 3)} || ',' || {exact('qty', 1)} || ']', ',' ORDER BY seq) FILTER (bs01={k}), '') || ']'"
+    return f"SELECT time AS timestamp, '{kind}' AS type, {agg(1)} AS asks, {agg(0)} AS bids FROM {rows} GROUP BY time"
+
+
+ENC = "SELECT t // 3600000000 * 3600000000 AS time, event_id AS seq, side AS bs01, cents AS price, qty FROM ev"
+
+
+def fob_roundtrip(s, d):
+    lines = fob_encode(s, d)
+    text = lines.select(F.col("timestamp").alias("line_no"), F.concat_ws(";", F.col("timestamp").cast("string"), "type", "asks", "bids").alias("value"))
+    return fob.parse_lines(text, 3, 1).select("time", F.col("bs01").cast("int").alias("bs01"), "pos", (F.col("price") * 1000).cast("long").alias("price"), (F.col("qty") * 10).cast("long").alias("qty"))
+
+
+def book_format(s, d):
+    e = ev(s, d).select(F.col("t").alias("time"), F.col("event_id").alias("seq"), F.col("side").alias("bs01"), F.col("cents").alias("price"), "qty")
+    return fob.format_book(e, e.where("seq % 97 = 0"))
+
+
+def cumulate(s, d):
+    e = ev(s, d).where("event_type = 'purchase'").select("side", "lvl", "qty", F.col("t").alias("t0"), F.when(F.col("event_id") % 5 != 0, F.col("t") + F.col("cents") * 1_000_000).alias("t1"))
+    return L.cumulate(e, ("side", "lvl"))
+
+
+def distinct_prices(s, d):
+    return ev(s, d).groupBy("side").agg(F.countDistinct("lvl").alias("n_levels"), F.countDistinct("user_id").alias("n_ids"), F.max("lvl").alias("max_lvl"))
+
+
+def counts_by_side(s, d):
+    return ev(s, d).groupBy("side").agg(F.count("*").alias("n"), F.sum(F.when(F.col("qty") > 0, 1).otherwise(0)).alias("n_live"), F.sum("qty").alias("qty"), F.min("t").alias("t_min"), F.max("t").alias("t_max"))
+
+
+def topn_per_side(s, d):
+    return L.top_n(ev(s, d).select("event_id", "side", "cents"), ["side"], [F.desc("cents"), "event_id"], 10)
+
+
+def anti_times(s, d):
+    e = ev(s, d).select("t", "event_id")
+    return e.join(e.where("event_id % 97 = 0").select("t").distinct(), "t", "left_anti")
+
+
+def union_books(s, d):
+    e = ev(s, d).select("event_id", "side", "lvl")
+    return e.where("side = 0").unionByName(e.where("side = 1 and lvl > 5"))
+
+
+def window_clamp(s, d):
+    e = ev(s, d)
+    m = middle(e)
+    o = _orders(e).where((F.col("open") <= m + HOUR * 100) & (F.coalesce("close", F.lit(1 << 62)) >= m))
+    return o.select("order_id", F.greatest(F.col("open"), F.lit(m - 1000)).alias("open"), F.least(F.coalesce("close", F.lit(1 << 62)), F.lit(m + HOUR * 100 + 1000)).alias("close"))
+
+
+def time_texts(s, d):
+    ns = F.col("t") * 1000 + F.col("qty") * 100
+    return ev(s, d).select("event_id", S.hms_text(ns).alias("hms"), S.time_text(ns).alias("full_text"))
+
+
+def sim_time_grid(s, d):
+    return G.time_grid(s, 1_700_000_000 * G.SECOND, 1000, G.SECOND)
+
+
+def sim_mid(s, d):
+    return G.mid_price(s, 1_700_000_000 * G.SECOND, 2000, G.SECOND)
+
+
+def sim_orders(s, d):
+    return G.fake_orders(s, 2000, 1000)
+
+
+def sim_book(s, d):
+    return G.fake_book(G.fake_orders(s, 2000, 1000))
+
+
+FLAGS = [(e, s, t) for e in (False, True) for s in (False, True) for t in (False, True)]
+QUERIES = {
+    f.__name__: f
+    for f in (level_history, level_intervals_coalesced, snapshot_at, decoded_flags, asof_index, asof_index_compat, hit_times, crossings, nbbo_published, nbbo_every_event, nbbo_stats, fob_encode, fob_roundtrip, book_format, cumulate, distinct_prices, counts_by_side, topn_per_side, anti_times, union_books, window_clamp, time_texts, sim_time_grid, sim_mid, sim_orders, sim_book)
+} | {"asof_inclusive": _asof(True), "asof_strict": _asof(False), "asof_by_user": _asof(True, ("user_id",)), "asof_forward": _asof(True, direction="forward"), "asof_tolerance": _asof(True, tolerance=HOUR)}
+QUERIES |= {f"verify_eq{int(e)}_same{int(s)}_touch{int(t)}": _verify(e, s, t) for e, s, t in FLAGS}
+QUERIES["verify_pdiff"] = _verify(False, False, False, -100)
+
+_LV = "SELECT event_id, side, lvl, open, close, qty, onqty FROM"
+ORACLE_SQL = {
+    "level_history": f"WITH {EV}, {LEVELS} {_LV} lv WHERE onqty<>0",
+    "level_intervals_coalesced": f"WITH {EV}, {LEVELS}, f AS (SELECT * EXCLUDE close FROM lv WHERE onqty<>0) SELECT event_id, side, lvl, open, lead(open) OVER (PARTITION BY side, lvl ORDER BY open, event_id) AS close, qty, onqty FROM f",
+    "snapshot_at": f"WITH {EV}, {LEVELS} SELECT event_id, side, lvl, qty FROM lv WHERE onqty<>0 AND open<={T0} AND (close IS NULL OR close>={T0}) AND (open={T0} OR qty>0)",
+    "decoded_flags": f"WITH {EV} SELECT event_id, CASE WHEN side=0 THEN 'b' ELSE 's' END AS side, CASE WHEN qty%3=1 THEN 's' ELSE 'u' END AS type, t*1000 - (t*1000)%10000 AS t_ns FROM ev WHERE qty<>0",
+    "asof_inclusive": _asof_sql(">="),
+    "asof_strict": _asof_sql(">"),
+    "asof_by_user": _asof_sql(">=", "l.user_id=r.user_id AND"),
+    "asof_forward": _asof_sql("<="),
+    "asof_tolerance": _asof_sql(">=", cond=f"lt - right_time <= {HOUR}"),
+    "asof_index": f"WITH {EV}, r AS (SELECT t, row_number() OVER (ORDER BY t)-1 AS k FROM ev WHERE event_type='view') SELECT l.event_id, CAST(coalesce(r.k, -1) AS BIGINT) AS idx FROM (SELECT * FROM ev WHERE event_type='purchase') l ASOF LEFT JOIN r ON l.t >= r.t",
+    "asof_index_compat": f"WITH {EV}, r AS (SELECT t, row_number() OVER (ORDER BY t)-1 AS k FROM ev WHERE event_type='view') SELECT l.event_id, CAST(CASE WHEN l.t < (SELECT min(t) FROM r) THEN -1 ELSE coalesce(r.k, 0) END AS BIGINT) AS idx FROM (SELECT * FROM ev WHERE event_type='purchase') l ASOF LEFT JOIN r ON l.t > r.t",
+    "hit_times": _hit_sql(),
+    "crossings": f"WITH {EV}, g AS (SELECT t, max(cents) AS v FROM ev WHERE event_type='view' GROUP BY t), n AS (SELECT t, v, lead(t) OVER (ORDER BY t) AS next_time, lead(v) OVER (ORDER BY t) AS next_value FROM g) SELECT * FROM n WHERE next_value IS NOT NULL AND sign(v-5000)<>sign(next_value-5000)",
+    "nbbo_every_event": f"WITH {_nbbo_sql()} SELECT * FROM al WHERE b_ii<>0 OR s_ii<>0",
+    "nbbo_published": f"WITH {_nbbo_sql()}, e AS (SELECT * FROM al QUALIFY row_number() OVER (PARTITION BY time ORDER BY iline DESC)=1), c AS (SELECT *, {_FIELDS} AS f, lag({_FIELDS}) OVER (ORDER BY time) AS lf FROM e) SELECT * EXCLUDE (f, lf) FROM c WHERE lf IS NULL OR f<>lf",
+    "nbbo_stats": f"WITH {_nbbo_sql()} SELECT iline, lpad(bin(b_ii), 8, '0') AS bid_mask, CAST(bit_count(s_ii) AS INTEGER) AS ask_venues, CAST(b_ii>>3 & 1 AS INTEGER) AS has3, s_ii - (s_ii & 2) AS without1 FROM al WHERE b_ii<>0 OR s_ii<>0",
+    "fob_encode": f"WITH {EV}, x AS ({ENC}) {_text_sql('x')}",
+    "fob_roundtrip": f"WITH {EV}, x AS ({ENC}) SELECT time, CAST(bs01 AS INTEGER) AS bs01, CAST(row_number() OVER (PARTITION BY time, bs01 ORDER BY seq) - 1 AS INTEGER) AS pos, price, qty FROM x",
+    "book_format": f"WITH {EV}, x AS (SELECT t AS time, event_id AS seq, side AS bs01, cents AS price, qty FROM ev), sn AS (SELECT * FROM x WHERE seq%97=0), up AS (SELECT * FROM x WHERE time NOT IN (SELECT time FROM sn)) {_text_sql('up')} UNION ALL {_text_sql('sn', 's')}",
+    "cumulate": f"WITH {EV}, o AS (SELECT side, lvl, qty, t AS t0, CASE WHEN event_id%5<>0 THEN t+cents*1000000 END AS t1 FROM ev WHERE event_type='purchase'), n AS (SELECT side, lvl, time, sum(q) AS q FROM (SELECT side, lvl, t0 AS time, qty AS q FROM o UNION ALL SELECT side, lvl, t1, -qty FROM o WHERE t1 IS NOT NULL) GROUP BY ALL) SELECT side, lvl, time, CAST(sum(q) OVER (PARTITION BY side, lvl ORDER BY time) AS BIGINT) AS cm_qty FROM n",
+    "distinct_prices": f"WITH {EV} SELECT side, count(DISTINCT lvl) AS n_levels, count(DISTINCT user_id) AS n_ids, max(lvl) AS max_lvl FROM ev GROUP BY side",
+    "counts_by_side": f"WITH {EV} SELECT side, count(*) AS n, CAST(sum(CASE WHEN qty>0 THEN 1 ELSE 0 END) AS BIGINT) AS n_live, CAST(sum(qty) AS BIGINT) AS qty, min(t) AS t_min, max(t) AS t_max FROM ev GROUP BY side",
+    "topn_per_side": f"WITH {EV} SELECT event_id, side, cents FROM ev QUALIFY row_number() OVER (PARTITION BY side ORDER BY cents DESC, event_id) <= 10",
+    "anti_times": f"WITH {EV} SELECT t, event_id FROM ev WHERE t NOT IN (SELECT t FROM ev WHERE event_id%97=0)",
+    "union_books": f"WITH {EV} SELECT event_id, side, lvl FROM ev WHERE side=0 OR (side=1 AND lvl>5)",
+    "window_clamp": f"WITH {EV}, {ORDERS} SELECT order_id, greatest(open, {T0}-1000) AS open, least(coalesce(close, {1 << 62}), {T0}+{HOUR * 100}+1000) AS close FROM o WHERE open<={T0}+{HOUR * 100} AND coalesce(close, {1 << 62})>={T0}",
+    "time_texts": f"WITH {EV}, x AS (SELECT event_id, t*1000+qty*100 AS ns FROM ev), y AS (SELECT *, strftime(make_timestamp(ns//1000), '%H:%M:%S') AS hms0, rtrim(lpad(CAST(ns%1000000000 AS VARCHAR), 9, '0'), '0') AS fr FROM x) SELECT event_id, CASE WHEN fr='' THEN hms0 ELSE hms0||'.'||fr END AS hms, strftime(make_timestamp(ns//1000), '%Y-%m-%d %H:%M:%S') || '.' || lpad(CAST(ns%1000000000 AS VARCHAR), 9, '0') AS full_text FROM y",
+    "sim_time_grid": "SELECT i, CAST(1700000000-250+i AS BIGINT)*1000000000 AS t FROM range(1500) r(i)",
+    "verify_pdiff": _verify_sql(False, False, False, -100),
+} | {f"verify_eq{int(e)}_same{int(s)}_touch{int(t)}": _verify_sql(e, s, t) for e, s, t in FLAGS}
