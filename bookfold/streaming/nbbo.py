@@ -24,8 +24,8 @@ def consolidate(stream: DataFrame, n_venues: int, state_path: str, sink, checkpo
             own = spark.read.parquet(f"{state_path}/{batch_id - 1}").withColumn("old", F.lit(True)).unionByName(own)
         own = own.persist()
         try:
-            rows = nbbo(own.drop("old"), n_venues, "every_event").join(own.where("not old").select("iline"), "iline", "left_semi")
-            sink(rows, batch_id)
+            rows = nbbo(own.drop("old"), n_venues, "every_event")
+            sink(rows.join(own.where("not old").select("iline"), "iline", "left_semi").select(*rows.columns), batch_id)
             last = lambda v: own.groupBy(v).agg(F.max_by(F.struct(*batch.columns), F.struct("t", "iline")).alias("r")).select("r.*")
             last("bv").unionByName(last("sv")).distinct().write.mode("overwrite").parquet(f"{state_path}/{batch_id}")
         finally:
