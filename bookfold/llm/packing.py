@@ -11,12 +11,15 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections import deque
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import regex
+import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,8 +36,25 @@ _SEPARATORS = re.compile("[\x1c-\x1f]")
 _WORD = re.compile("[^\t-\r \x85\xa0  -     　]+")
 
 
+#: The tokenizer file's own pattern.
+_PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+#: Marks a word's end in bytes, where the vocabulary has </w>; no UTF-8 text holds this byte.
+_END = b"\xff"
+
+
+def _byte_letters() -> dict[str, int]:
+    """The letter that a byte-level vocabulary writes for each byte."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in plain]
+    return {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(rest)}
+
+
 class WordIds:
-    """Ids of a tokenizer that drops white space and never joins words across it, remembered by word."""
+    """Ids of a tokenizer that drops white space and never joins words across it, remembered by word.
+
+    Words of Latin letters are merged by ranks; in this vocabulary the order of ids is that of the merges.
+    All others go to the tokenizer itself.
+    """
 
     def __init__(self, path: str, end_id: int):
         from tokenizers import Tokenizer
@@ -42,28 +62,51 @@ class WordIds:
         self._tokenizer = Tokenizer.from_file(path)
         self._tokenizer.encode_special_tokens = True
         self._known: dict[str, bytes] = {}
+        self._pieces: dict[str, bytes] = {}
         self._end = np.array([end_id], "<u4").tobytes()
-        vocabulary = self._tokenizer.get_vocab()
-        self.ends_sentence = np.zeros(max(vocabulary.values()) + 1, bool)
+        vocabulary = self._tokenizer.get_vocab(with_added_tokens=False)
+        self.ends_sentence = np.zeros(self._tokenizer.get_vocab_size(), bool)
+        letters, ranks = _byte_letters(), {}
         for text, i in vocabulary.items():
             own = text.removesuffix("</w>")
             self.ends_sentence[i] = bool(own) and not own.strip(".!?")
+            if all(c in letters for c in own):
+                ranks[bytes(map(letters.__getitem__, own)) + _END * (own != text)] = i
+        self._merge = tiktoken.Encoding("words", pat_str=".", mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece
+
+    def _word(self, word: str) -> bytes:
+        if max(word) >= "\u0250":
+            return np.array(self._tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
+        low = word.lower()
+        known = self._pieces
+        out = []
+        for p in [low] if low.isalpha() else _PIECE.findall(low):
+            ids = known.get(p)
+            if ids is None:
+                ids = known[p] = array("I", self._merge(p.encode() + _END)).tobytes()
+            out.append(ids)
+        return b"".join(out)
 
     def documents(self, texts: list[bytes | None]) -> list[bytes]:
         """Ids of each text and the end id, as little-endian 32-bit integers."""
-        words = []
+        for kept in (self._known, self._pieces):
+            if len(kept) > 300_000:
+                kept.clear()
+        known, out = self._known, []
         for t in texts:
             text = t.decode() if t else ""
-            words.append(_WORD.findall(text) if _SEPARATORS.search(text) else text.split())
-        if len(self._known) > 300_000:
-            self._known.clear()
-        known = self._known
-        new = list({w for doc in words for w in doc}.difference(known))
-        for at in range(0, len(new), 4096):
-            some = new[at : at + 4096]
-            for w, e in zip(some, self._tokenizer.encode_batch_fast(some, add_special_tokens=False)):
-                known[w] = np.array(e.ids, "<u4").tobytes()
-        return [b"".join([known[w] for w in doc]) + self._end for doc in words]
+            words = _WORD.findall(text) if _SEPARATORS.search(text) else text.split()
+            ids = list(map(known.get, words))
+            if None in ids:
+                for k, (w, x) in enumerate(zip(words, ids)):
+                    if x is None:
+                        x = known.get(w)
+                        if x is None:
+                            x = known[w] = self._word(w)
+                        ids[k] = x
+            ids.append(self._end)
+            out.append(b"".join(ids))
+        return out
 
 
 @lru_cache(maxsize=2)
