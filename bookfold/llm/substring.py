@@ -31,7 +31,7 @@ class _Hashes(dict):
     """64-bit hashes of words, remembered up to a bound."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= 500_000:
+        if len(self) >= 200_000:
             self.clear()
         h = self[word] = xxhash.xxh64_intdigest(word, 7)
         return h
@@ -253,7 +253,7 @@ def _power(x: float) -> int:
     return 1 << max(0, int(np.ceil(np.log2(max(1.0, x)))))
 
 
-def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 20, digest: bool = False, batch_words: int = 4_000_000, home_bytes: int = 4 << 20, bucket_windows: int | None = None) -> DataFrame:
+def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 20, digest: bool = False, batch_words: int = 1_500_000, home_bytes: int = 4 << 20, bucket_windows: int | None = None) -> DataFrame:
     """Remove every word covered by a window of ``window`` words whose word sequence also starts earlier.
 
     Words are separated by ASCII white space. Earlier means a smaller id, or the same id and an earlier
