@@ -28,8 +28,8 @@ from .common import by_bytes, table, text_bytes
 
 #: Costs in padding tokens of a cut at a sentence end and of one inside a sentence.
 SENTENCE, INSIDE = 2.0, 16.0
-#: A stretch of more ids than this without a sentence end gets cut points at every GRID ids.
-SPARSE, GRID = 512, 128
+#: A stretch of more than length / SPARSE ids without a sentence end gets cut points at every length / GRID ids.
+SPARSE, GRID = 8, 32
 #: Ids of one dynamic programme; the open end of one is the start of the next.
 BLOCK = 1 << 20
 _SEPARATORS = re.compile("[\x1c-\x1f]")
@@ -117,13 +117,14 @@ def _word_ids(path: str, end_id: int) -> WordIds:
     return WordIds(path, end_id)
 
 
-def cut_points(ids: np.ndarray, doc_ends: np.ndarray, ends_sentence: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def cut_points(ids: np.ndarray, doc_ends: np.ndarray, ends_sentence: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     """Positions (0 and the end included) and penalties of the allowed cuts."""
     sentence = np.flatnonzero(ends_sentence[ids]) + 1
     points = np.unique(np.concatenate([[0], sentence, doc_ends, [len(ids)]]))
     gaps = np.diff(points)
-    wide = np.flatnonzero(gaps > SPARSE)
-    grid = [np.arange(points[i] + GRID, points[i + 1], GRID) for i in wide.tolist()]
+    wide = np.flatnonzero(gaps > length // SPARSE)
+    step = max(1, length // GRID)
+    grid = [np.arange(points[i] + step, points[i + 1], step) for i in wide.tolist()]
     inside = np.concatenate([*grid, np.empty(0, np.int64)]).astype(np.int64)
     points = np.concatenate([points, inside])
     cost = np.concatenate([np.full(len(points) - len(inside), SENTENCE), np.full(len(inside), INSIDE)])
@@ -205,7 +206,7 @@ def _packer(path: str, end_id: int, length: int, block: int):
             raw = b"".join(stream)
             ids = np.frombuffer(raw, "<u4")
             doc_ends = np.cumsum([d[2] for d in docs])
-            cuts = cheapest_cuts(*cut_points(ids, doc_ends, words.ends_sentence), length, last)
+            cuts = cheapest_cuts(*cut_points(ids, doc_ends, words.ends_sentence, length), length, last)
             view, out = memoryview(raw), []
             for a, b in zip(cuts, cuts[1:]):
                 at = a
