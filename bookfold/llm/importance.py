@@ -44,19 +44,27 @@ def ngram_buckets(text: bytes | None, known: dict, buckets: int = BUCKETS) -> np
     return np.concatenate([w >> np.uint64(32), pairs >> np.uint64(32)]).__mod__(half).astype(np.int64) + np.repeat([0, buckets // 2], [len(w), len(pairs)])
 
 
-def bucket_counts(docs: DataFrame, text_col: str = "text", buckets: int = BUCKETS) -> np.ndarray:
-    """How often each bucket occurs. A task sends one row per bucket at most, the driver gets one per bucket."""
+def bucket_counts(docs: DataFrame, buckets: int = BUCKETS) -> np.ndarray:
+    """How often each bucket occurs in all texts and in those marked ``target``: two rows of counts.
+
+    A task sends one row per bucket at most, the driver gets one per bucket.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, total = _Ids(), np.zeros(buckets, np.int64)
+        known, total = _Ids(), np.zeros((2, buckets), np.int64)
         for b in by_bytes(batches, 0, 2 << 20):
-            total += np.bincount(np.concatenate([ngram_buckets(t, known, buckets) for t in b.column(0).to_pylist()]), minlength=buckets)
-        some = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], names=["bucket", "n"])
-
-    out = np.zeros(buckets, np.int64)
-    for k, n in docs.select(text_bytes(text_col).alias("text")).mapInArrow(run, "bucket long, n long").groupBy("bucket").agg(F.sum("n")).collect():
-        out[k] = n
+            for t, target in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                own = ngram_buckets(t, known, buckets)
+                np.add.at(total[0], own, 1)
+                if target:
+                    np.add.at(total[1], own, 1)
+        some = np.flatnonzero(total[0])
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[0, some]), pa.array(total[1, some])], names=["bucket", "n", "target"])
+
+    out = np.zeros((2, buckets), np.int64)
+    counted = docs.select(text_bytes("text").alias("text"), "target").mapInArrow(run, "bucket long, n long, target long")
+    for k, n, target in counted.groupBy("bucket").agg(F.sum("n"), F.sum("target")).collect():
+        out[:, k] = n, target
     return out
 
 
@@ -114,23 +122,25 @@ def kth_highest(scored: DataFrame, score: str, k: int) -> float:
     return low
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", seed: int = 42, reject: float = 0.01, temperature: float = 0.25) -> tuple[np.ndarray, float]:
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", seed: int = 42, reject: float = 0.01, temperature: float = 0.25, target_rows: int = 100_000) -> tuple[np.ndarray, float]:
     """Log ratios of the buckets and the sample key that the drawn documents reach.
 
     The raw model counts every text, the target model the labelled documents of quality 1 that aren't toxic,
     but for a quarter of them (by a hash of the id). k is how many documents weigh at least as much as the
     ``reject`` quantile of that held-out quarter. Without target or held-out documents all are drawn.
+    Of the labelled good documents at most ``target_rows`` are used, those with the smallest hashes of their
+    ids; they are broadcast (two longs each), so no text is shuffled.
     """
     marks = labels.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).cast("long").alias("__k")).agg(F.min(F.coalesce((F.col("quality") == 1) & (F.col("toxic") == 0), F.lit(False))).alias("good"))
-    good = materialize(marks.where("good").select("__k", (F.pmod(F.xxhash64(F.lit(seed), "__k"), F.lit(4)) == 0).alias("held")))
-    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    target = own.join(good.where("not held"), F.col("doc_id") == F.col("__k"), "left_semi")
-    counts = np.stack([bucket_counts(own), bucket_counts(target)])
+    draw = marks.where("good").select("__k", F.xxhash64(F.lit(seed), "__k").alias("__h")).orderBy("__h", "__k").limit(target_rows)
+    good = materialize(draw.select("__k", (F.pmod("__h", F.lit(4)) == 0).alias("held")))
+    own = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text")).join(F.broadcast(good), F.col("doc_id") == F.col("__k"), "left").drop("__k")
+    counts = bucket_counts(own.select("text", F.coalesce(~F.col("held"), F.lit(False)).alias("target")))
     if not counts[1].any():
         return np.zeros(BUCKETS), float("-inf")
     ratios = log_ratios(counts)
-    weighed = materialize(log_weights(own, ratios).select("doc_id", sample_key("doc_id", "text", "log_weight", seed, temperature).alias("key"), "log_weight"))
-    cut = weighed.join(good.where("held"), F.col("doc_id") == F.col("__k"), "left_semi").agg(F.percentile_approx("log_weight", reject, 10_000)).first()[0]
+    weighed = materialize(log_weights(own, ratios).select("held", sample_key("doc_id", "text", "log_weight", seed, temperature).alias("key"), "log_weight"))
+    cut = weighed.where("held").agg(F.percentile_approx("log_weight", reject, 10_000)).first()[0]
     if cut is None:
         return ratios, float("-inf")
     return ratios, kth_highest(weighed, "key", weighed.where(F.col("log_weight") >= cut).count())
