@@ -19,7 +19,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of close fingerprints (4-word shingles, 4 bits), the one with the smallest id."""
+    """One document of each component of close fingerprints (5-word shingles, similarity 0.8), the one with the smallest id."""
     return simhash.near_dedup(docs)
 
 

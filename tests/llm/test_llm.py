@@ -33,11 +33,29 @@ def test_simhash_components(spark, odd):
     for crowded in (4096, 1):
         got = {r.doc_id: (r.fingerprint, r.component_id) for r in simhash.simhash_components(docs, crowded=crowded).collect()}
         assert got == {i: (f"{fps[i]:016x}", low[i]) for i in fps}
-    assert simhash.near_dedup(docs).count() == len(set(low.values()))
     assert simhash.simhash_components(odd).count() == len(ODD)
     assert simhash.near_dedup(odd).columns == odd.columns
 
 
+def test_near_dedup_wide_fingerprints(spark):
+    rnd = random.Random(5)
+    base = [[f"w{rnd.randrange(5000)}" for _ in range(200)] for _ in range(40)]
+    rows = []
+    for i, w in enumerate(base):
+        rows.append((i, " ".join(w)))
+        rows += [(100 + 3 * i + k, " ".join([*w[: 60 + k], "new", *w[61 + k :]])) for k in range(3)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    for crowded in (4096, 1):
+        assert sorted(r.doc_id for r in simhash.near_dedup(docs, crowded=crowded).collect()) == list(range(40))
+    print_of = {i: np.frombuffer(simhash.wide_fingerprint(t.encode()), np.uint64) for i, t in rows}
+    low = {i: i for i in print_of}
+    for a in print_of:
+        for b in print_of:
+            if np.bitwise_count(print_of[a] ^ print_of[b]).sum() <= simhash.radius_for(0.8):
+                low[a] = low[b] = min(low[a], low[b])
+    assert set(low.values()) == set(range(40))
+
+
 def test_bpe_stitch_and_digests(spark, odd):
     import public_tokenizers as P
 
