@@ -13,10 +13,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, text_bytes
+from .common import materialize, table, text_bytes
 
 SEED, CLASSES, PERIOD = 42, 256, 4096
 #: Sampled steps: all below 2 ** FULL, then PER_OCTAVE between 2 ** k and 2 ** (k + 1).
@@ -105,10 +106,20 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - half] + following[:half]
 
 
+def _packed(digits: str) -> bytes:
+    return bytes.fromhex(digits + "0" * (len(digits) % 2))
+
+
+_PACKED = "doc_id long, n_chars long, edited binary, digits binary, n_digits int, edited_digits binary, n_edited int, near_edited double, near_next double, node long"
+
+
 def fingerprint_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", part_bytes: int = 8 << 20) -> DataFrame:
     """Fingerprints of each text and of its edited text, in a row per row of ``docs``.
 
-    Columns: ``doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next``.
+    Columns: ``doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, near_component``.
+    ``near_component`` is the smallest id among the documents linked, directly or by others, by fingerprints of
+    likeness 0.8 or more (see ``edit_bands``), or by equal texts; null if all of these have null ids. Texts and
+    fingerprints are told apart by 64-bit hashes.
     The next document is the one with the next smaller id (nulls last; equal ids by text), after the last
     the first. Null texts are empty. Documents are dealt in packed form to ranges of ids found from
     quantiles; the first document of each range (one per range, known beforehand) also goes to the range
@@ -163,19 +174,43 @@ def fingerprint_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str
         changed = [edited(a, b) for a, b in zip(texts, following)]
         prints = fingerprints([*texts, after])
         other = fingerprints(changed)
-        sha = [hashlib.sha256(c.encode()).hexdigest() for c in changed]
+        node = [xxhash.xxh64_intdigest(f) if len(f) >= 1 << FULL else xxhash.xxh64_intdigest(r[1], 1) for f, r in zip(prints, rows)]
         columns = [
-            pa.array([r[2] for r in rows], pa.int64()),
-            pa.array(map(len, texts), pa.int64()),
-            pa.array(sha),
-            pa.array(prints[:-1]),
-            pa.array(other),
-            pa.array([likeness(a, b) for a, b in zip(prints, other)], pa.float64()),
-            pa.array([likeness(a, b) for a, b in zip(prints, prints[1:])], pa.float64()),
+            [r[2] for r in rows],
+            list(map(len, texts)),
+            [hashlib.sha256(c.encode()).digest() for c in changed],
+            list(map(_packed, prints[:-1])),
+            list(map(len, prints[:-1])),
+            list(map(_packed, other)),
+            list(map(len, other)),
+            [likeness(a, b) for a, b in zip(prints, other)],
+            [likeness(a, b) for a, b in zip(prints, prints[1:])],
+            np.array(node, np.uint64).view(np.int64),
         ]
-        return pa.table(columns, names=["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"])
-
-    return own.mapInArrow(deal, "part long, kind int, rows binary").groupBy("part").applyInArrow(walk, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+        kinds = [pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.int32(), pa.binary(), pa.int32(), pa.float64(), pa.float64(), pa.int64()]
+        return pa.table([pa.array(c, k) for c, k in zip(columns, kinds)], names=[c.split()[0] for c in _PACKED.split(", ")])
+
+    from .edit_bands import near_components
+
+    rows = materialize(own.mapInArrow(deal, "part long, kind int, rows binary").groupBy("part").applyInArrow(walk, _PACKED))
+    distinct = materialize(rows.groupBy("node").agg(F.min("doc_id").alias("low"), F.min(F.struct("n_digits", "digits")).alias("f")).select("node", "low", "f.digits", "f.n_digits"))
+    parts = distinct.select("node", "low").join(near_components(distinct), "node", "left").withColumn("component", F.coalesce("component", "node"))
+    lows = parts.groupBy("component").agg(F.min("low").alias("near_component"))
+    found = rows.join(parts.select("node", "component").join(lows, "component").select("node", "near_component"), "node")
+
+    def text(packed: str, n: str):
+        return F.substring(F.lower(F.hex(packed)), F.lit(1), F.col(n))
+
+    return found.select(
+        "doc_id",
+        "n_chars",
+        F.lower(F.hex("edited")).alias("edited_sha256"),
+        text("digits", "n_digits").alias("fingerprint"),
+        text("edited_digits", "n_edited").alias("edited_fingerprint"),
+        "near_edited",
+        "near_next",
+        "near_component",
+    )
 
 
 def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:

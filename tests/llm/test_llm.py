@@ -7,7 +7,7 @@ import zlib
 import numpy as np
 import pytest
 
-from bookfold.llm import bpe, edit_embedding, importance, language, packing, pii, quality_rules, sharding, simhash, substring
+from bookfold.llm import bpe, edit_bands, edit_embedding, importance, language, packing, pii, quality_rules, sharding, simhash, substring
 
 ODD = [(3, None), (1, ""), (2, "one"), (2, "one"), (None, "two words"), (7, " \t\n"), (5, "a b c d e f g h i j k l m n o p q r s t u v " * 3)]
 SCHEMA = "doc_id long, text string"
@@ -124,10 +124,40 @@ def test_edit_embedding_walk_and_rows(odd):
     a = "the quick brown fox jumps over the lazy dog " * 20
     x, y, z = edit_embedding.fingerprints([a, a[:300] + "XYZ" + a[305:], a[::-1]])
     assert edit_embedding.likeness(x, y) > 0.9 > 0.3 > edit_embedding.likeness(x, z)
-    assert edit_embedding.fingerprint_documents(odd).count() == len(ODD)
+    got = edit_embedding.fingerprint_documents(odd).collect()
+    assert len(got) == len(ODD) and {r.near_component for r in got if r.doc_id == 2} == {2}
+    assert {r.near_component for r in got if r.fingerprint == ""} == {1}
     assert edit_embedding.fingerprint_documents(odd.where("false")).count() == 0
 
 
+def test_edit_bands_brute_force(spark):
+    rnd = random.Random(6)
+    rows = []
+    for i in range(30):
+        base = "".join(rnd.choice("abcdefgh ") for _ in range(rnd.randint(200, 900)))
+        for k in range(8):
+            at = rnd.randrange(len(base))
+            rows.append((8 * i + k, base[:at] + "zy" * rnd.randint(0, 3) + base[at + rnd.randint(0, 5) :]))
+    # one crowded group, and a member of it that is like others but not like the first
+    rows += [(1000 + k, rows[0][1][:150] + "xyz"[k % 3] * (k // 3 % 40) + rows[0][1][150:]) for k in range(120)]
+    prints = edit_embedding.fingerprints([t for _, t in rows])
+    low = {i: i for i, _ in rows}
+    for _ in range(3):
+        for (i, _), a in zip(rows, prints):
+            for (j, _), b in zip(rows, prints):
+                if low[i] != low[j] and edit_embedding.likeness(a, b) >= 0.8:
+                    low[i] = low[j] = min(low[i], low[j])
+    docs = spark.createDataFrame(rows, SCHEMA)
+    packed = [(i, edit_embedding._packed(f), len(f)) for (i, _), f in zip(rows, prints)]
+    distinct = spark.createDataFrame(packed, "node long, digits binary, n_digits int").dropDuplicates(["digits"])
+    for crowded in (4096, 16):
+        found = {r.node: r.component for r in edit_bands.near_components(distinct, crowded=crowded).collect()}
+        assert all(low[a] == low[b] for a, b in found.items())
+    got = {r.doc_id: r.near_component for r in edit_embedding.fingerprint_documents(docs).collect()}
+    assert all(low[i] == low[c] for i, c in got.items())
+    assert sum(got[i] == low[i] for i in low) >= 0.98 * len(low)
+
+
 def test_quality_counts(spark, odd):
     got = {r.n_words: r.n_repeat_words for r in quality_rules.metrics(odd, stratum=None).collect()}
     assert got[66] == 66 and got[0] == 0 and got[2] == 0
