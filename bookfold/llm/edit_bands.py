@@ -78,19 +78,22 @@ def alike(a: np.ndarray, b: np.ndarray, n: np.ndarray) -> np.ndarray:
 
 
 def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """``key, rep, node`` for all but the first node of each key; rows come sorted."""
-    last: tuple[int, int] | None = None
+    """``key, rep, node`` for all but the first node of each key; rows come sorted, nodes of the key's own level first.
+
+    A key without such a node gives none: its pairs meet at a level of their own."""
+    last: tuple[int, int, bool] | None = None
     for b in batches:
         if not b.num_rows:
             continue
-        key, node = b.column(0).to_numpy(), b.column(1).to_numpy()
+        key, lower, node = b.column(0).to_numpy(), b.column(1).to_numpy(zero_copy_only=False), b.column(2).to_numpy()
         at = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-        reps = node[at].copy()
+        reps, only_lower = node[at].copy(), lower[at].copy()
         if last and last[0] == key[0]:
-            reps[0] = last[1]
-        rep = np.repeat(reps, np.diff(np.append(at, len(key))))
-        last = (int(key[-1]), int(rep[-1]))
-        other = rep != node
+            reps[0], only_lower[0] = last[1:]
+        sizes = np.diff(np.append(at, len(key)))
+        rep = np.repeat(reps, sizes)
+        last = (int(key[-1]), int(reps[-1]), bool(only_lower[-1]))
+        other = (rep != node) & ~np.repeat(only_lower, sizes)
         yield pa.RecordBatch.from_arrays([pa.array(key[other]), pa.array(rep[other]), pa.array(node[other])], names=["key", "rep", "node"])
 
 
@@ -128,11 +131,11 @@ def _across(likeness: float):
     return run
 
 
-def near_components(prints: DataFrame, likeness: float = 0.8, crowded: int = 4096) -> DataFrame:
+def near_components(prints: DataFrame, likeness: float = 0.8, crowded: int = 1 << 15) -> DataFrame:
     """``node, component`` for the nodes of ``prints`` (columns ``node, digits, n_digits``, distinct) that have links.
 
     Two fingerprints link if they share a band and their likeness is ``likeness`` or more. Every pair of a bucket is
-    judged or already in one component. A mixed bucket of over ``crowded`` members is cut into cells, and each
+    judged, already in one component, or has buckets at a level of its own. A mixed bucket of over ``crowded`` members is cut into cells, and each
     pair of cells is compared in a task of its own. An empty table gives none.
     """
     own = prints.where(F.col("n_digits") >= LEAST)
@@ -144,10 +147,11 @@ def near_components(prints: DataFrame, likeness: float = 0.8, crowded: int = 409
                 s = b.slice(at, 1000)
                 keys = [band_keys(digits(p, n), bands, width, likeness) for p, n in zip(s.column(1).to_pylist(), s.column(2).to_pylist())]
                 nodes = np.repeat(s.column(0).to_numpy(), list(map(len, keys)))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(nodes)], names=["key", "node"])
+                lower = np.concatenate([np.arange(len(k)) >= bands for k in keys])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(lower), pa.array(nodes)], names=["key", "lower", "node"])
 
-    keys = own.select("node", "digits", "n_digits").mapInArrow(cut, "key long, node long")
-    stars = materialize(keys.repartition("key").sortWithinPartitions("key", "node").mapInArrow(_stars, "key long, rep long, node long"))
+    keys = own.select("node", "digits", "n_digits").mapInArrow(cut, "key long, lower boolean, node long")
+    stars = materialize(keys.repartition("key").sortWithinPartitions("key", "lower", "node").mapInArrow(_stars, "key long, rep long, node long"))
     sides = [own.select(F.col("node").alias(k), F.col("digits").alias(f"f_{s}"), F.col("n_digits").alias(f"n_{s}")) for k, s in (("rep", "a"), ("node", "b"))]
     judged = materialize(stars.select("rep", "node").distinct().join(sides[1], "node").join(sides[0], "rep").mapInArrow(_judge(likeness), "rep long, node long, close boolean"))
     parts = connected_components(judged.where("close").select(F.col("rep").alias("a"), F.col("node").alias("b")))
@@ -158,7 +162,8 @@ def near_components(prints: DataFrame, likeness: float = 0.8, crowded: int = 409
     mixed = materialize(stars.join(apart, ["rep", "node"], "left_semi").select("key").distinct().join(stars.groupBy("key").agg((F.count("*") + 1).alias("n")).where("n > 2"), "key"))
     if mixed.isEmpty():
         return parts
-    members = keys.join(mixed, "key").join(own.select("node", "digits", "n_digits"), "node").join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    held = stars.join(mixed, "key")
+    members = held.select("key", "n", "node").unionByName(held.select("key", "n", F.col("rep").alias("node")).distinct()).join(own.select("node", "digits", "n_digits"), "node").join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
     cells = F.ceil(2 * F.col("n") / crowded).cast("long")
     celled = members.withColumn("n", F.when(F.col("n") > crowded, cells).otherwise(1)).withColumn("own", F.pmod("node", "n"))
     celled = celled.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
