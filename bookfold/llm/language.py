@@ -16,9 +16,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType
 
-from .common import by_bytes, table, text_bytes
+from .common import by_bytes, materialize, table, text_bytes
 
 ORDER = 4
+#: Languages up to which their totals are broadcast.
+MOST_BROADCAST = 10_000
 _WORD = re.compile(r"[^\W\d_]+")
 _MASKS = [np.uint64((1 << 16 * n) - 1) for n in range(ORDER + 1)]
 _BITS = np.uint64(16)
@@ -148,8 +150,11 @@ def train(docs: DataFrame, max_chars: int = 6_000_000) -> Models | None:
     characters, an eighth of them for calibration. None if there is nothing to learn from.
     """
     per = docs.groupBy("lang").agg(F.sum(F.length("text")).alias("chars"))
+    per = materialize(per.withColumnRenamed("lang", "l"))
+    # a row per language: small enough to broadcast, or joined by the planner's choice
+    per = F.broadcast(per) if per.count() <= MOST_BROADCAST else per
     u = F.shiftrightunsigned(F.xxhash64(F.lit(9), "text"), 11).cast("double") / float(1 << 53)
-    sample = docs.join(per.withColumnRenamed("lang", "l"), F.col("lang") == F.col("l")).where(u * F.col("chars") <= max_chars).select("lang", "text", (F.pmod(F.xxhash64(F.lit(10), "text"), F.lit(8)) == 0).alias("held"))
+    sample = docs.join(per, F.col("lang") == F.col("l")).where(u * F.col("chars") <= max_chars).select("lang", "text", (F.pmod(F.xxhash64(F.lit(10), "text"), F.lit(8)) == 0).alias("held"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in by_bytes(batches, 1, 4 << 20):
