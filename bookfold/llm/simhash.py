@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
-from math import comb
+from math import ceil, comb
 from random import Random
 
 import numpy as np
@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import by_bytes, connected_components, materialize, table, text_bytes
+from .edit_bands import _stars
 
 BITS = 64
 #: Shingles whose bits are summed at once.
@@ -195,17 +196,24 @@ WIDE = 64
 _SPREAD = np.arange(1, WIDE // 4, 2, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
 
 
-def wide_fingerprint(text: bytes | None, shingle: int = 5) -> bytes:
-    """512-bit SimHash of the set of a text's shingles; all zero for a text without words."""
+def shingle_set(text: bytes | None, shingle: int = 5) -> np.ndarray:
+    """The XXH64 hashes of a text's distinct shingles, ascending; none for a text without words."""
     words = (text or b"").lower().split()
     if not words:
-        return bytes(WIDE)
+        return np.empty(0, np.uint64)
     joined = b" ".join(words)
     digest = xxhash.xxh64_intdigest
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     last = ends[min(shingle, len(words)) - 1 :]
     starts = np.concatenate([[0], ends[: len(last) - 1] + 1])
-    hashes = np.fromiter({digest(joined[a:b], 42) for a, b in zip(starts.tolist(), last.tolist())}, np.uint64)
+    return np.sort(np.fromiter({digest(joined[a:b], 42) for a, b in zip(starts.tolist(), last.tolist())}, np.uint64))
+
+
+def wide_fingerprint(text: bytes | None, shingle: int = 5) -> bytes:
+    """512-bit SimHash of the set of a text's shingles; all zero for a text without words."""
+    hashes = shingle_set(text, shingle)
+    if not len(hashes):
+        return bytes(WIDE)
     counts = np.zeros(8 * WIDE, np.int64)
     for at in range(0, len(hashes), _STEP):
         h = hashes[at : at + _STEP, None] * _SPREAD
@@ -302,23 +310,157 @@ def wide_links(fps: DataFrame, similarity: float = 0.8, crowded: int = 4096) ->
     return out[0] if len(out) == 1 else out[0].unionByName(out[1])
 
 
+#: Documents that the order of shingles is taken from, and shingles that it holds at most.
+ORDER_DOCS, ORDER_SHINGLES = 8192, 200_000
+
+
+def prefix_of(hashes: np.ndarray, similarity: float, common: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """The first ``n - ceil(similarity * n) + 1`` of a set of ``n`` in the order of ``common`` (hashes, ascending, and
+    their counts; others count 0), then of hash. Two sets at ``similarity`` or more share one of these, whatever the order."""
+    n = len(hashes)
+    if not n:
+        return hashes
+    count = np.zeros(n, np.int64)
+    if len(common[0]):
+        at = np.minimum(np.searchsorted(common[0], hashes), len(common[0]) - 1)
+        count = np.where(common[0][at] == hashes, common[1][at], 0)
+    return hashes[np.argsort(count, kind="stable")[: n - ceil(similarity * n - 1e-9) + 1]]
+
+
+def _common(plain: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that several documents of a bounded sample have, and in how many. They only order the prefixes: the
+    links found are the same for any sample."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in by_bytes(batches, 0, 8 << 20):
+            h, n = np.unique(np.concatenate([shingle_set(t, shingle) for t in b.column(0).to_pylist()]), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n)], names=["h", "n"])
+
+    share = min(1.0, ORDER_DOCS / max(1, plain.count()))
+    sample = plain.where(F.pmod(F.xxhash64(F.lit(11), "id", "th"), F.lit(1 << 30)) < int(share * (1 << 30))).select("text")
+    found = sample.mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where("n > 2").orderBy(F.desc("n"), "h").limit(ORDER_SHINGLES).toArrow()
+    h, n = found.column("h").to_numpy().view(np.uint64), found.column("n").to_numpy()
+    by = np.argsort(h)
+    return h[by], n[by]
+
+
+def _set_judge(similarity: float):
+    """Whether the exact Jaccard similarity of each pair of sets is ``similarity`` or more."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            close = []
+            for x, y in zip(b.column("s_a"), b.column("s_b")):
+                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                close.append(both / (len(x) + len(y) - both) >= similarity)
+            yield pa.RecordBatch.from_arrays([b.column("rep"), b.column("node"), pa.array(close, pa.bool_())], names=["rep", "node", "close"])
+
+    return run
+
+
+def _set_across(similarity: float):
+    """Links between members of a bucket (or of two cells of one) that are in different components."""
+
+    def run(t: pa.Table) -> pa.Table:
+        node, label = t.column("node").to_numpy(), np.unique(t.column("component").to_numpy(), return_inverse=True)[1]
+        sets = [np.frombuffer(x, np.uint64) for x in t.column("set").to_pylist()]
+        n = np.fromiter(map(len, sets), np.int64, len(sets))
+        starts = np.cumsum(n) - n
+        values, flat = np.unique(np.concatenate(sets), return_inverse=True)
+        found = []
+        # members of the largest component are compared with the others only
+        for i in np.flatnonzero(label != np.bincount(label).argmax()).tolist():
+            own = np.zeros(len(values), np.int64)
+            own[flat[starts[i] : starts[i] + n[i]]] = 1
+            both = np.add.reduceat(own[flat], starts)
+            for j in np.flatnonzero(both / (n + n[i] - both) >= similarity).tolist():
+                if label[j] != label[i]:
+                    found.append((node[i], node[j]))
+                    label[label == label[j]] = label[i]
+        pairs = np.array(found, np.int64).reshape(-1, 2)
+        return pa.table([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+
+    return run
+
+
+def set_links(distinct: DataFrame, sets_of: Callable[[DataFrame], DataFrame], similarity: float, crowded: int) -> DataFrame:
+    """Edges ``a, b`` whose components are those of all pairs of sets at Jaccard ``similarity`` or more.
+
+    ``distinct`` has ``fp, n, prefix`` of each set, ``sets_of`` gives ``fp, set`` for a table of ``fp``. Sets that share
+    a hash of their prefixes meet, which every such pair does. Each bucket's members are held against its smallest node;
+    only buckets whose members this leaves in several components are compared further, each pair across components.
+    Buckets of over ``crowded`` members are cut into cells, and each pair of cells is compared in a task of its own.
+    """
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(0, b.num_rows, 1000):
+                s = b.slice(at, 1000)
+                own = [np.frombuffer(x, np.int64) for x in s.column(1).to_pylist()]
+                key = np.concatenate(own)
+                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(np.zeros(len(key), bool)), pa.array(np.repeat(s.column(0).to_numpy(), list(map(len, own))))], names=["key", "lower", "node"])
+
+    keys = distinct.select("fp", "prefix").mapInArrow(cut, "key long, lower boolean, node long")
+    stars = materialize(keys.repartition("key").sortWithinPartitions("key", "lower", "node").mapInArrow(_stars, "key long, rep long, node long"))
+    pairs = stars.select("rep", "node").distinct()
+    for k in ("rep", "node"):
+        pairs = pairs.join(distinct.select(F.col("fp").alias(k), F.col("n").alias(f"n_{k}")), k)
+    pairs = materialize(pairs.select("rep", "node", (F.least("n_rep", "n_node") >= similarity * F.greatest("n_rep", "n_node") - 1e-9).alias("open")))
+    sets = materialize(sets_of(stars.select(F.col("rep").alias("fp")).unionByName(stars.select(F.col("node").alias("fp"))).distinct()))
+    sides = [sets.select(F.col("fp").alias(k), F.col("set").alias(f"s_{s}")) for k, s in (("rep", "a"), ("node", "b"))]
+    judged = pairs.where("open").select("rep", "node").join(sides[0], "rep").join(sides[1], "node").mapInArrow(_set_judge(similarity), "rep long, node long, close boolean")
+    judged = materialize(judged.unionByName(pairs.where("not open").select("rep", "node", F.lit(False).alias("close"))))
+    parts = materialize(connected_components(judged.where("close").select(F.col("rep").alias("a"), F.col("node").alias("b"))))
+    of = parts.withColumnRenamed("node", "k").withColumnRenamed("component", "c")
+    apart = judged.where("not close").join(of.select(F.col("k").alias("node"), F.col("c").alias("cb")), "node", "left").join(of.select(F.col("k").alias("rep"), F.col("c").alias("ca")), "rep", "left")
+    apart = apart.where(F.coalesce("ca", "rep") != F.coalesce("cb", "node")).select("rep", "node")
+    # a bucket of two is settled; of one more, pairs besides those with the first are open, once for equal members
+    per = stars.groupBy("key").agg((F.count("*") + 1).alias("n"), F.min("rep").alias("first"), F.bit_xor(F.xxhash64("node")).alias("members")).where("n > 2")
+    mixed = materialize(stars.join(apart, ["rep", "node"], "left_semi").select("key").distinct().join(per, "key").dropDuplicates(["n", "first", "members"]).select("key", "n"))
+    edges = parts.select(F.col("node").alias("a"), F.col("component").alias("b"))
+    if mixed.isEmpty():
+        return edges
+    held = stars.join(mixed, "key")
+    members = held.select("key", "n", "node").unionByName(held.select("key", "n", F.col("rep").alias("node")).distinct()).join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    celled = members.withColumn("n", F.when(F.col("n") > crowded, F.ceil(2 * F.col("n") / crowded).cast("long")).otherwise(1)).withColumn("own", F.pmod("node", "n"))
+    celled = celled.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
+    celled = celled.select("key", (F.least("own", "other") * F.col("n") + F.greatest("own", "other")).alias("cell"), "node", "component").join(sets.withColumnRenamed("fp", "node"), "node")
+    more = celled.groupBy("key", "cell").applyInArrow(_set_across(similarity), "a long, b long")
+    return edges.unionByName(more)
+
+
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, crowded: int = 4096) -> DataFrame:
     """``docs`` with one row of each component: the one with the smallest id (nulls last), then text hash.
 
-    Links are wide fingerprints (512 bits of the set of a text's shingles) at a Hamming distance that sets of
-    ``similarity`` or more stay within; texts without words are equal. All columns of ``docs`` stay, whatever their
-    names; of repeated rows one stays; an empty table gives no rows.
+    Links are pairs of texts whose sets of shingle hashes have a Jaccard similarity of ``similarity`` or more, all of
+    them at any number of rows; texts without words are equal. All columns of ``docs`` stay, whatever their names; of
+    repeated rows one stays; an empty table gives no rows.
     """
+    plain = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.xxhash64(F.col(f"`{text_col}`")).alias("th"), text_bytes(f"`{text_col}`").alias("text"))
+    common = plain.sparkSession.sparkContext.broadcast(_common(plain, shingle))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in by_bytes(batches, 2, 8 << 20):
-            wide = [wide_fingerprint(t, shingle) for t in b.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(wide, pa.binary())], names=["id", "th", "wide"])
+            sets = [shingle_set(t, shingle) for t in b.column(2).to_pylist()]
+            fp = np.array([xxhash.xxh64_intdigest(s.tobytes(), 42) for s in sets], np.uint64).view(np.int64)
+            prefix = [prefix_of(s, similarity, common.value).tobytes() for s in sets]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fp), pa.array(list(map(len, sets)), pa.int64()), pa.array(prefix, pa.binary())], names=["id", "th", "fp", "n", "prefix"])
 
-    plain = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.xxhash64(F.col(f"`{text_col}`")).alias("th"), text_bytes(f"`{text_col}`").alias("text"))
-    own = materialize(plain.mapInArrow(run, "id long, th long, wide binary").withColumn("fp", F.xxhash64("wide")))
-    distinct = materialize(own.select("fp", "wide").distinct())
-    found = _components(own.drop("wide"), wide_links(distinct, similarity, crowded))
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in by_bytes(batches, 1, 8 << 20):
+            own = [shingle_set(t, shingle).tobytes() for t in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(own, pa.binary())], names=["fp", "set"])
+
+    own = materialize(plain.mapInArrow(run, "id long, th long, fp long, n long, prefix binary"))
+    distinct = materialize(own.where("n > 0").select("fp", "n", "prefix").dropDuplicates(["fp"]))
+
+    def sets_of(wanted: DataFrame) -> DataFrame:
+        texts = materialize(own.join(wanted, "fp", "left_semi").groupBy("fp").agg(F.min("th").alias("th")))
+        few = F.broadcast(texts) if texts.count() <= 1 << 20 else texts
+        return plain.select("th", "text").join(few, "th").select("fp", "text").mapInArrow(sets, "fp long, set binary").dropDuplicates(["fp"])
+
+    found = _components(own.select("id", "th", "fp"), set_links(distinct, sets_of, similarity, crowded))
     kept = found.where(F.col("id").eqNullSafe(F.col("low")) & (F.col("th") == F.col("low_th"))).select(F.col("id").alias("__k"), F.col("th").alias("__t")).distinct()
     keyed = docs.withColumn("__th", F.xxhash64(F.col(f"`{text_col}`"))).withColumn("__id", F.col(f"`{id_col}`").cast("long"))
     here = keyed.join(kept, F.col("__id").eqNullSafe(F.col("__k")) & (F.col("__th") == F.col("__t")))

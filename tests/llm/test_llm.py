@@ -56,6 +56,25 @@ def test_near_dedup_wide_fingerprints(spark):
     assert set(low.values()) == set(range(40))
 
 
+def _jaccard(a: str, b: str) -> float:
+    x, y = (set(simhash.shingle_set(t.encode()).tolist()) for t in (a, b))
+    return len(x & y) / len(x | y)
+
+
+def test_near_dedup_keeps_pairs_below_the_similarity(spark):
+    rnd = random.Random(8)
+    rows = []
+    for i in range(30):
+        w = [f"w{rnd.randrange(10**6)}" for _ in range(200)]
+        rows.append((i, " ".join(w)))
+        n = 178 - i % 10
+        rows.append((100 + i, " ".join([*w[:n], *[f"x{rnd.randrange(10**6)}" for _ in range(200 - n)]])))
+    assert all(0.7 < _jaccard(a[1], b[1]) < 0.8 for a, b in zip(rows[::2], rows[1::2]))
+    docs = spark.createDataFrame(rows, SCHEMA)
+    for crowded in (4096, 1):
+        assert simhash.near_dedup(docs, crowded=crowded).count() == len(rows)
+
+
 def test_bpe_stitch_and_digests(spark, odd):
     import public_tokenizers as P
 
