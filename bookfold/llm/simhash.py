@@ -10,7 +10,7 @@ from random import Random
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import by_bytes, connected_components, materialize, table, text_bytes
@@ -354,7 +354,7 @@ def _set_judge(similarity: float):
                 x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 close.append(both / (len(x) + len(y) - both) >= similarity)
-            yield pa.RecordBatch.from_arrays([b.column("rep"), b.column("node"), pa.array(close, pa.bool_())], names=["rep", "node", "close"])
+            yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b"), pa.array(close, pa.bool_())], names=["a", "b", "close"])
 
     return run
 
@@ -384,13 +384,41 @@ def _set_across(similarity: float):
     return run
 
 
+def _shared(similarity: float) -> Column:
+    """How many hashes of their prefixes sets of ``n_a`` and ``n_b`` at ``similarity`` share at least: the hashes that they
+    share must be so many, and beyond the prefix that ends first there are only the rest of its set. None if the sizes differ too much."""
+    both = F.ceil(similarity / (1 + similarity) * (F.col("n_a") + F.col("n_b")) - 1e-9)
+    rest = F.ceil(similarity * F.greatest("n_a", "n_b") - 1e-9) - 1
+    return F.when(F.least("n_a", "n_b") >= similarity * F.greatest("n_a", "n_b") - 1e-9, F.greatest(both - rest, F.lit(1)))
+
+
+def _small_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs ``a, b, weight`` of a bucket's members that are in different components."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, 256):
+            a, b, weight = [], [], []
+            for nodes, parts, w in zip(*[c.to_pylist() for c in batch.slice(at, 256).columns]):
+                own = sorted(zip(nodes, parts))
+                for (x, c), (y, d) in combinations(own, 2):
+                    if c != d:
+                        a.append(x)
+                        b.append(y)
+                        weight.append(w)
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (a, b, weight)], names=["a", "b", "weight"])
+
+
+#: Members of the buckets whose pairs are counted; larger ones are compared in place.
+SMALL = 64
+
+
 def set_links(distinct: DataFrame, sets_of: Callable[[DataFrame], DataFrame], similarity: float, crowded: int) -> DataFrame:
     """Edges ``a, b`` whose components are those of all pairs of sets at Jaccard ``similarity`` or more.
 
     ``distinct`` has ``fp, n, prefix`` of each set, ``sets_of`` gives ``fp, set`` for a table of ``fp``. Sets that share
     a hash of their prefixes meet, which every such pair does. Each bucket's members are held against its smallest node;
-    only buckets whose members this leaves in several components are compared further, each pair across components.
-    Buckets of over ``crowded`` members are cut into cells, and each pair of cells is compared in a task of its own.
+    then the pairs of buckets whose members this leaves in several components are open. Pairs of buckets of up to
+    ``SMALL`` are judged if they share enough hashes of their prefixes, larger buckets are compared in place, those of
+    over ``crowded`` members by cells, each pair of cells in a task of its own.
     """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -403,31 +431,45 @@ def set_links(distinct: DataFrame, sets_of: Callable[[DataFrame], DataFrame], si
 
     keys = distinct.select("fp", "prefix").mapInArrow(cut, "key long, lower boolean, node long")
     stars = materialize(keys.repartition("key").sortWithinPartitions("key", "lower", "node").mapInArrow(_stars, "key long, rep long, node long"))
-    pairs = stars.select("rep", "node").distinct()
-    for k in ("rep", "node"):
-        pairs = pairs.join(distinct.select(F.col("fp").alias(k), F.col("n").alias(f"n_{k}")), k)
-    pairs = materialize(pairs.select("rep", "node", (F.least("n_rep", "n_node") >= similarity * F.greatest("n_rep", "n_node") - 1e-9).alias("open")))
-    sets = materialize(sets_of(stars.select(F.col("rep").alias("fp")).unionByName(stars.select(F.col("node").alias("fp"))).distinct()))
-    sides = [sets.select(F.col("fp").alias(k), F.col("set").alias(f"s_{s}")) for k, s in (("rep", "a"), ("node", "b"))]
-    judged = pairs.where("open").select("rep", "node").join(sides[0], "rep").join(sides[1], "node").mapInArrow(_set_judge(similarity), "rep long, node long, close boolean")
-    judged = materialize(judged.unionByName(pairs.where("not open").select("rep", "node", F.lit(False).alias("close"))))
+
+    def judge(pairs: DataFrame) -> DataFrame:
+        """``a, b, close`` of pairs ``a, b, n``; false without a look if they share too few hashes (``n``) of their prefixes."""
+        for k in ("a", "b"):
+            pairs = pairs.join(distinct.select(F.col("fp").alias(k), F.col("n").alias(f"n_{k}")), k)
+        pairs = materialize(pairs.select("a", "b", F.coalesce(F.col("n") >= _shared(similarity), F.lit(False)).alias("open")))
+        open_ = pairs.where("open").select("a", "b")
+        sets = materialize(sets_of(open_.select(F.explode(F.array("a", "b")).alias("fp")).distinct()))
+        for k in ("a", "b"):
+            open_ = open_.join(sets.select(F.col("fp").alias(k), F.col("set").alias(f"s_{k}")), k)
+        done = open_.select("a", "b", "s_a", "s_b").mapInArrow(_set_judge(similarity), "a long, b long, close boolean")
+        return materialize(done.unionByName(pairs.where("not open").select("a", "b", F.lit(False).alias("close"))))
+
+    judged = judge(stars.groupBy(F.col("rep").alias("a"), F.col("node").alias("b")).agg(F.count("*").alias("n"))).select(F.col("a").alias("rep"), F.col("b").alias("node"), "close")
     parts = materialize(connected_components(judged.where("close").select(F.col("rep").alias("a"), F.col("node").alias("b"))))
     of = parts.withColumnRenamed("node", "k").withColumnRenamed("component", "c")
     apart = judged.where("not close").join(of.select(F.col("k").alias("node"), F.col("c").alias("cb")), "node", "left").join(of.select(F.col("k").alias("rep"), F.col("c").alias("ca")), "rep", "left")
     apart = apart.where(F.coalesce("ca", "rep") != F.coalesce("cb", "node")).select("rep", "node")
-    # a bucket of two is settled; of one more, pairs besides those with the first are open, once for equal members
-    per = stars.groupBy("key").agg((F.count("*") + 1).alias("n"), F.min("rep").alias("first"), F.bit_xor(F.xxhash64("node")).alias("members")).where("n > 2")
-    mixed = materialize(stars.join(apart, ["rep", "node"], "left_semi").select("key").distinct().join(per, "key").dropDuplicates(["n", "first", "members"]).select("key", "n"))
+    # buckets of the same members are taken once, with their number
+    per = stars.groupBy("key").agg((F.count("*") + 1).alias("n"), F.min("rep").alias("first"), F.bit_xor(F.xxhash64("node")).alias("members"))
+    mixed = stars.join(apart, ["rep", "node"], "left_semi").select("key").distinct().join(per, "key").groupBy("n", "first", "members").agg(F.min("key").alias("key"), F.count("*").alias("weight"))
+    mixed = materialize(mixed.select("key", "n", "weight"))
     edges = parts.select(F.col("node").alias("a"), F.col("component").alias("b"))
     if mixed.isEmpty():
         return edges
     held = stars.join(mixed, "key")
-    members = held.select("key", "n", "node").unionByName(held.select("key", "n", F.col("rep").alias("node")).distinct()).join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    celled = members.withColumn("n", F.when(F.col("n") > crowded, F.ceil(2 * F.col("n") / crowded).cast("long")).otherwise(1)).withColumn("own", F.pmod("node", "n"))
+    members = held.select("key", "n", "weight", "node").unionByName(held.select("key", "n", "weight", F.col("rep").alias("node")).distinct()).join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    members = materialize(members)
+    small = members.where(F.col("n") <= SMALL).groupBy("key").agg(F.collect_list("node").alias("nodes"), F.collect_list("component").alias("parts"), F.first("weight").alias("weight")).select("nodes", "parts", "weight")
+    counted = small.mapInArrow(_small_pairs, "a long, b long, weight long").groupBy("a", "b").agg(F.sum("weight").alias("n"))
+    edges = edges.unionByName(judge(counted).where("close").select("a", "b"))
+    large = members.where(F.col("n") > SMALL)
+    if large.isEmpty():
+        return edges
+    celled = large.withColumn("n", F.when(F.col("n") > crowded, F.ceil(2 * F.col("n") / crowded).cast("long")).otherwise(1)).withColumn("own", F.pmod("node", "n"))
     celled = celled.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
+    sets = materialize(sets_of(large.select(F.col("node").alias("fp")).distinct()))
     celled = celled.select("key", (F.least("own", "other") * F.col("n") + F.greatest("own", "other")).alias("cell"), "node", "component").join(sets.withColumnRenamed("fp", "node"), "node")
-    more = celled.groupBy("key", "cell").applyInArrow(_set_across(similarity), "a long, b long")
-    return edges.unionByName(more)
+    return edges.unionByName(celled.groupBy("key", "cell").applyInArrow(_set_across(similarity), "a long, b long"))
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, crowded: int = 4096) -> DataFrame:
