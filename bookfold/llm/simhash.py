@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from itertools import combinations
 from math import ceil, comb
-from random import Random
 
 import numpy as np
 import pyarrow as pa
@@ -191,7 +190,7 @@ def _components(own: DataFrame, edges: DataFrame | None = None, radius: int = 4,
     return own.join(low, "fp")
 
 
-#: Bytes of a wide fingerprint; each byte is a pigeonhole block.
+#: Bytes of a wide fingerprint.
 WIDE = 64
 _SPREAD = np.arange(1, WIDE // 4, 2, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
 
@@ -230,86 +229,6 @@ def radius_for(similarity: float, spare: float = 1.5) -> int:
     return int(8 * WIDE * p + spare * (8 * WIDE * p * (1 - p)) ** 0.5)
 
 
-def wide_masks(n: int, similarity: float, missed: float = 0.01) -> list[tuple[int, ...]]:
-    """Sets of blocks to join ``n`` wide fingerprints on: two blocks up to 2 ** 20 of them, three up to 2 ** 27, then
-    four, so that unrelated ones seldom meet, and so many sets that a pair at ``similarity`` is missed by all in a share
-    of about ``missed``."""
-    blocks = 2 if n <= 1 << 20 else 3 if n <= 1 << 27 else 4
-    agree = (1 - float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)) ** (8 * blocks)
-    every = list(combinations(range(WIDE), blocks))
-    return Random(42).sample(every, min(len(every), int(np.log(missed) / np.log(1 - agree)) + 1))
-
-
-def _wide_forest(radius: int):
-    """Spanning forests of the close pairs of each bucket; rows come sorted by ``mask, key, cell``."""
-
-    def links(where: np.ndarray, fps: np.ndarray, nodes: np.ndarray) -> pa.RecordBatch:
-        label, joined = np.arange(len(fps)), []
-        live, gap = np.arange(len(fps)), 1
-        while len(live):
-            live = live[live + gap < len(fps)]
-            live = live[where[live] == where[live + gap]]
-            open_ = live[label[live] != label[live + gap]]
-            close = open_[np.bitwise_count(fps[open_] ^ fps[open_ + gap]).sum(axis=1) <= radius] if len(open_) else open_
-            for i in close.tolist():
-                a, b = i, i + gap
-                while label[a] != a:
-                    a = label[a]
-                while label[b] != b:
-                    b = label[b]
-                if a != b:
-                    label[max(a, b)] = min(a, b)
-                    joined.append((i, i + gap))
-            if len(close):
-                while (label != label[label]).any():
-                    label = label[label]
-            gap += 1
-        pairs = np.array(joined, np.int64).reshape(-1, 2)
-        return pa.RecordBatch.from_arrays([pa.array(nodes[pairs[:, 0]]), pa.array(nodes[pairs[:, 1]])], names=["a", "b"])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list | None = None
-        for b in batches:
-            own = [b.column(0).to_numpy(), b.column(1).to_numpy(), b.column(2).to_numpy(), np.frombuffer(b"".join(b.column(3).to_pylist()), np.uint64).reshape(-1, WIDE // 8)]
-            held = own if held is None else [np.concatenate(x) for x in zip(held, own)]
-            new = np.flatnonzero((np.diff(held[0]) != 0) | (np.diff(held[1]) != 0)) + 1
-            if len(new) and len(held[0]) >= 1 << 15:
-                done, held = [h[: new[-1]] for h in held], [h[new[-1] :] for h in held]
-                yield links(numbered(done), done[3], done[2])
-        if held is not None and len(held[0]):
-            yield links(numbered(held), held[3], held[2])
-
-    def numbered(held: list[np.ndarray]) -> np.ndarray:
-        return np.concatenate([[0], np.cumsum((np.diff(held[0]) != 0) | (np.diff(held[1]) != 0))])
-
-    return run
-
-
-def wide_links(fps: DataFrame, similarity: float = 0.8, crowded: int = 4096) -> DataFrame:
-    """Edges ``a, b`` between nodes (columns ``fp``, ``wide``) whose wide fingerprints are close.
-
-    Joined on sets of blocks and verified by Hamming distance. A bucket of more than ``crowded`` members is cut into
-    cells by hash, and each pair of cells is compared in a task of its own: all pairs of the bucket are still judged,
-    and no task holds more than two cells.
-    """
-    masks = wide_masks(fps.count(), similarity)
-    key = [F.struct(F.lit(i).cast("long").alias("mask"), F.conv(F.hex(F.concat(*[F.substring("wide", k + 1, 1) for k in m])), 16, 10).cast("long").alias("key")) for i, m in enumerate(masks)]
-    keys = fps.select("fp", "wide", F.explode(F.array(*key)).alias("k")).select("k.mask", "k.key", "fp", "wide")
-    full = materialize(keys.groupBy("mask", "key").agg(F.count("*").alias("n")).where(F.col("n") > crowded))
-    near = keys
-    if not full.isEmpty():
-        near = keys.join(full, ["mask", "key"], "left_anti")
-    sides = [near.withColumn("cell", F.lit(0).cast("long"))]
-    if near is not keys:
-        cells = F.ceil(2 * F.col("n") / crowded).cast("long")
-        dense = keys.join(full, ["mask", "key"]).withColumn("n", cells).withColumn("own", F.pmod("fp", "n"))
-        other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("other")
-        dense = dense.select("mask", "key", "fp", "wide", "n", "own", other)
-        sides.append(dense.select("mask", "key", "fp", "wide", (F.least("own", "other") * F.col("n") + F.greatest("own", "other") + 1).alias("cell")))
-    out = [s.select(F.xxhash64("mask", "cell").alias("mask"), "key", "fp", "wide").repartition("mask", "key").sortWithinPartitions("mask", "key").mapInArrow(_wide_forest(radius_for(similarity)), "a long, b long") for s in sides]
-    return out[0] if len(out) == 1 else out[0].unionByName(out[1])
-
-
 #: Documents that the order of shingles is taken from, and shingles that it holds at most.
 ORDER_DOCS, ORDER_SHINGLES = 8192, 200_000
 

@@ -75,6 +75,20 @@ def test_near_dedup_keeps_pairs_below_the_similarity(spark):
         assert simhash.near_dedup(docs, crowded=crowded).count() == len(rows)
 
 
+def test_near_dedup_finds_every_pair_at_the_similarity(spark, monkeypatch):
+    rnd = random.Random(9)
+    rows = []
+    for i in range(60):
+        w = [f"w{rnd.randrange(10**6)}" for _ in range(204)]
+        # 178 of 222 shingles are shared: 0.802
+        rows += [(i, " ".join(w)), (100 + i, " ".join([*w[:182], *[f"x{rnd.randrange(10**6)}" for _ in range(22)]]))]
+    assert all(0.8 <= _jaccard(a[1], b[1]) < 0.81 for a, b in zip(rows[::2], rows[1::2]))
+    docs = spark.createDataFrame(rows, SCHEMA)
+    for small, crowded in ((64, 4096), (1, 1)):
+        monkeypatch.setattr(simhash, "SMALL", small)
+        assert sorted(r.doc_id for r in simhash.near_dedup(docs, crowded=crowded).collect()) == list(range(60))
+
+
 def test_bpe_stitch_and_digests(spark, odd):
     import public_tokenizers as P
 
