@@ -89,6 +89,17 @@ def test_near_dedup_finds_every_pair_at_the_similarity(spark, monkeypatch):
         assert sorted(r.doc_id for r in simhash.near_dedup(docs, crowded=crowded).collect()) == list(range(60))
 
 
+def test_near_dedup_finds_short_pairs(spark):
+    rnd = random.Random(10)
+    rows = []
+    for i in range(40):
+        w = [f"w{rnd.randrange(10**6)}" for _ in range(8 + i % 13)]
+        # 4 against 5 shingles at 8 words
+        rows += [(i, " ".join(w)), (100 + i, " ".join([*w, "more"]))]
+    assert all(_jaccard(a[1], b[1]) >= 0.8 for a, b in zip(rows[::2], rows[1::2]))
+    assert sorted(r.doc_id for r in simhash.near_dedup(spark.createDataFrame(rows, SCHEMA)).collect()) == list(range(40))
+
+
 def test_bpe_stitch_and_digests(spark, odd):
     import public_tokenizers as P
 
