@@ -18,9 +18,13 @@ from .common import table
 ROUNDS = 8
 #: Days that dates are permuted among: 1900-01-01 to 2099-12-31.
 FIRST_DAY, DAYS = "1900-01-01", 73049
+#: Other dates of four-digit years are permuted among themselves: days from 0001-01-01 to 9999-12-31.
+EARLIEST_DAY, ALL_DAYS = "0001-01-01", 3652059
+#: Hex digits that are permuted at once; longer secrets are cut into pieces.
+PIECE = 128
 
 EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"
-SECRET = r"(?<![A-Za-z0-9])[0-9a-f]{32,128}(?![A-Za-z0-9])"
+SECRET = r"(?<![A-Za-z0-9])[0-9a-f]{32,}+(?![A-Za-z0-9])"
 ADDRESS = r"(?<![\d.])(?:\d{1,3}\.){3}\d{1,3}(?!\.?\d)"
 DATE = r"(?<!\d)\d{4}-\d{2}-\d{2}(?!\d)"
 SOCIAL = r"(?<!\d)\d{3}-\d{2}-\d{4}(?!\d)"
@@ -121,21 +125,35 @@ def _address(m: Column, key: str) -> Column:
     return let(octets, lambda o: F.when(F.array_max(o) < 256, F.array_join(feistel(o, F.transform(o, lambda _: F.lit(256)), key, "address").cast("array<string>"), ".")))
 
 
-def _date(m: Column, key: str) -> Column:
-    """Dates walk the permutation of five digits until they meet a day of the range again."""
+def _secret(m: Column, key: str) -> Column:
+    at = F.sequence(F.lit(0), F.floor((F.length(m) - 1) / PIECE).cast("int"))
+    return F.array_join(F.transform(at, lambda i: _permuted(F.substring(m, i * PIECE + 1, F.lit(PIECE)), key, "secret", "0123456789abcdef")), "")
+
+
+def _walked(start_day: Column, places: int, within: Callable[[Column], Column], first: str, key: str, kind: str) -> Column:
+    """The date that walking the permutation of ``places`` digits from a day after ``first`` meets first ``within`` the range."""
 
     def step(day: Column) -> Column:
-        digits = F.transform(F.array(*[F.lit(10**k) for k in (4, 3, 2, 1, 0)]), lambda p: (F.floor(day / p) % 10).cast("int"))
-        return F.aggregate(let(digits, lambda d: feistel(d, _tens(d), key, "date")), F.lit(0), lambda a, d: a * 10 + d)
+        digits = F.transform(F.array(*[F.lit(10**k) for k in reversed(range(places))]), lambda p: (F.floor(day / p) % 10).cast("int"))
+        return F.aggregate(let(digits, lambda d: feistel(d, _tens(d), key, kind)), F.lit(0), lambda a, d: a * 10 + d)
 
-    day = F.datediff(F.try_to_timestamp(m, F.lit("yyyy-MM-dd")).cast("date"), F.lit(FIRST_DAY).cast("date"))
-    start = F.struct(day.alias("day"), F.lit(False).alias("done"))
+    start = F.struct(start_day.alias("day"), F.lit(False).alias("done"))
 
     def walk(s: Column, _: Column) -> Column:
-        return F.when(s["done"], s).otherwise(let(step(s["day"]), lambda d: F.struct(d.alias("day"), (d < DAYS).alias("done"))))
+        return F.when(s["done"], s).otherwise(let(step(s["day"]), lambda d: F.struct(d.alias("day"), within(d).alias("done"))))
 
     found = F.aggregate(F.array_repeat(F.lit(0), 64), start, walk, lambda s: F.when(s["done"], s["day"]))
-    return F.when((day >= 0) & (day < DAYS), F.date_format(F.date_add(F.lit(FIRST_DAY).cast("date"), found.cast("int")), "yyyy-MM-dd"))
+    return F.date_format(F.date_add(F.lit(first).cast("date"), found.cast("int")), "yyyy-MM-dd")
+
+
+def _date(m: Column, key: str) -> Column:
+    """Dates walk the permutation of five digits (seven, outside 1900-2099) until they meet a day of their range again."""
+    date = F.try_to_timestamp(m, F.lit("yyyy-MM-dd")).cast("date")
+    day = F.datediff(date, F.lit(FIRST_DAY).cast("date"))
+    far = F.datediff(date, F.lit(EARLIEST_DAY).cast("date"))
+    skip = 693595  # days from EARLIEST_DAY to FIRST_DAY
+    other = lambda d: (d < ALL_DAYS) & ~((d >= skip) & (d < skip + DAYS))
+    return F.when((day >= 0) & (day < DAYS), _walked(day, 5, lambda d: d < DAYS, FIRST_DAY, key, "date")).when(other(far), _walked(far, 7, other, EARLIEST_DAY, key, "far date"))
 
 
 def _email(m: Column, key: str) -> Column:
@@ -153,7 +171,7 @@ def pseudonym(found: Column, key: str) -> Column:
     """The pseudonym of one match of ``ANY``; what isn't valid stays."""
     new = (
         F.when(found.contains("@"), _email(found, key))
-        .when(found.rlike("^[0-9a-f]{32,}$"), _permuted(found, key, "secret", "0123456789abcdef"))
+        .when(found.rlike("^[0-9a-f]{32,}$"), _secret(found, key))
         .when(found.rlike(r"^[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+$"), _address(found, key))
         .when(found.rlike("^[0-9]{4}-[0-9]{2}-[0-9]{2}$"), _date(found, key))
         .when(found.rlike("^[0-9]{3}-[0-9]{2}-[0-9]{4}$"), let(_numbers(found), lambda d: _refilled(found, feistel(d, _tens(d), key, "social"))))

@@ -221,3 +221,14 @@ def test_pii_is_a_permutation_within_formats(spark):
     assert [got[i] == t for i, t in rows] == [False, False, True, False, False, True, False, True, True, True]
     assert got[99] == got[1] and len(got[1]) == 16 and got[6][4] == "-"
     assert zlib.crc32(b"") == 0
+
+
+def test_pii_long_secrets_and_far_dates(spark):
+    rnd = random.Random(12)
+    secret = "".join(rnd.choice("0123456789abcdef") for _ in range(300))
+    rows = [(0, secret), (1, "1815-06-18"), (2, "2150-01-01"), (3, "0001-01-01"), (4, "9999-12-31"), (5, "1815-02-30")]
+    got = {r.doc_id: r.text for r in pii.pseudonymise(spark.createDataFrame(rows, SCHEMA), "k").collect()}
+    assert len(got[0]) == 300 and set(got[0]) <= set("0123456789abcdef")
+    assert all(got[0][at : at + 32] != secret[at : at + 32] for at in range(0, 300, 32))
+    assert len({got[i] for i in range(1, 5)}) == 4 and got[5] == "1815-02-30"
+    assert all(got[i] != t and len(got[i]) == 10 and not "1900" <= got[i][:4] <= "2099" for i, t in rows[1:5])
