@@ -1,9 +1,12 @@
 """Near pairs of edit-embedding fingerprints: bit-sampled banding, verification by the whole fingerprint, components.
 
 A band is a few digits, sampled by the steps that they stand for. Each band's digits are a key; fingerprints that
-share a key meet. First each bucket's members are held against its smallest node, which settles groups of near
+share a key meet. First each bucket's members are held against one node of theirs, which settles groups of near
 copies in one comparison a member; only buckets whose members this leaves in several components are compared further,
-across components."""
+across components. Short fingerprints meet on pigeonhole blocks instead, which every close pair shares.
+
+The whole fingerprint is the verification: the embedding turns edit distance into Hamming distance, and likeness is
+that distance over all sampled steps. The texts themselves are not compared again."""
 
 from __future__ import annotations
 
@@ -16,32 +19,50 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, materialize
-from .edit_embedding import CHANCE, FULL, PER_OCTAVE, SEED, _SAMPLES, _WEIGHTS, _mix
+from .common import Scratch, connected_components, join_hot
+from .edit_embedding import CHANCE, FULL, PER_OCTAVE, SEED, _WEIGHTS, _mix
 
-#: Fingerprints of fewer digits have no bands: their texts link only if equal.
+#: Fingerprints of fewer digits meet on blocks of all their digits.
 LEAST = 1 << FULL
 #: Digits a level of prefixes.
 STEP = PER_OCTAVE // 4
+#: No band lies within this share of the steps at the start or at the end: so a passage that many texts begin with fills no bucket.
+SPREAD = 0.6
+#: Rows that a map task groups at once, and members from which it sends on only one of a bucket without a node of the key's own level.
+_HELD, _MANY = 1 << 20, 32
 _REACH = np.cumsum(_WEIGHTS)
 _FACTORS = _mix(np.arange(64)) | np.uint64(1)
 
 
-def band_shape(n: int, likeness: float, missed: float = 0.01) -> tuple[int, int]:
-    """``bands, width`` for ``n`` distinct fingerprints: so wide that unrelated ones seldom meet (one in fifty in a
-    band), and so many that a pair at ``likeness`` whose differences are spread evenly is missed in a share of
-    ``missed``."""
-    width = max(6, ceil(log10(50 * max(n, 2))))
-    agree = (likeness + (1 - likeness) * CHANCE) ** width
+def share_alike(likeness: float) -> float:
+    """The share of steps in which fingerprints of a likeness agree."""
+    return likeness + (1 - likeness) * CHANCE
+
+
+def band_shape(n: int, likeness: float, missed: float = 0.02) -> tuple[int, int]:
+    """``bands, width`` for ``n`` distinct fingerprints: so wide that unrelated ones seldom meet (one in 25 in a
+    band), and so many that a pair at ``likeness`` is missed in a share of ``missed`` where its differences lie worst.
+
+    Worst is that all differences are within the digits that bands are drawn from (a level leaves out up to a fifth of
+    the steps) and at one of its ends, where ``SPREAD`` forbids some of the bands that would agree."""
+    width = max(6, ceil(log10(25 * max(n, 2))))
+    covered = min(float(_REACH[LEAST + k * STEP - 1] / _REACH[LEAST + (k + 1) * STEP - 2]) for k in range(64))
+    agree = ((1 - (1 - share_alike(likeness)) / covered) ** width - SPREAD**width) / (1 - 2 * SPREAD**width + (2 * SPREAD - 1) ** width)
     return ceil(log(missed) / log(1 - agree)), width
 
 
 @lru_cache(maxsize=None)
 def _positions(level: int, bands: int, width: int) -> np.ndarray:
     """Digits of each band among the first ``LEAST + level * STEP``, drawn by weight without repeats."""
+    n = LEAST + level * STEP
     rnd = np.random.default_rng((SEED, level))
-    draw = np.log(_WEIGHTS[: LEAST + level * STEP]) + rnd.gumbel(size=(bands, LEAST + level * STEP))
-    return np.argsort(-draw, axis=1)[:, :width]
+    middle = (_REACH[:n] - _WEIGHTS[:n] / 2) / _REACH[n - 1]
+    picked: list[np.ndarray] = []
+    while len(picked) < bands:
+        some = np.argsort(-(np.log(_WEIGHTS[:n]) + rnd.gumbel(size=n)))[:width]
+        if middle[some].max() > SPREAD and middle[some].min() < 1 - SPREAD:
+            picked.append(some)
+    return np.stack(picked)
 
 
 def digits(packed: bytes, n: int) -> np.ndarray:
@@ -50,17 +71,37 @@ def digits(packed: bytes, n: int) -> np.ndarray:
     return np.stack([both >> 4, both & 15], axis=1).ravel()[:n]
 
 
-def band_keys(own: np.ndarray, bands: int, width: int, likeness: float) -> np.ndarray:
-    """Keys of a fingerprint for its level and for those below that a partner of ``likeness`` may have: such a
-    partner's walk has at least that share of its steps."""
-    level = (len(own) - LEAST) // STEP
-    least = likeness * _REACH[len(own) - 1]
-    out = []
+def _block_keys(own: np.ndarray, likeness: float) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of a short fingerprint, and whether they are for a shorter partner.
+
+    Up to 2 * LEAST digits every step counts once. A pair whose shorter one has m digits differs in at most
+    floor((1 - share) * n) of the longer one's n <= m / share, so with one block more than that cut from the first m
+    digits, some block is the same: all such pairs meet under the blocks of m."""
+    share = share_alike(likeness)
+    keys, lower = [np.empty(0, np.uint64)], [np.empty(0, bool)]
+    for m in range(min(len(own), LEAST - 1), max(0, ceil(share * len(own) - 1e-9) - 1), -1):
+        most = int((1 - share) * int(m / share + 1e-9) + 1e-9)
+        cuts = np.arange(most + 1) * m // (most + 1)
+        picked = (own[:m].astype(np.uint64) + np.uint64(1)) * _FACTORS[:m]
+        keys.append(_mix(np.add.reduceat(picked, cuts) + _mix(np.arange(most + 1) + (1 << 40) + (m << 8))))
+        lower.append(np.full(most + 1, m < len(own)))
+    return np.concatenate(keys), np.concatenate(lower)
+
+
+def band_keys(own: np.ndarray, bands: int, width: int, likeness: float) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of a fingerprint for its level and for those below that a partner of ``likeness`` may have, and whether they
+    are for a lower level: such a partner's walk has at least the share of its steps in which they must agree."""
+    out, lower = [], []
+    if len(own) * share_alike(likeness) < LEAST:
+        out, lower = [[x] for x in _block_keys(own, likeness)]
+    top = level = (len(own) - LEAST) // STEP
+    least = share_alike(likeness) * _REACH[len(own) - 1]
     while level >= 0 and _REACH[min(len(_REACH), LEAST + (level + 1) * STEP) - 1] >= least:
         picked = own[_positions(level, bands, width)].astype(np.uint64) + np.uint64(1)
         out.append(_mix((picked * _FACTORS[:width]).sum(axis=1) + _mix(np.arange(bands) + (level << 20))))
+        lower.append(np.full(bands, level < top))
         level -= 1
-    return np.concatenate(out)
+    return np.concatenate(out), np.concatenate(lower)
 
 
 def matrix(packed: list[bytes], sizes: list[int]) -> np.ndarray:
@@ -77,24 +118,58 @@ def alike(a: np.ndarray, b: np.ndarray, n: np.ndarray) -> np.ndarray:
     return (agree - CHANCE) / (1 - CHANCE)
 
 
+_STAR = "key long, node long, rep long"
+
+
+def local_stars(key: np.ndarray, lower: np.ndarray, node: np.ndarray) -> pa.RecordBatch:
+    """A map task's rows ``key, node, rep``: of each bucket one goes on (without ``rep``), the others become star rows.
+
+    The lowest bit of a key is set for nodes of which it isn't the own level, so these come last in their bucket."""
+    full = (key & ~1) | lower
+    order = np.lexsort((node, full))
+    full, node = full[order], node[order]
+    bucket = full >> 1
+    at = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
+    sizes = np.diff(np.append(at, len(node)))
+    rep = np.repeat(node[at], sizes)
+    closed = (rep != node) & np.repeat((full[at] & 1 == 0) | (sizes > _MANY), sizes)
+    use = np.concatenate([[True], (bucket[1:] != bucket[:-1]) | (node[1:] != node[:-1])])
+    return pa.RecordBatch.from_arrays([pa.array(full[use]), pa.array(node[use]), pa.array(rep[use], mask=~closed[use])], names=["key", "node", "rep"])
+
+
 def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """``key, rep, node`` for all but the first node of each key; rows come sorted, nodes of the key's own level first.
+    """``key, rep, node`` of all star rows; of the others for all but the first node of each key.
 
-    A key without such a node gives none: its pairs meet at a level of their own."""
+    Others come sorted by ``key, node``. A key without a node of its own level gives none: its pairs meet at a level of
+    their own."""
     last: tuple[int, int, bool] | None = None
+    names = ["key", "rep", "node"]
     for b in batches:
+        done = b.filter(b.column("rep").is_valid())
+        if done.num_rows:
+            yield pa.RecordBatch.from_arrays([pa.array(done.column("key").to_numpy() >> 1), done.column("rep"), done.column("node")], names=names)
+        b = b.filter(b.column("rep").is_null())
         if not b.num_rows:
             continue
-        key, lower, node = b.column(0).to_numpy(), b.column(1).to_numpy(zero_copy_only=False), b.column(2).to_numpy()
+        full, node = b.column("key").to_numpy(), b.column("node").to_numpy()
+        key = full >> 1
         at = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-        reps, only_lower = node[at].copy(), lower[at].copy()
+        reps, only_lower = node[at].copy(), full[at] & 1 == 1
         if last and last[0] == key[0]:
             reps[0], only_lower[0] = last[1:]
         sizes = np.diff(np.append(at, len(key)))
         rep = np.repeat(reps, sizes)
         last = (int(key[-1]), int(reps[-1]), bool(only_lower[-1]))
         other = (rep != node) & ~np.repeat(only_lower, sizes)
-        yield pa.RecordBatch.from_arrays([pa.array(key[other]), pa.array(rep[other]), pa.array(node[other])], names=["key", "rep", "node"])
+        yield pa.RecordBatch.from_arrays([pa.array(key[other]), pa.array(rep[other]), pa.array(node[other])], names=names)
+
+
+def stars(keys: DataFrame) -> DataFrame:
+    """``key, rep, node``: the members of each bucket of ``keys`` (rows of ``local_stars``) as a tree of comparisons.
+
+    A bucket that fills map tasks reaches its reduce task as one row from each; star rows are dealt by their node."""
+    dealt = keys.repartition(F.when(F.col("rep").isNull(), F.shiftright("key", 1)).otherwise(F.col("node")))
+    return dealt.sortWithinPartitions(F.col("rep").isNull(), "key", "node").mapInArrow(_stars, "key long, rep long, node long")
 
 
 def _judge(likeness: float):
@@ -131,42 +206,74 @@ def _across(likeness: float):
     return run
 
 
-def near_components(prints: DataFrame, likeness: float = 0.8, crowded: int = 1 << 15) -> DataFrame:
-    """``node, component`` for the nodes of ``prints`` (columns ``node, digits, n_digits``, distinct) that have links.
+def mixed_buckets(star: DataFrame, apart: DataFrame, scratch: Scratch, least: int = 3) -> DataFrame:
+    """``key, n, weight, node`` of the buckets that have a pair of ``apart`` (``rep, node``) among their ``star`` rows.
+
+    Of buckets with the same members one is taken, ``weight`` says for how many; those of fewer than ``least`` are left out."""
+    keys = scratch.keep(star.join(apart, ["rep", "node"], "left_semi").select("key").distinct())
+    held = scratch.keep(join_hot(star, keys, "key"))
+    nodes = held.select("key", "node").unionByName(held.select("key", F.col("rep").alias("node"))).distinct()
+    nodes = scratch.keep(nodes)
+    per = nodes.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("first"), F.bit_xor(F.xxhash64("node")).alias("members")).where(F.col("n") >= least)
+    chosen = per.groupBy("n", "first", "members").agg(F.min("key").alias("key"), F.count("*").alias("weight")).select("key", "n", "weight")
+    out = scratch.keep(join_hot(nodes, scratch.keep(chosen), "key"))
+    scratch.drop(keys, held, nodes)
+    return out
+
+
+def not_joined(judged: DataFrame, parts: DataFrame, scratch: Scratch) -> DataFrame:
+    """Pairs ``rep, node`` that were not ``close`` and are in different components of ``parts``."""
+    far = scratch.keep(judged.where("not close").select("rep", "node").join(parts.toDF("node", "cb"), "node", "left"))
+    both = join_hot(far, parts.toDF("rep", "ca"), "rep", "left")
+    out = scratch.keep(both.where(F.coalesce("ca", "rep") != F.coalesce("cb", "node")).select("rep", "node"))
+    scratch.drop(far)
+    return out
+
+
+def cells(members: DataFrame, crowded: int) -> DataFrame:
+    """Rows ``key, cell, part`` and the other columns of ``members``: a bucket of up to ``crowded`` members is one cell; of a
+    larger one each pair of parts is, so that every pair of members meets in some cell."""
+    parts = F.when(F.col("n") > crowded, F.ceil(2 * F.col("n") / crowded).cast("long")).otherwise(1)
+    dealt = members.withColumn("n", parts).withColumn("part", F.pmod("node", "n"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
+    cell = F.least("part", "other") * F.col("n") + F.greatest("part", "other")
+    return dealt.withColumn("cell", cell).drop("n", "other")
+
+
+def near_components(prints: DataFrame, scratch: Scratch, likeness: float = 0.8, crowded: int = 1 << 13) -> DataFrame:
+    """``node, component`` for the nodes of ``prints`` (columns ``node, digits, n_digits``, distinct, stored) that have links.
 
-    Two fingerprints link if they share a band and their likeness is ``likeness`` or more. Every pair of a bucket is
-    judged, already in one component, or has buckets at a level of its own. A mixed bucket of over ``crowded`` members is cut into cells, and each
-    pair of cells is compared in a task of its own. An empty table gives none.
+    Two fingerprints link if they share a band (or block) and their likeness is ``likeness`` or more. Every pair of a
+    bucket is judged, already in one component, or has buckets at a level of its own. A mixed bucket of over ``crowded``
+    members is cut into cells, and each pair of cells is compared in a task of its own. An empty table gives none.
     """
-    own = prints.where(F.col("n_digits") >= LEAST)
+    own = prints.where(F.col("n_digits") > 0)
     bands, width = band_shape(own.count(), likeness)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, ...]] = []
+        n = 0
         for b in batches:
-            for at in range(0, b.num_rows, 1000):
-                s = b.slice(at, 1000)
-                keys = [band_keys(digits(p, n), bands, width, likeness) for p, n in zip(s.column(1).to_pylist(), s.column(2).to_pylist())]
-                nodes = np.repeat(s.column(0).to_numpy(), list(map(len, keys)))
-                lower = np.concatenate([np.arange(len(k)) >= bands for k in keys])
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(lower), pa.array(nodes)], names=["key", "lower", "node"])
-
-    keys = own.select("node", "digits", "n_digits").mapInArrow(cut, "key long, lower boolean, node long")
-    stars = materialize(keys.repartition("key").sortWithinPartitions("key", "lower", "node").mapInArrow(_stars, "key long, rep long, node long"))
+            for node, p, k in zip(*[c.to_pylist() for c in b.columns]):
+                keys, lower = band_keys(digits(p, k), bands, width, likeness)
+                held.append((keys.view(np.int64), lower.astype(np.int64), np.full(len(keys), node, np.int64)))
+                n += len(keys)
+                if n >= _HELD:
+                    yield local_stars(*map(np.concatenate, zip(*held)))
+                    held, n = [], 0
+        if n:
+            yield local_stars(*map(np.concatenate, zip(*held)))
+
+    star = scratch.keep(stars(own.select("node", "digits", "n_digits").mapInArrow(cut, _STAR)))
     sides = [own.select(F.col("node").alias(k), F.col("digits").alias(f"f_{s}"), F.col("n_digits").alias(f"n_{s}")) for k, s in (("rep", "a"), ("node", "b"))]
-    judged = materialize(stars.select("rep", "node").distinct().join(sides[1], "node").join(sides[0], "rep").mapInArrow(_judge(likeness), "rep long, node long, close boolean"))
-    parts = connected_components(judged.where("close").select(F.col("rep").alias("a"), F.col("node").alias("b")))
-    of = parts.withColumnRenamed("node", "k").withColumnRenamed("component", "c")
-    apart = judged.where("not close").join(of.select(F.col("k").alias("node"), F.col("c").alias("cb")), "node", "left").join(of.select(F.col("k").alias("rep"), F.col("c").alias("ca")), "rep", "left")
-    apart = apart.where(F.coalesce("ca", "rep") != F.coalesce("cb", "node")).select("rep", "node")
-    # a bucket of two is settled; of one more, pairs besides those with the first are open
-    mixed = materialize(stars.join(apart, ["rep", "node"], "left_semi").select("key").distinct().join(stars.groupBy("key").agg((F.count("*") + 1).alias("n")).where("n > 2"), "key"))
-    if mixed.isEmpty():
+    pairs = scratch.keep(star.select("rep", "node").distinct().join(sides[1], "node"))
+    judged = scratch.keep(join_hot(pairs, sides[0], "rep").select("rep", "node", "f_a", "n_a", "f_b", "n_b").mapInArrow(_judge(likeness), "rep long, node long, close boolean"))
+    scratch.drop(pairs)
+    parts = connected_components(judged.where("close").select(F.col("rep").alias("a"), F.col("node").alias("b")), scratch)
+    members = mixed_buckets(star, not_joined(judged, parts, scratch), scratch)
+    scratch.drop(star, judged)
+    if members.isEmpty():
         return parts
-    held = stars.join(mixed, "key")
-    members = held.select("key", "n", "node").unionByName(held.select("key", "n", F.col("rep").alias("node")).distinct()).join(own.select("node", "digits", "n_digits"), "node").join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    cells = F.ceil(2 * F.col("n") / crowded).cast("long")
-    celled = members.withColumn("n", F.when(F.col("n") > crowded, cells).otherwise(1)).withColumn("own", F.pmod("node", "n"))
-    celled = celled.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
-    celled = celled.select("key", (F.least("own", "other") * F.col("n") + F.greatest("own", "other")).alias("cell"), "node", "digits", "n_digits", "component")
-    more = celled.groupBy("key", "cell").applyInArrow(_across(likeness), "a long, b long")
-    return connected_components(more.unionByName(parts.select(F.col("node").alias("a"), F.col("component").alias("b"))))
+    whole = members.join(own.select("node", "digits", "n_digits"), "node").join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    more = cells(whole, crowded).select("key", "cell", "node", "digits", "n_digits", "component").groupBy("key", "cell").applyInArrow(_across(likeness), "a long, b long")
+    return connected_components(more.unionByName(parts.select(F.col("node").alias("a"), F.col("component").alias("b"))), scratch)

@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, table, text_bytes
+from .common import Scratch, join_hot, materialize, table, text_bytes
 
 SEED, CLASSES, PERIOD = 42, 256, 4096
 #: Sampled steps: all below 2 ** FULL, then PER_OCTAVE between 2 ** k and 2 ** (k + 1).
@@ -111,6 +111,42 @@ def _packed(digits: str) -> bytes:
 
 
 _PACKED = "doc_id long, n_chars long, edited binary, digits binary, n_digits int, edited_digits binary, n_edited int, near_edited double, near_next double, node long"
+#: Ranges of documents at most; bytes of text that walk at once.
+MOST_RANGES, AT_ONCE = 200_000, 3 << 20
+
+
+class Ranges:
+    """Ranges of documents in the order of descending ids (nulls last), equal ids by the hash of their text.
+
+    ``bounds`` are ids in ascending order. One that occurs k times is an id with rows for k + 1 ranges: these are dealt
+    by their hash, whose values are spread evenly."""
+
+    def __init__(self, bounds: np.ndarray):
+        self.bounds = bounds
+        # the first document of each range, as id and hash, and the range that ends before it
+        self.heads = np.empty(0, [("id", np.int64), ("h", np.int64)])
+        self.before = np.empty(0, np.int64)
+
+    def place(self, ids: np.ndarray, h: np.ndarray) -> np.ndarray:
+        low, high = np.searchsorted(self.bounds, ids, "left"), np.searchsorted(self.bounds, ids, "right")
+        width = high - low
+        part = ((h.astype(np.float64) + 2.0**63) / 2.0**64 * (width + 1)).astype(np.int64)
+        return len(self.bounds) - high + np.minimum(part, width)
+
+    def starts(self, first: list[tuple[int, int, int]]) -> None:
+        """``first``: range, id and hash of the first document of each range that has any."""
+        first.sort()
+        order = sorted(range(len(first)), key=lambda k: first[k][1:])
+        self.heads = np.array([first[k][1:] for k in order], self.heads.dtype)
+        self.before = np.array([first[k - 1][0] for k in order], np.int64)
+
+    def follows(self, ids: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which documents are the first of a range, and the range before each."""
+        own = np.empty(len(ids), self.heads.dtype)
+        own["id"], own["h"] = ids, h
+        at = np.minimum(np.searchsorted(self.heads, own), len(self.heads) - 1)
+        found = np.flatnonzero(self.heads[at] == own)
+        return found, self.before[at[found]]
 
 
 def fingerprint_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", part_bytes: int = 8 << 20) -> DataFrame:
@@ -118,100 +154,120 @@ def fingerprint_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str
 
     Columns: ``doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, near_component``.
     ``near_component`` is the smallest id among the documents linked, directly or by others, by fingerprints of
-    likeness 0.8 or more (see ``edit_bands``), or by equal texts; null if all of these have null ids. Texts and
-    fingerprints are told apart by 64-bit hashes.
-    The next document is the one with the next smaller id (nulls last; equal ids by text), after the last
-    the first. Null texts are empty. Documents are dealt in packed form to ranges of ids found from
-    quantiles; the first document of each range (one per range, known beforehand) also goes to the range
-    before, whose last document it follows. Rows with the same id share a range. An empty table gives none.
+    likeness 0.8 or more (see ``edit_bands``), or by equal texts; null if all of these have null ids. Fingerprints are
+    told apart by 64-bit hashes.
+    The next document is the one with the next smaller id (nulls last; equal ids by a hash of the text, then by text),
+    after the last the first. Null texts are empty. Documents are dealt in packed form to ranges of about equal numbers
+    of rows, found from quantiles; the first document of each range (known beforehand) also goes to the range before,
+    whose last document it follows. Ids that many rows share, null among them, are dealt to several ranges by the hash.
+    A range is worked through ``AT_ONCE`` bytes at a time, so long texts take no more than themselves. Repeated rows
+    stay; other columns aren't read; an empty table gives none.
     """
-    own = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_LOW)).alias("id"), F.coalesce(text_bytes(text_col), F.lit(b"")).alias("text"), F.col(id_col).cast("long").alias("doc_id"))
-    n, total = docs.select(F.count("*"), F.coalesce(F.sum(F.octet_length(text_col)), F.lit(0))).first()
-    parts = max(1, -(-total // part_bytes), min(24, n // 500))
-    bounds = np.unique(np.array(own.agg(F.percentile_approx("id", [k / parts for k in range(1, parts)], 100_000)).first()[0] if parts > 1 else [], np.int64))
-
-    def place(ids: np.ndarray) -> np.ndarray:
-        """Ranges in descending order of ids."""
-        return len(bounds) - np.searchsorted(bounds, ids)
+    text = text_bytes(f"`{text_col}`")
+    ident = F.col(f"`{id_col}`").cast("long")
+    own = docs.select(F.coalesce(ident, F.lit(_LOW)).alias("id"), F.coalesce(text, F.lit(b"")).alias("text"), ident.alias("doc_id"), F.xxhash64(F.coalesce(text, F.lit(b""))).alias("h"))
+    n, total = docs.select(F.count("*"), F.coalesce(F.sum(F.octet_length(text)), F.lit(0))).first()
+    parts = min(max(1, -(-total // part_bytes), min(24, n // 500)), MOST_RANGES)
+    ranges = Ranges(np.array(own.agg(F.percentile_approx("id", [k / parts for k in range(1, parts)], max(10_000, 10 * parts))).first()[0] if parts > 1 and n else [], np.int64))
 
     def highest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: dict[int, int] = {}
+        first: dict[int, tuple[int, int]] = {}
         for b in batches:
-            ids = b.column(0).to_numpy()
-            for p, i in zip(place(ids).tolist(), ids.tolist()):
-                found[p] = max(i, found.get(p, _LOW))
-        yield pa.RecordBatch.from_arrays([pa.array(found.keys(), pa.int64()), pa.array(found.values(), pa.int64())], names=["part", "id"])
-
-    heads = sorted(tuple(r) for r in own.select("id").mapInArrow(highest, "part long, id long").groupBy("part").agg(F.max("id")).collect())
-    #: the range before each range's first document
-    before = {first: heads[k - 1][0] for k, (_, first) in enumerate(heads)}
+            ids, h = b.column(0).to_numpy(), b.column(1).to_numpy()
+            home = ranges.place(ids, h)
+            order = np.lexsort((h, ~ids, home))
+            fresh = np.flatnonzero(np.concatenate([[True], np.diff(home[order]) != 0])) if len(order) else []
+            for k in order[fresh].tolist():
+                p, own = int(home[k]), (-int(ids[k]), int(h[k]))
+                first[p] = min(own, first.get(p, own))
+        yield pa.RecordBatch.from_arrays([pa.array(first.keys(), pa.int64()), pa.array([-i for i, _ in first.values()], pa.int64()), pa.array([h for _, h in first.values()], pa.int64())], names=["part", "id", "h"])
+
+    firsts = own.select("id", "h").mapInArrow(highest, "part long, id long, h long").groupBy("part").agg(F.min(F.struct(F.bitwise_not("id").alias("back"), "h", "id")).alias("r"))
+    ranges.starts([tuple(r) for r in firsts.select("part", "r.id", "r.h").collect()])
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         options = pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 3))
         for b in batches:
-            ids = b.column(0).to_numpy()
-            home = place(ids)
-            rows = [(p, 0, np.flatnonzero(home == p)) for p in np.unique(home).tolist()]
-            rows += [(before[i], 1, np.array([k])) for k, i in enumerate(ids.tolist()) if i in before]
+            if not b.num_rows:
+                continue
+            ids, h = b.column(0).to_numpy(), b.column(3).to_numpy()
+            home = ranges.place(ids, h)
+            order = np.argsort(home, kind="stable")
+            cuts = np.flatnonzero(np.diff(home[order])) + 1
+            rows = [(int(home[at[0]]), 0, at) for at in np.split(order, cuts)]
+            rows += [(p, 1, np.array([k])) for k, p in zip(*[x.tolist() for x in ranges.follows(ids, h)])]
             blobs = []
             for _, _, at in rows:
                 sink = pa.BufferOutputStream()
                 with pa.ipc.new_stream(sink, b.schema, options=options) as out:
                     out.write_batch(b.take(pa.array(at)))
                 blobs.append(sink.getvalue().to_pybytes())
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array([p for p, _, _ in rows], pa.int64()), pa.array([k for _, k, _ in rows], pa.int32()), pa.array(blobs, pa.binary())], names=["part", "kind", "rows"])
+            yield pa.RecordBatch.from_arrays([pa.array([p for p, _, _ in rows], pa.int64()), pa.array([k for _, k, _ in rows], pa.int32()), pa.array(blobs, pa.binary())], names=["part", "kind", "rows"])
 
     def walk(t: pa.Table) -> pa.Table:
         found: list[list[tuple]] = [[], []]
         for kind, blob in zip(t.column("kind").to_pylist(), t.column("rows").to_pylist()):
             x = pa.ipc.open_stream(blob).read_all()
-            found[kind] += zip(x.column("id").to_pylist(), x.column("text").to_pylist(), x.column("doc_id").to_pylist())
-        rows = sorted(found[0], key=lambda r: (-r[0], r[1]))
-        texts = [r[1].decode() for r in rows]
-        after = min(found[1], key=lambda r: (-r[0], r[1]))[1].decode()
-        following = [*texts[1:], after]
-        changed = [edited(a, b) for a, b in zip(texts, following)]
-        prints = fingerprints([*texts, after])
-        other = fingerprints(changed)
-        node = [xxhash.xxh64_intdigest(f) if len(f) >= 1 << FULL else xxhash.xxh64_intdigest(r[1], 1) for f, r in zip(prints, rows)]
-        columns = [
-            [r[2] for r in rows],
-            list(map(len, texts)),
-            [hashlib.sha256(c.encode()).digest() for c in changed],
-            list(map(_packed, prints[:-1])),
-            list(map(len, prints[:-1])),
-            list(map(_packed, other)),
-            list(map(len, other)),
-            [likeness(a, b) for a, b in zip(prints, other)],
-            [likeness(a, b) for a, b in zip(prints, prints[1:])],
-            np.array(node, np.uint64).view(np.int64),
-        ]
-        kinds = [pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.int32(), pa.binary(), pa.int32(), pa.float64(), pa.float64(), pa.int64()]
-        return pa.table([pa.array(c, k) for c, k in zip(columns, kinds)], names=[c.split()[0] for c in _PACKED.split(", ")])
+            found[kind] += zip(*[x.column(c).to_pylist() for c in ("id", "h", "text", "doc_id")])
+        order = lambda r: (-r[0], r[1], r[2])
+        rows = sorted(found[0], key=order)
+        after = min(found[1], key=order)
+        out, at = [], 0
+        while at < len(rows):
+            end, held = at, 0
+            while end < len(rows) and (end == at or held + len(rows[end][2]) <= AT_ONCE):
+                held += len(rows[end][2])
+                end += 1
+            out.append(walked(rows[at:end], (rows[end] if end < len(rows) else after)[2].decode()))
+            at = end
+        return pa.concat_tables(out)
 
     from .edit_bands import near_components
 
-    rows = materialize(own.mapInArrow(deal, "part long, kind int, rows binary").groupBy("part").applyInArrow(walk, _PACKED))
-    distinct = materialize(rows.groupBy("node").agg(F.min("doc_id").alias("low"), F.min(F.struct("n_digits", "digits")).alias("f")).select("node", "low", "f.digits", "f.n_digits"))
-    parts = distinct.select("node", "low").join(near_components(distinct), "node", "left").withColumn("component", F.coalesce("component", "node"))
-    lows = parts.groupBy("component").agg(F.min("low").alias("near_component"))
-    found = rows.join(parts.select("node", "component").join(lows, "component").select("node", "near_component"), "node")
+    scratch = Scratch(docs.sparkSession)
+    rows = scratch.keep(own.mapInArrow(deal, "part long, kind int, rows binary").groupBy("part").applyInArrow(walk, _PACKED))
+    distinct = scratch.keep(rows.groupBy("node").agg(F.min("doc_id").alias("low"), F.min(F.struct("n_digits", "digits")).alias("f")).select("node", "low", "f.digits", "f.n_digits"))
+    parts_of = scratch.keep(distinct.select("node", "low").join(near_components(distinct, scratch), "node", "left").withColumn("component", F.coalesce("component", "node")))
+    lows = parts_of.groupBy("component").agg(F.min("low").alias("near_component"))
+    named = scratch.keep(join_hot(parts_of, lows, "component").select("node", "near_component"))
 
-    def text(packed: str, n: str):
+    def hexed(packed: str, n: str):
         return F.substring(F.lower(F.hex(packed)), F.lit(1), F.col(n))
 
-    return found.select(
+    out = materialize(join_hot(rows, named, "node"))
+    scratch.close()
+    return out.select(
         "doc_id",
         "n_chars",
         F.lower(F.hex("edited")).alias("edited_sha256"),
-        text("digits", "n_digits").alias("fingerprint"),
-        text("edited_digits", "n_edited").alias("edited_fingerprint"),
+        hexed("digits", "n_digits").alias("fingerprint"),
+        hexed("edited_digits", "n_edited").alias("edited_fingerprint"),
         "near_edited",
         "near_next",
         "near_component",
     )
 
+def walked(rows: list[tuple], after: str) -> pa.Table:
+    """The results of neighbours ``id, h, text, doc_id`` in order; ``after`` is the text that follows the last."""
+    texts = [r[2].decode() for r in rows]
+    changed = [edited(a, b) for a, b in zip(texts, [*texts[1:], after])]
+    prints = fingerprints([*texts, after])
+    other = fingerprints(changed)
+    columns = [
+        [r[3] for r in rows],
+        list(map(len, texts)),
+        [hashlib.sha256(c.encode()).digest() for c in changed],
+        list(map(_packed, prints[:-1])),
+        list(map(len, prints[:-1])),
+        list(map(_packed, other)),
+        list(map(len, other)),
+        [likeness(a, b) for a, b in zip(prints, other)],
+        [likeness(a, b) for a, b in zip(prints, prints[1:])],
+        np.array([xxhash.xxh64_intdigest(f) for f in prints[:-1]], np.uint64).view(np.int64),
+    ]
+    kinds = [pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.int32(), pa.binary(), pa.int32(), pa.float64(), pa.float64(), pa.int64()]
+    return pa.table([pa.array(c, k) for c, k in zip(columns, kinds)], names=[c.split()[0] for c in _PACKED.split(", ")])
+
 
 def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint_documents(table(spark, sf_dir, "documents"))

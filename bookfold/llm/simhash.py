@@ -12,8 +12,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import by_bytes, connected_components, materialize, table, text_bytes
-from .edit_bands import _stars
+from .common import Scratch, by_bytes, connected_components, join_hot, materialize, renamed, table, text_bytes
+from .edit_bands import _HELD, _STAR, cells, local_stars, mixed_buckets, not_joined, stars
 
 BITS = 64
 #: Shingles whose bits are summed at once.
@@ -139,8 +139,8 @@ def _ball(radius: int):
     return run
 
 
-def links(fps: DataFrame, radius: int = 4, crowded: int = 4096) -> DataFrame:
-    """Edges ``a, b`` between distinct fingerprints (column ``fp``) whose components are those of
+def links(fps: DataFrame, scratch: Scratch, radius: int = 4, crowded: int = 4096) -> DataFrame:
+    """Edges ``a, b`` between distinct fingerprints (column ``fp``, a stored table) whose components are those of
     all pairs at ``radius`` or fewer differing bits.
 
     Fingerprints are joined on pigeonhole blocks and verified. A bucket of more than ``crowded``
@@ -153,7 +153,7 @@ def links(fps: DataFrame, radius: int = 4, crowded: int = 4096) -> DataFrame:
     masks = block_masks(fps.count(), radius)
     keys = fps.select("fp", F.explode(F.array(*[F.struct(F.lit(i).cast("long").alias("mask"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("key")) for i, m in enumerate(masks)])).alias("k")).select("k.mask", "k.key", "fp")
     full = keys.groupBy("mask", "key").agg(F.count("*").alias("n")).where(F.col("n") > crowded).select("mask", "key")
-    full = materialize(full)
+    full = scratch.keep(full)
     pairs = keys
     crowd = None
     if not full.isEmpty():
@@ -161,7 +161,7 @@ def links(fps: DataFrame, radius: int = 4, crowded: int = 4096) -> DataFrame:
         crowd = keys.join(full, ["mask", "key"], "left_semi").select("fp").distinct()
     near = pairs.select("mask", "key", "fp").repartition("mask", "key").sortWithinPartitions("mask", "key").mapInArrow(_bucket_links(radius), "a long, b long")
     if crowd is not None:
-        points = materialize(crowd).mapInArrow(_ball(radius // 2), "fp long, point long")
+        points = scratch.keep(crowd).mapInArrow(_ball(radius // 2), "fp long, point long")
         least = points.groupBy("point").agg(F.min("fp").alias("b"), F.max("fp").alias("top")).where("b <> top").drop("top")
         near = near.unionByName(points.join(least, "point").select(F.col("fp").alias("a"), "b").where("a <> b").distinct())
     return near
@@ -176,23 +176,14 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     ``docs`` are not read; an empty table gives no rows.
     """
     own = materialize(fingerprints(docs, id_col, text_col, shingle))
-    return _components(own, None, radius, crowded).select(F.col("id").alias("doc_id"), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.col("low").alias("component_id"))
-
-
-def _components(own: DataFrame, edges: DataFrame | None = None, radius: int = 4, crowded: int = 4096) -> DataFrame:
-    """``id, th, fp, low`` and ``low_th`` (the text hash of the component's first row)."""
-    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "th")).alias("first")
-    distinct = materialize(own.groupBy("fp").agg(first))
-    parts = connected_components(links(distinct.select("fp"), radius, crowded) if edges is None else edges).select(F.col("node").alias("fp"), "component")
-    named = distinct.join(parts, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
-    lows = named.groupBy("component").agg(F.min("first").alias("first"))
-    low = named.select("fp", "component").join(lows, "component").select("fp", F.col("first.id").alias("low"), F.col("first.th").alias("low_th"))
-    return own.join(low, "fp")
-
-
-#: Bytes of a wide fingerprint.
-WIDE = 64
-_SPREAD = np.arange(1, WIDE // 4, 2, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    scratch = Scratch(docs.sparkSession)
+    distinct = scratch.keep(own.groupBy("fp").agg(F.min("id").alias("first")))
+    parts = connected_components(links(distinct.select("fp"), scratch, radius, crowded), scratch).toDF("fp", "component")
+    named = scratch.keep(distinct.join(parts, "fp", "left").withColumn("component", F.coalesce("component", "fp")))
+    lows = named.groupBy("component").agg(F.min("first").alias("low"))
+    low = materialize(join_hot(named.select("fp", "component"), lows, "component").select("fp", "low"))
+    scratch.close()
+    return join_hot(own, low, "fp").select(F.col("id").alias("doc_id"), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.col("low").alias("component_id"))
 
 
 def shingle_set(text: bytes | None, shingle: int = 5) -> np.ndarray:
@@ -208,25 +199,12 @@ def shingle_set(text: bytes | None, shingle: int = 5) -> np.ndarray:
     return np.sort(np.fromiter({digest(joined[a:b], 42) for a, b in zip(starts.tolist(), last.tolist())}, np.uint64))
 
 
-def wide_fingerprint(text: bytes | None, shingle: int = 5) -> bytes:
-    """512-bit SimHash of the set of a text's shingles; all zero for a text without words."""
-    hashes = shingle_set(text, shingle)
-    if not len(hashes):
-        return bytes(WIDE)
-    counts = np.zeros(8 * WIDE, np.int64)
+def set_fingerprint(hashes: np.ndarray) -> int:
+    """SimHash of a set of shingle hashes: a bit is set if it is in over half of them."""
+    counts = np.zeros(BITS, np.int64)
     for at in range(0, len(hashes), _STEP):
-        h = hashes[at : at + _STEP, None] * _SPREAD
-        h = (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
-        bits = np.unpackbits((h ^ (h >> np.uint64(29))).view(np.uint8), axis=1)
-        for k in range(0, len(bits), 255):
-            counts += bits[k : k + 255].sum(axis=0, dtype=np.uint8)
-    return np.packbits(2 * counts > len(hashes)).tobytes()
-
-
-def radius_for(similarity: float, spare: float = 1.5) -> int:
-    """Bits that wide fingerprints of sets at a Jaccard similarity differ in, plus ``spare`` standard deviations."""
-    p = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
-    return int(8 * WIDE * p + spare * (8 * WIDE * p * (1 - p)) ** 0.5)
+        counts += np.unpackbits(hashes[at : at + _STEP].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+    return int.from_bytes(np.packbits(2 * counts > len(hashes)).tobytes(), "big")
 
 
 #: Documents that the order of shingles is taken from, and shingles that it holds at most.
@@ -263,7 +241,7 @@ def _common(plain: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
     return h[by], n[by]
 
 
-def _set_judge(similarity: float):
+def _jaccard_judge(similarity: float):
     """Whether the exact Jaccard similarity of each pair of sets is ``similarity`` or more."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -278,8 +256,8 @@ def _set_judge(similarity: float):
     return run
 
 
-def _set_across(similarity: float):
-    """Links between members of a bucket (or of two cells of one) that are in different components."""
+def _jaccard_across(similarity: float):
+    """Links between members of two parts of a bucket that are in different components."""
 
     def run(t: pa.Table) -> pa.Table:
         node, label = t.column("node").to_numpy(), np.unique(t.column("component").to_numpy(), return_inverse=True)[1]
@@ -311,121 +289,188 @@ def _shared(similarity: float) -> Column:
     return F.when(F.least("n_a", "n_b") >= similarity * F.greatest("n_a", "n_b") - 1e-9, F.greatest(both - rest, F.lit(1)))
 
 
-def _small_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs ``a, b, weight`` of a bucket's members that are in different components."""
-    for batch in batches:
-        for at in range(0, batch.num_rows, 256):
-            a, b, weight = [], [], []
-            for nodes, parts, w in zip(*[c.to_pylist() for c in batch.slice(at, 256).columns]):
-                own = sorted(zip(nodes, parts))
-                for (x, c), (y, d) in combinations(own, 2):
-                    if c != d:
-                        a.append(x)
-                        b.append(y)
-                        weight.append(w)
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (a, b, weight)], names=["a", "b", "weight"])
+#: Pairs a member that a cell may list; a cell with more is compared in place.
+LISTED = 32
 
 
-#: Members of the buckets whose pairs are counted; larger ones are compared in place.
-SMALL = 64
+def _open_pairs(similarity: float, listed: int):
+    """Pairs ``a, b, n`` of a cell's members that are in different components and near enough in size; where there are
+    more than ``listed`` a member, the cell's ``key, cell`` instead."""
 
+    def run(t: pa.Table) -> pa.Table:
+        order = np.argsort(t.column("node").to_numpy())
+        node, part, size, label = (t.column(c).to_numpy()[order] for c in ("node", "part", "size", "component"))
+        label = np.unique(label, return_inverse=True)[1]
+        across = len(np.unique(part)) > 1
+        most = int(np.bincount(label).argmax())
+        done = np.zeros(len(node), bool)
+        a, b, n = [], [], 0
+        for i in np.flatnonzero(label != most).tolist():
+            done[i] = True
+            other = np.flatnonzero((label != label[i]) & ~done & (np.minimum(size, size[i]) >= similarity * np.maximum(size, size[i]) - 1e-9) & ((part != part[i]) | (not across)))
+            a.append(np.minimum(node[other], node[i]))
+            b.append(np.maximum(node[other], node[i]))
+            n += len(other)
+            if n > listed * len(node):
+                return _opened([None], [None], [None], t.column("key")[:1].to_pylist(), t.column("cell")[:1].to_pylist())
+        a, b = (np.concatenate([np.empty(0, np.int64), *x]) for x in (a, b))
+        weight = t.column("weight")[0].as_py()
+        return _opened(a, b, np.full(n, weight), [None] * n, [None] * n)
 
-def set_links(distinct: DataFrame, sets_of: Callable[[DataFrame], DataFrame], similarity: float, crowded: int) -> DataFrame:
-    """Edges ``a, b`` whose components are those of all pairs of sets at Jaccard ``similarity`` or more.
+    return run
 
-    ``distinct`` has ``fp, n, prefix`` of each set, ``sets_of`` gives ``fp, set`` for a table of ``fp``. Sets that share
-    a hash of their prefixes meet, which every such pair does. Each bucket's members are held against its smallest node;
-    then the pairs of buckets whose members this leaves in several components are open. Pairs of buckets of up to
-    ``SMALL`` are judged if they share enough hashes of their prefixes, larger buckets are compared in place, those of
-    over ``crowded`` members by cells, each pair of cells in a task of its own.
-    """
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for at in range(0, b.num_rows, 1000):
-                s = b.slice(at, 1000)
-                own = [np.frombuffer(x, np.int64) for x in s.column(1).to_pylist()]
-                key = np.concatenate(own)
-                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(np.zeros(len(key), bool)), pa.array(np.repeat(s.column(0).to_numpy(), list(map(len, own))))], names=["key", "lower", "node"])
+_OPENED = "a long, b long, n long, key long, cell long"
+
+
+def _opened(*columns) -> pa.Table:
+    return pa.table([pa.array(c, pa.int64()) for c in columns], names=["a", "b", "n", "key", "cell"])
 
-    keys = distinct.select("fp", "prefix").mapInArrow(cut, "key long, lower boolean, node long")
-    stars = materialize(keys.repartition("key").sortWithinPartitions("key", "lower", "node").mapInArrow(_stars, "key long, rep long, node long"))
+
+def fingerprint_pairs(own: DataFrame, scratch: Scratch, radius: int, crowded: int) -> DataFrame:
+    """Candidate pairs ``a, b`` of nodes by SimHash: of ``own`` (``node, print``), nodes with the same fingerprint are held
+    against one of them, and these against each other where pigeonhole blocks find ``radius`` or fewer differing bits."""
+    nodes = scratch.keep(own.select("node", F.col("print").alias("fp")).distinct())
+    firsts = scratch.keep(nodes.groupBy("fp").agg(F.min("node").alias("first")))
+    same = join_hot(nodes, firsts, "fp").where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b"))
+    near = links(firsts.select("fp"), scratch, radius, crowded)
+    for k in ("a", "b"):
+        near = near.join(firsts.select(F.col("fp").alias(k), F.col("first").alias(f"first_{k}")), k)
+    near = near.select(F.least("first_a", "first_b").alias("a"), F.greatest("first_a", "first_b").alias("b"))
+    return scratch.keep(same.unionByName(near).distinct())
+
+
+def set_links(own: DataFrame, sets_of: Callable[[DataFrame], DataFrame], scratch: Scratch, similarity: float, radius: int, crowded: int) -> DataFrame:
+    """Edges ``a, b`` whose components are those of all pairs of sets at Jaccard ``similarity`` or more.
+
+    ``own``, a stored table, has ``node, n, print, prefix`` of sets, ``sets_of`` gives ``node, set`` for a table of ``node``.
+
+    First come the pairs whose SimHash fingerprints differ in at most ``radius`` bits, found on pigeonhole blocks; each is
+    confirmed by its sets. Fingerprints of sets at 0.8 differ in about ten bits of 64, up to twenty, and no block
+    would be left for these; so what the fingerprints don't join is completed exactly: sets at ``similarity`` or more share
+    a hash of their prefixes. Each bucket of such a hash holds its members against one of them; buckets that this leaves
+    in several components are opened. Their pairs across components are counted over all buckets, if they are at most
+    ``LISTED`` a member, and judged if they share enough hashes; cells with more are compared in place, those of
+    over ``crowded`` members by pairs of parts, each in a task of its own.
+    """
+    sizes = scratch.keep(own.select("node", "n").distinct())
 
     def judge(pairs: DataFrame) -> DataFrame:
-        """``a, b, close`` of pairs ``a, b, n``; false without a look if they share too few hashes (``n``) of their prefixes."""
+        """``a, b, close`` of stored ``pairs`` ``a, b, open``; false without a look where not ``open``."""
+        wanted = pairs.where("open").select("a", "b")
+        sets = scratch.keep(sets_of(wanted.select(F.explode(F.array("a", "b")).alias("node")).distinct()))
         for k in ("a", "b"):
-            pairs = pairs.join(distinct.select(F.col("fp").alias(k), F.col("n").alias(f"n_{k}")), k)
-        pairs = materialize(pairs.select("a", "b", F.coalesce(F.col("n") >= _shared(similarity), F.lit(False)).alias("open")))
-        open_ = pairs.where("open").select("a", "b")
-        sets = materialize(sets_of(open_.select(F.explode(F.array("a", "b")).alias("fp")).distinct()))
+            wanted = wanted.join(sets.select(F.col("node").alias(k), F.col("set").alias(f"s_{k}")), k)
+        done = wanted.select("a", "b", "s_a", "s_b").mapInArrow(_jaccard_judge(similarity), "a long, b long, close boolean")
+        out = scratch.keep(done.unionByName(pairs.where("not open").select("a", "b", F.lit(False).alias("close"))))
+        scratch.drop(sets)
+        return out
+
+    def sized(pairs: DataFrame) -> DataFrame:
+        """Pairs ``a, b, n`` with ``open``: whether they share enough hashes of their prefixes."""
         for k in ("a", "b"):
-            open_ = open_.join(sets.select(F.col("fp").alias(k), F.col("set").alias(f"s_{k}")), k)
-        done = open_.select("a", "b", "s_a", "s_b").mapInArrow(_set_judge(similarity), "a long, b long, close boolean")
-        return materialize(done.unionByName(pairs.where("not open").select("a", "b", F.lit(False).alias("close"))))
-
-    judged = judge(stars.groupBy(F.col("rep").alias("a"), F.col("node").alias("b")).agg(F.count("*").alias("n"))).select(F.col("a").alias("rep"), F.col("b").alias("node"), "close")
-    parts = materialize(connected_components(judged.where("close").select(F.col("rep").alias("a"), F.col("node").alias("b"))))
-    of = parts.withColumnRenamed("node", "k").withColumnRenamed("component", "c")
-    apart = judged.where("not close").join(of.select(F.col("k").alias("node"), F.col("c").alias("cb")), "node", "left").join(of.select(F.col("k").alias("rep"), F.col("c").alias("ca")), "rep", "left")
-    apart = apart.where(F.coalesce("ca", "rep") != F.coalesce("cb", "node")).select("rep", "node")
-    # buckets of the same members are taken once, with their number
-    per = stars.groupBy("key").agg((F.count("*") + 1).alias("n"), F.min("rep").alias("first"), F.bit_xor(F.xxhash64("node")).alias("members"))
-    mixed = stars.join(apart, ["rep", "node"], "left_semi").select("key").distinct().join(per, "key").groupBy("n", "first", "members").agg(F.min("key").alias("key"), F.count("*").alias("weight"))
-    mixed = materialize(mixed.select("key", "n", "weight"))
+            pairs = pairs.join(sizes.select(F.col("node").alias(k), F.col("n").alias(f"n_{k}")), k)
+        return pairs.withColumn("open", F.coalesce(F.col("n") >= _shared(similarity), F.lit(False)))
+
+    first = judge(fingerprint_pairs(own, scratch, radius, crowded).withColumn("open", F.lit(True)))
+    known = connected_components(first.where("close").select("a", "b"), scratch)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, ...]] = []
+        n = 0
+        for b in batches:
+            for node, prefix in zip(*[c.to_pylist() for c in b.columns]):
+                key = np.frombuffer(prefix, np.int64)
+                held.append((key, np.zeros(len(key), np.int64), np.full(len(key), node, np.int64)))
+                n += len(key)
+                if n >= _HELD:
+                    yield local_stars(*map(np.concatenate, zip(*held)))
+                    held, n = [], 0
+        if n:
+            yield local_stars(*map(np.concatenate, zip(*held)))
+
+    star = scratch.keep(stars(own.select("node", "prefix").mapInArrow(cut, _STAR)))
+    pairs = star.groupBy(F.col("rep").alias("a"), F.col("node").alias("b")).agg(F.count("*").alias("n"))
+    for k in ("a", "b"):
+        pairs = pairs.join(known.toDF(k, f"c_{k}"), k, "left")
+    joined = F.coalesce("c_a", "a") == F.coalesce("c_b", "b")
+    pairs = scratch.keep(sized(pairs.where(~joined)).select("a", "b", "open"))
+    judged = judge(pairs)
+    edges = known.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(judged.where("close").select("a", "b"))
+    parts = connected_components(edges, scratch)
     edges = parts.select(F.col("node").alias("a"), F.col("component").alias("b"))
-    if mixed.isEmpty():
+    apart = not_joined(judged.toDF("rep", "node", "close"), parts, scratch)
+    members = mixed_buckets(star, apart, scratch, least=2)
+    scratch.drop(star, pairs, judged)
+    if members.isEmpty():
         return edges
-    held = stars.join(mixed, "key")
-    members = held.select("key", "n", "weight", "node").unionByName(held.select("key", "n", "weight", F.col("rep").alias("node")).distinct()).join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    members = materialize(members)
-    small = members.where(F.col("n") <= SMALL).groupBy("key").agg(F.collect_list("node").alias("nodes"), F.collect_list("component").alias("parts"), F.first("weight").alias("weight")).select("nodes", "parts", "weight")
-    counted = small.mapInArrow(_small_pairs, "a long, b long, weight long").groupBy("a", "b").agg(F.sum("weight").alias("n"))
+    whole = members.join(sizes.withColumnRenamed("n", "size"), "node").join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    celled = scratch.keep(cells(whole, crowded).select("key", "cell", "part", "weight", "node", "size", "component"))
+    opened = scratch.keep(celled.groupBy("key", "cell").applyInArrow(_open_pairs(similarity, LISTED), _OPENED))
+    counted = scratch.keep(sized(opened.where("key is null").groupBy("a", "b").agg(F.sum("n").alias("n"))).select("a", "b", "open").where("open"))
     edges = edges.unionByName(judge(counted).where("close").select("a", "b"))
-    large = members.where(F.col("n") > SMALL)
+    large = opened.where("key is not null").select("key", "cell")
     if large.isEmpty():
         return edges
-    celled = large.withColumn("n", F.when(F.col("n") > crowded, F.ceil(2 * F.col("n") / crowded).cast("long")).otherwise(1)).withColumn("own", F.pmod("node", "n"))
-    celled = celled.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
-    sets = materialize(sets_of(large.select(F.col("node").alias("fp")).distinct()))
-    celled = celled.select("key", (F.least("own", "other") * F.col("n") + F.greatest("own", "other")).alias("cell"), "node", "component").join(sets.withColumnRenamed("fp", "node"), "node")
-    return edges.unionByName(celled.groupBy("key", "cell").applyInArrow(_set_across(similarity), "a long, b long"))
+    compared = scratch.keep(celled.join(large, ["key", "cell"], "left_semi").select("key", "cell", "node", "component"))
+    sets = scratch.keep(sets_of(compared.select("node").distinct()))
+    return edges.unionByName(compared.join(sets, "node").groupBy("key", "cell").applyInArrow(_jaccard_across(similarity), "a long, b long"))
 
 
-def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, crowded: int = 4096) -> DataFrame:
+#: Rows up to which keys of rows are broadcast.
+FEW = 1 << 20
+
+
+def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, radius: int = 4, crowded: int = 4096) -> DataFrame:
     """``docs`` with one row of each component: the one with the smallest id (nulls last), then text hash.
 
     Links are pairs of texts whose sets of shingle hashes have a Jaccard similarity of ``similarity`` or more, all of
-    them at any number of rows; texts without words are equal. All columns of ``docs`` stay, whatever their names; of
-    repeated rows one stays; an empty table gives no rows.
+    them at any number of rows (see ``set_links``). Null and empty texts and others without words are equal; very long
+    texts are taken whole. All columns of ``docs`` stay, whatever their names; of repeated rows one stays; an empty
+    table gives no rows.
     """
-    plain = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.xxhash64(F.col(f"`{text_col}`")).alias("th"), text_bytes(f"`{text_col}`").alias("text"))
-    common = plain.sparkSession.sparkContext.broadcast(_common(plain, shingle))
+    own_names, (docs, at) = docs.columns, renamed(docs)
+    spark = docs.sparkSession
+    scratch = Scratch(spark)
+    ident = F.col(at[id_col]).cast("long")
+    row_id = [F.coalesce(ident, F.lit(0).cast("long")).alias("id"), ident.isNull().alias("none"), F.xxhash64(F.col(at[text_col])).alias("th")]
+    keys = ["id", "none", "th"]
+    plain = docs.select(*row_id, text_bytes(at[text_col]).alias("text"))
+    common = spark.sparkContext.broadcast(_common(plain, shingle))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in by_bytes(batches, 2, 8 << 20):
-            sets = [shingle_set(t, shingle) for t in b.column(2).to_pylist()]
-            fp = np.array([xxhash.xxh64_intdigest(s.tobytes(), 42) for s in sets], np.uint64).view(np.int64)
+        for b in by_bytes(batches, 3, 8 << 20):
+            sets = [shingle_set(t, shingle) for t in b.column(3).to_pylist()]
+            node = np.array([xxhash.xxh64_intdigest(s.tobytes(), 42) for s in sets], np.uint64).view(np.int64)
+            prints = np.array(list(map(set_fingerprint, sets)), np.uint64).view(np.int64)
             prefix = [prefix_of(s, similarity, common.value).tobytes() for s in sets]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fp), pa.array(list(map(len, sets)), pa.int64()), pa.array(prefix, pa.binary())], names=["id", "th", "fp", "n", "prefix"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(node), pa.array(list(map(len, sets)), pa.int64()), pa.array(prints), pa.array(prefix, pa.binary())], names=[*keys, "node", "n", "print", "prefix"])
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in by_bytes(batches, 1, 8 << 20):
-            own = [shingle_set(t, shingle).tobytes() for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(own, pa.binary())], names=["fp", "set"])
+            found = [shingle_set(t, shingle).tobytes() for t in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.binary())], names=["node", "set"])
 
-    own = materialize(plain.mapInArrow(run, "id long, th long, fp long, n long, prefix binary"))
-    distinct = materialize(own.where("n > 0").select("fp", "n", "prefix").dropDuplicates(["fp"]))
+    own = scratch.keep(plain.mapInArrow(run, "id long, none boolean, th long, node long, n long, print long, prefix binary"))
+    first = scratch.keep(own.groupBy("node").agg(F.min(F.struct("none", "id", "th")).alias("first")))
 
     def sets_of(wanted: DataFrame) -> DataFrame:
-        texts = materialize(own.join(wanted, "fp", "left_semi").groupBy("fp").agg(F.min("th").alias("th")))
-        few = F.broadcast(texts) if texts.count() <= 1 << 20 else texts
-        return plain.select("th", "text").join(few, "th").select("fp", "text").mapInArrow(sets, "fp long, set binary").dropDuplicates(["fp"])
-
-    found = _components(own.select("id", "th", "fp"), set_links(distinct, sets_of, similarity, crowded))
-    kept = found.where(F.col("id").eqNullSafe(F.col("low")) & (F.col("th") == F.col("low_th"))).select(F.col("id").alias("__k"), F.col("th").alias("__t")).distinct()
-    keyed = docs.withColumn("__th", F.xxhash64(F.col(f"`{text_col}`"))).withColumn("__id", F.col(f"`{id_col}`").cast("long"))
-    here = keyed.join(kept, F.col("__id").eqNullSafe(F.col("__k")) & (F.col("__th") == F.col("__t")))
-    return here.dropDuplicates(["__id", "__th"]).select(*[F.col(f"`{c}`") for c in docs.columns])
+        rows = scratch.keep(first.join(wanted, "node", "left_semi").select("node", "first.*"))
+        few = F.broadcast(rows) if rows.count() <= FEW else rows
+        return plain.join(few, keys).select("node", "text").mapInArrow(sets, "node long, set binary").dropDuplicates(["node"])
+
+    parts = connected_components(set_links(own.where("n > 0"), sets_of, scratch, similarity, radius, crowded), scratch)
+    kept = first.join(parts, "node", "left").groupBy(F.coalesce("component", "node").alias("component")).agg(F.min("first").alias("first")).select("first.*")
+    kept = scratch.keep(kept)
+    again = scratch.keep(own.groupBy(*keys).count().where("count > 1").select(keys))
+    gone = materialize(own.select(keys).distinct().join(kept, keys, "left_anti").unionByName(again).distinct())
+    back = materialize(again.join(kept, keys, "left_semi"))
+    scratch.close()
+    keyed = docs.select("*", *row_id)
+    out = keyed.join(F.broadcast(gone) if gone.count() <= FEW else gone, keys, "left_anti")
+    if not back.isEmpty():
+        out = out.unionByName(keyed.join(back, keys, "left_semi").dropDuplicates(keys))
+    return out.drop(*keys).toDF(*own_names)
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
