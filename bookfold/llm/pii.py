@@ -13,7 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import renamed, table
 
 ROUNDS = 8
 #: Days that dates are permuted among: 1900-01-01 to 2099-12-31.
@@ -23,13 +23,14 @@ EARLIEST_DAY, ALL_DAYS = "0001-01-01", 3652059
 #: Hex digits that are permuted at once; longer secrets are cut into pieces.
 PIECE = 128
 
-EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"
+# A host name has at most 127 labels; the bound also keeps the matcher's recursion shallow.
+EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+){0,125}\.[A-Za-z]{2,}"
 SECRET = r"(?<![A-Za-z0-9])[0-9a-f]{32,}+(?![A-Za-z0-9])"
 ADDRESS = r"(?<![\d.])(?:\d{1,3}\.){3}\d{1,3}(?!\.?\d)"
 DATE = r"(?<!\d)\d{4}-\d{2}-\d{2}(?!\d)"
 SOCIAL = r"(?<!\d)\d{3}-\d{2}-\d{4}(?!\d)"
 PHONE = r"(?<!\d)(?:\+\d{1,3}[ .-]?)?(?:\(\d{3}\)[ .-]?|\d{3}[ .-])\d{3}[ .-]\d{4}(?!\d)"
-CARD = r"(?<!\d)(?:\d{13,19}|\d{4}([ -])\d{4}\1\d{4}\1\d{4})(?!\d)"
+CARD = r"(?<!\d)(?:\d{13,19}|\d{4}([ -])\d{4}\1\d{4}\1\d{4}|\d{4}([ -])\d{6}\2\d{5})(?!\d)"
 ANY = "|".join([EMAIL, SECRET, ADDRESS, DATE, SOCIAL, PHONE, CARD])
 
 
@@ -156,6 +157,22 @@ def _date(m: Column, key: str) -> Column:
     return F.when((day >= 0) & (day < DAYS), _walked(day, 5, lambda d: d < DAYS, FIRST_DAY, key, "date")).when(other(far), _walked(far, 7, other, EARLIEST_DAY, key, "far date"))
 
 
+def _social(m: Column, key: str) -> Column:
+    """Numbers of areas, groups and series that are issued walk the permutation until they meet such a number again."""
+
+    def valid(d: Column) -> Column:
+        digit = lambda k: F.get(d, F.lit(k))
+        area = digit(0) * 100 + digit(1) * 10 + digit(2)
+        return ~area.isin(0, 666) & (area < 900) & (digit(3) + digit(4) > 0) & (digit(5) + digit(6) + digit(7) + digit(8) > 0)
+
+    def step(s: Column, _: Column) -> Column:
+        return F.when(s["done"], s).otherwise(let(feistel(s["d"], _tens(s["d"]), key, "social"), lambda d: F.struct(d.alias("d"), valid(d).alias("done"))))
+
+    start = lambda d: F.struct(d.alias("d"), F.lit(False).alias("done"))
+    walk = lambda d: F.aggregate(F.array_repeat(F.lit(0), 64), start(d), step, lambda s: F.when(s["done"], _refilled(m, s["d"])))
+    return let(_numbers(m), lambda d: F.when(valid(d), walk(d)))
+
+
 def _email(m: Column, key: str) -> Column:
     name = F.regexp_extract(m, r"^(.*)(\.[A-Za-z]+)$", 1)
     return F.concat(_permuted(name, key, "email"), F.regexp_extract(m, r"(\.[A-Za-z]+)$", 1))
@@ -174,8 +191,8 @@ def pseudonym(found: Column, key: str) -> Column:
         .when(found.rlike("^[0-9a-f]{32,}$"), _secret(found, key))
         .when(found.rlike(r"^[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+$"), _address(found, key))
         .when(found.rlike("^[0-9]{4}-[0-9]{2}-[0-9]{2}$"), _date(found, key))
-        .when(found.rlike("^[0-9]{3}-[0-9]{2}-[0-9]{4}$"), let(_numbers(found), lambda d: _refilled(found, feistel(d, _tens(d), key, "social"))))
-        .when(found.rlike("^[0-9]{13,19}$|^[0-9]{4}[ -][0-9]{4}[ -][0-9]{4}[ -]"), _card(found, key))
+        .when(found.rlike("^[0-9]{3}-[0-9]{2}-[0-9]{4}$"), _social(found, key))
+        .when(found.rlike("^[0-9]{13,19}$|^[0-9]{4}[ -][0-9]{4}[ -][0-9]{4}[ -]|^[0-9]{4}[ -][0-9]{6}[ -]"), _card(found, key))
         .otherwise(_phone(found, key))
     )
     return F.coalesce(new, found)
@@ -184,21 +201,24 @@ def pseudonym(found: Column, key: str) -> Column:
 def pseudonymise(docs: DataFrame, key: str, text_col: str = "text", count_col: str | None = None) -> DataFrame:
     """``docs`` with the personal data in its text replaced; all other columns stay.
 
-    Covers e-mail addresses, phone and social security numbers, cards, IP addresses, ISO dates and hex
-    secrets. Null texts stay null; a text without a match stays as it is. ``count_col`` names a column for
-    the number of values that were replaced. Keep ``key`` secret: who has it can undo the permutation.
+    Covers e-mail addresses, phone and social security numbers, cards, IPv4 addresses, ISO dates and hex secrets; of
+    these, all but mail, phones and secrets that aren't valid stay. Null texts stay null; a text without a match, an empty one among them, stays as it is; very long texts are taken whole;
+    repeated rows are treated alike and stay; an empty table gives no rows; other columns may have any names.
+    ``count_col`` names a column for the number of values that were replaced. Keep ``key`` secret: who has it can undo
+    the permutation. It is a literal of the plan: where plans are logged, set ``spark.sql.redaction.string.regex``.
     """
-    text = F.col(f"`{text_col}`").cast("string")
+    names, (wide, at) = docs.columns, renamed(docs)
+    column = at[text_col]
+    text = F.col(column).cast("string")
     some = text.rlike("[0-9@]")
-    found = F.when(some, F.regexp_extract_all(text, F.lit(ANY), F.lit(0))).otherwise(F.array().cast("array<string>"))
-    names = docs.columns
-    wide = docs.withColumn("__found", found)
-    wide = wide.withColumn("__new", F.transform("__found", lambda m: pseudonym(m, key)))
+    wide = wide.withColumn("found", F.when(some, F.regexp_extract_all(text, F.lit(ANY), F.lit(0))).otherwise(F.array().cast("array<string>")))
+    wide = wide.withColumn("new", F.transform("found", lambda m: pseudonym(m, key)))
     parts = F.split(text, ANY, -1)
-    joined = F.array_join(F.zip_with(parts, F.col("__new"), lambda p, n: F.concat(p, F.coalesce(n, F.lit("")))), "")
-    n = F.coalesce(F.aggregate(F.zip_with("__found", "__new", lambda a, b: (a != b).cast("int")), F.lit(0), lambda a, x: a + x), F.lit(0)).cast("long")
-    new = F.when(F.size("__found") > 0, joined).otherwise(text)
-    return wide.select(*[new.alias(c) if c == text_col else F.col(f"`{c}`") for c in names], *([n.alias(count_col)] if count_col else []))
+    joined = F.array_join(F.zip_with(parts, F.col("new"), lambda p, n: F.concat(p, F.coalesce(n, F.lit("")))), "")
+    n = F.coalesce(F.aggregate(F.zip_with("found", "new", lambda a, b: (a != b).cast("int")), F.lit(0), lambda a, x: a + x), F.lit(0)).cast("long")
+    new = F.when(F.size("found") > 0, joined).otherwise(text)
+    out = wide.select(*[new if at[c] == column else F.col(at[c]) for c in names], *([n] if count_col else []))
+    return out.toDF(*names, *([count_col] if count_col else []))
 
 
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
