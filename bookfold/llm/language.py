@@ -27,8 +27,11 @@ _BITS = np.uint64(16)
 
 
 def words_of(text: bytes | None) -> list[str]:
-    """Lower-cased runs of letters."""
-    return [w for w in _WORD.findall(text.decode().lower()) if w.isalpha()] if text else []
+    """Lower-cased runs of letters. (The pattern also takes numbers such as \u00b2 into a run; these end a word.)"""
+    found = _WORD.findall(text.decode().lower()) if text else []
+    if all(map(str.isalpha, found)):
+        return found
+    return [w for run in found for w in ([run] if run.isalpha() else "".join(c if c.isalpha() else " " for c in run).split())]
 
 
 def grams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -202,7 +205,9 @@ def identify(docs: DataFrame, models: Models | None, *keep: str) -> DataFrame:
     """``keep, lang_pred, score, rejected`` for the texts in column ``text`` of ``docs``.
 
     ``lang_pred`` is ``und`` and ``score`` 0 for null texts and texts without a letter (or without models);
-    ``rejected`` says that the best entropy is over the limit of its language, or that there is none.
+    ``rejected`` says that the best entropy is over the limit of its language, or that there is none. Very long texts
+    are scored whole; repeated rows stay, with equal results; of other columns only ``keep`` is read; an empty table
+    gives no rows.
     """
     if models is None:
         return docs.select(*keep, F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(True).alias("rejected"))
