@@ -7,10 +7,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, table
+from .common import materialize, renamed, table
 
 
 def shard(docs: DataFrame, shards: int, id_col: str = "doc_id", text_col: str = "text", slack: float = 0.01) -> DataFrame:
@@ -22,14 +22,16 @@ def shard(docs: DataFrame, shards: int, id_col: str = "doc_id", text_col: str =
     the middle of its first row lies, unless it holds more than ``slack`` of a shard's bytes: then it is cut row by row. So no
     shard is off by more than ``slack`` and its largest row. ``slot`` counts the rows of a shard in this order.
 
-    Null texts have a ``text_crc32`` of null and form one group; repeated rows stay; an empty table gives none.
+    So a group that is larger than the slack is not kept together: the law is equal bytes, and a hot group would break it.
+    Null texts have a ``text_crc32`` of null and form one group; very long texts count by their bytes; repeated rows
+    stay; other columns aren't read, whatever their names; an empty table gives none.
 
     Only totals go through the driver: a row per partition, and the groups too large to stay whole, of
     which there can be at most ``shards / slack``.
     """
-    text = F.col(text_col).cast("string")
+    text = F.col(f"`{text_col}`").cast("string")
     sizes = docs.select(
-        F.col(id_col).alias("doc_id"),
+        F.col(f"`{id_col}`").alias("doc_id"),
         (F.coalesce(F.octet_length(text), F.lit(0)) + 1).cast("long").alias("size"),
         F.crc32(text.cast("binary")).alias("text_crc32"),
         F.xxhash64(text).alias("h"),
@@ -104,12 +106,18 @@ def shard(docs: DataFrame, shards: int, id_col: str = "doc_id", text_col: str =
 def write_shards(docs: DataFrame, path: str, shards: int, id_col: str = "doc_id", text_col: str = "text") -> None:
     """Write ``docs`` as Parquet, a folder ``shard=k`` for each shard, rows in slot order.
 
-    Rows are matched to their places by id and text, so ids should be unique.
+    Rows are matched to their places by id and text; repeated rows take the places of these one each.
     """
-    places = shard(docs, shards, id_col, text_col).select(F.col("doc_id").alias("__id"), F.col("text_crc32").alias("__crc"), "shard", "slot")
-    keyed = docs.withColumn("__c", F.crc32(F.col(text_col).cast("string").cast("binary")))
-    placed = keyed.join(places, F.col(id_col).eqNullSafe(F.col("__id")) & F.col("__c").eqNullSafe(F.col("__crc"))).drop("__id", "__crc", "__c")
-    placed.repartition(max(shards, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "shard", (F.col("slot") / 100_000).cast("int")).sortWithinPartitions("shard", "slot").write.partitionBy("shard").mode("overwrite").parquet(path)
+    wide, at = renamed(docs)
+    again = lambda *by: F.row_number().over(Window.partitionBy(*by).orderBy(by[-1]))
+    places = shard(wide, shards, at[id_col], at[text_col]).select(F.col("doc_id").alias("place_id"), F.col("text_crc32").alias("place_crc"), "shard", "slot")
+    places = places.withColumn("place_k", again("place_id", "place_crc"))
+    keyed = wide.withColumn("crc", F.crc32(F.col(at[text_col]).cast("string").cast("binary"))).withColumn("k", again(at[id_col], "crc"))
+    same = F.col(at[id_col]).eqNullSafe(F.col("place_id")) & F.col("crc").eqNullSafe(F.col("place_crc")) & (F.col("k") == F.col("place_k"))
+    placed = keyed.join(places, same).select(*at.values(), "shard", "slot")
+    parts = max(shards, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    dealt = placed.repartition(parts, "shard", (F.col("slot") / 100_000).cast("int")).sortWithinPartitions("shard", "slot")
+    dealt.toDF(*docs.columns, "shard", "slot").write.partitionBy("shard").mode("overwrite").parquet(path)
 
 
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
