@@ -1,9 +1,11 @@
 """Quality rules with risk-controlled thresholds, in DataFrame functions only.
 
-Each rule rejects a document whose metric is over a cutoff. Per stratum and rule, cutoffs are tried from
-the loosest to the strictest on the labelled good documents, as long as an exact binomial (Clopper-Pearson)
-bound shows a false-rejection rate of at most ``risk``: the chance of as few rejections as were seen,
-were the rate ``risk``, must not exceed delta / (rules x strata). The order within a rule is fixed
+Each rule rejects a document whose metric is over a cutoff. All rules together reject at most a share ``risk`` of a
+stratum's good documents, in every stratum at once, with confidence 1 - ``delta``: each rule gets an equal part of the
+risk (what several rules reject is at most the sum). Per stratum and rule, cutoffs are tried from the loosest to the
+strictest on the labelled good documents, as long as an exact binomial (Clopper-Pearson) bound shows a false-rejection
+rate of at most risk / rules: the chance of as few rejections as were seen, were that the rate, must not exceed
+delta / (rules x strata). The order within a rule is fixed
 beforehand, so no further correction is due there; over rules and strata it is Bonferroni's. A stratum with
 too few labels to show it keeps every cutoff at infinity: its rule rejects nothing."""
 
@@ -15,6 +17,8 @@ from pyspark.sql import functions as F
 from .common import materialize, table
 
 WINDOW = 8
+#: False rejections of a stratum's good documents, all rules together.
+RISK = 0.025
 #: Rules and their cutoffs, loosest first.
 CUTOFFS: dict[str, list[float]] = {
     "symbols_per_word": [3.0, 2.0, 1.5, 1.0, 0.7, 0.5, 0.35, 0.25, 0.15, 0.1, 0.05],
@@ -94,9 +98,12 @@ def _shown(rejected: Column, n: Column, risk: float, level: Column) -> Column:
     return F.when((n > 0) & (rejected < n * risk), tail <= level).otherwise(False)
 
 
-def thresholds(counts: DataFrame, labels: DataFrame, id_col: str = "doc_id", risk: float = 0.005, delta: float = 0.05) -> DataFrame:
-    """One row per stratum that has labelled good documents: its ``stratum, n_good`` and a cutoff per rule."""
-    good = labels.where((F.col("quality") == 1) & (F.col("toxic") == 0) & F.col(id_col).isNotNull()).select(F.col(id_col).alias("k")).distinct()
+def thresholds(counts: DataFrame, labels: DataFrame, id_col: str = "doc_id", risk: float = RISK, delta: float = 0.05) -> DataFrame:
+    """One row per stratum that has labelled good documents: its ``stratum, n_good`` and a cutoff per rule.
+
+    A document is good if all its rows in ``labels`` say so. ``risk`` is that of all rules together."""
+    says = F.coalesce((F.col("quality") == 1) & (F.col("toxic") == 0), F.lit(False))
+    good = labels.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("k")).agg(F.min(says).alias("good")).where("good")
     # what the fixed rules reject isn't the thresholds' doing
     held = counts.join(good, F.col("doc_id") == F.col("k"), "left_semi").where(~base_failed())
     seen = [F.array(*[F.sum((_ratio(r) > c).cast("long")) for c in cuts]).alias(f"{r}_rejected") for r, cuts in CUTOFFS.items()]
@@ -106,7 +113,7 @@ def thresholds(counts: DataFrame, labels: DataFrame, id_col: str = "doc_id", ris
     out = per.crossJoin(F.broadcast(strata))  # one row
     chosen = []
     for r, cuts in CUTOFFS.items():
-        passed = F.transform(f"{r}_rejected", lambda x: _shown(x, F.col("n_good"), risk, level))
+        passed = F.transform(f"{r}_rejected", lambda x: _shown(x, F.col("n_good"), risk / len(CUTOFFS), level))
         first_miss = F.array_position(passed, False)
         count = F.when(first_miss == 0, len(cuts)).otherwise(first_miss - 1).cast("int")
         chosen.append(F.coalesce(F.get(F.array(*map(F.lit, cuts)), count - 1), F.lit(float("inf"))).alias(r))
@@ -117,14 +124,15 @@ def base_failed(least_words: int = 20, most_repeated: int = 30) -> Column:
     return (F.col("n_words") < least_words) | (100 * F.col("n_repeat_words") > most_repeated * F.col("n_words"))
 
 
-def quality_rules(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", stratum: str | None = "lang", risk: float = 0.005, delta: float = 0.05) -> DataFrame:
+def quality_rules(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", stratum: str | None = "lang", risk: float = RISK, delta: float = 0.05) -> DataFrame:
     """One row per row of ``docs``: ``doc_id, n_words``, the counts, ``base_failed, kept`` and ``failed_rules``.
 
     Null texts have no words and fail the base; a null stratum is a stratum; rows with equal ids are judged
-    each by itself; labels without a document (or with nulls) are ignored; other columns are not read.
+    each by itself; very long texts are counted whole; labels without a document (or with null ids) are ignored and
+    ones with null marks say no; other columns are not read; an empty table gives no rows.
     """
     counts = materialize(metrics(docs, id_col, text_col, stratum))
-    cut = thresholds(counts, labels, risk=risk, delta=delta).withColumnRenamed("stratum", "s")
+    cut = thresholds(counts, labels, id_col, risk, delta).withColumnRenamed("stratum", "s")
     judged = counts.join(cut, F.col("stratum").eqNullSafe(F.col("s")), "left")
     failed = F.filter(F.array(*[F.when(_ratio(r) > F.col(r), F.lit(r)) for r in CUTOFFS]), lambda x: x.isNotNull())
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base_failed().alias("base_failed"), (~base_failed() & (F.size(failed) == 0)).alias("kept"), F.array_join(failed, ",").alias("failed_rules"))
