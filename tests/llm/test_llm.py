@@ -7,7 +7,7 @@ import zlib
 import numpy as np
 import pytest
 
-from bookfold.llm import bpe, edit_bands, edit_embedding, importance, language, packing, pii, quality_rules, sharding, simhash, substring
+from bookfold.llm import bpe, common, edit_bands, edit_embedding, importance, language, packing, pii, quality_rules, sharding, simhash, substring
 
 ODD = [(3, None), (1, ""), (2, "one"), (2, "one"), (None, "two words"), (7, " \t\n"), (5, "a b c d e f g h i j k l m n o p q r s t u v " * 3)]
 SCHEMA = "doc_id long, text string"
@@ -37,7 +37,7 @@ def test_simhash_components(spark, odd):
     assert simhash.near_dedup(odd).columns == odd.columns
 
 
-def test_near_dedup_wide_fingerprints(spark):
+def test_near_dedup_groups(spark):
     rnd = random.Random(5)
     base = [[f"w{rnd.randrange(5000)}" for _ in range(200)] for _ in range(40)]
     rows = []
@@ -47,13 +47,6 @@ def test_near_dedup_wide_fingerprints(spark):
     docs = spark.createDataFrame(rows, SCHEMA)
     for crowded in (4096, 1):
         assert sorted(r.doc_id for r in simhash.near_dedup(docs, crowded=crowded).collect()) == list(range(40))
-    print_of = {i: np.frombuffer(simhash.wide_fingerprint(t.encode()), np.uint64) for i, t in rows}
-    low = {i: i for i in print_of}
-    for a in print_of:
-        for b in print_of:
-            if np.bitwise_count(print_of[a] ^ print_of[b]).sum() <= simhash.radius_for(0.8):
-                low[a] = low[b] = min(low[a], low[b])
-    assert set(low.values()) == set(range(40))
 
 
 def _jaccard(a: str, b: str) -> float:
@@ -84,8 +77,8 @@ def test_near_dedup_finds_every_pair_at_the_similarity(spark, monkeypatch):
         rows += [(i, " ".join(w)), (100 + i, " ".join([*w[:182], *[f"x{rnd.randrange(10**6)}" for _ in range(22)]]))]
     assert all(0.8 <= _jaccard(a[1], b[1]) < 0.81 for a, b in zip(rows[::2], rows[1::2]))
     docs = spark.createDataFrame(rows, SCHEMA)
-    for small, crowded in ((64, 4096), (1, 1)):
-        monkeypatch.setattr(simhash, "SMALL", small)
+    for listed, crowded in ((32, 4096), (0, 1)):
+        monkeypatch.setattr(simhash, "LISTED", listed)
         assert sorted(r.doc_id for r in simhash.near_dedup(docs, crowded=crowded).collect()) == list(range(60))
 
 
@@ -195,7 +188,7 @@ def test_edit_bands_brute_force(spark):
     packed = [(i, edit_embedding._packed(f), len(f)) for (i, _), f in zip(rows, prints)]
     distinct = spark.createDataFrame(packed, "node long, digits binary, n_digits int").dropDuplicates(["digits"])
     for crowded in (4096, 16):
-        found = {r.node: r.component for r in edit_bands.near_components(distinct, crowded=crowded).collect()}
+        found = {r.node: r.component for r in edit_bands.near_components(distinct, common.Scratch(spark), crowded=crowded).collect()}
         assert all(low[a] == low[b] for a, b in found.items())
     got = {r.doc_id: r.near_component for r in edit_embedding.fingerprint_documents(docs).collect()}
     assert all(low[i] == low[c] for i, c in got.items())
