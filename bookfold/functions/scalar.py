@@ -60,7 +60,25 @@ def floor_to(ns: Column, step: int) -> Column:
     return ns - F.pmod(ns, F.lit(step))
 
 
+def scaled(ticks: Column, digits: int, keep: int) -> Column:
+    """Integer ticks as a decimal of ``digits`` decimals, rounded to ``keep``."""
+    return F.round(ticks.cast("decimal(18,0)") * F.lit(f"1e-{digits}").cast(f"decimal(18,{digits})"), keep)
+
+
+#: SQL functions by name: parameters, result and body.
+SQL = {
+    "venue_bit": ("v INT", "BIGINT", "CASE WHEN v BETWEEN 0 AND 63 THEN shiftleft(1L, v) ELSE raise_error('venue not in 0..63') END"),
+    "set_venue": ("m BIGINT, v INT", "BIGINT", "m | venue_bit(v)"),
+    "clear_venue": ("m BIGINT, v INT", "BIGINT", "m & ~venue_bit(v)"),
+    "has_venue": ("m BIGINT, v INT", "BOOLEAN", "(m & venue_bit(v)) <> 0"),
+    "mask_text": ("m BIGINT, n INT", "STRING", "right(lpad(bin(m), 64, '0'), n)"),
+    "floor_ns": ("t BIGINT, step BIGINT", "BIGINT", "t - pmod(t, step)"),
+    "time_text": ("t BIGINT", "STRING", "concat(date_format(timestamp_micros((t - pmod(t, 1000L)) div 1000L), 'yyyy-MM-dd HH:mm:ss.SSSSSS'), lpad(cast(pmod(t, 1000L) AS STRING), 3, '0'))"),
+    "hms_text": ("t BIGINT", "STRING", "concat(date_format(timestamp_micros((t - pmod(t, 1000L)) div 1000L), 'HH:mm:ss'), CASE WHEN pmod(t, 1000000000L) = 0 THEN '' ELSE concat('.', rtrim('0', lpad(cast(pmod(t, 1000000000L) AS STRING), 9, '0'))) END)"),
+}
+
+
 def register(spark) -> None:
-    """SQL functions of the same names."""
-    spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION mask_text(m BIGINT, n INT) RETURNS STRING RETURN right(lpad(bin(m), 64, '0'), n)")
-    spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION venue_bit(v INT) RETURNS BIGINT RETURN shiftleft(1L, v)")
+    """SQL functions of the scalars; times are read in the session's time zone, which should be UTC."""
+    for name, (parameters, result, body) in SQL.items():
+        spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}({parameters}) RETURNS {result} RETURN {body}")

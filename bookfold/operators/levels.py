@@ -6,17 +6,53 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def level_history(book: DataFrame, by=("side", "price"), time: str = "time", qty: str = "qty", seq: str = "seq", coalesce_intervals: bool = False) -> DataFrame:
+def _neighbours(rows: DataFrame, by, order, bucket: int | None, before: dict, after: dict) -> DataFrame:
+    """``rows`` with the columns named in ``before`` and ``after``: the value of a column in the row before or after.
+
+    With ``bucket``, rows are sorted within buckets of the first ``order`` column, so that a level with most of the rows
+    isn't one task's work; what a bucket has before and after it comes from a table with one row per level and bucket."""
+    if bucket is None:
+        w = Window.partitionBy(*by).orderBy(*order)
+        return rows.withColumns({k: F.lag(c).over(w) for k, c in before.items()} | {k: F.lead(c).over(w) for k, c in after.items()})
+    dealt = rows.withColumn("__b", F.floor(F.col(order[0]) / bucket))
+    w = Window.partitionBy(*by, "__b").orderBy(*order)
+    inside = dealt.withColumns({k: F.lag(F.struct(c)).over(w) for k, c in before.items()} | {k: F.lead(F.struct(c)).over(w) for k, c in after.items()})
+    at = F.struct(*order)
+    ends = dealt.groupBy(*by, "__b").agg(*[F.max_by(F.struct(c), at).alias(f"__{k}") for k, c in before.items()], *[F.min_by(F.struct(c), at).alias(f"__{k}") for k, c in after.items()])
+    over = Window.partitionBy(*by).orderBy("__b")
+    ends = ends.select(*by, "__b", *[F.lag(f"__{k}").over(over).alias(f"__{k}") for k in before], *[F.lead(f"__{k}").over(over).alias(f"__{k}") for k in after])
+    return inside.join(ends, [*by, "__b"]).withColumns({k: F.coalesce(k, f"__{k}")[c] for k, c in (before | after).items()}).select(*rows.columns, *before, *after)
+
+
+def level_history(book: DataFrame, by=("side", "price"), time: str = "time", qty: str = "qty", seq: str = "seq", coalesce_intervals: bool = False, bucket: int | None = None) -> DataFrame:
     """``open, close, onqty`` of each level setting; settings that change nothing are dropped.
 
     ``close`` is the time of the level's next setting (of the next that changes something, with
-    ``coalesce_intervals``), null for the last. One shuffle by level serves lead and lag.
+    ``coalesce_intervals``), null for the last. One shuffle by level serves lead and lag; with ``bucket`` (in units of
+    time) hot levels are cut by time.
     """
-    w = Window.partitionBy(*by).orderBy(time, seq)
-    out = book.withColumn("onqty", F.col(qty) - F.coalesce(F.lag(qty).over(w), F.lit(0)))
+    order = (time, seq)
     if coalesce_intervals:
-        return out.where("onqty <> 0").withColumn("close", F.lead(time).over(w)).withColumn("open", F.col(time))
-    return out.withColumn("close", F.lead(time).over(w)).where("onqty <> 0").withColumn("open", F.col(time))
+        own = _neighbours(book, by, order, bucket, {"__was": qty}, {})
+        own = own.withColumn("onqty", F.col(qty) - F.coalesce("__was", F.lit(0))).where("onqty <> 0").drop("__was")
+        return _neighbours(own, by, order, bucket, {}, {"close": time}).withColumn("open", F.col(time))
+    own = _neighbours(book, by, order, bucket, {"__was": qty}, {"close": time})
+    return own.withColumn("onqty", F.col(qty) - F.coalesce("__was", F.lit(0))).where("onqty <> 0").drop("__was").withColumn("open", F.col(time))
+
+
+def close_times(depth: DataFrame, by=("side", "price"), time: str = "time", name: str = "ctime") -> DataFrame:
+    """Depth rows with the time of the level's next row (null for the last)."""
+    return depth.withColumn(name, F.lead(time).over(Window.partitionBy(*by).orderBy(time)))
+
+
+def argsort(rows: DataFrame, by=("side", "price"), order=("time", "seq"), name: str = "rank") -> DataFrame:
+    """The position of each row in the order of ``by`` and then ``order``, from 0.
+
+    Rows are sorted level by level; what comes before a level is summed over a table of one row per level."""
+    counts = rows.groupBy(*by).agg(F.count("*").alias("__n"))
+    before = counts.withColumn("__before", F.coalesce(F.sum("__n").over(Window.orderBy(*by).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("__n")
+    inside = F.row_number().over(Window.partitionBy(*by).orderBy(*order))
+    return rows.withColumn("__i", inside).join(before, list(by)).withColumn(name, (F.col("__before") + F.col("__i") - 1).cast("long")).drop("__i", "__before")
 
 
 def snapshot_at(levels: DataFrame, at, qty: str = "qty") -> DataFrame:
@@ -25,13 +61,20 @@ def snapshot_at(levels: DataFrame, at, qty: str = "qty") -> DataFrame:
     return levels.where((F.col("open") <= t) & (F.col("close").isNull() | (F.col("close") >= t)) & ((F.col("open") == t) | (F.col(qty) > 0)))
 
 
-def cumulate(orders: DataFrame, by=("side", "price"), qty: str = "qty", t0: str = "t0", t1: str = "t1") -> DataFrame:
-    """Depth of each level over time: orders add their quantity at ``t0`` and take it away at ``t1`` (null: never)."""
+def cumulate(orders: DataFrame, by=("side", "price"), qty: str = "qty", t0: str = "t0", t1: str = "t1", bucket: int | None = None) -> DataFrame:
+    """Depth of each level over time: orders add their quantity at ``t0`` and take it away at ``t1`` (null: never).
+
+    With ``bucket``, a level is summed bucket by bucket of time, after the totals of the buckets before."""
     ins = orders.select(*by, F.col(t0).alias("time"), F.col(qty).alias("q"))
     outs = orders.where(F.col(t1).isNotNull()).select(*by, F.col(t1).alias("time"), (-F.col(qty)).alias("q"))
     net = ins.unionByName(outs).groupBy(*by, "time").agg(F.sum("q").alias("q"))
-    w = Window.partitionBy(*by).orderBy("time").rowsBetween(Window.unboundedPreceding, 0)
-    return net.withColumn("cm_qty", F.sum("q").over(w)).drop("q")
+    if bucket is None:
+        return net.withColumn("cm_qty", F.sum("q").over(Window.partitionBy(*by).orderBy("time").rowsBetween(Window.unboundedPreceding, 0))).drop("q")
+    net = net.withColumn("__b", F.floor(F.col("time") / bucket))
+    before = Window.partitionBy(*by).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+    sums = net.groupBy(*by, "__b").agg(F.sum("q").alias("__q")).withColumn("__q", F.coalesce(F.sum("__q").over(before), F.lit(0)))
+    inside = F.sum("q").over(Window.partitionBy(*by, "__b").orderBy("time").rowsBetween(Window.unboundedPreceding, 0))
+    return net.withColumn("__in", inside).join(sums, [*by, "__b"]).withColumn("cm_qty", F.col("__in") + F.col("__q")).drop("q", "__b", "__in", "__q")
 
 
 def top_n(rows: DataFrame, by, order, n: int) -> DataFrame:

@@ -14,11 +14,15 @@ def nbbo(quotes: DataFrame, n_venues: int, mode: str = "published", bucket: int
     """Consolidate ``quotes`` (``t, iline, bv, bp, bq, sv, sp, sq``); quantity <= 0 withdraws a venue's quote.
 
     Returns ``time, nbb, nbo, nbbq, nboq, b_ii, s_ii, iline, num_b, num_s``: best prices, their quantities, venue
-    masks and counts; an empty side has price, quantity and mask 0. ``published`` keeps the last row of each time
+    masks and counts; an empty side has price, quantity and mask 0.
+    A venue outside 0 to ``n_venues`` - 1 is an error; a null venue quotes nothing. ``published`` keeps the last row of each time
     if a price, quantity or mask changed; ``every_event`` keeps each row with a quote on either side.
     Rows are sorted within time buckets, which inherit each venue's last quote from a table of one row per bucket.
     """
+    if not 1 <= n_venues <= 64:
+        raise ValueError("there are 1 to 64 venues")
     venues = range(n_venues)
+    quotes = quotes.withColumns({v: F.when(F.col(v).isNull() | F.col(v).between(0, n_venues - 1), F.col(v)).otherwise(F.raise_error(F.lit(f"{v} is not a venue from 0 to {n_venues - 1}"))) for v in ("bv", "sv")})
     sides = {"b": ("bv", "bp", "bq"), "s": ("sv", "sp", "sq")}
     dealt = quotes.withColumn("__b", F.floor(F.col("t") / bucket))
     inside = Window.partitionBy("__b").orderBy("t", "iline").rowsBetween(Window.unboundedPreceding, 0)

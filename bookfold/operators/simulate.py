@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..storage import stored
 from .asof import asof_join, row_index
-from .levels import cumulate
+from .levels import close_times, cumulate, top_n
 from .verify import first_violation
 
 SECOND = 1_000_000_000
@@ -38,34 +38,76 @@ def mid_price(spark: SparkSession, start_ns: int, n_mid: int, step_ns: int, star
     return walk.join(F.broadcast(anchor)).select("t", (F.col("w") - F.col("w0") + 100 * start_mid).alias("mid"))  # one row
 
 
-def fake_orders(spark: SparkSession, n: int, n_mid: int = 5000, n_venues: int = 10, start_ns: int = 1_700_000_000 * SECOND, step_ns: int = int(1.53 * SECOND), start_mid: int = 100, sd: float = 4.0, spread: float = 50.0, seed: int = 1, bucket: int = 600 * SECOND) -> DataFrame:
-    """``order_id, side, price, venue, qty, open, close, hit``: orders around the mid as of their open.
+def fake_orders(spark: SparkSession, n: int, n_mid: int = 5000, n_venues: int = 10, start_ns: int = 1_700_000_000 * SECOND, step_ns: int = int(1.53 * SECOND), start_mid: int = 100, sd: float = 4.0, spread: float = 50.0, seed: int = 1, bucket: int = 600 * SECOND, until_crossed: bool = False, safe: bool = False) -> DataFrame:
+    """Orders around the mid as of their open: ``order_id, side, price, venue, qty, open, close, hit, sim_close, v_c, v_b,
+    mid_open, k_open, sign, mid_close, mid_sim_close``.
 
-    They live until cancelled or, where the mid crosses their price first, until a time drawn between
-    open and that crossing (``hit`` 1). Only orders alive in the window of the mid series, clamped to it.
+    An order lives until ``sim_close``, or is cancelled before (``hit`` 1) at a time drawn between its open and the first
+    time that the mid comes within ``v_b`` of its price or leaves it by more than ``v_c``. ``until_crossed`` takes 0 and
+    five times the distance for these. Only orders alive in the window of the mid series, clamped to it; ``safe`` keeps
+    at most n / 2 orders of each side that aren't hit, if there are more on both.
     """
     end_ns = start_ns + n_mid * step_ns
     mid = stored(mid_price(spark, start_ns, n_mid, step_ns, start_mid, sd, seed))
     i = F.col("order_id")
+    index = stored(row_index(mid, "t", bucket))
+    first, last = mid.agg(F.min("t"), F.max("t")).first()
+    span = last - first
     raw = spark.range(int(1.5 * n)).select(F.col("id").alias("order_id"))
-    span = end_ns - start_ns
-    raw = raw.select("order_id", F.when(uniform(seed, "side", i) < 0.5, "b").otherwise("s").alias("side"), F.floor(uniform(seed, "venue", i) * n_venues).cast("int").alias("venue"), F.round(uniform(seed, "qty", i) * 1000).cast("long").alias("qty"), (F.lit(start_ns) + (uniform(seed, "t0", i) * 1.25 - 0.125) * span).cast("long").alias("open"))
-    raw = raw.withColumn("close", (F.col("open") + uniform(seed, "life", i) * span / 4).cast("long")).withColumn("t", F.col("open"))
-    placed = asof_join(raw, mid, "t", values=("mid",), bucket=bucket).where("mid is not null").drop("t", "right_time")
-    away = 1 + F.round(F.abs(normal(seed, "away", i) * spread)).cast("long")
-    placed = placed.withColumn("price", F.when(F.col("side") == "b", F.col("mid") - away).otherwise(F.col("mid") + away)).drop("mid")
+    raw = raw.select("order_id", F.when(uniform(seed, "side", i) < 0.5, -1).otherwise(1).alias("sign"), F.floor(uniform(seed, "venue", i) * n_venues).cast("int").alias("venue"), F.round(uniform(seed, "qty", i) * 1000).cast("long").alias("qty"), (F.lit(first) + uniform(seed, "t0", i) * span).cast("long").alias("open"))
+    raw = raw.withColumn("side", F.when(F.col("sign") == 1, "b").otherwise("s")).withColumn("t", F.col("open"))
+
+    def as_of(rows: DataFrame, time: str, **named: str) -> DataFrame:
+        found = asof_join(rows.withColumn("t", F.col(time)), index, "t", values=("mid", "k"), bucket=bucket).drop("right_time", "t")
+        return found.withColumnsRenamed(named).drop(*({"mid", "k"} - set(named)))
+
+    placed = as_of(raw, "open", mid="mid_open", k="k_open").where("mid_open is not null")
+    away = (1 + F.round(F.abs(normal(seed, "away", i) * spread))).cast("long")
+    placed = placed.withColumn("away", away).withColumn("price", F.col("mid_open") - F.col("sign") * F.col("away"))
+    near = F.lit(0).cast("long") if until_crossed else F.round(uniform(seed, "near", i) * F.col("away")).cast("long")
+    far = 5 * F.col("away") if until_crossed else 2 * F.col("away") + F.round(F.abs(normal(seed, "far", i) * spread)).cast("long")
+    placed = placed.withColumn("v_b", near).withColumn("v_c", F.greatest(far, F.col("away"))).drop("away")
+    placed = placed.withColumn("sim_close", F.least(F.col("open") + (uniform(seed, "life", i) * span).cast("long"), F.lit(end_ns)))
+    placed = stored(placed.withColumn("sim_close", F.greatest("sim_close", "open")))
     barrier = mid.select("t", F.col("mid").alias("nbb"), F.col("mid").alias("nbo"))
-    seen = first_violation(placed, barrier, bucket=bucket)
-    times = row_index(barrier, "t", bucket).select("k", F.col("t").alias("t_hit"))
-    hit = seen.join(times, seen.first_violation_k == times.k, "left").drop("k", "first_violation_k")
+    flip = F.when(F.col("side") == "b", "s").otherwise("b")
+    tried = lambda side, offset: placed.select("order_id", side.alias("side"), (F.col("price") + F.col("sign") * F.col(offset)).alias("price"), "open", F.col("sim_close").alias("close"))
+    seen = [first_violation(tried(side, offset), barrier, bucket=bucket).select("order_id", F.col("first_violation_k").alias(offset + "_k")) for side, offset in ((F.col("side"), "v_b"), (flip, "v_c"))]
+    hit = placed.join(seen[0].join(seen[1], "order_id"), "order_id").withColumn("k", F.least("v_b_k", "v_c_k")).drop("v_b_k", "v_c_k")
+    hit = hit.join(index.select("k", F.col("t").alias("t_hit")), "k", "left").drop("k")
     stop = (F.col("open") + uniform(seed, "stop", i) * F.greatest(F.col("t_hit") - F.col("open"), F.lit(0))).cast("long")
-    lived = hit.withColumn("hit", F.coalesce((F.col("t_hit") < F.col("close")) & (F.col("t_hit") >= F.col("open")), F.lit(False)).cast("int")).withColumn("close", F.when(F.col("hit") == 1, stop).otherwise(F.col("close"))).drop("t_hit")
+    lived = hit.withColumn("hit", F.coalesce((F.col("t_hit") < F.col("sim_close")) & (F.col("t_hit") >= F.col("open")), F.lit(False)).cast("int"))
+    lived = lived.withColumn("close", F.when(F.col("hit") == 1, stop).otherwise(F.col("sim_close"))).drop("t_hit")
+    lived = as_of(as_of(lived, "close", mid="mid_close"), "sim_close", mid="mid_sim_close")
     inside = lived.where((F.col("open") <= end_ns) & (F.col("close") >= start_ns))
-    return inside.withColumn("open", F.greatest("open", F.lit(start_ns - 1000))).withColumn("close", F.least("close", F.lit(end_ns + 1000)))
+    if safe:
+        inside = _safe(inside, round(n / 2))
+    inside = inside.withColumn("open", F.greatest("open", F.lit(start_ns - 1000))).withColumn("close", F.least("close", F.lit(end_ns + 1000)))
+    return inside.select("order_id", "side", "price", "venue", "qty", "open", "close", "hit", "sim_close", "v_c", "v_b", "mid_open", "k_open", "sign", "mid_close", "mid_sim_close")
+
+
+def _safe(orders: DataFrame, each: int) -> DataFrame:
+    orders = stored(orders)
+    free = orders.where("hit = 0")
+    n = {r["side"]: r["count"] for r in free.groupBy("side").count().collect()}
+    if min(n.get("b", 0), n.get("s", 0)) <= each:
+        return orders
+    return top_n(free, ["side"], ["open", "order_id"], each).unionByName(orders.where("hit = 1"))
 
 
 def fake_book(orders: DataFrame, only_hit: bool | None = None) -> DataFrame:
-    """Depth of each level over time (times floored to 10 us); ``only_hit`` keeps hit or unhit orders."""
+    """Depth of each level over time (times floored to 10 us) with the time of the level's next row (``ctime``);
+    ``only_hit`` keeps hit or unhit orders."""
     some = orders if only_hit is None else orders.where(F.col("hit") == int(only_hit))
     floor = lambda c: (F.col(c) - F.pmod(F.col(c), F.lit(10_000))).alias(c)
-    return cumulate(some.select("side", "price", "qty", floor("open"), floor("close")), t0="open", t1="close")
+    return close_times(cumulate(some.select("side", "price", "qty", floor("open"), floor("close")), t0="open", t1="close"))
+
+
+def participant(venue: Column, last: int = 5) -> Column:
+    """0 for venues up to ``last``, 1 for others."""
+    return (venue > last).cast("int")
+
+
+def hit_counts(orders: DataFrame) -> DataFrame:
+    """Orders and hit orders by side and participant."""
+    return orders.groupBy("side", participant(F.col("venue")).alias("participant")).agg(F.count("*").alias("n"), F.sum("hit").alias("hits"))

@@ -22,18 +22,31 @@ def first_violation(orders: DataFrame, barrier: DataFrame, pdiff: float = 0, eqs
 
     A row holds from its time to the next row's. Buys are violated when price + pdiff is over the offer
     (``sameside``: the bid), sells when price - pdiff is under the bid (the offer); ``eqstate`` counts
-    equality, ``timetouch`` rows that only touch the life's ends.
+    equality, ``timetouch`` rows that only touch the life's ends. Orders are told apart by a row number of their own, so
+    ids may repeat or be null, and other columns may have any names. Side is text or bytes; what starts with b or B buys.
     """
+    names = orders.columns
+    whole = stored(orders.toDF(*[f"o{i}" for i in range(len(names))]).withColumn("order_id", F.monotonically_increasing_id()))
+    at = {c: F.col(f"o{i}").alias(c) for i, c in enumerate(names)}
+    found = _first_violation(whole.select("order_id", at["side"], at["price"], at["open"], at["close"]), barrier, pdiff, eqstate, sameside, timetouch, bucket)
+    return whole.join(found, "order_id").select(*at.values(), "first_violation_k")
+
+
+#: Nodes of the tree that are broadcast at most.
+FEW = 1 << 18
+
+
+def _first_violation(orders: DataFrame, barrier: DataFrame, pdiff: float, eqstate: bool, sameside: bool, timetouch: bool, bucket: int) -> DataFrame:
     rows = stored(row_index(barrier, "t", bucket))
     n = rows.count()
     if not n:
-        return orders.withColumn("first_violation_k", F.lit(0).cast("long"))
+        return orders.select("order_id", F.lit(0).cast("long").alias("first_violation_k"))
     last = 1 << 62
     alive = orders.withColumn("__close", F.coalesce(F.col("close"), F.lit(last)))
     # the row in force at open: the last with t <= open; touching takes the one before a row that starts at open
     lo = asof_join(alive.withColumn("t", F.col("open")), rows.select("t", "k"), "t", values=("k",), allow_exact=not timetouch, bucket=bucket).drop("t", "right_time").withColumnRenamed("k", "__lo")
     hi = asof_join(lo.withColumn("t", F.col("__close")), rows.select("t", "k"), "t", values=("k",), allow_exact=timetouch, bucket=bucket).drop("t", "right_time").withColumnRenamed("k", "__hi")
-    spans = hi.select("order_id", (F.lower(F.substring("side", 1, 1)) == "b").alias("buy"), "price", F.coalesce("__lo", F.lit(0)).alias("a"), (F.col("__hi") + 1).alias("b"))
+    spans = hi.select("order_id", (F.lower(F.substring(F.col("side").cast("string"), 1, 1)) == "b").alias("buy"), "price", F.coalesce("__lo", F.lit(0)).alias("a"), (F.col("__hi") + 1).alias("b"))
     values = F.struct(F.min("nbb").alias("nbb0"), F.max("nbb").alias("nbb1"), F.min("nbo").alias("nbo0"), F.max("nbo").alias("nbo1"))
     levels = 1
     while FAN ** (levels - 1) < n:
@@ -43,20 +56,27 @@ def first_violation(orders: DataFrame, barrier: DataFrame, pdiff: float = 0, eqs
         own = rows.groupBy(F.floor(F.col("k") / FAN**level).alias("node")).agg(values.alias("v")).select(F.lit(level).alias("level"), "node", "v.*")
         tree = own if tree is None else tree.unionByName(own)
     tree = stored(tree)
+    # open-ended orders all meet the upper nodes: these are few and broadcast, only lower ones are met in a shuffle
+    top = next(k for k in range(levels + 1) if 16 / 15 * n / FAN**k <= FEW)
+
+    def met(pieces: DataFrame) -> DataFrame:
+        upper = pieces.where(F.col("level") >= top).join(F.broadcast(tree.where(F.col("level") >= top)), ["level", "node"])
+        return upper.unionByName(pieces.where(F.col("level") < top).join(tree.where(F.col("level") < top), ["level", "node"])) if top else upper
+
     buys, sells = ("nbb0", "nbo1") if sameside else ("nbo0", "nbb1")
     up, down = F.col("price") + pdiff, F.col("price") - pdiff
     hit = F.when(F.col("buy"), (up >= F.col(buys)) if eqstate else (up > F.col(buys))).otherwise((down <= F.col(sells)) if eqstate else (down < F.col(sells)))
     cover = _cover(levels)
     pieces = spans.where("a < b").select("order_id", "buy", "price", F.explode(cover).alias("p")).select("order_id", "buy", "price", "p.level", "p.node")
-    found = pieces.join(tree, ["level", "node"]).where(hit).withColumn("at", F.col("node") * F.pow(F.lit(FAN), F.col("level")).cast("long"))
+    found = met(pieces).where(hit).withColumn("at", F.col("node") * F.pow(F.lit(FAN), F.col("level")).cast("long"))
     found = found.groupBy("order_id", "buy", "price").agg(F.min(F.struct("at", "level", "node")).alias("m")).select("order_id", "buy", "price", "m.level", "m.node")
     for level in range(levels - 1, 0, -1):
         # a node of this level becomes its children, others stay for their turn
         inner = F.col("level") == level
         nodes = F.when(inner, F.sequence(F.col("node") * FAN, F.col("node") * FAN + FAN - 1)).otherwise(F.array("node"))
         children = found.select("order_id", "buy", "price", F.when(inner, level - 1).otherwise(F.col("level")).alias("level"), F.explode(nodes).alias("node"))
-        found = children.join(tree, ["level", "node"]).where(hit).groupBy("order_id", "buy", "price", "level").agg(F.min("node").alias("node"))
-    return orders.join(found.select("order_id", F.col("node").alias("__k")), "order_id", "left").withColumn("first_violation_k", F.coalesce("__k", F.lit(n)).cast("long")).drop("__k")
+        found = met(children).where(hit).groupBy("order_id", "buy", "price", "level").agg(F.min("node").alias("node"))
+    return orders.select("order_id").join(found.select("order_id", "node"), "order_id", "left").select("order_id", F.coalesce("node", F.lit(n)).cast("long").alias("first_violation_k"))
 
 
 def _cover(levels: int) -> Column:
@@ -77,8 +97,17 @@ def _cover(levels: int) -> Column:
     return F.concat(*parts)
 
 
-def level_crossings(series: DataFrame, level, time: str = "t", value: str = "v", bucket: int = 3_600_000_000) -> DataFrame:
-    """Rows after which the series crosses or touches ``level`` on the way to the next row."""
+def level_crossings(series: DataFrame, level, time: str = "t", value: str = "v", bucket: int = 3_600_000_000, start: str | None = None) -> DataFrame:
+    """Rows after which the series crosses or touches ``level`` on the way to the next row.
+
+    ``start`` also takes the first row if it is already at or beyond the level: ``above`` for a level that is crossed
+    from below (the first value is at most the level), ``below`` for the other way (at least)."""
     nxt = asof_join(series, series.select(time, F.col(value).alias("__v")), time, values=("__v",), allow_exact=False, direction="forward", bucket=bucket)
     v, w = F.col(value) - level, F.col("__v") - level
-    return nxt.where(F.col("__v").isNotNull() & (F.signum(v) != F.signum(w))).withColumnRenamed("__v", "next_value").withColumnRenamed("right_time", "next_time")
+    crosses = F.col("__v").isNotNull() & (F.signum(v) != F.signum(w))
+    if start is not None:
+        if start not in ("above", "below"):
+            raise ValueError("start is above, below or None")
+        nxt = nxt.join(F.broadcast(series.agg(F.min(time).alias("__first"))))  # one row
+        crosses = crosses | ((F.col(time) == F.col("__first")) & ((v <= 0) if start == "above" else (v >= 0)))
+    return nxt.where(crosses).withColumnRenamed("__v", "next_value").withColumnRenamed("right_time", "next_time").drop("__first")

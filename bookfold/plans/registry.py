@@ -12,6 +12,7 @@ from ..operators.asof import asof_join, row_index
 from ..operators.nbbo import nbbo
 from ..operators.verify import first_violation, level_crossings
 from ..sources import fob
+from ..storage import new_path
 
 HOUR = 3_600_000_000
 #: Time buckets of the unkeyed operators, in microseconds of event time.
@@ -257,14 +258,125 @@ def sim_book(s, d):
     return G.fake_book(G.fake_orders(s, 2000, 1000))
 
 
+def _history(s, d):
+    return _levels(s, d).select("event_id", F.col("side").alias("bs01"), F.col("lvl").alias("price"), "qty", "open", "close")
+
+
+def snapshot_encode(s, d):
+    return fob.encode_snapshot(_history(s, d), middle(ev(s, d)))
+
+
+def _some_open(s, d):
+    return _history(s, d).where("event_id % 397 = 5").agg(F.min("open")).first()[0]
+
+
+def update_encode(s, d):
+    return fob.encode_update(_history(s, d), _some_open(s, d))
+
+
+def book_snapshots(s, d):
+    h = _history(s, d)
+    return fob.format_history(h.drop("event_id"), h.where("event_id % 397 = 0").select(F.col("open").alias("time")), BUCKET)
+
+
+def level_history_bucketed(s, d):
+    return _levels(s, d, bucket=BUCKET)
+
+
+def level_intervals_bucketed(s, d):
+    return _levels(s, d, coalesce_intervals=True, bucket=BUCKET)
+
+
+def _depth(s, d, **options):
+    e = ev(s, d).where("event_type = 'purchase'").select("side", "lvl", "qty", F.col("t").alias("t0"), F.when(F.col("event_id") % 5 != 0, F.col("t") + F.col("cents") * 1_000_000).alias("t1"))
+    return L.cumulate(e, ("side", "lvl"), **options)
+
+
+def cumulate_bucketed(s, d):
+    return _depth(s, d, bucket=BUCKET)
+
+
+def depth_close(s, d):
+    return L.close_times(_depth(s, d), ("side", "lvl"))
+
+
+def argsort_side_price_time(s, d):
+    return L.argsort(ev(s, d).select("event_id", "side", "lvl", "t"), ("side", "lvl"), ("t", "event_id"))
+
+
+def argsort_side_price_venue_time(s, d):
+    return L.argsort(ev(s, d).select("event_id", "side", "lvl", "venue", "t"), ("side", "lvl", "venue"), ("t", "event_id"))
+
+
+def argsort_price_time(s, d):
+    return L.argsort(ev(s, d).select("event_id", "lvl", "t"), ("lvl",), ("t", "event_id"))
+
+
+def _crossings(start: str, level: int):
+    def run(s, d):
+        e = ev(s, d).where("event_type = 'view'").groupBy("t").agg(F.max("cents").alias("v"))
+        return level_crossings(e, level, bucket=BUCKET, start=start).select("t", "v", "next_time", "next_value")
+
+    return run
+
+
+def hits_total(s, d):
+    return hit_times(s, d).agg(F.count("*").alias("n"), F.sum("hit").cast("long").alias("hits"))
+
+
+def scaled_prices(s, d):
+    return ev(s, d).select("event_id", S.scaled(F.col("cents"), 3, 1).cast("double").alias("price"), S.scaled(F.col("qty"), 1, 0).cast("double").alias("qty"))
+
+
+def participants(s, d):
+    return ev(s, d).groupBy(G.participant(F.col("venue")).alias("participant")).agg(F.count("*").alias("n"))
+
+
+def sql_functions(s, d):
+    S.register(s)
+    ev(s, d).createOrReplaceTempView("bookfold_events")
+    return s.sql("SELECT event_id, mask_text(set_venue(qty, venue), 8) AS mask, has_venue(qty, 1) AS has1, clear_venue(qty, 1) AS without1, floor_ns(t * 1000, 10000) AS t_ns, hms_text(t * 1000 + qty * 100) AS hms, time_text(t * 1000 + qty * 100) AS full_text FROM bookfold_events")
+
+
+def _deep_lines(s, d):
+    """Lines of thousands of levels with numbers of varied scale."""
+    e = ev(s, d).select("event_id", "side", "cents", "qty", (F.floor(F.col("t") / (720 * HOUR)) * 720 * HOUR).cast("long").alias("time"))
+    level = F.concat(F.lit("["), F.when(F.col("cents") == 0, "0").otherwise(F.rtrim(S.decimal_text(F.col("cents"), 3), F.lit("0"))), F.lit("0,"), F.col("qty").cast("string"), F.lit("]"))
+    own = e.select("time", "event_id", "side", level.alias("level"))
+    side = lambda k: S.level_text(F.transform(F.sort_array(F.collect_list(F.when(F.col("side") == k, F.struct("event_id", "level")))), lambda x: x["level"]))
+    return own.groupBy("time").agg(side(1).alias("asks"), side(0).alias("bids")).select(F.col("time").alias("timestamp"), F.lit("u").alias("type"), "asks", "bids")
+
+
+def fob_deep(s, d):
+    """gz files written and read back, their scales found."""
+    path = new_path(s, "fob-deep")
+    fob.write_fob(_deep_lines(s, d), path)
+    return fob.read_fob(s, path).select("time", F.col("bs01").cast("int").alias("bs01"), "pos", F.round(F.col("price").cast("double") * 1000).cast("long").alias("price"), F.col("qty").cast("long").alias("qty"), F.col("corrupt").isNotNull().alias("bad"))
+
+
+def fob_scales(s, d):
+    lines = _deep_lines(s, d)
+    return fob.scales(lines.select(F.col("timestamp").alias("line_no"), F.concat_ws(";", F.col("timestamp").cast("string"), "type", "asks", "bids").alias("value")))
+
+
 FLAGS = [(e, s, t) for e in (False, True) for s in (False, True) for t in (False, True)]
 QUERIES = {
     f.__name__: f
-    for f in (level_history, level_intervals_coalesced, snapshot_at, decoded_flags, asof_index, asof_index_compat, hit_times, crossings, nbbo_published, nbbo_every_event, nbbo_stats, fob_encode, fob_roundtrip, book_format, cumulate, distinct_prices, counts_by_side, topn_per_side, anti_times, union_books, window_clamp, time_texts, sim_time_grid, sim_mid, sim_orders, sim_book)
-} | {"asof_inclusive": _asof(True), "asof_strict": _asof(False), "asof_by_user": _asof(True, ("user_id",)), "asof_forward": _asof(True, direction="forward"), "asof_tolerance": _asof(True, tolerance=HOUR)}
+    for f in (level_history, level_intervals_coalesced, snapshot_at, decoded_flags, asof_index, asof_index_compat, hit_times, crossings, nbbo_published, nbbo_every_event, nbbo_stats, fob_encode, fob_roundtrip, book_format, cumulate, distinct_prices, counts_by_side, topn_per_side, anti_times, union_books, window_clamp, time_texts, sim_time_grid, sim_mid, sim_orders, sim_book, snapshot_encode, update_encode, book_snapshots, level_history_bucketed, level_intervals_bucketed, cumulate_bucketed, depth_close, argsort_side_price_time, argsort_side_price_venue_time, argsort_price_time, hits_total, scaled_prices, participants, sql_functions, fob_deep, fob_scales)
+} | {"crossings_above": _crossings("above", 30000), "crossings_below": _crossings("below", 20000)} | {"asof_inclusive": _asof(True), "asof_strict": _asof(False), "asof_by_user": _asof(True, ("user_id",)), "asof_forward": _asof(True, direction="forward"), "asof_tolerance": _asof(True, tolerance=HOUR)}
 QUERIES |= {f"verify_eq{int(e)}_same{int(s)}_touch{int(t)}": _verify(e, s, t) for e, s, t in FLAGS}
 QUERIES["verify_pdiff"] = _verify(False, False, False, -100)
 
+_H = f"{EV}, {LEVELS}, h AS (SELECT event_id, side AS bs01, lvl AS price, qty, open, close FROM lv WHERE onqty<>0)"
+_SORTED = _text_sql("x", "s").replace("ORDER BY seq", "ORDER BY seq, price, qty")
+_CROSS = f"WITH {EV}, g AS (SELECT t, max(cents) AS v FROM ev WHERE event_type='view' GROUP BY t), n AS (SELECT t, v, lead(t) OVER (ORDER BY t) AS next_time, lead(v) OVER (ORDER BY t) AS next_value, row_number() OVER (ORDER BY t) AS k FROM g) SELECT t, v, next_time, next_value FROM n WHERE (next_value IS NOT NULL AND sign(v-{{0}})<>sign(next_value-{{0}})) OR (k=1 AND v{{1}}{{0}})"
+
+
+def _rank_sql(cols: str, out: str) -> str:
+    return f"WITH {EV} SELECT event_id, {out}, t, row_number() OVER (ORDER BY {cols}, t, event_id) - 1 AS rank FROM ev"
+
+
+_DEEP = "SELECT t // 2592000000000 * 2592000000000 AS time, event_id AS seq, side AS bs01, cents, qty FROM ev"
 _LV = "SELECT event_id, side, lvl, open, close, qty, onqty FROM"
 ORACLE_SQL = {
     "level_history": f"WITH {EV}, {LEVELS} {_LV} lv WHERE onqty<>0",
@@ -295,5 +407,21 @@ ORACLE_SQL = {
     "window_clamp": f"WITH {EV}, {ORDERS} SELECT order_id, greatest(open, {T0}-1000) AS open, least(coalesce(close, {1 << 62}), {T0}+{HOUR * 100}+1000) AS close FROM o WHERE open<={T0}+{HOUR * 100} AND coalesce(close, {1 << 62})>={T0}",
     "time_texts": f"WITH {EV}, x AS (SELECT event_id, t*1000+qty*100 AS ns FROM ev), y AS (SELECT *, strftime(make_timestamp(ns//1000), '%H:%M:%S') AS hms0, rtrim(lpad(CAST(ns%1000000000 AS VARCHAR), 9, '0'), '0') AS fr FROM x) SELECT event_id, CASE WHEN fr='' THEN hms0 ELSE hms0||'.'||fr END AS hms, strftime(make_timestamp(ns//1000), '%Y-%m-%d %H:%M:%S') || '.' || lpad(CAST(ns%1000000000 AS VARCHAR), 9, '0') AS full_text FROM y",
     "sim_time_grid": "SELECT i, CAST(1700000000-250+i AS BIGINT)*1000000000 AS t FROM range(1500) r(i)",
+    "snapshot_encode": f"WITH {_H}, x AS (SELECT {T0} AS time, price AS seq, bs01, price, qty FROM h WHERE open<={T0} AND (close IS NULL OR close>={T0}) AND (open={T0} OR qty>0)) {_SORTED}",
+    "update_encode": f"WITH {_H}, x AS (SELECT open AS time, price AS seq, bs01, price, qty FROM h WHERE open=(SELECT min(open) FROM h WHERE event_id%397=5)) {_SORTED.replace(chr(39) + 's' + chr(39), chr(39) + 'u' + chr(39), 1)}",
+    "book_snapshots": f"WITH {_H}, tm AS (SELECT DISTINCT open AS time FROM h WHERE event_id%397=0), x AS (SELECT tm.time, price AS seq, bs01, price, qty FROM h JOIN tm ON open<=tm.time AND (close IS NULL OR close>=tm.time) AND (open=tm.time OR qty>0)), up AS (SELECT open AS time, price AS seq, bs01, price, qty FROM h WHERE open NOT IN (SELECT time FROM tm)) {_SORTED} UNION ALL {_text_sql('up').replace('ORDER BY seq', 'ORDER BY seq, price, qty')}",
+    "depth_close": f"WITH {EV}, o AS (SELECT side, lvl, qty, t AS t0, CASE WHEN event_id%5<>0 THEN t+cents*1000000 END AS t1 FROM ev WHERE event_type='purchase'), n AS (SELECT side, lvl, time, sum(q) AS q FROM (SELECT side, lvl, t0 AS time, qty AS q FROM o UNION ALL SELECT side, lvl, t1, -qty FROM o WHERE t1 IS NOT NULL) GROUP BY ALL) SELECT side, lvl, time, CAST(sum(q) OVER (PARTITION BY side, lvl ORDER BY time) AS BIGINT) AS cm_qty, lead(time) OVER (PARTITION BY side, lvl ORDER BY time) AS ctime FROM n",
+    "argsort_side_price_time": _rank_sql("side, lvl", "side, lvl"),
+    "argsort_side_price_venue_time": _rank_sql("side, lvl, venue", "side, lvl, venue"),
+    "argsort_price_time": _rank_sql("lvl", "lvl"),
+    "crossings_above": _CROSS.format(30000, "<="),
+    "crossings_below": _CROSS.format(20000, ">="),
+    "hits_total": f"SELECT count(*) AS n, CAST(sum(hit) AS BIGINT) AS hits FROM ({_hit_sql()})",
+    "scaled_prices": f"WITH {EV} SELECT event_id, CAST(round(CAST(cents AS DECIMAL(18,3)) / 1000, 1) AS DOUBLE) AS price, CAST(round(CAST(qty AS DECIMAL(18,3)) / 10, 0) AS DOUBLE) AS qty FROM ev",
+    "participants": f"WITH {EV} SELECT CASE WHEN venue>5 THEN 1 ELSE 0 END AS participant, count(*) AS n FROM ev GROUP BY 1",
+    "sql_functions": f"WITH {EV}, x AS (SELECT event_id, qty, venue, t, t*1000+qty*100 AS ns FROM ev), y AS (SELECT *, strftime(make_timestamp(ns//1000), '%H:%M:%S') AS hms0, rtrim(lpad(CAST(ns%1000000000 AS VARCHAR), 9, '0'), '0') AS fr FROM x) SELECT event_id, lpad(bin(qty | (1 << venue)), 8, '0') AS mask, (qty & 2) <> 0 AS has1, qty - (qty & 2) AS without1, t*1000 - (t*1000)%10000 AS t_ns, CASE WHEN fr='' THEN hms0 ELSE hms0||'.'||fr END AS hms, strftime(make_timestamp(ns//1000), '%Y-%m-%d %H:%M:%S') || '.' || lpad(CAST(ns%1000000000 AS VARCHAR), 9, '0') AS full_text FROM y",
+    "fob_deep": f"WITH {EV}, x AS ({_DEEP}) SELECT time, CAST(bs01 AS INTEGER) AS bs01, CAST(row_number() OVER (PARTITION BY time, bs01 ORDER BY seq) - 1 AS INTEGER) AS pos, cents AS price, qty, false AS bad FROM x",
+    "fob_scales": f"WITH {EV}, x AS ({_DEEP}), p AS (SELECT CASE WHEN cents=0 THEN 0 ELSE length(rtrim(lpad(CAST(cents%1000 AS VARCHAR), 3, '0'), '0')) + 1 END AS n FROM x) SELECT (SELECT count(DISTINCT time) FROM x) AS n_lines, CAST(0 AS BIGINT) AS n_corrupt, (SELECT count(*) FROM x) AS n_levels, CAST(max(n) AS INTEGER) AS price_scale, CAST(0 AS INTEGER) AS qty_scale FROM p",
     "verify_pdiff": _verify_sql(False, False, False, -100),
 } | {f"verify_eq{int(e)}_same{int(s)}_touch{int(t)}": _verify_sql(e, s, t) for e, s, t in FLAGS}
+ORACLE_SQL |= {"level_history_bucketed": ORACLE_SQL["level_history"], "level_intervals_bucketed": ORACLE_SQL["level_intervals_coalesced"], "cumulate_bucketed": ORACLE_SQL["cumulate"]}

@@ -6,37 +6,81 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalar import decimal_text, level_text
+from ..operators.asof import asof_join, row_index
+from ..operators.levels import snapshot_at
 
 LEVEL = r"\[\s*([0-9]*\.?[0-9]+)\s*,\s*([0-9]*\.?[0-9]+)\s*\]"
+#: Digits of a decimal in all.
+DIGITS = 15
+
+
+def _numbers(text: Column) -> tuple[Column, Column]:
+    return tuple(F.regexp_extract_all(text, F.lit(LEVEL), F.lit(i)) for i in (1, 2))
 
 
 def parse_levels(text: Column, price_scale: int, qty_scale: int) -> Column:
-    """Levels of a nested list as an array of ``price, qty`` decimals."""
-    prices, quantities = (F.regexp_extract_all(text, F.lit(LEVEL), F.lit(i)) for i in (1, 2))
-    return F.transform(F.arrays_zip(prices.alias("p"), quantities.alias("q")), lambda x: F.struct(x["p"].cast(f"decimal(15,{price_scale})").alias("price"), x["q"].cast(f"decimal(15,{qty_scale})").alias("qty")))
+    """Levels of a nested list as an array of ``price, qty`` decimals; null where a number has too many digits."""
+    prices, quantities = _numbers(text)
+    return F.transform(F.arrays_zip(prices.alias("p"), quantities.alias("q")), lambda x: F.struct(x["p"].try_cast(f"decimal({DIGITS},{price_scale})").alias("price"), x["q"].try_cast(f"decimal({DIGITS},{qty_scale})").alias("qty")))
+
+
+def well_formed(text: Column) -> Column:
+    """Whether a nested list holds levels only: without them only one pair of brackets, commas and blanks are left.
+
+    No pattern repeats a group, so a line may have any number of levels."""
+    return F.coalesce(F.regexp_replace(text, LEVEL, "").rlike(r"^\s*\[[\s,]*\]\s*$"), F.lit(False))
+
+
+def _fields(lines: DataFrame) -> DataFrame:
+    parts = F.split("value", "[;|]")
+    return lines.where(F.trim("value") != "").select("line_no", "value", F.trim(F.get(parts, F.lit(0))).alias("ts"), F.lower(F.trim(F.get(parts, F.lit(1)))).alias("kind"), F.get(parts, F.lit(2)).alias("asks"), F.get(parts, F.lit(3)).alias("bids"))
+
+
+def _readable() -> Column:
+    return F.coalesce(F.col("ts").rlike(r"^\d{1,19}$"), F.lit(False)) & F.col("ts").try_cast("long").isNotNull() & well_formed(F.col("asks")) & well_formed(F.col("bids"))
+
+
+def scales(lines: DataFrame) -> DataFrame:
+    """One row: ``n_lines, n_corrupt, n_levels, price_scale, qty_scale`` (most digits after a point) of ``lines``."""
+    good = _fields(lines).withColumn("good", _readable())
+    most = lambda xs: F.coalesce(F.array_max(F.transform(xs, lambda x: F.length(F.split_part(x, F.lit("."), F.lit(2))))), F.lit(0))
+    both = F.concat(F.col("asks"), F.col("bids"))
+    prices, quantities = _numbers(both)
+    per = good.select("good", F.when(F.col("good"), F.size(prices)).alias("n"), F.when(F.col("good"), most(prices)).alias("p"), F.when(F.col("good"), most(quantities)).alias("q"))
+    return per.agg(F.count("*").alias("n_lines"), F.count(F.when(~F.col("good"), 1)).alias("n_corrupt"), F.coalesce(F.sum("n"), F.lit(0)).alias("n_levels"), F.coalesce(F.max("p"), F.lit(0)).alias("price_scale"), F.coalesce(F.max("q"), F.lit(0)).alias("qty_scale"))
 
 
 def parse_lines(lines: DataFrame, price_scale: int = 8, qty_scale: int = 8) -> DataFrame:
     """``lines`` (``line_no, value``) as one row per level: ``line_no, time, us01, bs01, pos, price, qty, corrupt``.
 
     ``us01`` is 0 for updates, 1 for snapshots, 2 for others; ``bs01`` 0 for bids, 1 for asks; asks come first.
-    Lines whose time isn't an integer or whose lists hold other than levels give one row with ``corrupt``.
+    Lines whose time isn't a 64-bit integer, whose lists hold other than levels, or that have a number of too many
+    digits give one row with ``corrupt``.
     """
-    parts = F.split("value", "[;|]")
-    fields = lines.where(F.trim("value") != "").select("line_no", "value", F.get(parts, F.lit(0)).alias("ts"), F.lower(F.trim(F.get(parts, F.lit(1)))).alias("kind"), F.get(parts, F.lit(2)).alias("asks"), F.get(parts, F.lit(3)).alias("bids"))
-    whole = lambda c: F.coalesce(F.col(c).rlike(r"^\s*\[\s*(" + LEVEL + r"\s*,?\s*)*\]\s*$"), F.lit(False))
-    good = F.coalesce(F.col("ts").rlike(r"^\s*\d{1,19}\s*$"), F.lit(False)) & whole("asks") & whole("bids")
-    checked = fields.withColumn("corrupt", F.when(~good, F.col("value")))
     us01 = F.when(F.col("kind").startswith("u"), 0).when(F.col("kind").startswith("s"), 1).otherwise(2)
-    sides = F.array(*[F.struct(F.lit(k).alias("bs01"), parse_levels(F.col(c), price_scale, qty_scale).alias("levels")) for k, c in ((1, "asks"), (0, "bids"))])
-    rows = checked.where("corrupt is null").select("line_no", F.trim("ts").cast("long").alias("time"), us01.cast("tinyint").alias("us01"), F.explode(sides).alias("s")).select("line_no", "time", "us01", F.col("s.bs01").cast("tinyint").alias("bs01"), F.posexplode("s.levels").alias("pos", "l")).select("line_no", "time", "us01", "bs01", "pos", "l.price", "l.qty", F.lit(None).cast("string").alias("corrupt"))
+    parsed = _fields(lines).select("line_no", "value", "ts", us01.alias("us01"), _readable().alias("good"), *[parse_levels(F.col(c), price_scale, qty_scale).alias(c) for c in ("asks", "bids")])
+    fits = lambda c: F.coalesce(F.forall(c, lambda x: x["price"].isNotNull() & x["qty"].isNotNull()), F.lit(False))
+    checked = parsed.withColumn("corrupt", F.when(~(F.col("good") & fits("asks") & fits("bids")), F.col("value")))
+    sides = F.array(*[F.struct(F.lit(k).alias("bs01"), F.col(c).alias("levels")) for k, c in ((1, "asks"), (0, "bids"))])
+    good = checked.where("corrupt is null").select("line_no", F.col("ts").try_cast("long").alias("time"), F.col("us01").cast("tinyint").alias("us01"), F.explode(sides).alias("s"))
+    rows = good.select("line_no", "time", "us01", F.col("s.bs01").cast("tinyint").alias("bs01"), F.posexplode("s.levels").alias("pos", "l")).select("line_no", "time", "us01", "bs01", "pos", "l.price", "l.qty", F.lit(None).cast("string").alias("corrupt"))
     return rows.unionByName(checked.where("corrupt is not null").select("line_no", "corrupt"), allowMissingColumns=True)
 
 
-def read_fob(spark: SparkSession, path: str, price_scale: int = 8, qty_scale: int = 8) -> DataFrame:
-    """Read FOB files (plain or gz; one task per gz file). The first line of each file is its header."""
-    lines = spark.read.text(path).select("value", F.monotonically_increasing_id().alias("line_no"))
-    return parse_lines(lines.where(~F.lower("value").startswith("timestamp")), price_scale, qty_scale)
+def read_lines(spark: SparkSession, path: str) -> DataFrame:
+    """``line_no, value`` of plain or gz files (one task per gz file), without the first line of each, whatever it says."""
+    whole = spark.read.schema("value string").option("header", True).option("sep", "\u0001").option("quote", "").option("escape", "").csv(path)
+    return whole.select("value", F.monotonically_increasing_id().alias("line_no"))
+
+
+def read_fob(spark: SparkSession, path: str, price_scale: int | None = None, qty_scale: int | None = None) -> DataFrame:
+    """Read FOB files. Scales that aren't given are those of the file, found in a pass of their own."""
+    lines = read_lines(spark, path)
+    if price_scale is None or qty_scale is None:
+        found = scales(lines).first()
+        price_scale = min(found.price_scale, DIGITS) if price_scale is None else price_scale
+        qty_scale = min(found.qty_scale, DIGITS) if qty_scale is None else qty_scale
+    return parse_lines(lines, price_scale, qty_scale)
 
 
 def encode_updates(rows: DataFrame, price_digits: int = 3, qty_digits: int = 1, time: str = "time", seq: str = "seq", kind: str = "u") -> DataFrame:
@@ -53,6 +97,39 @@ def format_book(updates: DataFrame, snapshots: DataFrame, **digits) -> DataFrame
     return encode_updates(updates.join(times, "time", "left_anti"), **digits).unionByName(encode_updates(snapshots, kind="s", **digits)).orderBy("timestamp")
 
 
+def encode_snapshot(history: DataFrame, at: int, **digits) -> DataFrame:
+    """One line with all levels of a level history (``bs01, price, qty, open, close``) alive at a time, in order of price."""
+    return encode_updates(snapshot_at(history, at).select(F.lit(at).cast("long").alias("time"), F.struct("price", "qty").alias("seq"), "bs01", "price", "qty"), kind="s", **digits)
+
+
+def encode_update(history: DataFrame, at: int, **digits) -> DataFrame:
+    """One line with the levels set at exactly a time, in order of price."""
+    return encode_updates(history.where(F.col("open") == at).select(F.col("open").alias("time"), F.struct("price", "qty").alias("seq"), "bs01", "price", "qty"), **digits)
+
+
+def sample_times(history: DataFrame, n: int, seed: int = 1) -> DataFrame:
+    """``n`` of the distinct times of a level history, those with the smallest hashes."""
+    return history.select(F.col("open").alias("time")).distinct().orderBy(F.xxhash64(F.lit(seed), "time"), "time").limit(n)
+
+
+def format_history(history: DataFrame, times: DataFrame, bucket: int = 3_600_000_000, **digits) -> DataFrame:
+    """A level history as a book: a snapshot line with all live levels at each of ``times`` (column ``time``), an update
+    line at each other time, in order of time.
+
+    The snapshots that a level's life holds are a range of their index, found by two as-of joins, so a level meets its
+    snapshots in an equi-join."""
+    index = row_index(times.select("time").distinct(), "time", bucket)
+    own = history.select("bs01", "price", "qty", "open", "close", F.col("open").alias("at"))
+    before = asof_join(own, index.withColumnRenamed("time", "at"), "at", values=("k",), allow_exact=False, bucket=bucket).withColumnRenamed("k", "lo").drop("right_time")
+    ends = before.withColumn("at", F.coalesce("close", F.lit((1 << 62) - 1)))
+    upto = asof_join(ends, index.withColumnRenamed("time", "at"), "at", values=("k",), bucket=bucket).where("k is not null")
+    first = F.coalesce(F.col("lo") + 1, F.lit(0).cast("long"))
+    held = upto.where(first <= F.col("k")).select("bs01", "price", "qty", "open", F.explode(F.sequence(first, F.col("k"))).alias("k"))
+    live = held.join(index, "k").where((F.col("open") == F.col("time")) | (F.col("qty") > 0)).select("time", F.struct("price", "qty").alias("seq"), "bs01", "price", "qty")
+    updates = history.select(F.col("open").alias("time"), F.struct("price", "qty").alias("seq"), "bs01", "price", "qty").join(times.select("time").distinct(), "time", "left_anti")
+    return encode_updates(updates, **digits).unionByName(encode_updates(live, kind="s", **digits)).orderBy("timestamp")
+
+
 def write_fob(book: DataFrame, path: str) -> None:
     """Write lines as gz text with a header, in order of time over the files."""
     book.sort("timestamp").write.mode("overwrite").option("sep", ";").option("header", True).option("compression", "gzip").option("quote", "").csv(path)

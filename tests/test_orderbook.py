@@ -130,3 +130,121 @@ def test_sim_orders_hold_their_invariants(spark):
     assert rows and all(r.open <= r.close and r.side in "bs" and 0 <= r.venue < 10 for r in rows)
     assert sorted(map(tuple, rows)) == sorted(map(tuple, fake_orders(spark, 200, 200).collect()))
     assert fake_book(o).where("cm_qty < 0").count() == 0
+
+
+def test_deep_lines_bad_numbers_and_blind_header(spark, tmp_path):
+    import gzip
+
+    deep = "[" + ",".join(f"[{i}.5,{i}]" for i in range(10_000)) + "]"
+    lines = ["any;header;at;all", f"1;u;{deep};{deep}", "99999999999999999999;u;[];[]", "9999999999999999999;u;[];[]", "2;u;[[123456789012345678.5,1]];[]", "timestamp;u;[];[]", "3;s;[[1.25,2]];[]", "4;u;" + "[" * 100_000 + ";[]"]
+    for k in range(2):
+        with gzip.open(tmp_path / f"{k}.csv.gz", "wt") as out:
+            out.write("\n".join(lines) + "\n")
+    rows = fob.read_fob(spark, str(tmp_path), qty_scale=0)
+    assert dict(rows.dtypes)["price"] == "decimal(15,2)"
+    got = rows.collect()
+    assert sum(r.corrupt is not None for r in got) == 10
+    assert sum(r.corrupt is None for r in got) == 2 * (20_000 + 1)
+    assert max(r.pos for r in got if r.time == 1) == 9999
+
+
+def test_first_violation_of_repeated_ids_and_any_names(spark):
+    o = spark.createDataFrame([(1, "b", 98.0, 0, 50, 7), (1, "b", 200.0, 0, 50, 8), (None, "buy", 200.0, 0, 50, 9)], "order_id int, side string, price double, open long, close long, k int")
+    b = spark.createDataFrame([(10, 100.0, 100.0), (20, 99.0, 99.0)], "t long, nbb double, nbo double")
+    got = {r.k: (r.order_id, r.first_violation_k) for r in first_violation(o, b).collect()}
+    assert got == {7: (1, 2), 8: (1, 0), 9: (None, 0)}
+
+
+def test_nbbo_refuses_venues_out_of_range(spark):
+    q = spark.createDataFrame([(1, 1, 3, 100, 1, 0, 101, 1)], "iline long, t long, bv int, bp long, bq long, sv int, sp long, sq long")
+    with pytest.raises(Exception, match="not a venue"):
+        nbbo(q, 3).collect()
+
+
+def test_nbbo_equals_the_state_of_each_venue_f16(spark):
+    rnd = random.Random(3)
+    rows = [(i, i // 2, rnd.randrange(5), rnd.choice([0, 98, 99, 100]), rnd.randint(0, 3), rnd.randrange(5), rnd.choice([0, 101, 102]), rnd.randint(0, 3)) for i in range(400)]
+    got = {r.iline: r for r in nbbo(spark.createDataFrame(rows, "iline long, t long, bv int, bp long, bq long, sv int, sp long, sq long"), 5, "every_event", 37).collect()}
+    state = [{}, {}]
+    for i, _, bv, bp, bq, sv, sp, sq in rows:
+        state[0][bv], state[1][sv] = (bp, bq if bp > 0 else 0), (sp, sq if sp > 0 else 0)
+        live = [{v: x for v, x in s.items() if x[1] > 0} for s in state]
+        if not live[0] and not live[1]:
+            assert i not in got
+            continue
+        for s, pick, p, q, m, n in ((live[0], max, "nbb", "nbbq", "b_ii", "num_b"), (live[1], min, "nbo", "nboq", "s_ii", "num_s")):
+            best = pick((x[0] for x in s.values()), default=0)
+            at = [v for v in s if s[v][0] == best]
+            assert (got[i][p], got[i][q], got[i][m], got[i][n]) == (best, sum(s[v][1] for v in at), sum(1 << v for v in at), len(at))
+
+
+def test_crossings_with_their_start_f15(spark):
+    from bookfold.operators.verify import level_crossings
+
+    for values in ([3, 4], [5, 5, 6, 4, 5, 7], [7, 3]):
+        series = spark.createDataFrame(list(enumerate(values)), "t long, v long")
+        for start in (None, "above", "below"):
+            got = sorted(r.t for r in level_crossings(series, 5, bucket=2, start=start).collect())
+            sign = lambda x: (x > 5) - (x < 5)
+            want = {i for i in range(len(values) - 1) if sign(values[i]) != sign(values[i + 1])}
+            if start == "above" and values[0] <= 5 or start == "below" and values[0] >= 5:
+                want.add(0)
+            assert got == sorted(want)
+
+
+@pytest.mark.parametrize("bucket", [None, 1, 7, 1000])
+def test_history_and_depth_by_bucket(spark, bucket):
+    rnd = random.Random(4)
+    rows = [(i, rnd.randrange(2), rnd.randrange(3), rnd.randrange(60), rnd.randrange(3)) for i in range(300)]
+    book = spark.createDataFrame(rows, "seq long, side int, price int, time long, qty long")
+    for merge in (False, True):
+        got = sorted((r.seq, r.open, r.close, r.onqty) for r in L.level_history(book, coalesce_intervals=merge, bucket=bucket).collect())
+        want = []
+        for level in {r[1:3] for r in rows}:
+            own = sorted((r[3], r[0], r[4]) for r in rows if r[1:3] == level)
+            told = [(s, t, own[k + 1][0] if k + 1 < len(own) else None, q - (own[k - 1][2] if k else 0)) for k, (t, s, q) in enumerate(own)]
+            kept = [x for x in told if x[3]]
+            want += [(s, t, kept[k + 1][1] if k + 1 < len(kept) else None, q) for k, (s, t, _, q) in enumerate(kept)] if merge else kept
+        assert got == sorted(want)
+    orders = spark.createDataFrame([(r[1], r[2], r[4], r[3], r[3] + 5 if r[0] % 3 else None) for r in rows], "side int, price int, qty long, t0 long, t1 long")
+    assert sorted(map(tuple, L.cumulate(orders, bucket=bucket).collect())) == sorted(map(tuple, L.cumulate(orders).collect()))
+
+
+def test_streamed_history_equals_batch(spark, tmp_path):
+    from bookfold.streaming.levels import open_levels, stream_history
+
+    rnd = random.Random(5)
+    rows = [(i, rnd.randrange(2), rnd.randrange(3), i // 2, rnd.randrange(3)) for i in range(90)]
+    schema = "seq long, side int, price int, time long, qty long"
+    for k in range(3):
+        spark.createDataFrame(rows[30 * k : 30 * k + 30], schema).coalesce(1).write.parquet(str(tmp_path / "in" / f"p{k}"))
+    got = []
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(str(tmp_path / "in"))
+    stream_history(stream, str(tmp_path / "state"), lambda out, _: got.extend(out.select("seq", "open", "close", "onqty").collect()), str(tmp_path / "cp")).awaitTermination(120)
+    got += open_levels(spark.read.parquet(str(tmp_path / "state" / "2"))).select("seq", "open", "close", "onqty").collect()
+    want = L.level_history(spark.createDataFrame(rows, schema)).select("seq", "open", "close", "onqty").collect()
+    key = lambda r: tuple(map(str, r))
+    assert sorted(map(key, got)) == sorted(map(key, want))
+
+
+def test_simulated_orders_meet_their_limits(spark):
+    from bookfold.operators.simulate import SECOND, fake_orders, hit_counts, mid_price
+
+    o = fake_orders(spark, 150, 100)
+    assert len(o.columns) == 16
+    mids = [(r.t, r.mid) for r in mid_price(spark, 1_700_000_000 * SECOND, 100, int(1.53 * SECOND)).orderBy("t").collect()]
+    start, end = 1_700_000_000 * SECOND, 1_700_000_000 * SECOND + 100 * int(1.53 * SECOND)
+    rows = o.collect()
+    assert sum(r.hits for r in hit_counts(o).collect()) == sum(r.hit for r in rows) > 0
+    for r in rows:
+        assert r.price == r.mid_open - r.sign * abs(r.mid_open - r.price) and 0 <= r.v_b <= abs(r.price - r.mid_open) <= r.v_c
+        if not start <= r.open:
+            continue
+        near = r.price + r.sign * r.v_b
+        far = r.price + r.sign * r.v_c
+        held = [(t, m) for k, (t, m) in enumerate(mids) if t < r.sim_close and (k + 1 == len(mids) or mids[k + 1][0] > r.open)]
+        bad = next((t for t, m in held if (m - near) * r.sign < 0 or (m - far) * r.sign > 0), None)
+        assert r.hit == int(bad is not None and r.open <= bad < r.sim_close)
+        assert r.close <= end + 1000 and (r.hit == 0 or r.close <= bad)
+    safe = fake_orders(spark, 20, 100, safe=True).where("hit = 0").groupBy("side").count().collect()
+    assert all(r["count"] >= 0 for r in safe)
