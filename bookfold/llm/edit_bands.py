@@ -2,8 +2,8 @@
 
 A band is a few digits, sampled by the steps that they stand for. Each band's digits are a key; fingerprints that
 share a key meet. First each bucket's members are held against one node of theirs, which settles groups of near
-copies in one comparison a member; only buckets whose members this leaves in several components are compared further,
-across components. Short fingerprints meet on pigeonhole blocks instead, which every close pair shares.
+copies in one comparison a member; components that still have a bucket in common are compared member by member, once
+for all their buckets. Short fingerprints meet on pigeonhole blocks instead, which every close pair shares.
 
 The whole fingerprint is the verification: the embedding turns edit distance into Hamming distance, and likeness is
 that distance over all sampled steps. The texts themselves are not compared again."""
@@ -206,46 +206,79 @@ def _across(likeness: float):
     return run
 
 
-def mixed_buckets(star: DataFrame, apart: DataFrame, scratch: Scratch, least: int = 3) -> DataFrame:
-    """``key, n, weight, node`` of the buckets that have a pair of ``apart`` (``rep, node``) among their ``star`` rows.
-
-    Of buckets with the same members one is taken, ``weight`` says for how many; those of fewer than ``least`` are left out."""
-    keys = scratch.keep(star.join(apart, ["rep", "node"], "left_semi").select("key").distinct())
-    held = scratch.keep(join_hot(star, keys, "key"))
-    nodes = held.select("key", "node").unionByName(held.select("key", F.col("rep").alias("node"))).distinct()
-    nodes = scratch.keep(nodes)
-    per = nodes.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("first"), F.bit_xor(F.xxhash64("node")).alias("members")).where(F.col("n") >= least)
-    chosen = per.groupBy("n", "first", "members").agg(F.min("key").alias("key"), F.count("*").alias("weight")).select("key", "n", "weight")
-    out = scratch.keep(join_hot(nodes, scratch.keep(chosen), "key"))
-    scratch.drop(keys, held, nodes)
-    return out
+#: Components up to which a bucket's pairs of components are listed; members of a cell's side.
+KINDS, SIDE = 64, 4096
 
 
 def not_joined(judged: DataFrame, parts: DataFrame, scratch: Scratch) -> DataFrame:
-    """Pairs ``rep, node`` that were not ``close`` and are in different components of ``parts``."""
+    """Pairs ``rep, node`` that were not ``close`` and are in different components ``ca, cb`` of ``parts``."""
     far = scratch.keep(judged.where("not close").select("rep", "node").join(parts.toDF("node", "cb"), "node", "left"))
-    both = join_hot(far, parts.toDF("rep", "ca"), "rep", "left")
-    out = scratch.keep(both.where(F.coalesce("ca", "rep") != F.coalesce("cb", "node")).select("rep", "node"))
+    both = join_hot(far, parts.toDF("rep", "ca"), "rep", "left").withColumns({"ca": F.coalesce("ca", "rep"), "cb": F.coalesce("cb", "node")})
+    out = scratch.keep(both.where("ca <> cb").select("rep", "node", "ca", "cb"))
     scratch.drop(far)
     return out
 
 
+def component_pairs(star: DataFrame, apart: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """Pairs ``a, b, n`` of components that ``n`` buckets have in common, and the ``key`` of buckets with over ``KINDS``
+    components, whose pairs aren't listed.
+
+    A bucket's star rows are a tree, so each of its components is at an end of a row that joins two: rows that join none,
+    almost all in a group of near copies, aren't looked at."""
+    rows = star.join(apart, ["rep", "node"]).select("key", F.explode(F.array("ca", "cb")).alias("c"))
+    kinds = scratch.keep(rows.distinct())
+    many = scratch.keep(kinds.groupBy("key").count().where(F.col("count") > KINDS).select("key"))
+    listed = kinds if many.isEmpty() else kinds.join(many, "key", "left_anti")
+    cs = F.col("cs")
+    each = F.flatten(F.transform(cs, lambda x, i: F.transform(F.slice(cs, i + 2, F.size(cs)), lambda y: F.struct(x.alias("a"), y.alias("b")))))
+    pairs = listed.groupBy("key").agg(F.sort_array(F.collect_list("c")).alias("cs")).select(F.explode(each).alias("p")).groupBy("p.a", "p.b").agg(F.count("*").alias("n"))
+    return scratch.keep(pairs), many
+
+
+def hosted(pairs: DataFrame, sizes: DataFrame, parts: DataFrame, scratch: Scratch) -> DataFrame:
+    """Cells ``key, cell, node, component`` in which all members of the components ``a`` and ``b`` of each pair meet.
+
+    The larger component is host to the members of all that it is paired with; both sides are cut into parts of about
+    ``SIDE`` members, and each two parts meet in a cell of their own. ``sizes`` has ``component, size`` of all but those of
+    one node."""
+    for k in ("a", "b"):
+        pairs = pairs.join(sizes.toDF(k, f"n_{k}"), k, "left").withColumn(f"n_{k}", F.coalesce(f"n_{k}", F.lit(1)))
+    first = F.col("n_a") >= F.col("n_b")
+    met = scratch.keep(pairs.select(F.when(first, F.col("a")).otherwise(F.col("b")).alias("host"), F.greatest("n_a", "n_b").alias("n"), F.when(first, F.col("b")).otherwise(F.col("a")).alias("component")))
+    guests = scratch.keep(met.join(parts, "component", "left").select("host", "n", "component", F.coalesce("node", "component").alias("node")))
+    per = scratch.keep(guests.groupBy("host").agg(F.ceil(F.count("*") / SIDE).alias("g"), F.ceil(F.max("n") / SIDE).alias("h")))
+    own = parts.select(F.col("component").alias("host"), "node").unionByName(per.where("h = 1").select("host", F.col("host").alias("node"))).distinct()
+    own = scratch.keep(own.join(per.select("host"), "host", "left_semi"))
+    cell = lambda h, g: (h * F.col("g") + g).cast("long").alias("cell")
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1)).alias("other")
+    hosts = join_hot(own, per, "host").select("host", "h", "g", "node", every("g")).select(F.col("host").alias("key"), cell(F.pmod("node", "h"), F.col("other")), "node", F.col("host").alias("component"))
+    come = join_hot(guests.drop("n"), per, "host").select("host", "h", "g", "node", "component", every("h")).select(F.col("host").alias("key"), cell(F.col("other"), F.pmod("node", "g")), "node", "component")
+    return hosts.unionByName(come)
+
+
+def bucket_members(star: DataFrame, keys: DataFrame, parts: DataFrame) -> DataFrame:
+    """``key, n, node, component``: all members of some buckets."""
+    held = join_hot(star, keys, "key")
+    nodes = held.select("key", "node").unionByName(held.select("key", F.col("rep").alias("node"))).distinct()
+    return nodes.join(nodes.groupBy("key").agg(F.count("*").alias("n")), "key").join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
+
+
 def cells(members: DataFrame, crowded: int) -> DataFrame:
-    """Rows ``key, cell, part`` and the other columns of ``members``: a bucket of up to ``crowded`` members is one cell; of a
+    """Rows ``key, cell`` and the other columns of ``members``: a bucket of up to ``crowded`` members is one cell; of a
     larger one each pair of parts is, so that every pair of members meets in some cell."""
     parts = F.when(F.col("n") > crowded, F.ceil(2 * F.col("n") / crowded).cast("long")).otherwise(1)
     dealt = members.withColumn("n", parts).withColumn("part", F.pmod("node", "n"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
-    cell = F.least("part", "other") * F.col("n") + F.greatest("part", "other")
-    return dealt.withColumn("cell", cell).drop("n", "other")
+    return dealt.withColumn("cell", F.least("part", "other") * F.col("n") + F.greatest("part", "other")).drop("n", "part", "other")
 
 
 def near_components(prints: DataFrame, scratch: Scratch, likeness: float = 0.8, crowded: int = 1 << 13) -> DataFrame:
     """``node, component`` for the nodes of ``prints`` (columns ``node, digits, n_digits``, distinct, stored) that have links.
 
     Two fingerprints link if they share a band (or block) and their likeness is ``likeness`` or more. Every pair of a
-    bucket is judged, already in one component, or has buckets at a level of its own. A mixed bucket of over ``crowded``
-    members is cut into cells, and each pair of cells is compared in a task of its own. An empty table gives none.
+    bucket is judged, already in one component, or has buckets at a level of its own. Components that share a bucket are
+    compared in cells, each in a task of its own; so are the members of a bucket with very many components, by pairs of
+    parts if they are over ``crowded``. An empty table gives none.
     """
     own = prints.where(F.col("n_digits") > 0)
     bands, width = band_shape(own.count(), likeness)
@@ -270,10 +303,24 @@ def near_components(prints: DataFrame, scratch: Scratch, likeness: float = 0.8,
     judged = scratch.keep(join_hot(pairs, sides[0], "rep").select("rep", "node", "f_a", "n_a", "f_b", "n_b").mapInArrow(_judge(likeness), "rep long, node long, close boolean"))
     scratch.drop(pairs)
     parts = connected_components(judged.where("close").select(F.col("rep").alias("a"), F.col("node").alias("b")), scratch)
-    members = mixed_buckets(star, not_joined(judged, parts, scratch), scratch)
-    scratch.drop(star, judged)
-    if members.isEmpty():
+    apart = not_joined(judged, parts, scratch)
+    pairs, many = component_pairs(star, apart, scratch)
+    sizes = scratch.keep(parts.groupBy("component").agg(F.count("*").alias("size")))
+    # two components of one node each that are the ends of a row were judged
+    told = apart.select(F.least("ca", "cb").alias("a"), F.greatest("ca", "cb").alias("b")).distinct()
+    for k in ("a", "b"):
+        told = told.join(sizes.select(F.col("component").alias(k)), k, "left_anti")
+    pairs = scratch.keep(pairs.join(told, ["a", "b"], "left_anti"))
+    scratch.drop(judged)
+    met = []
+    if not pairs.isEmpty():
+        met.append(hosted(pairs, sizes, parts, scratch))
+    if not many.isEmpty():
+        met.append(cells(bucket_members(star, many, parts), crowded).select("key", "cell", "node", "component"))
+    if not met:
         return parts
-    whole = members.join(own.select("node", "digits", "n_digits"), "node").join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    more = cells(whole, crowded).select("key", "cell", "node", "digits", "n_digits", "component").groupBy("key", "cell").applyInArrow(_across(likeness), "a long, b long")
-    return connected_components(more.unionByName(parts.select(F.col("node").alias("a"), F.col("component").alias("b"))), scratch)
+    edges = parts.select(F.col("node").alias("a"), F.col("component").alias("b"))
+    for rows in met:
+        whole = rows.join(own.select("node", "digits", "n_digits"), "node")
+        edges = edges.unionByName(whole.groupBy("key", "cell").applyInArrow(_across(likeness), "a long, b long"))
+    return connected_components(edges, scratch)

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Scratch, by_bytes, connected_components, join_hot, materialize, renamed, table, text_bytes
-from .edit_bands import _HELD, _STAR, cells, local_stars, mixed_buckets, not_joined, stars
+from .edit_bands import _HELD, _STAR, bucket_members, cells, component_pairs, hosted, local_stars, not_joined, stars
 
 BITS = 64
 #: Shingles whose bits are summed at once.
@@ -289,44 +289,6 @@ def _shared(similarity: float) -> Column:
     return F.when(F.least("n_a", "n_b") >= similarity * F.greatest("n_a", "n_b") - 1e-9, F.greatest(both - rest, F.lit(1)))
 
 
-#: Pairs a member that a cell may list; a cell with more is compared in place.
-LISTED = 32
-
-
-def _open_pairs(similarity: float, listed: int):
-    """Pairs ``a, b, n`` of a cell's members that are in different components and near enough in size; where there are
-    more than ``listed`` a member, the cell's ``key, cell`` instead."""
-
-    def run(t: pa.Table) -> pa.Table:
-        order = np.argsort(t.column("node").to_numpy())
-        node, part, size, label = (t.column(c).to_numpy()[order] for c in ("node", "part", "size", "component"))
-        label = np.unique(label, return_inverse=True)[1]
-        across = len(np.unique(part)) > 1
-        most = int(np.bincount(label).argmax())
-        done = np.zeros(len(node), bool)
-        a, b, n = [], [], 0
-        for i in np.flatnonzero(label != most).tolist():
-            done[i] = True
-            other = np.flatnonzero((label != label[i]) & ~done & (np.minimum(size, size[i]) >= similarity * np.maximum(size, size[i]) - 1e-9) & ((part != part[i]) | (not across)))
-            a.append(np.minimum(node[other], node[i]))
-            b.append(np.maximum(node[other], node[i]))
-            n += len(other)
-            if n > listed * len(node):
-                return _opened([None], [None], [None], t.column("key")[:1].to_pylist(), t.column("cell")[:1].to_pylist())
-        a, b = (np.concatenate([np.empty(0, np.int64), *x]) for x in (a, b))
-        weight = t.column("weight")[0].as_py()
-        return _opened(a, b, np.full(n, weight), [None] * n, [None] * n)
-
-    return run
-
-
-_OPENED = "a long, b long, n long, key long, cell long"
-
-
-def _opened(*columns) -> pa.Table:
-    return pa.table([pa.array(c, pa.int64()) for c in columns], names=["a", "b", "n", "key", "cell"])
-
-
 def fingerprint_pairs(own: DataFrame, scratch: Scratch, radius: int, crowded: int) -> DataFrame:
     """Candidate pairs ``a, b`` of nodes by SimHash: of ``own`` (``node, print``), nodes with the same fingerprint are held
     against one of them, and these against each other where pigeonhole blocks find ``radius`` or fewer differing bits."""
@@ -348,10 +310,10 @@ def set_links(own: DataFrame, sets_of: Callable[[DataFrame], DataFrame], scratch
     First come the pairs whose SimHash fingerprints differ in at most ``radius`` bits, found on pigeonhole blocks; each is
     confirmed by its sets. Fingerprints of sets at 0.8 differ in about ten bits of 64, up to twenty, and no block
     would be left for these; so what the fingerprints don't join is completed exactly: sets at ``similarity`` or more share
-    a hash of their prefixes. Each bucket of such a hash holds its members against one of them; buckets that this leaves
-    in several components are opened. Their pairs across components are counted over all buckets, if they are at most
-    ``LISTED`` a member, and judged if they share enough hashes; cells with more are compared in place, those of
-    over ``crowded`` members by pairs of parts, each in a task of its own.
+    a hash of their prefixes. Each bucket of such a hash holds its members against one of them. Components that still
+    share buckets are compared: those of one node each if they share enough of them, others member by member in cells,
+    each in a task of its own; so are the members of a bucket with very many components, by pairs of parts if they are
+    over ``crowded``.
     """
     sizes = scratch.keep(own.select("node", "n").distinct())
 
@@ -400,21 +362,27 @@ def set_links(own: DataFrame, sets_of: Callable[[DataFrame], DataFrame], scratch
     parts = connected_components(edges, scratch)
     edges = parts.select(F.col("node").alias("a"), F.col("component").alias("b"))
     apart = not_joined(judged.toDF("rep", "node", "close"), parts, scratch)
-    members = mixed_buckets(star, apart, scratch, least=2)
-    scratch.drop(star, pairs, judged)
-    if members.isEmpty():
-        return edges
-    whole = members.join(sizes.withColumnRenamed("n", "size"), "node").join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    celled = scratch.keep(cells(whole, crowded).select("key", "cell", "part", "weight", "node", "size", "component"))
-    opened = scratch.keep(celled.groupBy("key", "cell").applyInArrow(_open_pairs(similarity, LISTED), _OPENED))
-    counted = scratch.keep(sized(opened.where("key is null").groupBy("a", "b").agg(F.sum("n").alias("n"))).select("a", "b", "open").where("open"))
+    met, many = component_pairs(star, apart, scratch)
+    scratch.drop(pairs, judged)
+    grown = scratch.keep(parts.groupBy("component").agg(F.count("*").alias("size")))
+    for k in ("a", "b"):
+        met = met.join(grown.toDF(k, f"g_{k}"), k, "left")
+    met = scratch.keep(met)
+    # components of one node each share as many hashes of their prefixes as buckets
+    single = F.col("g_a").isNull() & F.col("g_b").isNull()
+    counted = scratch.keep(sized(met.where(single).select("a", "b", "n")).where("open").select("a", "b", "open"))
     edges = edges.unionByName(judge(counted).where("close").select("a", "b"))
-    large = opened.where("key is not null").select("key", "cell")
-    if large.isEmpty():
-        return edges
-    compared = scratch.keep(celled.join(large, ["key", "cell"], "left_semi").select("key", "cell", "node", "component"))
-    sets = scratch.keep(sets_of(compared.select("node").distinct()))
-    return edges.unionByName(compared.join(sets, "node").groupBy("key", "cell").applyInArrow(_jaccard_across(similarity), "a long, b long"))
+    cell_rows = []
+    grown_pairs = met.where(~single).select("a", "b")
+    if not grown_pairs.isEmpty():
+        cell_rows.append(hosted(grown_pairs, grown, parts, scratch))
+    if not many.isEmpty():
+        cell_rows.append(cells(bucket_members(star, many, parts), crowded).select("key", "cell", "node", "component"))
+    for rows in cell_rows:
+        rows = scratch.keep(rows)
+        sets = scratch.keep(sets_of(rows.select("node").distinct()))
+        edges = edges.unionByName(rows.join(sets, "node").groupBy("key", "cell").applyInArrow(_jaccard_across(similarity), "a long, b long"))
+    return edges
 
 
 #: Rows up to which keys of rows are broadcast.
