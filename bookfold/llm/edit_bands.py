@@ -206,8 +206,8 @@ def _across(likeness: float):
     return run
 
 
-#: Components up to which a bucket's pairs of components are listed; members of a cell's side.
-KINDS, SIDE = 64, 4096
+#: Pairs a component up to which a bucket's pairs of components are listed, however few its members; members of a cell's side.
+LISTED, SIDE = 3, 4096
 
 
 def not_joined(judged: DataFrame, parts: DataFrame, scratch: Scratch) -> DataFrame:
@@ -220,14 +220,15 @@ def not_joined(judged: DataFrame, parts: DataFrame, scratch: Scratch) -> DataFra
 
 
 def component_pairs(star: DataFrame, apart: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
-    """Pairs ``a, b, n`` of components that ``n`` buckets have in common, and the ``key`` of buckets with over ``KINDS``
-    components, whose pairs aren't listed.
+    """Pairs ``a, b, n`` of components that ``n`` buckets have in common, and the ``key`` of buckets whose pairs aren't
+    listed, as they would be more than the members and more than ``LISTED`` a component.
 
     A bucket's star rows are a tree, so each of its components is at an end of a row that joins two: rows that join none,
     almost all in a group of near copies, aren't looked at."""
     rows = star.join(apart, ["rep", "node"]).select("key", F.explode(F.array("ca", "cb")).alias("c"))
     kinds = scratch.keep(rows.distinct())
-    many = scratch.keep(kinds.groupBy("key").count().where(F.col("count") > KINDS).select("key"))
+    per = kinds.groupBy("key").agg(F.count("*").alias("k")).join(star.groupBy("key").agg(F.count("*").alias("m")), "key")
+    many = scratch.keep(per.where(F.col("k") * (F.col("k") - 1) / 2 > F.greatest(F.col("k") * LISTED, F.col("m"))).select("key"))
     listed = kinds if many.isEmpty() else kinds.join(many, "key", "left_anti")
     cs = F.col("cs")
     each = F.flatten(F.transform(cs, lambda x, i: F.transform(F.slice(cs, i + 2, F.size(cs)), lambda y: F.struct(x.alias("a"), y.alias("b")))))

@@ -81,8 +81,8 @@ def test_near_dedup_equals_brute_force_in_mixed_buckets(spark, monkeypatch):
     want = sorted(set(_lowest(sets, close).values()))
     assert 1 < len(want) < 60
     docs = spark.createDataFrame(rows, SCHEMA)
-    for kinds, side, crowded in ((64, 4096, 4096), (2, 3, 8)):
-        monkeypatch.setattr(edit_bands, "KINDS", kinds)
+    for listed, side, crowded in ((3, 4096, 4096), (-1e9, 3, 8)):
+        monkeypatch.setattr(edit_bands, "LISTED", listed)
         monkeypatch.setattr(edit_bands, "SIDE", side)
         assert sorted(r.doc_id for r in simhash.near_dedup(docs, crowded=crowded).collect()) == want
 

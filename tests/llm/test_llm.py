@@ -77,8 +77,8 @@ def test_near_dedup_finds_every_pair_at_the_similarity(spark, monkeypatch):
         rows += [(i, " ".join(w)), (100 + i, " ".join([*w[:182], *[f"x{rnd.randrange(10**6)}" for _ in range(22)]]))]
     assert all(0.8 <= _jaccard(a[1], b[1]) < 0.81 for a, b in zip(rows[::2], rows[1::2]))
     docs = spark.createDataFrame(rows, SCHEMA)
-    for kinds, crowded in ((64, 4096), (1, 1)):
-        monkeypatch.setattr(edit_bands, "KINDS", kinds)
+    for listed, crowded in ((3, 4096), (-1e9, 1)):
+        monkeypatch.setattr(edit_bands, "LISTED", listed)
         assert sorted(r.doc_id for r in simhash.near_dedup(docs, crowded=crowded).collect()) == list(range(60))
 
 
