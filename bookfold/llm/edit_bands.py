@@ -208,6 +208,8 @@ def _across(likeness: float):
 
 #: Pairs a component up to which a bucket's pairs of components are listed, however few its members; members of a cell's side.
 LISTED, SIDE = 3, 4096
+#: Keys of buckets, 8 bytes each, that are broadcast at most.
+KEYS_SENT = 1 << 20
 
 
 def not_joined(judged: DataFrame, parts: DataFrame, scratch: Scratch) -> DataFrame:
@@ -257,10 +259,11 @@ def hosted(pairs: DataFrame, sizes: DataFrame, parts: DataFrame, scratch: Scratc
     return hosts.unionByName(come)
 
 
-def bucket_members(star: DataFrame, keys: DataFrame, parts: DataFrame) -> DataFrame:
+def bucket_members(star: DataFrame, keys: DataFrame, parts: DataFrame, scratch: Scratch) -> DataFrame:
     """``key, n, node, component``: all members of some buckets."""
-    held = join_hot(star, keys, "key")
-    nodes = held.select("key", "node").unionByName(held.select("key", F.col("rep").alias("node"))).distinct()
+    held = scratch.keep(star.join(F.broadcast(keys), "key", "left_semi") if keys.count() <= KEYS_SENT else join_hot(star, keys, "key"))
+    nodes = scratch.keep(held.select("key", "node").unionByName(held.select("key", F.col("rep").alias("node"))).distinct())
+    scratch.drop(held)
     return nodes.join(nodes.groupBy("key").agg(F.count("*").alias("n")), "key").join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
 
 
@@ -317,7 +320,7 @@ def near_components(prints: DataFrame, scratch: Scratch, likeness: float = 0.8,
     if not pairs.isEmpty():
         met.append(hosted(pairs, sizes, parts, scratch))
     if not many.isEmpty():
-        met.append(cells(bucket_members(star, many, parts), crowded).select("key", "cell", "node", "component"))
+        met.append(cells(bucket_members(star, many, parts, scratch), crowded).select("key", "cell", "node", "component"))
     if not met:
         return parts
     edges = parts.select(F.col("node").alias("a"), F.col("component").alias("b"))

@@ -377,7 +377,7 @@ def set_links(own: DataFrame, sets_of: Callable[[DataFrame], DataFrame], scratch
     if not grown_pairs.isEmpty():
         cell_rows.append(hosted(grown_pairs, grown, parts, scratch))
     if not many.isEmpty():
-        cell_rows.append(cells(bucket_members(star, many, parts), crowded).select("key", "cell", "node", "component"))
+        cell_rows.append(cells(bucket_members(star, many, parts, scratch), crowded).select("key", "cell", "node", "component"))
     for rows in cell_rows:
         rows = scratch.keep(rows)
         sets = scratch.keep(sets_of(rows.select("node").distinct()))
