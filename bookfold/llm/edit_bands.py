@@ -28,6 +28,8 @@ LEAST = 1 << FULL
 STEP = PER_OCTAVE // 4
 #: No band lies within this share of the steps at the start or at the end: so a passage that many texts begin with fills no bucket.
 SPREAD = 0.6
+#: Of so many unrelated fingerprints one meets another in a band, about.
+APART = 250
 #: Rows that a map task groups at once, and members from which it sends on only one of a bucket without a node of the key's own level.
 _HELD, _MANY = 1 << 20, 32
 _REACH = np.cumsum(_WEIGHTS)
@@ -39,16 +41,25 @@ def share_alike(likeness: float) -> float:
     return likeness + (1 - likeness) * CHANCE
 
 
-def band_shape(n: int, likeness: float, missed: float = 0.02) -> tuple[int, int]:
-    """``bands, width`` for ``n`` distinct fingerprints: so wide that unrelated ones seldom meet (one in 25 in a
-    band), and so many that a pair at ``likeness`` is missed in a share of ``missed`` where its differences lie worst.
+def band_shape(n: int, likeness: float, missed: float = 0.02) -> tuple[int, int, int]:
+    """``bands, width, kinds`` for ``n`` distinct fingerprints: so selective that unrelated ones seldom meet (one in
+    ``APART`` in a band), and so many that a pair at ``likeness`` is missed in a share of ``missed`` where its
+    differences lie worst. Of the last of ``width`` digits only ``kinds`` kinds are told apart, so that a band becomes
+    more selective in small steps as ``n`` grows, and the chance meetings of a fingerprint stay as many.
 
     Worst is that all differences are within the digits that bands are drawn from (a level leaves out up to a fifth of
     the steps) and at one of its ends, where ``SPREAD`` forbids some of the bands that would agree."""
-    width = max(6, ceil(log10(25 * max(n, 2))))
+    wanted = max(6.0, log10(APART * max(n, 2)))
+    width = int(wanted)
+    # unrelated digits agree by CHANCE, others fall in the same kind
+    kinds = round((1 - CHANCE) / max(10 ** (width - wanted) - CHANCE, (1 - CHANCE) / 15))
     covered = min(float(_REACH[LEAST + k * STEP - 1] / _REACH[LEAST + (k + 1) * STEP - 2]) for k in range(64))
-    agree = ((1 - (1 - share_alike(likeness)) / covered) ** width - SPREAD**width) / (1 - 2 * SPREAD**width + (2 * SPREAD - 1) ** width)
-    return ceil(log(missed) / log(1 - agree)), width
+    all_agree = lambda w: ((1 - (1 - share_alike(likeness)) / covered) ** w - SPREAD**w) / (1 - 2 * SPREAD**w + (2 * SPREAD - 1) ** w)
+    agree = all_agree(width)
+    if kinds > 1:
+        width += 1
+        agree = all_agree(width) + (agree - all_agree(width)) / kinds
+    return ceil(log(missed) / log(1 - agree)), width, kinds if kinds > 1 else 15
 
 
 @lru_cache(maxsize=None)
@@ -88,7 +99,7 @@ def _block_keys(own: np.ndarray, likeness: float) -> tuple[np.ndarray, np.ndarra
     return np.concatenate(keys), np.concatenate(lower)
 
 
-def band_keys(own: np.ndarray, bands: int, width: int, likeness: float) -> tuple[np.ndarray, np.ndarray]:
+def band_keys(own: np.ndarray, bands: int, width: int, kinds: int, likeness: float) -> tuple[np.ndarray, np.ndarray]:
     """Keys of a fingerprint for its level and for those below that a partner of ``likeness`` may have, and whether they
     are for a lower level: such a partner's walk has at least the share of its steps in which they must agree."""
     out, lower = [], []
@@ -98,6 +109,7 @@ def band_keys(own: np.ndarray, bands: int, width: int, likeness: float) -> tuple
     least = share_alike(likeness) * _REACH[len(own) - 1]
     while level >= 0 and _REACH[min(len(_REACH), LEAST + (level + 1) * STEP) - 1] >= least:
         picked = own[_positions(level, bands, width)].astype(np.uint64) + np.uint64(1)
+        picked[:, -1] = (picked[:, -1] - np.uint64(2)) * np.uint64(kinds) // np.uint64(15)
         out.append(_mix((picked * _FACTORS[:width]).sum(axis=1) + _mix(np.arange(bands) + (level << 20))))
         lower.append(np.full(bands, level < top))
         level -= 1
@@ -285,14 +297,14 @@ def near_components(prints: DataFrame, scratch: Scratch, likeness: float = 0.8,
     parts if they are over ``crowded``. An empty table gives none.
     """
     own = prints.where(F.col("n_digits") > 0)
-    bands, width = band_shape(own.count(), likeness)
+    shape = band_shape(own.count(), likeness)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, ...]] = []
         n = 0
         for b in batches:
             for node, p, k in zip(*[c.to_pylist() for c in b.columns]):
-                keys, lower = band_keys(digits(p, k), bands, width, likeness)
+                keys, lower = band_keys(digits(p, k), *shape, likeness)
                 held.append((keys.view(np.int64), lower.astype(np.int64), np.full(len(keys), node, np.int64)))
                 n += len(keys)
                 if n >= _HELD:

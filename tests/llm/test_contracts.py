@@ -97,13 +97,13 @@ def test_short_fingerprints_meet_on_blocks():
             b[rnd.randrange(len(b))] = rnd.randint(1, 15)
         x = edit_bands.matrix([bytes.fromhex("".join(f"{d:x}" for d in v) + "0" * (len(v) % 2)) for v in (a, b)], [len(a), len(b)])
         if edit_bands.alike(x[:1], x[1:], np.array([len(a)]))[0] >= 0.8 and min(len(a), len(b)) < edit_bands.LEAST:
-            keys = [set(edit_bands.band_keys(v, 5, 6, 0.8)[0].tolist()) for v in (a, b)]
+            keys = [set(edit_bands.band_keys(v, 5, 6, 15, 0.8)[0].tolist()) for v in (a, b)]
             assert keys[0] & keys[1]
 
 
 def test_bands_find_pairs_wherever_they_differ():
     rnd = random.Random(5)
-    bands, width = edit_bands.band_shape(200_000, 0.8)
+    shape = edit_bands.band_shape(200_000, 0.8)
     missed = {}
     for place in ("even", "start", "middle", "end"):
         found = total = 0
@@ -123,7 +123,7 @@ def test_bands_find_pairs_wherever_they_differ():
             if (agree - edit_embedding.CHANCE) / (1 - edit_embedding.CHANCE) < 0.8:
                 continue
             total += 1
-            found += bool(set(edit_bands.band_keys(a, bands, width, 0.8)[0].tolist()) & set(edit_bands.band_keys(b, bands, width, 0.8)[0].tolist()))
+            found += bool(set(edit_bands.band_keys(a, *shape, 0.8)[0].tolist()) & set(edit_bands.band_keys(b, *shape, 0.8)[0].tolist()))
         missed[place] = 1 - found / total
     assert max(missed.values()) <= 0.06, missed
 
