@@ -19,13 +19,15 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 from .common import by_bytes, materialize, table, text_bytes
 
 BUCKETS = 1 << 16
+#: Words whose hashes a Python worker remembers at most (about 20 MB).
+WORDS_HELD = 100_000
 #: Parts that a round of the search for the k-th highest key divides a range into.
 _BINS = 4096
 
 
 class _Ids(dict):
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= 500_000:
+        if len(self) >= WORDS_HELD:
             self.clear()
         h = self[word] = xxhash.xxh64_intdigest(word, 11)
         return h
@@ -80,16 +82,17 @@ def log_ratios(counts: np.ndarray, smoothing: float = 0.5) -> np.ndarray:
 def log_weights(docs: DataFrame, ratios: np.ndarray, text_col: str = "text", name: str = "log_weight") -> DataFrame:
     """``docs`` with a column ``name``: the sum of the log ratios of a text's n-grams (null or empty: 0)."""
     shared = docs.sparkSession.sparkContext.broadcast(ratios.astype(np.float64))  # one double a bucket
-    names = [*docs.columns, name]
+    names, at = [*docs.columns, name], docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, r = _Ids(), shared.value
-        for b in by_bytes(batches, len(names) - 1, 8 << 20):
-            found = [float(r[ngram_buckets(t, known, len(r))].sum()) for t in b.column(len(names) - 1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(found, pa.float64())], names=names)
+        for b in by_bytes(batches, at, 8 << 20):
+            # the text's own bytes: a view, so that no text is sent twice
+            found = [float(r[ngram_buckets(t, known, len(r))].sum()) for t in b.column(at).cast(pa.binary()).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(found, pa.float64())], names=names)
 
     schema = StructType([*docs.schema.fields, StructField(name, DoubleType())])
-    return docs.select("*", text_bytes(f"`{text_col}`").alias("__bytes")).mapInArrow(run, schema)
+    return docs.mapInArrow(run, schema)
 
 
 def sample_key(id_col: str, text_col: str, weight: str, seed: int, temperature: float) -> Column:

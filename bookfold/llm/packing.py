@@ -87,6 +87,11 @@ class WordIds:
             out.append(ids)
         return b"".join(out)
 
+    def forget(self) -> None:
+        """Let go of the words seen, so that a worker that waits for its next task holds the vocabulary only."""
+        self._known.clear()
+        self._pieces.clear()
+
     def documents(self, texts: list[bytes | None]) -> list[bytes]:
         """Ids of each text and the end id, as little-endian 32-bit integers."""
         for kept in (self._known, self._pieces):
@@ -236,6 +241,7 @@ def _packer(path: str, end_id: int, length: int, block: int):
                 yield flush(False)
         if held:
             yield flush(True)
+        words.forget()
 
     return run
 
