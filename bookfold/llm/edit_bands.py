@@ -31,7 +31,7 @@ SPREAD = 0.6
 #: Of so many unrelated fingerprints one meets another in a band, about.
 APART = 250
 #: Rows that a map task groups at once, and members from which it sends on only one of a bucket without a node of the key's own level.
-_HELD, _MANY = 1 << 20, 32
+_HELD, _MANY = 1 << 18, 32
 _REACH = np.cumsum(_WEIGHTS)
 _FACTORS = _mix(np.arange(64)) | np.uint64(1)
 

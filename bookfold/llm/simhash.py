@@ -229,7 +229,7 @@ def _common(plain: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
     links found are the same for any sample."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in by_bytes(batches, 0, 8 << 20):
+        for b in by_bytes(batches, 0, 2 << 20):
             h, n = np.unique(np.concatenate([shingle_set(t, shingle) for t in b.column(0).to_pylist()]), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n)], names=["h", "n"])
 
@@ -407,7 +407,7 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     common = spark.sparkContext.broadcast(_common(plain, shingle))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in by_bytes(batches, 3, 8 << 20):
+        for b in by_bytes(batches, 3, 2 << 20):
             sets = [shingle_set(t, shingle) for t in b.column(3).to_pylist()]
             node = np.array([xxhash.xxh64_intdigest(s.tobytes(), 42) for s in sets], np.uint64).view(np.int64)
             prints = np.array(list(map(set_fingerprint, sets)), np.uint64).view(np.int64)
@@ -415,7 +415,7 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(node), pa.array(list(map(len, sets)), pa.int64()), pa.array(prints), pa.array(prefix, pa.binary())], names=[*keys, "node", "n", "print", "prefix"])
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in by_bytes(batches, 1, 8 << 20):
+        for b in by_bytes(batches, 1, 2 << 20):
             found = [shingle_set(t, shingle).tobytes() for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.binary())], names=["node", "set"])
 
