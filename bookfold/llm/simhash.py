@@ -241,19 +241,11 @@ def _common(plain: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
     return h[by], n[by]
 
 
-def _jaccard_judge(similarity: float):
-    """Whether the exact Jaccard similarity of each pair of sets is ``similarity`` or more."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            close = []
-            for x, y in zip(b.column("s_a"), b.column("s_b")):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                close.append(both / (len(x) + len(y) - both) >= similarity)
-            yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b"), pa.array(close, pa.bool_())], names=["a", "b", "close"])
-
-    return run
+def _similar(similarity: float) -> Column:
+    """Whether the exact Jaccard similarity of the sets ``s_a`` and ``s_b`` is ``similarity`` or more. It is judged a row
+    at a time in the JVM, so no batch of pairs of whole sets is held."""
+    both = F.size(F.array_intersect("s_a", "s_b"))
+    return both / (F.size("s_a") + F.size("s_b") - both) >= similarity
 
 
 def _jaccard_across(similarity: float):
@@ -261,10 +253,10 @@ def _jaccard_across(similarity: float):
 
     def run(t: pa.Table) -> pa.Table:
         node, label = t.column("node").to_numpy(), np.unique(t.column("component").to_numpy(), return_inverse=True)[1]
-        sets = [np.frombuffer(x, np.uint64) for x in t.column("set").to_pylist()]
-        n = np.fromiter(map(len, sets), np.int64, len(sets))
+        sets = t.column("set").combine_chunks()
+        n = sets.value_lengths().to_numpy().astype(np.int64)
         starts = np.cumsum(n) - n
-        values, flat = np.unique(np.concatenate(sets), return_inverse=True)
+        values, flat = np.unique(sets.flatten().to_numpy(), return_inverse=True)
         found = []
         # members of the largest component are compared with the others only
         for i in np.flatnonzero(label != np.bincount(label).argmax()).tolist():
@@ -323,7 +315,7 @@ def set_links(own: DataFrame, sets_of: Callable[[DataFrame], DataFrame], scratch
         sets = scratch.keep(sets_of(wanted.select(F.explode(F.array("a", "b")).alias("node")).distinct()))
         for k in ("a", "b"):
             wanted = wanted.join(sets.select(F.col("node").alias(k), F.col("set").alias(f"s_{k}")), k)
-        done = wanted.select("a", "b", "s_a", "s_b").mapInArrow(_jaccard_judge(similarity), "a long, b long, close boolean")
+        done = wanted.select("a", "b", _similar(similarity).alias("close"))
         out = scratch.keep(done.unionByName(pairs.where("not open").select("a", "b", F.lit(False).alias("close"))))
         scratch.drop(sets)
         return out
@@ -416,8 +408,9 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in by_bytes(batches, 1, 2 << 20):
-            found = [shingle_set(t, shingle).tobytes() for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.binary())], names=["node", "set"])
+            found = [shingle_set(t, shingle).view(np.int64) for t in b.column(1).to_pylist()]
+            ends = np.cumsum([0, *map(len, found)]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(found)))], names=["node", "set"])
 
     own = scratch.keep(plain.mapInArrow(run, "id long, none boolean, th long, node long, n long, print long, prefix binary"))
     first = scratch.keep(own.groupBy("node").agg(F.min(F.struct("none", "id", "th")).alias("first")))
@@ -425,7 +418,7 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     def sets_of(wanted: DataFrame) -> DataFrame:
         rows = scratch.keep(first.join(wanted, "node", "left_semi").select("node", "first.*"))
         few = F.broadcast(rows) if rows.count() <= FEW else rows
-        return plain.join(few, keys).select("node", "text").mapInArrow(sets, "node long, set binary").dropDuplicates(["node"])
+        return plain.join(few, keys).select("node", "text").mapInArrow(sets, "node long, set array<long>").dropDuplicates(["node"])
 
     parts = connected_components(set_links(own.where("n > 0"), sets_of, scratch, similarity, radius, crowded), scratch)
     kept = first.join(parts, "node", "left").groupBy(F.coalesce("component", "node").alias("component")).agg(F.min("first").alias("first")).select("first.*")
