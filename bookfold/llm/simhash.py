@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 from itertools import combinations
-from math import ceil, comb
+from math import ceil, comb, log2
 
 import numpy as np
 import pyarrow as pa
@@ -207,6 +208,14 @@ def set_fingerprint(hashes: np.ndarray) -> int:
     return int.from_bytes(np.packbits(2 * counts > len(hashes)).tobytes(), "big")
 
 
+def parities(hashes: np.ndarray) -> bytes:
+    """A bit for each of 2^k bins of a set of hashes, about as many as hashes and 64 at least: whether the bin, a hash's
+    last k bits, holds an odd number. Sets differ in at least as many hashes as these bits differ, and the halves of the
+    bits joined by XOR are those of half the bins."""
+    bins = 1 << max(6, round(log2(max(1, len(hashes)))))
+    return np.packbits((np.bincount((hashes & np.uint64(bins - 1)).astype(np.int64), minlength=bins) & 1).astype(np.uint8)).tobytes()
+
+
 #: Documents that the order of shingles is taken from, and shingles that it holds at most.
 ORDER_DOCS, ORDER_SHINGLES = 8192, 200_000
 
@@ -248,6 +257,54 @@ def _similar(similarity: float) -> Column:
     return both / (F.size("s_a") + F.size("s_b") - both) >= similarity
 
 
+#: Pairs a member up to which a cell's pairs are listed, to be judged once for all cells.
+DENSE = 16
+
+
+def _open_across(similarity: float, dense: float):
+    """Of the members of two parts of a bucket (``node, component, n, odd``), the pairs ``a, b`` in different components
+    that their ``parities`` leave open, without ``key`` and ``cell``. If these are more than ``dense`` a member, the rows
+    are the members of such pairs instead, ``a, b`` their node and component. Every pair at ``similarity`` is left open."""
+    most = (1 - similarity) / (1 + similarity)
+
+    def run(t: pa.Table) -> pa.Table:
+        n = t.column("n").to_numpy()
+        order = np.argsort(n, kind="stable")
+        n, node, component = n[order], t.column("node").to_numpy()[order], t.column("component").to_numpy()[order]
+        odd = t.column("odd").to_pylist()
+        odd = [odd[i] for i in order.tolist()]
+        length = np.array(list(map(len, odd)))
+        ends = np.searchsorted(n, n / similarity + 1e-9, "right")
+        found, listed, held = np.zeros(len(n), bool), [], 0
+        for size in np.unique(length).tolist():
+            # larger sets have as many bits or more
+            low, high = np.searchsorted(length, [size, size + 1]).tolist()
+            bits = np.empty((ends[high - 1] - low, size // 8), np.uint64)
+            for other in np.unique(length[low : ends[high - 1]]).tolist():
+                at, to = np.searchsorted(length[: ends[high - 1]], [other, other + 1]).tolist()
+                wide = np.frombuffer(b"".join(odd[at:to]), np.uint64).reshape(to - at, -1)
+                while wide.shape[1] > size // 8:
+                    wide = wide[:, : wide.shape[1] // 2] ^ wide[:, wide.shape[1] // 2 :]
+                bits[at - low : to - low] = wide
+            for i in range(low, high):
+                j = i + 1 + np.flatnonzero(component[i + 1 : ends[i]] != component[i])
+                if len(j):
+                    j = j[np.bitwise_count(bits[j - low] ^ bits[i - low]).sum(axis=1, dtype=np.int64) <= most * (n[j] + n[i]) + 1e-9]
+                if len(j):
+                    found[i] = found[j] = True
+                    held += len(j)
+                    if held <= dense * len(n):
+                        listed.append((np.full(len(j), node[i]), node[j]))
+        if held > dense * found.sum():
+            place = [np.full(found.sum(), t.column(c)[0].as_py()) for c in ("key", "cell")]
+            return pa.table([*map(pa.array, place), pa.array(node[found]), pa.array(component[found])], names=["key", "cell", "a", "b"])
+        a, b = (np.concatenate([np.empty(0, np.int64), *x]) for x in (zip(*listed) if listed else ((), ())))
+        none = pa.nulls(len(a), pa.int64())
+        return pa.table([none, none, pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["key", "cell", "a", "b"])
+
+    return run
+
+
 def _jaccard_across(similarity: float):
     """Links between members of two parts of a bucket that are in different components."""
 
@@ -297,7 +354,8 @@ def fingerprint_pairs(own: DataFrame, scratch: Scratch, radius: int, crowded: in
 def set_links(own: DataFrame, sets_of: Callable[[DataFrame], DataFrame], scratch: Scratch, similarity: float, radius: int, crowded: int) -> DataFrame:
     """Edges ``a, b`` whose components are those of all pairs of sets at Jaccard ``similarity`` or more.
 
-    ``own``, a stored table, has ``node, n, print, prefix`` of sets, ``sets_of`` gives ``node, set`` for a table of ``node``.
+    ``own``, a stored table, has ``node, n, print, prefix, odd`` of sets (``odd``: their ``parities``), ``sets_of`` gives
+    ``node, set`` for a table of ``node``.
 
     First come the pairs whose SimHash fingerprints differ in at most ``radius`` bits, found on pigeonhole blocks; each is
     confirmed by its sets. Fingerprints of sets at 0.8 differ in about ten bits of 64, up to twenty, and no block
@@ -305,7 +363,8 @@ def set_links(own: DataFrame, sets_of: Callable[[DataFrame], DataFrame], scratch
     a hash of their prefixes. Each bucket of such a hash holds its members against one of them. Components that still
     share buckets are compared: those of one node each if they share enough of them, others member by member in cells,
     each in a task of its own; so are the members of a bucket with very many components, by pairs of parts if they are
-    over ``crowded``.
+    over ``crowded``. Cells get the parities of sets, a 64th of their size; only the pairs that these leave open are
+    judged by their sets, each once however many cells it is in, or in their cell where there are too many to list.
     """
     sizes = scratch.keep(own.select("node", "n").distinct())
 
@@ -370,10 +429,16 @@ def set_links(own: DataFrame, sets_of: Callable[[DataFrame], DataFrame], scratch
         cell_rows.append(hosted(grown_pairs, grown, parts, scratch))
     if not many.isEmpty():
         cell_rows.append(cells(bucket_members(star, many, parts, scratch), crowded).select("key", "cell", "node", "component"))
-    for rows in cell_rows:
-        rows = scratch.keep(rows)
-        sets = scratch.keep(sets_of(rows.select("node").distinct()))
-        edges = edges.unionByName(rows.join(sets, "node").groupBy("key", "cell").applyInArrow(_jaccard_across(similarity), "a long, b long"))
+    if cell_rows:
+        odd = scratch.keep(own.select("node", "n", "odd").distinct())
+        across = [scratch.keep(rows.join(odd, "node").groupBy("key", "cell").applyInArrow(_open_across(similarity, DENSE), "key long, cell long, a long, b long")) for rows in map(scratch.keep, cell_rows)]
+        listed = reduce(DataFrame.unionByName, [x.where("key is null").select("a", "b") for x in across])
+        edges = edges.unionByName(judge(scratch.keep(listed.distinct().withColumn("open", F.lit(True)))).where("close").select("a", "b"))
+        for x in across:
+            rows = x.where("key is not null").select("key", "cell", F.col("a").alias("node"), F.col("b").alias("component"))
+            if not rows.isEmpty():
+                sets = scratch.keep(sets_of(rows.select("node").distinct()))
+                edges = edges.unionByName(rows.join(sets, "node").groupBy("key", "cell").applyInArrow(_jaccard_across(similarity), "a long, b long"))
     return edges
 
 
@@ -404,7 +469,8 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             node = np.array([xxhash.xxh64_intdigest(s.tobytes(), 42) for s in sets], np.uint64).view(np.int64)
             prints = np.array(list(map(set_fingerprint, sets)), np.uint64).view(np.int64)
             prefix = [prefix_of(s, similarity, common.value).tobytes() for s in sets]
-            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(node), pa.array(list(map(len, sets)), pa.int64()), pa.array(prints), pa.array(prefix, pa.binary())], names=[*keys, "node", "n", "print", "prefix"])
+            odd = pa.array(map(parities, sets), pa.binary())
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(node), pa.array(list(map(len, sets)), pa.int64()), pa.array(prints), pa.array(prefix, pa.binary()), odd], names=[*keys, "node", "n", "print", "prefix", "odd"])
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in by_bytes(batches, 1, 2 << 20):
@@ -412,7 +478,7 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             ends = np.cumsum([0, *map(len, found)]).astype(np.int32)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(found)))], names=["node", "set"])
 
-    own = scratch.keep(plain.mapInArrow(run, "id long, none boolean, th long, node long, n long, print long, prefix binary"))
+    own = scratch.keep(plain.mapInArrow(run, "id long, none boolean, th long, node long, n long, print long, prefix binary, odd binary"))
     first = scratch.keep(own.groupBy("node").agg(F.min(F.struct("none", "id", "th")).alias("first")))
 
     def sets_of(wanted: DataFrame) -> DataFrame:

@@ -5,7 +5,9 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from bookfold.llm import bpe, common, edit_bands, edit_embedding, language, packing, pii, quality_rules, sharding, simhash
@@ -281,3 +283,51 @@ def test_pipeline_stage_keeps_columns_and_odd_rows(spark, name):
         assert out.columns == docs.columns and len(rows) <= 4
     if name == "near_dedup":
         assert sorted(r.doc_id for r in rows if r.doc_id is not None) == [1, 4]
+
+
+@pytest.mark.parametrize("dense", [16, -1])
+def test_parities_leave_every_close_pair_open(dense):
+    rnd = np.random.default_rng(6)
+    sets = []
+    for n in [1, 2, 5, 9, 30, 63, 64, 90, 91, 200, 724, 725, 1448, 3000]:
+        own = rnd.integers(0, 2**64, n, np.uint64)
+        sets += [own] + [np.unique(np.concatenate([own[int(n * cut) :], rnd.integers(0, 2**64, int(n * more), np.uint64)])) for cut in (0, 0.1, 0.19, 0.4) for more in (0, 0.1, 0.24, 0.4)]
+    sets = {i: set(s.tolist()) for i, s in enumerate(sets)}
+    odd = [simhash.parities(np.array(sorted(sets[i]), np.uint64)) for i in sets]
+    t = pa.table({"key": [7] * len(sets), "cell": [9] * len(sets), "node": list(sets), "component": [i // 2 for i in sets], "n": list(map(len, sets.values())), "odd": odd})
+    got = simhash._open_across(0.8, dense)(t).to_pylist()
+    pairs = {(a, b): len(sets[a] & sets[b]) / len(sets[a] | sets[b]) for a in sets for b in sets if a < b and a // 2 != b // 2}
+    close = {p for p, similarity in pairs.items() if similarity >= 0.8}
+    assert len(close) > 100
+    if dense < 0:
+        assert {r["key"] for r in got} == {7} and {r["cell"] for r in got} == {9} and all(r["b"] == r["a"] // 2 for r in got)
+        assert {x for p in close for x in p} <= {r["a"] for r in got}
+    else:
+        found = {(r["a"], r["b"]) for r in got}
+        assert len(found) == len(got) and close <= found <= set(pairs) and {r["key"] for r in got} == {None}
+        assert not [p for p in found if pairs[p] < 0.3 and min(len(sets[x]) for x in p) > 60]
+
+
+@pytest.mark.parametrize("dense", [16, -1])
+def test_near_dedup_moves_no_sets_for_chance_meetings(spark, monkeypatch, dense):
+    monkeypatch.setattr(simhash, "ORDER_SHINGLES", 0)
+    monkeypatch.setattr(simhash, "DENSE", dense)
+    rnd = random.Random(11)
+    word = lambda: f"w{rnd.randrange(10**6)}"
+    phrase = []
+    while len(phrase) < 6:  # first in the order of prefixes
+        x = " ".join(word() for _ in range(5))
+        if xxhash.xxh64_intdigest(x, 42) < 2**64 // 50:
+            phrase.append(x)
+    rows = [(i, " ".join([*[word() for _ in range(80)], *rnd.sample(phrase, 3), *[word() for _ in range(80)]])) for i in range(60)]
+    moved = []
+
+    def keep(scratch, df, plain=common.Scratch.keep):
+        out = plain(scratch, df)
+        if "set" in out.columns:
+            moved.append(out.count())
+        return out
+
+    monkeypatch.setattr(common.Scratch, "keep", keep)
+    assert simhash.near_dedup(spark.createDataFrame(rows, SCHEMA)).count() == 60
+    assert moved and sum(moved) == 0
