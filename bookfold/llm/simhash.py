@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator
 from functools import reduce
 from itertools import combinations
 from math import ceil, comb, log2
+from operator import xor
 
 import numpy as np
 import pyarrow as pa
@@ -216,6 +217,13 @@ def parities(hashes: np.ndarray) -> bytes:
     return np.packbits((np.bincount((hashes & np.uint64(bins - 1)).astype(np.int64), minlength=bins) & 1).astype(np.uint8)).tobytes()
 
 
+def differing(x: bytes, y: bytes) -> int:
+    """In how many of the shorter one's bits ``parities`` differ."""
+    size = min(len(x), len(y))
+    x, y = (reduce(xor, (int.from_bytes(v[at : at + size]) for at in range(0, len(v), size))) for v in (x, y))
+    return (x ^ y).bit_count()
+
+
 #: Documents that the order of shingles is taken from, and shingles that it holds at most.
 ORDER_DOCS, ORDER_SHINGLES = 8192, 200_000
 
@@ -257,6 +265,19 @@ def _similar(similarity: float) -> Column:
     return both / (F.size("s_a") + F.size("s_b") - both) >= similarity
 
 
+def _left_open(similarity: float):
+    """Pairs with whether their ``parities`` leave it open that their sets are at ``similarity``."""
+    most = (1 - similarity) / (1 + similarity)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = zip(*[b.column(c).to_pylist() for c in ("odd_a", "odd_b", "n_a", "n_b")])
+            left = pa.array([differing(x, y) <= most * (n + m) + 1e-9 for x, y, n, m in rows], pa.bool_())
+            yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b"), left], names=["a", "b", "open"])
+
+    return run
+
+
 #: Pairs a member up to which a cell's pairs are listed, to be judged once for all cells.
 DENSE = 16
 
@@ -364,9 +385,10 @@ def set_links(own: DataFrame, sets_of: Callable[[DataFrame], DataFrame], scratch
     share buckets are compared: those of one node each if they share enough of them, others member by member in cells,
     each in a task of its own; so are the members of a bucket with very many components, by pairs of parts if they are
     over ``crowded``. Cells get the parities of sets, a 64th of their size; only the pairs that these leave open are
-    judged by their sets, each once however many cells it is in, or in their cell where there are too many to list.
+    judged by their sets, each once however many cells it is in, or in their cell where there are too many to list. So
+    are pairs that share enough hashes.
     """
-    sizes = scratch.keep(own.select("node", "n").distinct())
+    odd = scratch.keep(own.select("node", "n", "odd").distinct())
 
     def judge(pairs: DataFrame) -> DataFrame:
         """``a, b, close`` of stored ``pairs`` ``a, b, open``; false without a look where not ``open``."""
@@ -382,9 +404,17 @@ def set_links(own: DataFrame, sets_of: Callable[[DataFrame], DataFrame], scratch
     def sized(pairs: DataFrame) -> DataFrame:
         """Pairs ``a, b, n`` with ``open``: whether they share enough hashes of their prefixes."""
         for k in ("a", "b"):
-            pairs = pairs.join(sizes.select(F.col("node").alias(k), F.col("n").alias(f"n_{k}")), k)
+            pairs = pairs.join(odd.select(F.col("node").alias(k), F.col("n").alias(f"n_{k}")), k)
         return pairs.withColumn("open", F.coalesce(F.col("n") >= _shared(similarity), F.lit(False)))
 
+    def left_open(pairs: DataFrame) -> DataFrame:
+        """Stored pairs ``a, b, open``, ``open`` no longer where their parities differ too much."""
+        wanted = pairs.where("open").select("a", "b")
+        for k in ("a", "b"):
+            wanted = wanted.join(odd.toDF(k, f"n_{k}", f"odd_{k}"), k)
+        told = wanted.mapInArrow(_left_open(similarity), "a long, b long, open boolean")
+        return scratch.keep(told.unionByName(pairs.where("not open")))
+
     first = judge(fingerprint_pairs(own, scratch, radius, crowded).withColumn("open", F.lit(True)))
     known = connected_components(first.where("close").select("a", "b"), scratch)
 
@@ -407,7 +437,7 @@ def set_links(own: DataFrame, sets_of: Callable[[DataFrame], DataFrame], scratch
     for k in ("a", "b"):
         pairs = pairs.join(known.toDF(k, f"c_{k}"), k, "left")
     joined = F.coalesce("c_a", "a") == F.coalesce("c_b", "b")
-    pairs = scratch.keep(sized(pairs.where(~joined)).select("a", "b", "open"))
+    pairs = left_open(scratch.keep(sized(pairs.where(~joined)).select("a", "b", "open")))
     judged = judge(pairs)
     edges = known.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(judged.where("close").select("a", "b"))
     parts = connected_components(edges, scratch)
@@ -422,23 +452,23 @@ def set_links(own: DataFrame, sets_of: Callable[[DataFrame], DataFrame], scratch
     # components of one node each share as many hashes of their prefixes as buckets
     single = F.col("g_a").isNull() & F.col("g_b").isNull()
     counted = scratch.keep(sized(met.where(single).select("a", "b", "n")).where("open").select("a", "b", "open"))
-    edges = edges.unionByName(judge(counted).where("close").select("a", "b"))
+    listed, across = left_open(counted).where("open").select("a", "b"), []
     cell_rows = []
     grown_pairs = met.where(~single).select("a", "b")
     if not grown_pairs.isEmpty():
         cell_rows.append(hosted(grown_pairs, grown, parts, scratch))
     if not many.isEmpty():
         cell_rows.append(cells(bucket_members(star, many, parts, scratch), crowded).select("key", "cell", "node", "component"))
-    if cell_rows:
-        odd = scratch.keep(own.select("node", "n", "odd").distinct())
-        across = [scratch.keep(rows.join(odd, "node").groupBy("key", "cell").applyInArrow(_open_across(similarity, DENSE), "key long, cell long, a long, b long")) for rows in map(scratch.keep, cell_rows)]
-        listed = reduce(DataFrame.unionByName, [x.where("key is null").select("a", "b") for x in across])
-        edges = edges.unionByName(judge(scratch.keep(listed.distinct().withColumn("open", F.lit(True)))).where("close").select("a", "b"))
-        for x in across:
-            rows = x.where("key is not null").select("key", "cell", F.col("a").alias("node"), F.col("b").alias("component"))
-            if not rows.isEmpty():
-                sets = scratch.keep(sets_of(rows.select("node").distinct()))
-                edges = edges.unionByName(rows.join(sets, "node").groupBy("key", "cell").applyInArrow(_jaccard_across(similarity), "a long, b long"))
+    for rows in cell_rows:
+        rows = scratch.keep(rows).join(odd, "node")
+        across.append(scratch.keep(rows.groupBy("key", "cell").applyInArrow(_open_across(similarity, DENSE), "key long, cell long, a long, b long")))
+        listed = listed.unionByName(across[-1].where("key is null").select("a", "b"))
+    edges = edges.unionByName(judge(scratch.keep(listed.distinct().withColumn("open", F.lit(True)))).where("close").select("a", "b"))
+    for found in across:
+        rows = found.where("key is not null").select("key", "cell", F.col("a").alias("node"), F.col("b").alias("component"))
+        if not rows.isEmpty():
+            sets = scratch.keep(sets_of(rows.select("node").distinct()))
+            edges = edges.unionByName(rows.join(sets, "node").groupBy("key", "cell").applyInArrow(_jaccard_across(similarity), "a long, b long"))
     return edges
 
 

@@ -299,6 +299,7 @@ def test_parities_leave_every_close_pair_open(dense):
     pairs = {(a, b): len(sets[a] & sets[b]) / len(sets[a] | sets[b]) for a in sets for b in sets if a < b and a // 2 != b // 2}
     close = {p for p, similarity in pairs.items() if similarity >= 0.8}
     assert len(close) > 100
+    assert all(simhash.differing(odd[a], odd[b]) <= len(sets[a] ^ sets[b]) for a, b in pairs)
     if dense < 0:
         assert {r["key"] for r in got} == {7} and {r["cell"] for r in got} == {9} and all(r["b"] == r["a"] // 2 for r in got)
         assert {x for p in close for x in p} <= {r["a"] for r in got}
