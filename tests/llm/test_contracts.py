@@ -332,3 +332,19 @@ def test_near_dedup_moves_no_sets_for_chance_meetings(spark, monkeypatch, dense)
     monkeypatch.setattr(common.Scratch, "keep", keep)
     assert simhash.near_dedup(spark.createDataFrame(rows, SCHEMA)).count() == 60
     assert moved and sum(moved) == 0
+
+
+@pytest.mark.parametrize("name", ["quality", "near_dedup", "substring_dedup", "packing"])
+def test_pipeline_stage_sends_small_batches(spark, name):
+    import corpus_pipeline
+
+    conf = "spark.sql.execution.arrow.maxBytesPerBatch"
+    spark.conf.unset(conf)
+    docs = spark.createDataFrame([(1, "a b c " * 40, "en", "s", 240)], "doc_id long, text string, lang string, source string, n_chars long")
+    try:
+        dict(corpus_pipeline.STAGES)[name](spark, docs, "/root/testdata/sf0.001")
+        sizes = lambda batches: (pa.RecordBatch.from_arrays([pa.array([b.nbytes])], names=["n"]) for b in batches)
+        sent = spark.range(0, 400, 1, 1).select(F.repeat(F.lit("x"), 50_000).alias("text")).mapInArrow(sizes, "n long").collect()
+        assert sum(r.n for r in sent) >= 400 * 50_000 and max(r.n for r in sent) < 4 << 20
+    finally:
+        spark.conf.unset(conf)
