@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 import numpy as np
@@ -139,6 +140,23 @@ def join_hot(left: DataFrame, right: DataFrame, key: str, how: str = "inner") ->
     return left.join(few, key, "left_semi").join(F.broadcast(right.join(few, key)), key, how).unionByName(rest)
 
 
+def give_back() -> None:
+    """Memory that Arrow and the C library keep after it was freed goes back to the system, where they can do so."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
+def thrifty(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
+    """``run`` over a task's batches, after which the Python worker, which Spark keeps for its next task, gives back what it freed."""
+
+    def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        give_back()
+
+    return over
+
+
 def local_components(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The nodes of a list of edges and each node's smallest reachable node."""
     nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)

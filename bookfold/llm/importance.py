@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import by_bytes, materialize, table, text_bytes
+from .common import by_bytes, materialize, table, text_bytes, thrifty
 
 BUCKETS = 1 << 16
 #: Words whose hashes a Python worker remembers at most (about 20 MB).
@@ -64,7 +64,7 @@ def bucket_counts(docs: DataFrame, buckets: int = BUCKETS) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[0, some]), pa.array(total[1, some])], names=["bucket", "n", "target"])
 
     out = np.zeros((2, buckets), np.int64)
-    counted = docs.select(text_bytes("text").alias("text"), "target").mapInArrow(run, "bucket long, n long, target long")
+    counted = docs.select(text_bytes("text").alias("text"), "target").mapInArrow(thrifty(run), "bucket long, n long, target long")
     for k, n, target in counted.groupBy("bucket").agg(F.sum("n"), F.sum("target")).collect():
         out[:, k] = n, target
     return out
@@ -86,13 +86,13 @@ def log_weights(docs: DataFrame, ratios: np.ndarray, text_col: str = "text", nam
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, r = _Ids(), shared.value
-        for b in by_bytes(batches, at, 8 << 20):
+        for b in by_bytes(batches, at, 2 << 20):
             # the text's own bytes: a view, so that no text is sent twice
             found = [float(r[ngram_buckets(t, known, len(r))].sum()) for t in b.column(at).cast(pa.binary()).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(found, pa.float64())], names=names)
 
     schema = StructType([*docs.schema.fields, StructField(name, DoubleType())])
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(thrifty(run), schema)
 
 
 def sample_key(id_col: str, text_col: str, weight: str, seed: int, temperature: float) -> Column:

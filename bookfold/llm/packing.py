@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import by_bytes, table, text_bytes
+from .common import by_bytes, table, text_bytes, thrifty
 
 #: Costs in padding tokens of a cut at a sentence end and of one inside a sentence.
 SENTENCE, INSIDE = 2.0, 16.0
@@ -258,7 +258,7 @@ def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
     read; an empty table gives none.
     """
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_bytes(text_col).alias("text"))
-    return own.mapInArrow(_packer(path, end_id, length, block), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
+    return own.mapInArrow(thrifty(_packer(path, end_id, length, block)), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
 
 
 def padding(pieces: DataFrame, length: int = 4096) -> DataFrame:

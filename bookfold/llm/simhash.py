@@ -14,7 +14,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, by_bytes, connected_components, join_hot, materialize, renamed, table, text_bytes
+from .common import Scratch, by_bytes, connected_components, join_hot, materialize, renamed, table, text_bytes, thrifty
 from .edit_bands import _HELD, _STAR, bucket_members, cells, component_pairs, hosted, local_stars, not_joined, stars
 
 BITS = 64
@@ -252,7 +252,7 @@ def _common(plain: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
 
     share = min(1.0, ORDER_DOCS / max(1, plain.count()))
     sample = plain.where(F.pmod(F.xxhash64(F.lit(11), "id", "th"), F.lit(1 << 30)) < int(share * (1 << 30))).select("text")
-    found = sample.mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where("n > 2").orderBy(F.desc("n"), "h").limit(ORDER_SHINGLES).toArrow()
+    found = sample.mapInArrow(thrifty(run), "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where("n > 2").orderBy(F.desc("n"), "h").limit(ORDER_SHINGLES).toArrow()
     h, n = found.column("h").to_numpy().view(np.uint64), found.column("n").to_numpy()
     by = np.argsort(h)
     return h[by], n[by]
@@ -412,7 +412,7 @@ def set_links(own: DataFrame, sets_of: Callable[[DataFrame], DataFrame], scratch
         wanted = pairs.where("open").select("a", "b")
         for k in ("a", "b"):
             wanted = wanted.join(odd.toDF(k, f"n_{k}", f"odd_{k}"), k)
-        told = wanted.mapInArrow(_left_open(similarity), "a long, b long, open boolean")
+        told = wanted.mapInArrow(thrifty(_left_open(similarity)), "a long, b long, open boolean")
         return scratch.keep(told.unionByName(pairs.where("not open")))
 
     first = judge(fingerprint_pairs(own, scratch, radius, crowded).withColumn("open", F.lit(True)))
@@ -432,7 +432,7 @@ def set_links(own: DataFrame, sets_of: Callable[[DataFrame], DataFrame], scratch
         if n:
             yield local_stars(*map(np.concatenate, zip(*held)))
 
-    star = scratch.keep(stars(own.select("node", "prefix").mapInArrow(cut, _STAR)))
+    star = scratch.keep(stars(own.select("node", "prefix").mapInArrow(thrifty(cut), _STAR)))
     pairs = star.groupBy(F.col("rep").alias("a"), F.col("node").alias("b")).agg(F.count("*").alias("n"))
     for k in ("a", "b"):
         pairs = pairs.join(known.toDF(k, f"c_{k}"), k, "left")
@@ -508,13 +508,13 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             ends = np.cumsum([0, *map(len, found)]).astype(np.int32)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(found)))], names=["node", "set"])
 
-    own = scratch.keep(plain.mapInArrow(run, "id long, none boolean, th long, node long, n long, print long, prefix binary, odd binary"))
+    own = scratch.keep(plain.mapInArrow(thrifty(run), "id long, none boolean, th long, node long, n long, print long, prefix binary, odd binary"))
     first = scratch.keep(own.groupBy("node").agg(F.min(F.struct("none", "id", "th")).alias("first")))
 
     def sets_of(wanted: DataFrame) -> DataFrame:
         rows = scratch.keep(first.join(wanted, "node", "left_semi").select("node", "first.*"))
         few = F.broadcast(rows) if rows.count() <= FEW else rows
-        return plain.join(few, keys).select("node", "text").mapInArrow(sets, "node long, set array<long>").dropDuplicates(["node"])
+        return plain.join(few, keys).select("node", "text").mapInArrow(thrifty(sets), "node long, set array<long>").dropDuplicates(["node"])
 
     parts = connected_components(set_links(own.where("n > 0"), sets_of, scratch, similarity, radius, crowded), scratch)
     kept = first.join(parts, "node", "left").groupBy(F.coalesce("component", "node").alias("component")).agg(F.min("first").alias("first")).select("first.*")

@@ -20,11 +20,13 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import by_bytes, table
+from .common import by_bytes, give_back, table, thrifty
 
 NO_ID = np.iinfo(np.int64).max
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 _BASES = (0x9E3779B97F4A7C1B, 0xC2B2AE3D27D4EB53)
+#: Bytes of windows that a map task sends at once.
+_SENT = 1 << 20
 
 
 class _Hashes(dict):
@@ -44,17 +46,19 @@ def _mixed(h: np.ndarray) -> np.ndarray:
     return h
 
 
+def _window_hash(words: np.ndarray, window: int, base: int) -> np.ndarray:
+    """The Rabin-Karp hash (modulo 2^64) of every window of a sequence of word hashes."""
+    n = max(0, len(words) - window + 1)
+    h = np.zeros(n, np.uint64)
+    for j in range(window):
+        h *= np.uint64(base)
+        h += words[j : j + n]
+    return _mixed(h)
+
+
 def window_hashes(words: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
     """Two Rabin-Karp hashes (modulo 2^64) of every window of a sequence of word hashes."""
-    n = max(0, len(words) - window + 1)
-    out = []
-    for base in _BASES:
-        h = np.zeros(n, np.uint64)
-        for j in range(window):
-            h *= np.uint64(base)
-            h += words[j : j + n]
-        out.append(_mixed(h))
-    return out[0], out[1]
+    return _window_hash(words, window, _BASES[0]), _window_hash(words, window, _BASES[1])
 
 
 def _pack(*columns: np.ndarray) -> bytes:
@@ -93,31 +97,55 @@ def _find(window: int, buckets: int, homes: int, checked: bool, batch_words: int
     shift = np.uint64(64 - (buckets.bit_length() - 1))
 
     def flush(held: list[tuple[int, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        # every array here has a row a word, so none is kept or made wider than it must be
         held.sort(key=lambda x: x[0])
         sizes = np.array([len(w) for _, w in held], np.int64)
         ids = np.array([i for i, _ in held], np.int64)
         words = np.concatenate([w for _, w in held])
-        ends = np.repeat(np.cumsum(sizes), sizes)
-        starts = np.arange(len(words)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-        inside = np.flatnonzero(np.arange(len(words)) + window <= ends)
-        h, g = window_hashes(words, window)
-        h, g, doc, starts = h[inside], g[inside], np.repeat(ids, sizes)[inside], starts[inside].astype(np.uint32)
-        del words, ends, inside
-        order = np.argsort(h, kind="stable")
-        same = np.concatenate([[False], h[order[1:]] == h[order[:-1]]])
-        again = np.sort(order[same])
-        lead = np.empty(len(h), np.int64)
-        lead[order] = order[np.maximum.accumulate(np.where(same, 0, np.arange(len(order))))]
-        first = lead[again]
-        again = again[(doc[again] != doc[first]) | (starts[again] != starts[first])]
-        yield from _marks(doc[again], starts[again], h[again])
+        held.clear()
+        inside = np.ones(len(words), bool)
+        for j in range(1, window):
+            inside[np.cumsum(sizes) - j] = False
+        inside = inside[: len(words) - window + 1]
+        if buckets == 1:
+            b = np.zeros(np.count_nonzero(inside), np.int32)
+        else:
+            b = (_window_hash(words, window, _BASES[1])[inside] >> shift).astype(np.int32)
+        h = _window_hash(words, window, _BASES[0])[inside]
+        del words, inside
+        counts = sizes - window + 1
+        place = np.repeat(np.arange(len(ids), dtype=np.int32), counts)
+        starts = np.arange(len(h), dtype=np.uint32)
+        starts -= np.repeat((np.cumsum(counts) - counts).astype(np.uint32), counts)
+        order = np.argsort(h, kind="stable").astype(np.int32)
+        same = np.zeros(len(h), bool)
+        ordered = h[order]
+        np.equal(ordered[1:], ordered[:-1], out=same[1:])
+        del ordered
+        lead = np.arange(len(h), dtype=np.int32)
+        lead[same] = 0
+        np.maximum.accumulate(lead, out=lead)
+        again, first = order[same], order[lead[same]]
         new = np.sort(order[~same])
-        b = np.zeros(len(new), np.int64) if buckets == 1 else (g[new] >> shift).astype(np.int64)
+        del order, same, lead
+        late = (ids[place[again]] != ids[place[first]]) | (starts[again] != starts[first])
+        again = np.sort(again[late])
+        yield from _marks(ids[place[again]], starts[again], h[again])
+        del again, first, late
+        b = b[new]
         by = np.argsort(b, kind="stable")
         new, b = new[by], b[by]
-        out = [(0, k, h[new[s]].tobytes(), _pack(doc[new[s]], starts[new[s]])) for k, s in _runs(b)]
-        for at in range(0, len(out), 256):
-            yield _rows(out[at : at + 256])
+        del by
+        out, size = [], 0
+        for k, s in _runs(b):
+            own = new[s]
+            out.append((0, k, h[own].tobytes(), _pack(ids[place[own]], starts[own])))
+            size += len(out[-1][2]) + len(out[-1][3])
+            if size >= _SENT:
+                yield _rows(out)
+                out, size = [], 0
+        if out:
+            yield _rows(out)
 
     def _marks(doc, starts, h) -> Iterator[pa.RecordBatch]:
         if len(doc):
@@ -126,7 +154,7 @@ def _find(window: int, buckets: int, homes: int, checked: bool, batch_words: int
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _Hashes()
         held, n = [], 0
-        for b in by_bytes(batches, 1, 8 << 20):
+        for b in by_bytes(batches, 1, 2 << 20):
             for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 words = t.split() if t else []
                 if len(words) >= window:
@@ -134,7 +162,7 @@ def _find(window: int, buckets: int, homes: int, checked: bool, batch_words: int
                     n += len(words)
                 if n >= batch_words:
                     yield from flush(held)
-                    held, n = [], 0
+                    n = 0
         if held:
             yield from flush(held)
 
@@ -278,21 +306,34 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     ids = F.col(id_col).cast("long").alias("id")
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    found = docs.select(ids, text).mapInArrow(_find(window, buckets, homes, repeated, batch_words), "kind int, key long, hashes binary, places binary")
-    marks = found.repartition(max(parts, buckets), "key").groupBy("key").applyInArrow(_judge(homes, repeated), "home long, places binary")
+    found = docs.select(ids, text).mapInArrow(thrifty(_find(window, buckets, homes, repeated, batch_words)), "kind int, key long, hashes binary, places binary")
+    marks = found.repartition(max(parts, buckets), "key").groupBy("key").applyInArrow(_thrifty_group(_judge(homes, repeated)), "home long, places binary")
     whole = docs.select(ids, text, *([] if digest else [F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text_col]).alias("row")]))
-    packed = whole.mapInArrow(_gather(homes), "home long, docs binary")
+    packed = whole.mapInArrow(thrifty(_gather(homes)), "home long, docs binary")
     row = "" if digest else f"row {whole.schema['row'].dataType.simpleString()}, "
     out = packed.groupBy("home").cogroup(marks.groupBy("home")).applyInArrow(_guard(_remove(window, repeated, digest), row), f"id long, {row}n_words long, n_removed long, kept {'string' if digest else 'binary'}")
     return out if digest else out.withColumn("kept", F.col("kept").cast("string"))
 
 
+def _thrifty_group(f):
+    """``f`` over a group's table, after which the worker gives back what it freed."""
+
+    def run(t: pa.Table) -> pa.Table:
+        out = f(t)
+        give_back()
+        return out
+
+    return run
+
+
 def _guard(f, row: str):
     """No rows for a home that has marks of no documents (there is none, but Spark may offer an empty side)."""
 
     def run(docs: pa.Table, marks: pa.Table) -> pa.Table:
         if docs.num_rows:
-            return f(docs, marks)
+            out = f(docs, marks)
+            give_back()
+            return out
         return pa.table({})
 
     return run

@@ -2,9 +2,11 @@
 
 import hashlib
 import random
+import tracemalloc
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from bookfold.llm import bpe, common, edit_bands, edit_embedding, importance, language, packing, pii, quality_rules, sharding, simhash, substring
@@ -120,6 +122,28 @@ def test_substring_brute_force(spark, odd):
     assert substring.substring_dedup(odd, digest=True).count() == len(ODD)
 
 
+def test_substring_map_tasks_hold_and_send_little():
+    rnd = random.Random(13)
+    texts = [" ".join(f"w{rnd.randrange(5000)}" for _ in range(1000)).encode() for _ in range(400)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(400), pa.int64()), pa.array(texts, pa.binary())], names=["id", "text"])
+    tracemalloc.start()
+    sent = [b.nbytes for b in substring._find(20, 256, 64, False, 1_500_000)(iter([batch]))]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sum(sent) > 3_000_000 and max(sent) < 2_000_000
+    # bytes a word
+    assert peak < 60 * 400_000
+
+
+def test_workers_give_memory_back_after_a_task(monkeypatch):
+    done = []
+    monkeypatch.setattr(common, "give_back", lambda: done.append(len(got)))
+    got = []
+    for b in common.thrifty(lambda batches: (2 * b for b in batches))(iter([1, 2])):
+        got.append(b)
+    assert (got, done) == ([2, 4], [2])
+
+
 def test_sharding(odd):
     rows = sharding.shard(odd, 3).collect()
     assert len(rows) == len(ODD)
