@@ -32,6 +32,8 @@ SENTENCE, INSIDE = 2.0, 16.0
 SPARSE, GRID = 8, 32
 #: Ids of one dynamic programme; the open end of one is the start of the next.
 BLOCK = 1 << 20
+#: Words whose ids are remembered from one batch to the next at most; their memory stays with the Python worker.
+WORDS_HELD = 50_000
 _SEPARATORS = re.compile("[\x1c-\x1f]")
 _WORD = re.compile("[^\t-\r \x85\xa0  -     　]+")
 
@@ -95,7 +97,7 @@ class WordIds:
     def documents(self, texts: list[bytes | None]) -> list[bytes]:
         """Ids of each text and the end id, as little-endian 32-bit integers."""
         for kept in (self._known, self._pieces):
-            if len(kept) > 300_000:
+            if len(kept) > WORDS_HELD:
                 kept.clear()
         known, out = self._known, []
         for t in texts:

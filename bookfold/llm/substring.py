@@ -27,13 +27,15 @@ _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 _BASES = (0x9E3779B97F4A7C1B, 0xC2B2AE3D27D4EB53)
 #: Bytes of windows that a map task sends at once.
 _SENT = 1 << 20
+#: Words whose hashes a Python worker remembers at most.
+_WORDS_HELD = 50_000
 
 
 class _Hashes(dict):
     """64-bit hashes of words, remembered up to a bound."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= 200_000:
+        if len(self) >= _WORDS_HELD:
             self.clear()
         h = self[word] = xxhash.xxh64_intdigest(word, 7)
         return h
@@ -103,20 +105,19 @@ def _find(window: int, buckets: int, homes: int, checked: bool, batch_words: int
         ids = np.array([i for i, _ in held], np.int64)
         words = np.concatenate([w for _, w in held])
         held.clear()
+        give_back()
         inside = np.ones(len(words), bool)
         for j in range(1, window):
             inside[np.cumsum(sizes) - j] = False
         inside = inside[: len(words) - window + 1]
+        narrow = np.uint16 if buckets <= 1 << 16 else np.int32
         if buckets == 1:
-            b = np.zeros(np.count_nonzero(inside), np.int32)
+            b = np.zeros(np.count_nonzero(inside), narrow)
         else:
-            b = (_window_hash(words, window, _BASES[1])[inside] >> shift).astype(np.int32)
+            b = (_window_hash(words, window, _BASES[1])[inside] >> shift).astype(narrow)
         h = _window_hash(words, window, _BASES[0])[inside]
         del words, inside
-        counts = sizes - window + 1
-        place = np.repeat(np.arange(len(ids), dtype=np.int32), counts)
-        starts = np.arange(len(h), dtype=np.uint32)
-        starts -= np.repeat((np.cumsum(counts) - counts).astype(np.uint32), counts)
+        give_back()
         order = np.argsort(h, kind="stable").astype(np.int32)
         same = np.zeros(len(h), bool)
         ordered = h[order]
@@ -128,12 +129,17 @@ def _find(window: int, buckets: int, homes: int, checked: bool, batch_words: int
         again, first = order[same], order[lead[same]]
         new = np.sort(order[~same])
         del order, same, lead
+        counts = sizes - window + 1
+        place = np.repeat(np.arange(len(ids), dtype=np.int32), counts)
+        starts = np.arange(len(h), dtype=np.uint32)
+        starts -= np.repeat((np.cumsum(counts) - counts).astype(np.uint32), counts)
+        give_back()
         late = (ids[place[again]] != ids[place[first]]) | (starts[again] != starts[first])
         again = np.sort(again[late])
         yield from _marks(ids[place[again]], starts[again], h[again])
         del again, first, late
         b = b[new]
-        by = np.argsort(b, kind="stable")
+        by = np.argsort(b, kind="stable").astype(np.int32)
         new, b = new[by], b[by]
         del by
         out, size = [], 0

@@ -132,7 +132,19 @@ def test_substring_map_tasks_hold_and_send_little():
     tracemalloc.stop()
     assert sum(sent) > 3_000_000 and max(sent) < 2_000_000
     # bytes a word
-    assert peak < 60 * 400_000
+    assert peak < 40 * 400_000
+
+
+def test_workers_remember_few_words():
+    import public_tokenizers as P
+
+    known = substring._Hashes()
+    w = packing.WordIds(P.path("word_bpe_49k.json"), 2)
+    for k in range(15):
+        words = [b"w%d" % (10_000 * k + i) for i in range(10_000)]
+        assert [known[x] for x in words] == [substring.xxhash.xxh64_intdigest(x, 7) for x in words]
+        w.documents([b" ".join(words)])
+        assert max(len(known), len(w._known)) <= 60_000
 
 
 def test_workers_give_memory_back_after_a_task(monkeypatch):
