@@ -32,8 +32,8 @@ SENTENCE, INSIDE = 2.0, 16.0
 SPARSE, GRID = 8, 32
 #: Ids of one dynamic programme; the open end of one is the start of the next.
 BLOCK = 1 << 20
-#: Words whose ids are remembered from one batch to the next at most; their memory stays with the Python worker.
-WORDS_HELD = 50_000
+#: Words whose ids are remembered from one batch to the next at most. Part of their memory stays with the Python worker.
+WORDS_HELD = 300_000
 _SEPARATORS = re.compile("[\x1c-\x1f]")
 _WORD = re.compile("[^\t-\r \x85\xa0  -     　]+")
 
@@ -94,10 +94,10 @@ class WordIds:
         self._known.clear()
         self._pieces.clear()
 
-    def documents(self, texts: list[bytes | None]) -> list[bytes]:
+    def documents(self, texts: list[bytes | None], words_held: int = WORDS_HELD) -> list[bytes]:
         """Ids of each text and the end id, as little-endian 32-bit integers."""
         for kept in (self._known, self._pieces):
-            if len(kept) > WORDS_HELD:
+            if len(kept) > words_held:
                 kept.clear()
         known, out = self._known, []
         for t in texts:
@@ -202,7 +202,7 @@ def cheapest_cuts(points: np.ndarray, cost: np.ndarray, length: int, last: bool)
     return [0, *reversed(cuts), *tail]
 
 
-def _packer(path: str, end_id: int, length: int, block: int):
+def _packer(path: str, end_id: int, length: int, block: int, words_held: int = WORDS_HELD):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = _word_ids(path, end_id)
         context = TaskContext.get()
@@ -235,7 +235,7 @@ def _packer(path: str, end_id: int, length: int, block: int):
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
 
         for b in by_bytes(batches, 1, 2 << 20):
-            for doc, ids in zip(b.column(0).to_pylist(), words.documents(b.column(1).to_pylist())):
+            for doc, ids in zip(b.column(0).to_pylist(), words.documents(b.column(1).to_pylist(), words_held)):
                 stream.append(ids)
                 docs.append((doc, 0, len(ids) // 4, len(ids) // 4))
                 held += len(ids) // 4
@@ -248,7 +248,7 @@ def _packer(path: str, end_id: int, length: int, block: int):
     return run
 
 
-def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 2, length: int = 4096, block: int = BLOCK) -> DataFrame:
+def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 2, length: int = 4096, block: int = BLOCK, words_held: int = WORDS_HELD) -> DataFrame:
     """Pack documents into sequences of at most ``length`` ids; a row for each piece of a document.
 
     A document is its text's ids (no special tokens; null: none) and ``end_id``. Returns ``doc_id, start``
@@ -260,7 +260,7 @@ def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
     read; an empty table gives none.
     """
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_bytes(text_col).alias("text"))
-    return own.mapInArrow(thrifty(_packer(path, end_id, length, block)), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
+    return own.mapInArrow(thrifty(_packer(path, end_id, length, block, words_held)), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
 
 
 def padding(pieces: DataFrame, length: int = 4096) -> DataFrame:

@@ -19,6 +19,8 @@ PII_KEY = "public example key"
 COUNT = "values replaced by the pii stage"
 #: Bytes of an Arrow batch for Python; Spark's own bound is 10,000 rows, whatever their texts.
 BATCH = "2m"
+#: Words that packing remembers, a sixth of its own bound: it is slower so, but its Python workers are those of all stages.
+WORDS_HELD = 50_000
 
 
 def _small_batches(spark: SparkSession) -> None:
@@ -59,7 +61,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     _small_batches(spark)
-    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
+    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), words_held=WORDS_HELD)
 
 
 STAGES = [("quality", quality), ("near_dedup", near_dedup), ("substring_dedup", substring_dedup), ("pii", pii_pseudonyms), ("packing", pack)]

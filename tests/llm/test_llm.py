@@ -143,7 +143,7 @@ def test_workers_remember_few_words():
     for k in range(15):
         words = [b"w%d" % (10_000 * k + i) for i in range(10_000)]
         assert [known[x] for x in words] == [substring.xxhash.xxh64_intdigest(x, 7) for x in words]
-        w.documents([b" ".join(words)])
+        w.documents([b" ".join(words)], 50_000)
         assert max(len(known), len(w._known)) <= 60_000
 
 
