@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, edit_embedding, importance, language, packing, pii, quality_rules, sharding, simhash, substring, variants
+from . import alignment, bpe, edit_embedding, importance, language, packing, pii, quality_rules, sharding, simhash, substring, variants
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_quality_rules": quality_rules.op8_quality_rules,
     "op9_language": language.op9_language,
     "op10_pii": pii.op10_pii,
+    "op11_alignment": alignment.op11_alignment,
     "op12_variants": variants.op12_variants,
 }
 ORACLE_SQL: dict[str, str] = {}
