@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import alignment, bpe, edit_embedding, importance, language, packing, pii, quality_rules, sharding, simhash, substring, variants
+from . import alignment, bpe, edit_embedding, importance, language, packing, pii, quality_rules, sharding, simhash, substring, toxicity, variants
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
@@ -17,5 +17,6 @@ QUERIES = {
     "op10_pii": pii.op10_pii,
     "op11_alignment": alignment.op11_alignment,
     "op12_variants": variants.op12_variants,
+    "op13_toxicity": toxicity.op13_toxicity,
 }
 ORACLE_SQL: dict[str, str] = {}
