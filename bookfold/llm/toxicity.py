@@ -1,10 +1,11 @@
 """Toxicity: nearest labelled examples by exact TF-IDF cosine, found with a block-max inverted index.
 
-Texts are vectors over the words that tell toxic from other labelled texts beyond chance (likelihood ratio, corrected for
-the number of words tried), weighted by frequency and by rarity in the whole corpus. The index holds the distinct
-vectors of the labelled examples in blocks of similar ones; each list has the largest weight of each block. Blocks are looked
-at in order of what they can reach at most, until none can reach the k-th nearest: the k nearest are exact. They vote
-with weights by cosine, and votes of examples on one another (each without itself) calibrate the score."""
+Texts are vectors over words and beginnings of words (one, two or three distinct words that begin so) that tell toxic
+from other labelled texts beyond chance (likelihood ratio, corrected for the number of features tried), weighted by
+frequency and by rarity in the whole corpus. The index holds the distinct vectors of the labelled examples in blocks of
+similar ones, with the largest weight of each term in each block. Blocks are looked at in order of what they can reach at
+most, until none can reach the k-th nearest: the k nearest are exact. They vote with weights by cosine, and votes of
+examples on one another (each without itself) calibrate the score."""
 
 from __future__ import annotations
 
@@ -23,10 +24,12 @@ from pyspark.sql.types import ArrayType, IntegerType, StructType
 from .common import Scratch, by_bytes, table, text_bytes, thrifty
 
 _WORD = re.compile(r"[^\W\d_]+")
+#: Letters of the beginnings of words, and how many distinct words begin so.
+BEGINNINGS, SEVERAL = range(3, 9), (1, 2, 3)
 #: Entries of a block of the index.
 BLOCK = 64
-#: Distinct words that a task counts at once; answers that a worker remembers.
-_HELD, _REMEMBER = 250_000, 50_000
+#: Distinct features that a task counts at once; answers and words that a worker remembers.
+_HELD, _REMEMBER = 400_000, 50_000
 #: Weight of the examples' base rate in a vote.
 PRIOR = 0.25
 
@@ -35,52 +38,74 @@ def words_of(text: bytes | None) -> list[str]:
     return _WORD.findall(text.decode().lower()) if text else []
 
 
+def features_of(text: bytes | None) -> list[str]:
+    """The distinct words of a text, and its beginnings as ``begin*1`` to ``begin*3`` for so many distinct words or more."""
+    words = set(words_of(text))
+    begin = Counter([w[:k] for w in words for k in BEGINNINGS if k <= len(w)])
+    return [*words, *[f"{b}*{m}" for b, n in begin.items() for m in SEVERAL if m <= n]]
+
+
+class Numbers(dict):
+    """For a word the number of its feature (or -1) and those of its beginnings' features, remembered up to a bound."""
+
+    def __init__(self, terms: list[str]):
+        self._at = {t: i for i, t in enumerate(terms)}
+
+    def __missing__(self, word: str) -> tuple[int, list[str]]:
+        if len(self) >= _REMEMBER:
+            self.clear()
+        begin = [word[:k] for k in BEGINNINGS if k <= len(word) and any(f"{word[:k]}*{m}" in self._at for m in SEVERAL)]
+        out = self[word] = (self._at.get(word, -1), begin)
+        return out
+
+    def vector(self, text: bytes | None) -> list[tuple[int, int]]:
+        """Rising numbers of a text's features and how often they are there (beginnings: once)."""
+        times, begin = {}, Counter()
+        for w, n in Counter(words_of(text)).items():
+            own, starts = self[w]
+            if own >= 0:
+                times[own] = n
+            if starts:
+                begin.update(starts)
+        for b, n in begin.items():
+            times |= {i: 1 for m in SEVERAL if m <= n and (i := self._at.get(f"{b}*{m}", -1)) >= 0}
+        return sorted(times.items())
+
+
 class BlockMaxIndex:
-    """Vectors (rows of sorted term numbers and weights, of length one) in lists by term, with each block's largest weight."""
-
-    def __init__(self, vectors: list[tuple[np.ndarray, np.ndarray]]):
-        self.size = len(vectors)
-        n = np.fromiter((len(t) for t, _ in vectors), np.int64, len(vectors))
-        entry = np.repeat(np.arange(len(vectors)), n)
-        term = np.concatenate([*(t for t, _ in vectors), np.zeros(0, np.int64)]).astype(np.int64)
-        weight = np.concatenate([*(w for _, w in vectors), np.zeros(0)])
-        order = np.lexsort((entry, term))
-        self.entry, self.weight = entry[order], weight[order]
-        key = term[order] * (1 << 32) + self.entry // BLOCK
-        start = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
-        #: one row for each term and block: the block, where its postings start and end, its largest weight
-        self.block, self.start, self.stop = key[start] & 0xFFFFFFFF, start, np.append(start[1:], len(key))
-        self.most = np.maximum.reduceat(self.weight, start) if len(key) else np.zeros(0)
-        self.terms = {int(t): (a, b) for t, a, b in zip(*self._ranges(key[start] >> 32))}
-        self.looked_at = 0
-
-    @staticmethod
-    def _ranges(terms: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        first, at = np.unique(terms, return_index=True)
-        return first, at, np.append(at[1:], len(terms))[: len(first)]
-
-    def nearest(self, terms: list[int], weights: list[float], k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Vectors (rising term numbers and weights, of length one) in blocks: of each the lists of its terms, as a row of
+    weights a term, and in ``most`` each term's largest weight."""
+
+    def __init__(self, vectors: list[tuple[np.ndarray, np.ndarray]], terms: int):
+        self.terms, self.looked_at = terms, 0
+        parts = [vectors[i : i + BLOCK] for i in range(0, len(vectors), BLOCK)]
+        self.most = np.zeros((len(parts), terms))
+        self.blocks = []
+        for b, part in enumerate(parts):
+            own = np.unique(np.concatenate([t for t, _ in part]))
+            lists = np.zeros((len(own), len(part)))
+            for j, (t, w) in enumerate(part):
+                lists[np.searchsorted(own, t), j] = w
+            self.most[b, own] = lists.max(axis=1)
+            self.blocks.append((own, lists))
+
+    def nearest(self, terms: list[int], weights: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """The k entries of the largest positive cosine (to nine digits; ties: the first) and their cosines."""
-        lists = [(w, *self.terms[t]) for t, w in zip(terms, weights) if t in self.terms]
-        bound = np.zeros(-(-self.size // BLOCK))
-        for w, a, b in lists:
-            bound[self.block[a:b]] += w * self.most[a:b]
-        order = np.argsort(-bound, kind="stable")
+        query = np.zeros(self.terms)
+        query[terms] = weights
+        bound = self.most[:, terms] @ weights
         ids, cosines = np.zeros(0, np.int64), np.zeros(0)
-        for block in order[: np.count_nonzero(bound)]:
+        for block in np.argsort(-bound, kind="stable")[: np.count_nonzero(bound)]:
             if len(ids) == k and bound[block] < cosines[-1] - 1e-8:
                 break
             self.looked_at += 1
-            found = np.zeros(BLOCK)
-            for w, a, b in lists:
-                at = a + np.searchsorted(self.block[a:b], block)
-                if at < b and self.block[at] == block:
-                    some = slice(self.start[at], self.stop[at])
-                    found[self.entry[some] - block * BLOCK] += w * self.weight[some]
-            some = np.flatnonzero(found)
-            ids, cosines = np.concatenate([ids, some + block * BLOCK]), np.concatenate([cosines, np.round(found[some], 9)])
-            best = np.lexsort((ids, -cosines))[:k]
-            ids, cosines = ids[best], cosines[best]
+            own, lists = self.blocks[block]
+            found = np.round(query[own] @ lists, 9)
+            some = np.flatnonzero(found > (max(0, cosines[-1] - 1e-8) if len(ids) == k else 0))
+            if len(some):
+                ids, cosines = np.concatenate([ids, some + block * BLOCK]), np.concatenate([cosines, found[some]])
+                best = np.lexsort((ids, -cosines))[:k]
+                ids, cosines = ids[best], cosines[best]
         return ids, cosines
 
 
@@ -109,7 +134,7 @@ class Model:
         counts with one example less, and whether that one is toxic."""
         if not terms:
             return self.base, np.zeros(0, np.int64), np.zeros(0)
-        ids, cosines = self.index.nearest(terms, self.weights(terms, times).tolist(), self.k + (less is not None))
+        ids, cosines = self.index.nearest(terms, self.weights(terms, times), self.k + (less is not None))
         n, toxic = self.examples[ids].astype(float), self.toxic[ids].astype(float)
         if less is not None:
             own = ids == less[0]
@@ -144,7 +169,7 @@ def _term_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for b in by_bytes(batches, 0, 2 << 20):
         for t, label in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-            own = set(words_of(t))
+            own = features_of(t)
             n.update(own)
             if label:
                 toxic.update(own)
@@ -155,10 +180,10 @@ def _term_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def telling_terms(examples: DataFrame, scratch: Scratch, alpha: float, max_terms: int) -> list[str]:
-    """The words of ``examples`` (``text, toxic``) whose documents are toxic more or less often than chance explains.
+    """The features of ``examples`` (``text, toxic``) whose documents are toxic more or less often than chance explains.
 
     Of the likelihood ratio of two rates (one degree of freedom) x, chance reaches x with probability exp(-x / 2)
-    at most; the limit is that of ``alpha`` over all words tried. At most ``max_terms``, those with the highest ratios.
+    at most; the limit is that of ``alpha`` over all features tried. At most ``max_terms``, those with the highest ratios.
     """
     counts = scratch.keep(examples.select(text_bytes("text"), "toxic").mapInArrow(thrifty(_term_counts), "term string, n long, toxic long").groupBy("term").agg(F.sum("n").alias("n"), F.sum("toxic").alias("toxic")))
     total, toxic = examples.agg(F.count("*"), F.sum("toxic")).first()
@@ -178,13 +203,12 @@ def telling_terms(examples: DataFrame, scratch: Scratch, alpha: float, max_terms
 
 def vectors(docs: DataFrame, terms: list[str], text_col: str, *keep: str) -> DataFrame:
     """``keep`` and ``terms, times``: the numbers of the terms in each text, rising, and how often they are there."""
-    shared = docs.sparkSession.sparkContext.broadcast({t: i for i, t in enumerate(terms)})
     k = len(keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number = shared.value
+        numbers = Numbers(terms)
         for b in by_bytes(batches, k, 2 << 20):
-            found = [sorted(Counter([number[w] for w in words_of(t) if w in number]).items()) for t in b.column(k).to_pylist()]
+            found = [numbers.vector(t) for t in b.column(k).to_pylist()]
             lists = [pa.array([[x[side] for x in f] for f in found], pa.list_(pa.int32())) for side in (0, 1)]
             yield pa.RecordBatch.from_arrays([*b.columns[:k], *lists], names=[*keep, "terms", "times"])
 
@@ -201,11 +225,11 @@ def fit(rows: DataFrame, marks: DataFrame, terms: list[str], k: int, max_entries
     found = rows.join(F.broadcast(marks), "doc_id").groupBy("terms", "times").agg(F.count("*").alias("n"), F.sum("toxic").alias("toxic"), F.min("doc_id").cast("long").alias("id"))
     drawn = found.orderBy(F.size("terms") > 0, F.xxhash64("terms", "times"), "terms", "times").limit(max_entries + 1).collect()
     base = sum(r.toxic for r in drawn) / max(1, sum(r.n for r in drawn))
-    model = Model(terms, rarity, BlockMaxIndex([]), np.zeros(0), np.zeros(0), np.zeros(0), base, k, np.zeros(0), np.zeros(0))
+    model = Model(terms, rarity, BlockMaxIndex([], len(terms)), np.zeros(0), np.zeros(0), np.zeros(0), base, k, np.zeros(0), np.zeros(0))
     # similar entries next to each other: by their terms, heaviest first
     entries = [(r, model.weights(r.terms, r.times)) for r in drawn if r.terms]
     entries.sort(key=lambda x: [r for _, r in sorted(zip((-x[1]).tolist(), x[0].terms))] + x[0].times)
-    model.index = BlockMaxIndex([(np.array(r.terms), w) for r, w in entries])
+    model.index = BlockMaxIndex([(np.array(r.terms), w) for r, w in entries], len(terms))
     model.examples, model.toxic, model.ids = (np.array([r[c] for r, _ in entries], np.int64) for c in ("n", "toxic", "id"))
     empty = [r for r in drawn if not r.terms]
     shared = spark.sparkContext.broadcast((model, [(r.terms, r.times) for r, _ in entries]))
@@ -253,12 +277,12 @@ def scored(rows: DataFrame, model: Model, *keep: str, shown: int = 3) -> DataFra
     return rows.select(*keep, "terms", "times").mapInArrow(run, schema)
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 15, alpha: float = 0.01, threshold: float = 0.7, max_examples: int = 100_000, max_entries: int = 30_000, max_terms: int = 256) -> DataFrame:
+def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 15, alpha: float = 0.01, threshold: float = 0.7, max_examples: int = 100_000, max_entries: int = 20_000, max_terms: int = 512) -> DataFrame:
     """``doc_id, score, predicted, evidence`` for every row of ``docs``, learnt from ``labels`` (``id_col, toxic``).
 
     Bounded sample of labelled rows: at most ``max_examples`` labelled ids and of their distinct vectors at most
     ``max_entries``, those with the smallest hashes. How rare a word is counts over all rows of ``docs``. Ids whose labels
-    disagree, null ids and null labels are no examples. Null and empty texts and texts without a telling word get the calibrated
+    disagree, null ids and null labels are no examples. Null and empty texts and texts without a telling feature get the calibrated
     rate of examples without one; without any example the score is 0. Rows with null or repeated ids and
     repeated rows stay, with equal scores for equal texts; texts are read whole; an empty table gives no rows; further
     columns are not read.

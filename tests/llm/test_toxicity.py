@@ -20,7 +20,7 @@ def vector(rnd, n=30):
 def test_nearest_equals_all_cosines(k):
     rnd = random.Random(k)
     entries = sorted((vector(rnd) for _ in range(3000)), key=lambda v: v[0].tolist())
-    index = toxicity.BlockMaxIndex(entries)
+    index = toxicity.BlockMaxIndex(entries, 30)
     dense = np.zeros((len(entries), 30))
     for i, (t, w) in enumerate(entries):
         dense[i, t] = w
@@ -30,7 +30,7 @@ def test_nearest_equals_all_cosines(k):
         q[t] = w
         cosines = np.round(dense @ q, 9)
         want = [i for i in np.lexsort((np.arange(len(cosines)), -cosines))[:k] if cosines[i] > 0]
-        ids, found = index.nearest(t.tolist(), w.tolist(), k)
+        ids, found = index.nearest(t.tolist(), w, k)
         assert np.allclose(found, cosines[want], atol=2e-9)
         # of entries whose cosine is that of the last, rounding may take another
         sure = [i for i in want if cosines[i] > found[-1] + 1e-8]
@@ -85,8 +85,17 @@ def test_whole_scores_equal_a_plain_version(spark):
     rows = scratch.keep(toxicity.vectors(df, terms, "text", "doc_id"))
     model = toxicity.fit(rows, lab, terms, 7, 1000)
     got = {r.doc_id: r.score for r in toxicity.scored(rows, model, "doc_id").collect()}
+
     # plainly: all cosines of all examples, equal vectors taken together
-    plain = {i: tuple(sorted((terms.index(w), t.lower().split().count(w)) for w in set(t.lower().split()) if w in terms)) for i, t, _ in docs}
+    def features(text):
+        words = text.lower().split()
+        found = {w: words.count(w) for w in words}
+        for b in {w[:k] for w in words for k in range(3, min(8, len(w)) + 1)}:
+            found |= {f"{b}*{m}": 1 for m in (1, 2, 3) if sum(w.startswith(b) for w in set(words)) >= m}
+        return found
+
+    plain = {i: tuple(sorted((terms.index(f), n) for f, n in features(t).items() if f in terms)) for i, t, _ in docs}
+    assert any("*" in t for t in terms)
     df_ = {t: sum(any(x == t for x, _ in v) for v in plain.values()) for t in range(len(terms))}
     groups = {}
     for i, y in labels:
