@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import bit
+from .asof import join_same
 
 
 def nbbo(quotes: DataFrame, n_venues: int, mode: str = "published", bucket: int = 3_600_000_000) -> DataFrame:
@@ -31,7 +32,7 @@ def nbbo(quotes: DataFrame, n_venues: int, mode: str = "published", bucket: int
     lasts = dealt.groupBy("__b").agg(*[F.max_by(x, F.when(x.isNotNull(), order)).alias(k) for k, x in own.items()])
     past = Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
     carry = lasts.select("__b", *[F.last(k, True).over(past).alias(f"c{k}") for k in own])
-    state = dealt.select("t", "iline", "__b", *[F.last(x, True).over(inside).alias(k) for k, x in own.items()]).join(carry, "__b")
+    state = join_same(dealt.select("t", "iline", "__b", *[F.last(x, True).over(inside).alias(k) for k, x in own.items()]), carry, ["__b"])
     state = state.select("t", "iline", *[F.array(*[F.coalesce(F.col(f"{s}{v}"), F.col(f"c{s}{v}")) for v in venues]).alias(s) for s in sides])
 
     def best(s: str, pick) -> list[Column]:
@@ -54,5 +55,5 @@ def nbbo(quotes: DataFrame, n_venues: int, mode: str = "published", bucket: int
     dealt = ends.withColumn("__b", F.floor(F.col("time") / bucket)).withColumn("__now", now)
     inner = F.lag("__now").over(Window.partitionBy("__b").orderBy("time"))
     lasts = dealt.groupBy("__b").agg(F.max_by("__now", "time").alias("__last")).withColumn("__before", F.lag("__last").over(Window.orderBy("__b"))).drop("__last")
-    changed = dealt.withColumn("__prev", inner).join(lasts, "__b").withColumn("__prev", F.coalesce("__prev", "__before"))
+    changed = join_same(dealt.withColumn("__prev", inner), lasts, ["__b"]).withColumn("__prev", F.coalesce("__prev", "__before"))
     return changed.where(F.col("__prev").isNull() | (F.col("__prev") != F.col("__now"))).drop("__b", "__now", "__prev", "__before")

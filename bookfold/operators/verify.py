@@ -1,8 +1,9 @@
-"""First violation of resting orders by a best-bid/offer step function, and level crossings.
+"""Violations of resting orders by a best-bid/offer step function, and level crossings.
 
 The barrier rows become the leaves of a tree of fan-out 16 that keeps each node's least and greatest value. An
 order's rows are a range of leaves, at most 30 nodes a level; the first node that holds a violation is found
-by an equi-join, then followed down level by level. No range join, no nested loop."""
+by an equi-join, then followed down level by level. For all violations every node with one is followed, so the work
+grows with what is found. No range join, no nested loop."""
 
 from __future__ import annotations
 
@@ -10,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..storage import stored
-from .asof import asof_join, row_index
+from .asof import asof_join, range_before, row_index
 
 FAN = 16
 
@@ -25,22 +26,38 @@ def first_violation(orders: DataFrame, barrier: DataFrame, pdiff: float = 0, eqs
     equality, ``timetouch`` rows that only touch the life's ends. Orders are told apart by a row number of their own, so
     ids may repeat or be null, and other columns may have any names. Side is text or bytes; what starts with b or B buys.
     """
+    whole, at, own = _numbered(orders)
+    found, n = _violations(own, barrier, pdiff, eqstate, sameside, timetouch, bucket, False)
+    return whole.join(found, "order_id", "left").select(*at, F.coalesce("node", F.lit(n)).cast("long").alias("first_violation_k"))
+
+
+def all_violations(orders: DataFrame, barrier: DataFrame, pdiff: float = 0, eqstate: bool = False, sameside: bool = False, timetouch: bool = False, bucket: int = 3_600_000_000) -> DataFrame:
+    """A row of ``orders`` with ``violation_k`` for each row of ``barrier`` that violates it, by the rules of ``first_violation``.
+
+    An order that none violates has no row; each pair comes once. Nodes of the tree without a violation aren't entered."""
+    whole, at, own = _numbered(orders)
+    found, _ = _violations(own, barrier, pdiff, eqstate, sameside, timetouch, bucket, True)
+    return whole.join(found, "order_id").select(*at, F.col("node").cast("long").alias("violation_k"))
+
+
+def _numbered(orders: DataFrame) -> tuple[DataFrame, list[Column], DataFrame]:
+    """Orders under numbers of their own; their columns by their names; what decides on them."""
     names = orders.columns
     whole = stored(orders.toDF(*[f"o{i}" for i in range(len(names))]).withColumn("order_id", F.monotonically_increasing_id()))
     at = {c: F.col(f"o{i}").alias(c) for i, c in enumerate(names)}
-    found = _first_violation(whole.select("order_id", at["side"], at["price"], at["open"], at["close"]), barrier, pdiff, eqstate, sameside, timetouch, bucket)
-    return whole.join(found, "order_id").select(*at.values(), "first_violation_k")
+    return whole, [*at.values()], whole.select("order_id", at["side"], at["price"], at["open"], at["close"])
 
 
 #: Nodes of the tree that are broadcast at most.
 FEW = 1 << 18
 
 
-def _first_violation(orders: DataFrame, barrier: DataFrame, pdiff: float, eqstate: bool, sameside: bool, timetouch: bool, bucket: int) -> DataFrame:
+def _violations(orders: DataFrame, barrier: DataFrame, pdiff: float, eqstate: bool, sameside: bool, timetouch: bool, bucket: int, every: bool) -> tuple[DataFrame, int]:
+    """``order_id, node`` of the first (``every``: each) violating row, and the number of rows."""
     rows = stored(row_index(barrier, "t", bucket))
     n = rows.count()
     if not n:
-        return orders.select("order_id", F.lit(0).cast("long").alias("first_violation_k"))
+        return orders.where("false").select("order_id", F.lit(0).cast("long").alias("node")), n
     last = 1 << 62
     alive = orders.withColumn("__close", F.coalesce(F.col("close"), F.lit(last)))
     # the row in force at open: the last with t <= open; touching takes the one before a row that starts at open
@@ -68,15 +85,19 @@ def _first_violation(orders: DataFrame, barrier: DataFrame, pdiff: float, eqstat
     hit = F.when(F.col("buy"), (up >= F.col(buys)) if eqstate else (up > F.col(buys))).otherwise((down <= F.col(sells)) if eqstate else (down < F.col(sells)))
     cover = _cover(levels)
     pieces = spans.where("a < b").select("order_id", "buy", "price", F.explode(cover).alias("p")).select("order_id", "buy", "price", "p.level", "p.node")
-    found = met(pieces).where(hit).withColumn("at", F.col("node") * F.pow(F.lit(FAN), F.col("level")).cast("long"))
-    found = found.groupBy("order_id", "buy", "price").agg(F.min(F.struct("at", "level", "node")).alias("m")).select("order_id", "buy", "price", "m.level", "m.node")
+    found = met(pieces).where(hit)
+    if not every:
+        first = found.withColumn("at", F.col("node") * F.pow(F.lit(FAN), F.col("level")).cast("long"))
+        found = first.groupBy("order_id", "buy", "price").agg(F.min(F.struct("at", "level", "node")).alias("m")).select("order_id", "buy", "price", "m.level", "m.node")
     for level in range(levels - 1, 0, -1):
         # a node of this level becomes its children, others stay for their turn
         inner = F.col("level") == level
         nodes = F.when(inner, F.sequence(F.col("node") * FAN, F.col("node") * FAN + FAN - 1)).otherwise(F.array("node"))
         children = found.select("order_id", "buy", "price", F.when(inner, level - 1).otherwise(F.col("level")).alias("level"), F.explode(nodes).alias("node"))
-        found = met(children).where(hit).groupBy("order_id", "buy", "price", "level").agg(F.min("node").alias("node"))
-    return orders.select("order_id").join(found.select("order_id", "node"), "order_id", "left").select("order_id", F.coalesce("node", F.lit(n)).cast("long").alias("first_violation_k"))
+        found = met(children).where(hit)
+        if not every:
+            found = found.groupBy("order_id", "buy", "price", "level").agg(F.min("node").alias("node"))
+    return found.select("order_id", "node"), n
 
 
 def _cover(levels: int) -> Column:
@@ -111,3 +132,41 @@ def level_crossings(series: DataFrame, level, time: str = "t", value: str = "v",
         nxt = nxt.join(F.broadcast(series.agg(F.min(time).alias("__first"))))  # one row
         crosses = crosses | ((F.col(time) == F.col("__first")) & ((v <= 0) if start == "above" else (v >= 0)))
     return nxt.where(crosses).withColumnRenamed("__v", "next_value").withColumnRenamed("right_time", "next_time").drop("__first")
+
+
+#: Levels of a block that steps meet as one.
+BLOCK = 256
+
+
+def all_crossings(series: DataFrame, levels: DataFrame, level: str = "price", time: str = "t", value: str = "v", start: str | None = None, bucket: int = 3_600_000_000, width: int = 1 << 20) -> DataFrame:
+    """``time, value, next_time, next_value, level`` for each step of the series and each distinct level that it crosses or
+    touches on the way to the next row, by the rules of ``level_crossings`` (``start`` included).
+
+    Levels are ranked once (in buckets of ``width`` units of value); the levels that a step crosses are a range of ranks, found by two as-of
+    joins, and it meets them in blocks of ranks: so the work grows with the crossings there are. Rows without a time or value and null levels are
+    left out.
+    """
+    if start not in ("above", "below", None):
+        raise ValueError("start is above, below or None")
+    own = series.where(F.col(time).isNotNull() & F.col(value).isNotNull()).select(F.col(time).alias("t"), F.col(value).alias("v"))
+    ranks = stored(row_index(levels.where(F.col(level).isNotNull()).select(F.col(level).alias("price")).distinct(), "price", width))
+    steps = asof_join(own, own.withColumnRenamed("v", "w"), "t", values=("w",), allow_exact=False, direction="forward", bucket=bucket)
+    v, w = F.col("v"), F.coalesce("w", "v")
+    moves = v != w
+    lo, hi = F.least(v, w), F.greatest(v, w)
+    if start is not None:
+        steps = steps.join(F.broadcast(own.agg(F.min("t").alias("first"))))  # one row
+        moves = moves | (F.col("t") == F.col("first"))
+        if start == "above":
+            hi = F.when(F.col("t") != F.col("first"), hi)
+        else:
+            lo = F.when(F.col("t") != F.col("first"), lo)
+    steps = steps.select("t", "v", F.col("right_time").alias("next_time"), F.col("w").alias("next_value"), lo.alias("lo"), hi.alias("hi"), moves.alias("moves")).where("moves")
+    placed = range_before(range_before(steps, F.col("lo"), ranks, "price", "a", bucket=width), F.col("hi"), ranks, "price", "b", or_at=True, bucket=width)
+    placed = placed.withColumn("a", F.when(F.col("lo").isNull(), 0).otherwise(F.col("a"))).where("a < b")
+    blocks = ranks.groupBy(F.floor(F.col("k") / BLOCK).alias("block")).agg(F.sort_array(F.collect_list("price")).alias("prices"))
+    pieces = placed.withColumn("block", F.explode(F.sequence(F.floor(F.col("a") / BLOCK), F.floor((F.col("b") - 1) / BLOCK))))
+    first = F.greatest(F.col("a") - F.col("block") * BLOCK, F.lit(0))
+    last = F.least(F.col("b") - F.col("block") * BLOCK, F.lit(BLOCK))
+    met = pieces.join(blocks, "block").withColumn("level", F.explode(F.slice("prices", (first + 1).cast("int"), (last - first).cast("int"))))
+    return met.select(F.col("t").alias(time), F.col("v").alias(value), "next_time", "next_value", F.col("level").alias(level))

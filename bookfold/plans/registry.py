@@ -10,7 +10,8 @@ from ..operators import levels as L
 from ..operators import simulate as G
 from ..operators.asof import asof_join, row_index
 from ..operators.nbbo import nbbo
-from ..operators.verify import first_violation, level_crossings
+from ..operators.intervals import interval_join
+from ..operators.verify import all_crossings, all_violations, first_violation, level_crossings
 from ..sources import fob
 from ..storage import new_path
 
@@ -359,10 +360,110 @@ def fob_scales(s, d):
     return fob.scales(lines.select(F.col("timestamp").alias("line_no"), F.concat_ws(";", F.col("timestamp").cast("string"), "type", "asks", "bids").alias("value")))
 
 
+def _reset_book(e):
+    """Settings by spans of six hours, every fifth of which is a snapshot."""
+    span = F.floor(F.col("t") / (6 * HOUR)).cast("long")
+    return e.select("event_id", "side", "lvl", (span * 6 * HOUR).alias("t"), "qty", F.when(span % 5 == 0, 1).otherwise(0).alias("us01"))
+
+
+def snapshot_resets(s, d):
+    h = L.level_history(_reset_book(ev(s, d)), ("side", "lvl"), "t", "qty", "event_id", bucket=BUCKET, snapshot_resets=True)
+    return h.select("event_id", "side", "lvl", "us01", "open", "close", "qty", "onqty")
+
+
+def snapshot_resets_coalesced(s, d):
+    h = L.level_history(_reset_book(ev(s, d)), ("side", "lvl"), "t", "qty", "event_id", coalesce_intervals=True, snapshot_resets=True)
+    return h.select("event_id", "side", "lvl", "open", "close", "qty")
+
+
+def _mid(e):
+    return e.where("event_type = 'view'").groupBy("t").agg(F.max("cents").alias("v"))
+
+
+def crossings_all(s, d):
+    """Crossings of all levels of orders at once."""
+    e = ev(s, d)
+    return all_crossings(_mid(e), e.where("event_type = 'purchase'").select((F.col("lvl") * 500).alias("price")), bucket=BUCKET)
+
+
+def crossings_all_above(s, d):
+    e = ev(s, d)
+    return all_crossings(_mid(e), e.where("event_type = 'purchase'").select((F.col("lvl") * 500).alias("price")), start="above", bucket=BUCKET)
+
+
+def crossings_per_price(s, d):
+    """How often each distinct order price is crossed, and when first and last."""
+    e = ev(s, d)
+    return all_crossings(_mid(e), e.where("event_type = 'purchase'").select(F.col("cents").alias("price")), bucket=BUCKET, width=5000).groupBy("price").agg(F.count("*").alias("n"), F.min("t").alias("first_t"), F.max("t").alias("last_t"))
+
+
+def violations_all(s, d):
+    """Every barrier row that violates an order."""
+    e = ev(s, d)
+    return all_violations(_orders(e), _barrier(e), bucket=BUCKET).select("order_id", "violation_k")
+
+
+def violations_all_touch(s, d):
+    e = ev(s, d)
+    return all_violations(_orders(e), _barrier(e), -100, True, True, True, BUCKET).select("order_id", "violation_k")
+
+
+def _lives(e):
+    return e.where("event_type = 'purchase'").select(F.col("event_id").alias("order_id"), "side", "lvl", F.col("t").alias("open"), F.when(F.col("event_id") % 11 != 0, F.col("t") + (F.col("cents") - 100) * 10_000_000).alias("close"))
+
+
+def orders_while_level(s, d):
+    """Each order with each setting of its level that stood during its life."""
+    e = ev(s, d)
+    found = interval_join(_lives(e), _levels(s, d).select("event_id", "side", "lvl", "open", "close"), by=("side", "lvl"), bucket=BUCKET)
+    return found.select("left.order_id", "right.event_id", F.greatest("left.open", "right.open").alias("since"))
+
+
+def orders_alive_together(s, d):
+    """How many other orders are alive at some time of each order's life."""
+    own = _lives(ev(s, d)).select("order_id", "open", "close")
+    return interval_join(own, own, bucket=BUCKET).where("left.order_id <> right.order_id").groupBy("left.order_id").agg(F.count("*").alias("n"))
+
+
+def fob_encode_runs(s, d):
+    """A line per run of equal times of rows that aren't sorted by time."""
+    e = ev(s, d).select((F.col("event_id") / 3).cast("long").alias("third"), F.col("event_id").alias("seq"), F.col("side").alias("bs01"), F.col("cents").alias("price"), "qty")
+    return fob.encode_runs(e.withColumn("time", F.col("third") * 7919 % 4), bucket=500)
+
+
+def _gaps(e):
+    """Events with gaps: no user, level or time on some."""
+    nullif = lambda c, n: F.nullif(F.col(c) % n, F.lit(0).cast("long")).cast("long")
+    return e.withColumns({"user_id": nullif("user_id", 5), "lvl": nullif("lvl", 7), "t": F.when(F.col("event_id") % 13 != 0, F.col("t"))})
+
+
+def asof_gaps(s, d):
+    e = _gaps(ev(s, d))
+    return asof_join(e.where("event_type = 'purchase'").select("event_id", "t", "user_id"), _views(e, F.col("event_id").alias("view_id"), "user_id"), "t", ("user_id",), ("view_id",), bucket=BUCKET)
+
+
+def history_gaps(s, d):
+    e = _gaps(ev(s, d)).withColumn("qty", F.when(F.col("event_id") % 17 != 0, F.col("qty"))).select("side", "lvl", "t", "event_id", "qty")
+    return L.level_history(e, ("side", "lvl"), "t", "qty", "event_id", bucket=BUCKET).select("event_id", "side", "lvl", "open", "close", "qty", "onqty")
+
+
+def cumulate_gaps(s, d):
+    e = _gaps(ev(s, d)).where("event_type = 'purchase'").select("side", "lvl", "qty", F.col("t").alias("t0"), F.when(F.col("event_id") % 5 != 0, F.col("t") + F.col("cents") * 1_000_000).alias("t1"))
+    return L.cumulate(e, ("side", "lvl"), bucket=BUCKET)
+
+
+def argsort_gaps(s, d):
+    return L.argsort(_gaps(ev(s, d)).select("event_id", "lvl", "t"), ("lvl",), ("t", "event_id"))
+
+
+def index_gaps(s, d):
+    return row_index(_gaps(ev(s, d)).select("event_id", "t"), "t", BUCKET, ("event_id",))
+
+
 FLAGS = [(e, s, t) for e in (False, True) for s in (False, True) for t in (False, True)]
 QUERIES = {
     f.__name__: f
-    for f in (level_history, level_intervals_coalesced, snapshot_at, decoded_flags, asof_index, asof_index_compat, hit_times, crossings, nbbo_published, nbbo_every_event, nbbo_stats, fob_encode, fob_roundtrip, book_format, cumulate, distinct_prices, counts_by_side, topn_per_side, anti_times, union_books, window_clamp, time_texts, sim_time_grid, sim_mid, sim_orders, sim_book, snapshot_encode, update_encode, book_snapshots, level_history_bucketed, level_intervals_bucketed, cumulate_bucketed, depth_close, argsort_side_price_time, argsort_side_price_venue_time, argsort_price_time, hits_total, scaled_prices, participants, sql_functions, fob_deep, fob_scales)
+    for f in (level_history, level_intervals_coalesced, snapshot_at, decoded_flags, asof_index, asof_index_compat, hit_times, crossings, nbbo_published, nbbo_every_event, nbbo_stats, fob_encode, fob_roundtrip, book_format, cumulate, distinct_prices, counts_by_side, topn_per_side, anti_times, union_books, window_clamp, time_texts, sim_time_grid, sim_mid, sim_orders, sim_book, snapshot_encode, update_encode, book_snapshots, level_history_bucketed, level_intervals_bucketed, cumulate_bucketed, depth_close, argsort_side_price_time, argsort_side_price_venue_time, argsort_price_time, hits_total, scaled_prices, participants, sql_functions, fob_deep, fob_scales, snapshot_resets, snapshot_resets_coalesced, crossings_all, crossings_all_above, crossings_per_price, violations_all, violations_all_touch, orders_while_level, orders_alive_together, fob_encode_runs, asof_gaps, history_gaps, cumulate_gaps, argsort_gaps, index_gaps)
 } | {"crossings_above": _crossings("above", 30000), "crossings_below": _crossings("below", 20000)} | {"asof_inclusive": _asof(True), "asof_strict": _asof(False), "asof_by_user": _asof(True, ("user_id",)), "asof_forward": _asof(True, direction="forward"), "asof_tolerance": _asof(True, tolerance=HOUR)}
 QUERIES |= {f"verify_eq{int(e)}_same{int(s)}_touch{int(t)}": _verify(e, s, t) for e, s, t in FLAGS}
 QUERIES["verify_pdiff"] = _verify(False, False, False, -100)
@@ -425,3 +526,34 @@ ORACLE_SQL = {
     "verify_pdiff": _verify_sql(False, False, False, -100),
 } | {f"verify_eq{int(e)}_same{int(s)}_touch{int(t)}": _verify_sql(e, s, t) for e, s, t in FLAGS}
 ORACLE_SQL |= {"level_history_bucketed": ORACLE_SQL["level_history"], "level_intervals_bucketed": ORACLE_SQL["level_intervals_coalesced"], "cumulate_bucketed": ORACLE_SQL["cumulate"]}
+
+_GAPS = f"{EV}, gp AS (SELECT event_id, event_type, CASE WHEN event_id%13<>0 THEN t END AS t, CAST(nullif(user_id%5, 0) AS BIGINT) AS user_id, cents, side, CAST(nullif(lvl%7, 0) AS BIGINT) AS lvl, qty FROM ev)"
+#: A snapshot's times and, plainly, a setting to 0 for each level and snapshot without a row at that time; what changes nothing goes.
+_RESETS = f"{EV}, bk AS (SELECT event_id, side, lvl, t // 21600000000 * 21600000000 AS t, qty, CASE WHEN t // 21600000000 % 5 = 0 THEN 1 ELSE 0 END AS us01 FROM ev), sn AS (SELECT DISTINCT t FROM bk WHERE us01=1), lev AS (SELECT side, lvl, min(t) AS t0 FROM bk GROUP BY 1, 2), zero AS (SELECT NULL AS event_id, lev.side, lev.lvl, sn.t, 0 AS qty, 1 AS us01 FROM lev JOIN sn ON sn.t>lev.t0 WHERE NOT EXISTS (SELECT 1 FROM bk WHERE bk.side=lev.side AND bk.lvl=lev.lvl AND bk.t=sn.t)), au AS (SELECT *, lag(qty) OVER (PARTITION BY side, lvl ORDER BY t, event_id) AS was FROM (SELECT * FROM bk UNION ALL SELECT * FROM zero)), kp AS (SELECT * FROM au WHERE event_id IS NOT NULL OR was<>0)"
+_STEPS = "g AS (SELECT t, max(cents) AS v FROM ev WHERE event_type='view' GROUP BY t), n AS (SELECT t, v, lead(t) OVER (ORDER BY t) AS next_time, lead(v) OVER (ORDER BY t) AS next_value, row_number() OVER (ORDER BY t) AS k FROM g)"
+_TICKS = "lv AS (SELECT DISTINCT lvl*500 AS price FROM ev WHERE event_type='purchase')"
+_LIVES = "o AS (SELECT event_id AS order_id, side, lvl, t AS open, CASE WHEN event_id%11<>0 THEN t+(cents-100)*10000000 END AS close FROM ev WHERE event_type='purchase')"
+
+
+def _violations_sql(eq: bool, same: bool, touch: bool, pdiff: int = 0) -> str:
+    found = _verify_sql(eq, same, touch, pdiff)
+    return found[: found.index("SELECT o.order_id, o.side")].replace("SELECT o.order_id, min(b.k) AS k", "SELECT o.order_id, b.k AS violation_k").replace(" GROUP BY 1)", ")") + "SELECT * FROM v"
+
+
+ORACLE_SQL |= {
+    "snapshot_resets": f"WITH {_RESETS}, x AS (SELECT event_id, side, lvl, us01, t AS open, lead(t) OVER w AS close, qty, qty - coalesce(lag(qty) OVER w, 0) AS onqty FROM kp WINDOW w AS (PARTITION BY side, lvl ORDER BY t, event_id)) SELECT * FROM x WHERE onqty<>0",
+    "snapshot_resets_coalesced": f"WITH {_RESETS}, x AS (SELECT *, qty - coalesce(lag(qty) OVER (PARTITION BY side, lvl ORDER BY t, event_id), 0) AS onqty FROM kp) SELECT event_id, side, lvl, t AS open, lead(t) OVER (PARTITION BY side, lvl ORDER BY t, event_id) AS close, qty FROM x WHERE onqty<>0",
+    "crossings_all": f"WITH {EV}, {_STEPS}, {_TICKS} SELECT t, v, next_time, next_value, price FROM n JOIN lv ON sign(v-price)<>sign(next_value-price)",
+    "crossings_all_above": f"WITH {EV}, {_STEPS}, {_TICKS} SELECT t, v, next_time, next_value, price FROM n JOIN lv ON sign(v-price)<>sign(next_value-price) OR (k=1 AND v<=price)",
+    "crossings_per_price": f"WITH {EV}, {_STEPS}, lv AS (SELECT DISTINCT cents AS price FROM ev WHERE event_type='purchase') SELECT price, count(*) AS n, min(t) AS first_t, max(t) AS last_t FROM n JOIN lv ON sign(v-price)<>sign(next_value-price) GROUP BY 1",
+    "violations_all": _violations_sql(False, False, False),
+    "violations_all_touch": _violations_sql(True, True, True, -100),
+    "orders_while_level": f"WITH {EV}, {LEVELS}, {_LIVES} SELECT o.order_id, lv.event_id, greatest(o.open, lv.open) AS since FROM o JOIN lv ON o.side=lv.side AND o.lvl=lv.lvl AND lv.onqty<>0 AND lv.open < coalesce(o.close, {1 << 62}) AND o.open < coalesce(lv.close, {1 << 62}) AND (lv.close IS NULL OR lv.close>lv.open) AND (o.close IS NULL OR o.close>o.open)",
+    "orders_alive_together": f"WITH {EV}, {_LIVES}, p AS (SELECT * FROM o WHERE close IS NULL OR close>open) SELECT a.order_id, count(*) AS n FROM p a JOIN p b ON a.order_id<>b.order_id AND b.open < coalesce(a.close, {1 << 62}) AND a.open < coalesce(b.close, {1 << 62}) GROUP BY 1",
+    "fob_encode_runs": "WITH " + EV + ", z AS (SELECT (event_id//3)*7919%4 AS time, event_id AS seq, side AS bs01, cents AS price, qty FROM ev), y AS (SELECT *, CASE WHEN lag(time) OVER (ORDER BY seq) IS DISTINCT FROM time THEN 1 ELSE 0 END AS f FROM z), x AS (SELECT *, CAST(sum(f) OVER (ORDER BY seq ROWS UNBOUNDED PRECEDING) - 1 AS BIGINT) AS run FROM y) " + _text_sql("x").replace("SELECT time AS timestamp", "SELECT run, time AS timestamp", 1) + ", run",
+    "asof_gaps": f"WITH {_GAPS} SELECT l.event_id, l.t, l.user_id, r.event_id AS view_id, r.t AS right_time FROM (SELECT * FROM gp WHERE event_type='purchase') l ASOF LEFT JOIN (SELECT * FROM gp WHERE event_type='view' AND t IS NOT NULL) r ON l.user_id=r.user_id AND l.t >= r.t",
+    "history_gaps": f"WITH {_GAPS}, q AS (SELECT * FROM gp WHERE event_id%17<>0), x AS (SELECT event_id, side, lvl, t AS open, lead(t) OVER w AS close, qty, qty - coalesce(lag(qty) OVER w, 0) AS onqty FROM q WINDOW w AS (PARTITION BY side, lvl ORDER BY t NULLS FIRST, event_id)) SELECT * FROM x WHERE onqty<>0",
+    "cumulate_gaps": f"WITH {_GAPS}, o AS (SELECT side, lvl, qty, t AS t0, CASE WHEN event_id%5<>0 THEN t+cents*1000000 END AS t1 FROM gp WHERE event_type='purchase'), n AS (SELECT side, lvl, time, sum(q) AS q FROM (SELECT side, lvl, t0 AS time, qty AS q FROM o UNION ALL SELECT side, lvl, t1, -qty FROM o WHERE t1 IS NOT NULL) GROUP BY ALL) SELECT side, lvl, time, CAST(sum(q) OVER (PARTITION BY side, lvl ORDER BY time NULLS FIRST) AS BIGINT) AS cm_qty FROM n",
+    "argsort_gaps": f"WITH {_GAPS} SELECT event_id, lvl, t, row_number() OVER (ORDER BY lvl NULLS FIRST, t NULLS FIRST, event_id) - 1 AS rank FROM gp",
+    "index_gaps": f"WITH {_GAPS} SELECT event_id, t, row_number() OVER (ORDER BY t NULLS FIRST, event_id) - 1 AS k FROM gp",
+}

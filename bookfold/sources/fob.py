@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalar import decimal_text, level_text
 from ..operators.asof import asof_join, row_index
-from ..operators.levels import snapshot_at
+from ..operators.levels import run_numbers, snapshot_at
 
 LEVEL = r"\[\s*([0-9]*\.?[0-9]+)\s*,\s*([0-9]*\.?[0-9]+)\s*\]"
 #: Digits of a decimal in all.
@@ -83,12 +83,24 @@ def read_fob(spark: SparkSession, path: str, price_scale: int | None = None, qty
     return parse_lines(lines, price_scale, qty_scale)
 
 
-def encode_updates(rows: DataFrame, price_digits: int = 3, qty_digits: int = 1, time: str = "time", seq: str = "seq", kind: str = "u") -> DataFrame:
-    """Rows (``time, seq, bs01, price, qty`` in integer ticks) as one text line per time: asks, then bids, in input order."""
+def _lines(rows: DataFrame, by: list[str], price_digits: int, qty_digits: int) -> DataFrame:
+    """Rows (``seq, bs01, price, qty`` in integer ticks) as ``asks`` and ``bids`` of each group, in the order of ``seq``."""
     level = F.concat(F.lit("["), decimal_text(F.col("price"), price_digits), F.lit(","), decimal_text(F.col("qty"), qty_digits), F.lit("]"))
-    own = rows.select(F.col(time).alias("time"), F.col(seq).alias("seq"), "bs01", level.alias("level"))
     side = lambda k: level_text(F.transform(F.sort_array(F.collect_list(F.when(F.col("bs01") == k, F.struct("seq", "level")))), lambda x: x["level"]))
-    return own.groupBy("time").agg(side(1).alias("asks"), side(0).alias("bids")).select(F.col("time").alias("timestamp"), F.lit(kind).alias("type"), "asks", "bids")
+    return rows.select(*by, "seq", "bs01", level.alias("level")).groupBy(*by).agg(side(1).alias("asks"), side(0).alias("bids"))
+
+
+def encode_updates(rows: DataFrame, price_digits: int = 3, qty_digits: int = 1, time: str = "time", seq: str = "seq", kind: str = "u") -> DataFrame:
+    """Rows (``time, seq, bs01, price, qty`` in integer ticks) as one text line per time: asks, then bids, in input order."""
+    own = rows.select(F.col(time).alias("timestamp"), F.col(seq).alias("seq"), "bs01", "price", "qty")
+    return _lines(own, ["timestamp"], price_digits, qty_digits).select("timestamp", F.lit(kind).alias("type"), "asks", "bids")
+
+
+def encode_runs(rows: DataFrame, price_digits: int = 3, qty_digits: int = 1, time: str = "time", seq: str = "seq", kind: str = "u", bucket: int = 1 << 20) -> DataFrame:
+    """Rows as one text line per run of equal times in the order of ``seq``, whatever the order of the times: ``run`` (from 0),
+    ``timestamp, type, asks, bids``. A time that comes back later starts another line; ``bucket`` as in ``run_numbers``."""
+    own = run_numbers(rows.select(F.col(time).alias("timestamp"), F.col(seq).alias("seq"), "bs01", "price", "qty"), "timestamp", "seq", bucket)
+    return _lines(own, ["run", "timestamp"], price_digits, qty_digits).select("run", "timestamp", F.lit(kind).alias("type"), "asks", "bids")
 
 
 def format_book(updates: DataFrame, snapshots: DataFrame, **digits) -> DataFrame:
