@@ -15,6 +15,7 @@ import re
 from collections.abc import Iterator
 from contextlib import contextmanager
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +28,7 @@ from .common import Scratch, by_bytes, table, text_bytes, thrifty
 #: A unit of a text: both tokenizers cut before a space or a line's end that follows no white space.
 _UNIT = re.compile(r"\s*\S+(?:[^\S \n]\s*(?:\S+|\Z))*|\s+")
 #: Units that a worker remembers, and characters up to which it does.
-UNITS_HELD, _SHORT = 150_000, 48
+UNITS_HELD, _SHORT = 250_000, 48
 #: Postings of a slice, at most, and distinct pairs that a task counts at once.
 SLICE, _PAIRS = 4_000_000, 1_000_000
 #: Bytes of an Arrow batch for Python; Spark's own bound is 10,000 rows, whatever they hold.
@@ -69,6 +70,11 @@ class Aligner:
         self._bytes_a = {i: bytes(letters[c] for c in piece) for piece, i in self._a.get_vocab(with_added_tokens=False).items()}
         pieces = [self._b.id_to_piece(i) for i in range(self._b.get_piece_size())]
         self._bytes_b = [bytes([int(p[3:5], 16)]) if self._b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
+        self._lengths_a, self._lengths_b = np.zeros(max(self._bytes_a) + 1, np.int64), np.fromiter(map(len, self._bytes_b), np.int64)
+        for i, x in self._bytes_a.items():
+            self._lengths_a[i] = len(x)
+        # ids as text with what follows them within a group and at the end of its side
+        self._shown = np.array([f"{i}{c}" for n, end in ((len(self._lengths_a), "|"), (len(self._lengths_b), ";")) for i in range(n) for c in (",", end)], object)
         self._space = self._b.piece_to_id("▁")
         # the cuts hold if no piece goes on with a space or a line's end after something else
         self._whole = any("▁" in p.lstrip("▁") or "\n" in p for p in pieces)
@@ -77,7 +83,7 @@ class Aligner:
 
     def _clear(self) -> None:
         self._known.clear()
-        self._groups: list[bytes | None] = []
+        self._groups: list[str | None] = []
         self._sizes = np.zeros((0, 3), np.int64)  # tokens of both, links
         self._starts, self._links = np.zeros(0, np.int64), np.zeros(0, np.int64)
 
@@ -86,35 +92,41 @@ class Aligner:
         found = self._b.encode([u[1:] if u[0] == " " else u for u in units], num_threads=1)
         return [(ids or [self._space]) if u[0] == " " else ids[1:] for u, ids in zip(units, found)]
 
+    def _fits(self, unit: str, a: list[int], b: list[int]) -> bool:
+        raw = unit.encode()
+        return b"".join([self._bytes_b[i] for i in b]) == raw and b"".join([self._bytes_a[i] for i in a]) == raw
+
     def _learn(self, units: list[str]) -> None:
-        sizes, links, groups = [], [], []
-        firsts = [e.ids for e in self._a.encode_batch_fast(units, add_special_tokens=False)]
-        for u, a, b in zip(units, firsts, self._second(units)):
-            raw = u.encode()
-            if b"".join([self._bytes_b[i] for i in b]) != raw or b"".join([self._bytes_a[i] for i in a]) != raw:
-                sizes.append((0, 0, 0))
-                groups.append(None)
-                continue
-            text, own, i, j, end_a, end_b, from_a, from_b = [], 0, 0, 0, 0, 0, 0, 0
-            while i < len(a):
-                end_a += len(self._bytes_a[a[i]])
-                i += 1
-                while end_b < end_a:
-                    end_b += len(self._bytes_b[b[j]])
-                    j += 1
-                if end_a == end_b:
-                    text.append(f"{','.join(map(str, a[from_a:i]))}|{','.join(map(str, b[from_b:j]))}")
-                    links.append(a[i - 1] * _SECOND + b[j - 1])
-                    own, from_a, from_b = own + 1, i, j
-            sizes.append((len(a), len(b), own))
-            groups.append(";".join(text).encode())
-        sizes = np.array(sizes, np.int64)
-        self._starts = np.concatenate([self._starts, len(self._links) + np.cumsum(sizes[:, 2]) - sizes[:, 2]])
-        self._links = np.concatenate([self._links, np.array(links, np.int64)])
-        self._sizes = np.concatenate([self._sizes, sizes])
+        first, second = [e.ids for e in self._a.encode_batch_fast(units, add_special_tokens=False)], self._second(units)
+        bad = []
+        raw = "".join(units).encode()
+        if any(b"".join(map(known.__getitem__, chain.from_iterable(ids))) != raw for known, ids in ((self._bytes_a, first), (self._bytes_b, second))):
+            bad = [k for k, x in enumerate(zip(units, first, second)) if not self._fits(*x)]
+            for k in bad:
+                first[k] = second[k] = []
+        n = [np.fromiter(map(len, ids), np.int64, len(units)) for ids in (first, second)]
+        a, b = (np.fromiter(chain.from_iterable(ids), np.int64, int(k.sum())) for ids, k in zip((first, second), n))
+        ends_a, ends_b = np.cumsum(self._lengths_a[a]), np.cumsum(self._lengths_b[b])
+        ends = np.intersect1d(ends_a, ends_b, assume_unique=True)
+        last_a, last_b = np.searchsorted(ends_a, ends), np.searchsorted(ends_b, ends)
+        links = a[last_a] * _SECOND + b[last_b]
+        own = np.diff(np.searchsorted(last_a, np.cumsum(n[0])), prepend=0)
+        # all tokens in the order of the text of the groups, each with what follows it
+        order = np.argsort(np.concatenate([np.searchsorted(ends, ends_a) * 2, np.searchsorted(ends, ends_b) * 2 + 1]), kind="stable")
+        shown = np.concatenate([a * 2, 2 * len(self._lengths_a) + b * 2])
+        shown[last_a] += 1
+        shown[len(a) + last_b] += 1
+        parts = self._shown[shown[order]].tolist()
+        stop = np.cumsum(n[0] + n[1]).tolist()
+        groups: list[str | None] = ["".join(parts[i:j])[:-1] for i, j in zip([0, *stop], stop)]
+        for k in bad:
+            groups[k] = None
+        self._starts = np.concatenate([self._starts, len(self._links) + np.cumsum(own) - own])
+        self._links = np.concatenate([self._links, links])
+        self._sizes = np.concatenate([self._sizes, np.stack([*n, own], 1)])
         self._groups += groups
 
-    def texts(self, texts: list[bytes | None]) -> tuple[np.ndarray, list[bytes], np.ndarray, np.ndarray]:
+    def texts(self, texts: list[bytes | None]) -> tuple[np.ndarray, list[str], np.ndarray, np.ndarray]:
         """For each text its tokens in both and its links, and its groups; all links as text and pair."""
         if len(self._known) > UNITS_HELD:
             self._clear()
@@ -132,7 +144,7 @@ class Aligner:
             if None in parts:
                 at, parts = at[:0], []
             counts[k] = self._sizes[at].sum(axis=0)
-            groups.append(b";".join(parts))
+            groups.append(";".join(parts))
             kept.append(at)
         units = np.concatenate([*kept, np.zeros(0, np.int64)])
         n = self._sizes[units, 2]
@@ -173,7 +185,7 @@ def aligned(docs: DataFrame, path_a: str, path_b: str, id_col: str = "doc_id", t
             first = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (links[1:] != links[:-1])])) if len(doc) else np.zeros(0, np.int64)
             sizes = np.bincount(doc[first], minlength=b.num_rows)
             times = np.diff(np.append(first, len(doc))).astype(np.int32)
-            shown = [hashlib.sha256(g).hexdigest() if g and digest else g.decode() for g in groups]
+            shown = [hashlib.sha256(g.encode()).hexdigest() if g and digest else g for g in groups]
             n = [pa.array(counts[:, k]) for k in (0, 1, 2, 2)]
             yield pa.RecordBatch.from_arrays([b.column(0), *n, pa.array(shown, pa.string()), _lists(links[first], sizes), _lists(times, sizes)], names=schema.names)
 
