@@ -4,7 +4,7 @@ Both tokenizers encode a text; byte offsets where tokens of both end cut them in
 there are linked. How often a pair of ids is linked in the corpus decides how a document's links look: each document's
 pairs with their multiplicities are shuffled by the second tokenizer's id, together with the counted pairs of that id.
 In a task both come as sorted streams: an id's counts (at most one per id of the first tokenizer) first, then the
-postings, which are never held. A task sends what it adds to each document, and these are summed by document.
+postings, which are never held. A task sends what it adds to the documents of a block, and these are summed by document.
 Ids are dealt over slices of equal numbers of postings by prefix sums, so a frequent id spans several slices."""
 
 from __future__ import annotations
@@ -247,23 +247,27 @@ class Slices:
         return self.first[b] + (mixed % self.width[b].astype(np.uint64)).astype(np.int64)
 
 
-_STREAM = "slice int, kind int, keys array<bigint>, pairs array<bigint>, times array<int>"
+#: Rows of a block, whose sums are one array.
+_BLOCK = 1 << 10
+_STREAM = "slice int, kind int, block long, keys array<bigint>, pairs array<bigint>, times array<int>"
+_SUMS = "block long, rows array<bigint>, n_best array<bigint>, count_sum array<bigint>"
 
 
-def _stream(kind: int, where: np.ndarray, keys: np.ndarray, pairs: np.ndarray, times: np.ndarray) -> pa.RecordBatch:
-    """A row for each slice of what is in it."""
-    order = np.argsort(where, kind="stable")
-    slices, start = np.unique(where[order], return_index=True)
+def _stream(kind: int, where: np.ndarray, block: np.ndarray, keys: np.ndarray, pairs: np.ndarray, times: np.ndarray) -> pa.RecordBatch:
+    """A row for each slice and block of what is in it."""
+    order = np.lexsort((block, where))
+    where, block = where[order], block[order]
+    start = np.flatnonzero(np.append(True, (where[1:] != where[:-1]) | (block[1:] != block[:-1])))
     sizes = np.diff(np.append(start, len(where)))
     lists = [_lists(x[order], sizes) for x in (keys.astype(np.int64), pairs.astype(np.int64), times.astype(np.int32))]
-    return pa.RecordBatch.from_arrays([pa.array(slices.astype(np.int32)), pa.array(np.full(len(slices), kind, np.int32)), *lists], names=["slice", "kind", "keys", "pairs", "times"])
+    return pa.RecordBatch.from_arrays([pa.array(where[start].astype(np.int32)), pa.array(np.full(len(start), kind, np.int32)), pa.array(block[start].astype(np.int64)), *lists], names=["slice", "kind", "block", "keys", "pairs", "times"])
 
 
 def _contributions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """What the postings of a task's slices add to their rows; a slice's counted pairs come first."""
+    """What the postings of a task's slices add to the rows of a block; a slice's counted pairs come first."""
     now, counted, pairs, links, best = None, [], None, None, None
     for batch in batches:
-        for s, kind, k, p, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3), batch.column(4)):
+        for s, kind, block, k, p, t in zip(*[c.to_pylist() for c in batch.columns[:3]], *batch.columns[3:]):
             k, p, t = (x.values.to_numpy(zero_copy_only=False) for x in (k, p, t))
             if s != now:
                 now, counted, pairs = s, [], None
@@ -275,8 +279,29 @@ def _contributions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
                 order = np.argsort(pairs)
                 pairs, links, best, counted = pairs[order], links[order], best[order], []
             at = np.searchsorted(pairs, p)
-            start = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
-            yield pa.RecordBatch.from_arrays([pa.array(k[start]), pa.array(np.add.reduceat(t * best[at].astype(np.int64), start)), pa.array(np.add.reduceat(t * links[at], start))], names=["row", "n_best", "count_sum"])
+            start = np.flatnonzero(np.append(True, k[1:] != k[:-1]))
+            sums = (k[start], np.add.reduceat(t * best[at].astype(np.int64), start), np.add.reduceat(t * links[at], start))
+            yield pa.RecordBatch.from_arrays([pa.array([block]), *[_lists(x, np.array([len(x)])) for x in sums]], names=["block", "rows", "n_best", "count_sum"])
+
+
+def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The sums of each row of a block; blocks come one after another."""
+    now, sums = None, None
+
+    def done() -> pa.RecordBatch:
+        some = np.flatnonzero(sums[2])
+        return pa.RecordBatch.from_arrays([pa.array(some + now * _BLOCK), pa.array(sums[0, some]), pa.array(sums[1, some])], names=["row", "n_best", "count_sum"])
+
+    for batch in batches:
+        for block, rows, best, total in zip(batch.column(0).to_pylist(), *batch.columns[1:]):
+            if block != now:
+                if now is not None:
+                    yield done()
+                now, sums = block, np.zeros((3, _BLOCK), np.int64)
+            at = rows.values.to_numpy() - block * _BLOCK
+            sums[:, at] += np.stack([best.values.to_numpy(), total.values.to_numpy(), np.ones(len(at), np.int64)])
+    if now is not None:
+        yield done()
 
 
 def link_sums(docs: DataFrame, counts: DataFrame) -> DataFrame:
@@ -294,7 +319,7 @@ def link_sums(docs: DataFrame, counts: DataFrame) -> DataFrame:
             pairs = b.column(1).flatten().to_numpy()
             keys = np.repeat(b.column(0).to_numpy(), b.column(1).value_lengths().to_numpy())
             if len(keys):
-                yield _stream(1, shared.value.of(keys, pairs % _SECOND), keys, pairs, b.column(2).flatten().to_numpy())
+                yield _stream(1, shared.value.of(keys, pairs % _SECOND), keys // _BLOCK, keys, pairs, b.column(2).flatten().to_numpy())
 
     def copy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -303,11 +328,11 @@ def link_sums(docs: DataFrame, counts: DataFrame) -> DataFrame:
             each = np.repeat(np.arange(len(a)), width)
             step = np.arange(len(each)) - np.repeat(np.cumsum(width) - width, width)
             if len(each):
-                yield _stream(0, shared.value.first[second[each]] + step, links[each], (a * _SECOND + second)[each], best[each])
+                yield _stream(0, shared.value.first[second[each]] + step, np.zeros(len(each), np.int64), links[each], (a * _SECOND + second)[each], best[each])
 
     both = counts.select("a", "b", "links", "best").mapInArrow(copy, _STREAM).unionByName(docs.select("row", "pairs", "times").mapInArrow(deal, _STREAM))
-    added = both.repartition(slices, "slice").sortWithinPartitions("slice", "kind").mapInArrow(thrifty(_contributions), "row long, n_best long, count_sum long")
-    return added.groupBy("row").agg(F.sum("n_best").alias("n_best"), F.sum("count_sum").alias("count_sum"))
+    found = both.repartition(slices, "slice").sortWithinPartitions("slice", "kind").mapInArrow(thrifty(_contributions), _SUMS)
+    return found.repartition("block").sortWithinPartitions("block").mapInArrow(_added, "row long, n_best long, count_sum long")
 
 
 def align(docs: DataFrame, path_a: str, path_b: str, id_col: str = "doc_id", text_col: str = "text", digest: bool = False) -> DataFrame:
