@@ -28,7 +28,7 @@ _WORD = re.compile(r"[^\W\d_]+")
 BEGINNINGS, SEVERAL = range(3, 9), (1, 2, 3)
 #: Entries of a block of the index.
 BLOCK = 64
-#: Distinct features that a task counts at once; answers and words that a worker remembers.
+#: Distinct features that a task counts at once; answers that a worker remembers.
 _HELD, _REMEMBER = 400_000, 50_000
 #: Weight of the examples' base rate in a vote.
 PRIOR = 0.25
@@ -45,30 +45,29 @@ def features_of(text: bytes | None) -> list[str]:
     return [*words, *[f"{b}*{m}" for b, n in begin.items() for m in SEVERAL if m <= n]]
 
 
-class Numbers(dict):
-    """For a word the number of its feature (or -1) and those of its beginnings' features, remembered up to a bound."""
+class Numbers:
+    """The features that are terms, by word and by beginning."""
 
     def __init__(self, terms: list[str]):
-        self._at = {t: i for i, t in enumerate(terms)}
-
-    def __missing__(self, word: str) -> tuple[int, list[str]]:
-        if len(self) >= _REMEMBER:
-            self.clear()
-        begin = [word[:k] for k in BEGINNINGS if k <= len(word) and any(f"{word[:k]}*{m}" in self._at for m in SEVERAL)]
-        out = self[word] = (self._at.get(word, -1), begin)
-        return out
+        self._words = {t: i for i, t in enumerate(terms) if "*" not in t}
+        self._begin: dict[str, list[tuple[int, int]]] = {}
+        for i, t in enumerate(terms):
+            if "*" in t:
+                begin, least = t.split("*")
+                self._begin.setdefault(begin, []).append((int(least), i))
+        least = min(BEGINNINGS)
+        self._heads = {t[:least] for t in [*self._words, *self._begin]}
 
     def vector(self, text: bytes | None) -> list[tuple[int, int]]:
         """Rising numbers of a text's features and how often they are there (beginnings: once)."""
+        words, heads, least = words_of(text), self._heads, min(BEGINNINGS)
         times, begin = {}, Counter()
-        for w, n in Counter(words_of(text)).items():
-            own, starts = self[w]
-            if own >= 0:
-                times[own] = n
-            if starts:
-                begin.update(starts)
+        for w in [w for w in set(words) if w[:least] in heads]:
+            if (own := self._words.get(w, -1)) >= 0:
+                times[own] = words.count(w)
+            begin.update([b for k in BEGINNINGS if k <= len(w) and (b := w[:k]) in self._begin])
         for b, n in begin.items():
-            times |= {i: 1 for m in SEVERAL if m <= n and (i := self._at.get(f"{b}*{m}", -1)) >= 0}
+            times |= {i: 1 for m, i in self._begin[b] if m <= n}
         return sorted(times.items())
 
 
@@ -216,12 +215,26 @@ def vectors(docs: DataFrame, terms: list[str], text_col: str, *keep: str) -> Dat
     return docs.select(*keep, text_bytes(text_col)).mapInArrow(thrifty(run), schema)
 
 
+def rows_with(rows: DataFrame, terms: int) -> np.ndarray:
+    """How many of the vectors ``rows`` have each term; a task sends one row a term at most."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(terms, np.int64)
+        for b in batches:
+            n += np.bincount(b.column(0).flatten().to_numpy(), minlength=terms)
+        some = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(n[some])], names=["term", "n"])
+
+    out = np.zeros(terms, np.int64)
+    for term, n in rows.select("terms").mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n")).collect():
+        out[term] = n
+    return out
+
+
 def fit(rows: DataFrame, marks: DataFrame, terms: list[str], k: int, max_entries: int) -> Model:
     """The index and the calibration from the vectors ``rows`` (``doc_id, terms, times``) and the labels ``marks`` of examples."""
     spark = rows.sparkSession
-    n = rows.count()
-    per = {r[0]: r[1] for r in rows.select(F.explode("terms").alias("t")).groupBy("t").count().collect()}
-    rarity = np.array([math.log1p(n / per.get(i, n)) for i in range(len(terms))])
+    rarity = np.log1p(rows.count() / np.maximum(1, rows_with(rows, len(terms)))) if terms else np.zeros(0)
     found = rows.join(F.broadcast(marks), "doc_id").groupBy("terms", "times").agg(F.count("*").alias("n"), F.sum("toxic").alias("toxic"), F.min("doc_id").cast("long").alias("id"))
     drawn = found.orderBy(F.size("terms") > 0, F.xxhash64("terms", "times"), "terms", "times").limit(max_entries + 1).collect()
     base = sum(r.toxic for r in drawn) / max(1, sum(r.n for r in drawn))
