@@ -16,13 +16,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import by_bytes, materialize, table, text_bytes, thrifty
+from .common import by_bytes, materialize, renamed, table, text_bytes, thrifty
 
 BUCKETS = 1 << 16
 #: Words whose hashes a Python worker remembers at most (about 20 MB).
 WORDS_HELD = 100_000
 #: Parts that a round of the search for the k-th highest key divides a range into.
 _BINS = 4096
+_RESULTS = ("log_weight", "sample_key", "kept")
 
 
 class _Ids(dict):
@@ -143,9 +144,12 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         return np.zeros(BUCKETS), float("-inf")
     ratios = log_ratios(counts)
     weighed = materialize(log_weights(own, ratios).select("held", sample_key("doc_id", "text", "log_weight", seed, temperature).alias("key"), "log_weight"))
-    cut = weighed.where("held").agg(F.percentile_approx("log_weight", reject, 10_000)).first()[0]
-    if cut is None:
+    held = weighed.where("held")
+    n = held.count()
+    if not n:
         return ratios, float("-inf")
+    # found by counting, so that partitions don't decide who stays
+    cut = kth_highest(held, "log_weight", n - int(reject * n))
     return ratios, kth_highest(weighed, "key", weighed.where(F.col("log_weight") >= cut).count())
 
 
@@ -155,18 +159,21 @@ def importance_resample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_i
     Documents are drawn without replacement in proportion to their weights to the power 1 / ``temperature``.
     No text moves: the last pass weighs each document where it is read and compares it with the k-th key.
     Null and empty texts have no n-grams and weight 0 in logarithm; rows with null ids or labels aren't
-    targets; repeated rows get equal keys and stay or go alike; an empty table gives no rows.
+    targets; repeated rows get equal keys and stay or go alike; an empty table gives no rows; texts of any length are
+    weighed whole. Columns of ``docs`` named like the three results give way to them; other names may be any.
     """
-    ratios, least = fit(docs, labels, id_col, text_col, seed, reject, temperature)
-    return log_weights(docs, ratios, text_col).withColumn("sample_key", sample_key(id_col, text_col, "log_weight", seed, temperature)).withColumn("kept", F.col("sample_key") >= least)
+    wide, at = renamed(docs)
+    named = labels.select(F.col(id_col).alias(at[id_col]), "quality", "toxic")
+    ratios, least = fit(wide, named, at[id_col], at[text_col], seed, reject, temperature)
+    found = log_weights(wide, ratios, at[text_col]).withColumn("sample_key", sample_key(at[id_col], at[text_col], "log_weight", seed, temperature)).withColumn("kept", F.col("sample_key") >= least)
+    return found.select(*[F.col(k).alias(c) for c, k in at.items() if c.lower() not in _RESULTS], *_RESULTS)
 
 
 def resampled(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     """The kept rows and the columns of ``docs``, whatever their names."""
-    wide = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
-    at = {c: f"c{i}" for i, c in enumerate(docs.columns)}
-    renamed = labels.withColumnRenamed("doc_id", at["doc_id"])
-    return importance_resample(wide, renamed, at["doc_id"], at["text"], **options).where("kept").select(*wide.columns).toDF(*docs.columns)
+    wide, at = renamed(docs)
+    named = labels.withColumnRenamed("doc_id", at["doc_id"])
+    return importance_resample(wide, named, at["doc_id"], at["text"], **options).where("kept").select(*wide.columns).toDF(*docs.columns)
 
 
 def op6_importance(spark: SparkSession, sf_dir: str) -> DataFrame:

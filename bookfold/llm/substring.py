@@ -19,6 +19,7 @@ import xxhash
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, LongType, StringType, StructField, StructType
 
 from .common import by_bytes, give_back, table, thrifty
 
@@ -316,8 +317,8 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     marks = found.repartition(max(parts, buckets), "key").groupBy("key").applyInArrow(_thrifty_group(_judge(homes, repeated)), "home long, places binary")
     whole = docs.select(ids, text, *([] if digest else [F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text_col]).alias("row")]))
     packed = whole.mapInArrow(thrifty(_gather(homes)), "home long, docs binary")
-    row = "" if digest else f"row {whole.schema['row'].dataType.simpleString()}, "
-    out = packed.groupBy("home").cogroup(marks.groupBy("home")).applyInArrow(_guard(_remove(window, repeated, digest), row), f"id long, {row}n_words long, n_removed long, kept {'string' if digest else 'binary'}")
+    schema = StructType([StructField("id", LongType()), *([] if digest else [whole.schema["row"]]), StructField("n_words", LongType()), StructField("n_removed", LongType()), StructField("kept", StringType() if digest else BinaryType())])
+    out = packed.groupBy("home").cogroup(marks.groupBy("home")).applyInArrow(_guard(_remove(window, repeated, digest)), schema)
     return out if digest else out.withColumn("kept", F.col("kept").cast("string"))
 
 
@@ -332,7 +333,7 @@ def _thrifty_group(f):
     return run
 
 
-def _guard(f, row: str):
+def _guard(f):
     """No rows for a home that has marks of no documents (there is none, but Spark may offer an empty side)."""
 
     def run(docs: pa.Table, marks: pa.Table) -> pa.Table:
