@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..storage import stored
 from .asof import asof_join, join_same
 
 
@@ -83,13 +84,16 @@ def close_times(depth: DataFrame, by=("side", "price"), time: str = "time", name
 
 
 def argsort(rows: DataFrame, by=("side", "price"), order=("time", "seq"), name: str = "rank") -> DataFrame:
-    """The position of each row in the order of ``by`` and then ``order``, from 0.
-
-    Rows are sorted level by level; what comes before a level is summed over a table of one row per level."""
-    counts = rows.groupBy(*by).agg(F.count("*").alias("__n"))
-    before = counts.withColumn("__before", F.coalesce(F.sum("__n").over(Window.orderBy(*by).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("__n")
-    inside = F.row_number().over(Window.partitionBy(*by).orderBy(*order))
-    return join_same(rows.withColumn("__i", inside), before, by).withColumn(name, (F.col("__before") + F.col("__i") - 1).cast("long")).drop("__i", "__before")
+    """The position of each row in the order of ``by`` and then ``order`` (nulls first), from 0.
+
+    Rows are dealt over ranges of the whole order, found by a sample, and sorted in them, so neither many levels nor one with
+    most of the rows meet in a task; a row's place is its place in its range after the rows of the ranges before, whose counts, one a
+    range, go through the driver."""
+    own = stored(rows.repartitionByRange(*by, *order).sortWithinPartitions(*by, *order).withColumn("__i", F.monotonically_increasing_id()))
+    part, within = F.shiftright("__i", 33), F.col("__i").bitwiseAND(F.lit((1 << 33) - 1))
+    counts = sorted(own.groupBy(part.alias("p")).count().collect())
+    before = own.sparkSession.createDataFrame([(p, sum(n for _, n in counts[:i])) for i, (p, n) in enumerate(counts)], "__p long, __before long")
+    return own.join(F.broadcast(before), part == F.col("__p")).withColumn(name, F.col("__before") + within).drop("__i", "__p", "__before")
 
 
 def snapshot_at(levels: DataFrame, at, qty: str = "qty") -> DataFrame:

@@ -159,23 +159,38 @@ def nbbo_stats(s, d):
     return r.select("iline", S.mask_text(F.col("b_ii"), 8).alias("bid_mask"), F.bit_count("s_ii").cast("int").alias("ask_venues"), S.has_bit(F.col("b_ii"), 3).cast("int").alias("has3"), S.clear_bit(F.col("s_ii"), 1).alias("without1"))
 
 
-def _nbbo_sql() -> str:
-    cols, side = [], {"b": ("venue", "cents", "qty"), "s": ("7-venue", "cents+10*qty", "(event_id+3)%7")}
+def _many_quotes(e):
+    """Quotes of 64 venues."""
+    v = (F.col("user_id") * 7 + F.col("event_id")) % 64
+    return _quotes(e.withColumn("venue", v.cast("int"))).withColumn("sv", 63 - F.col("bv"))
+
+
+def nbbo_many_venues(s, d):
+    return nbbo(_many_quotes(ev(s, d)), 64, "every_event", BUCKET)
+
+
+def nbbo_many_published(s, d):
+    return nbbo(_many_quotes(ev(s, d)), 64, "published", BUCKET)
+
+
+def _nbbo_sql(count: int = 8, venue: str = "venue") -> str:
+    cols, side = [], {"b": (venue, "cents", "qty"), "s": (f"{count - 1}-{venue}", "cents+10*qty", "(event_id+3)%7")}
     for k, (v, p, q) in side.items():
-        for i in range(8):
+        for i in range(count):
             ok = f"({q})>0 AND ({p})>0"
             cols.append(f"last_value(CASE WHEN {v}={i} THEN {{'p': CAST({p} AS BIGINT), 'q': CAST(CASE WHEN {ok} THEN {q} ELSE 0 END AS BIGINT)}} END IGNORE NULLS) OVER w AS {k}{i}")
     out = ["t AS time", "event_id AS iline"]
     best = []
     for k, f in (("b", "greatest"), ("s", "least")):
-        best.append(f"{f}({', '.join(f'CASE WHEN {k}{i}.q>0 THEN {k}{i}.p END' for i in range(8))}) AS p{k}")
+        best.append(f"{f}({', '.join(f'CASE WHEN {k}{i}.q>0 THEN {k}{i}.p END' for i in range(count))}) AS p{k}")
     for k, p, q, m, n in (("b", "nbb", "nbbq", "b_ii", "num_b"), ("s", "nbo", "nboq", "s_ii", "num_s")):
-        at = [f"coalesce({k}{i}.q>0 AND {k}{i}.p=p{k}, false)" for i in range(8)]
+        at = [f"coalesce({k}{i}.q>0 AND {k}{i}.p=p{k}, false)" for i in range(count)]
         out += [f"coalesce(p{k}, 0) AS {p}", "CAST(" + "+".join(f"CASE WHEN {a} THEN {k}{i}.q ELSE 0 END" for i, a in enumerate(at)) + f" AS BIGINT) AS {q}"]
-        out += ["CAST(" + "+".join(f"CASE WHEN {a} THEN {1 << i} ELSE 0 END" for i, a in enumerate(at)) + f" AS BIGINT) AS {m}", "CAST(" + "+".join(f"CASE WHEN {a} THEN 1 ELSE 0 END" for a in at) + f" AS INTEGER) AS {n}"]
+        out += ["CAST(" + "+".join(f"CASE WHEN {a} THEN {(1 << i) - (i == 63) * (1 << 64)} ELSE 0 END" for i, a in enumerate(at)) + f" AS BIGINT) AS {m}", "CAST(" + "+".join(f"CASE WHEN {a} THEN 1 ELSE 0 END" for a in at) + f" AS INTEGER) AS {n}"]
     return f"{EV}, st AS (SELECT t, event_id, {', '.join(cols)} FROM ev WINDOW w AS (ORDER BY t, event_id ROWS UNBOUNDED PRECEDING)), bst AS (SELECT *, {', '.join(best)} FROM st), al AS (SELECT {', '.join(out)} FROM bst)"
 
 
+_V64 = "CAST((user_id*7+event_id)%64 AS INTEGER)"
 _FIELDS = "(nbb, nbo, nbbq, nboq, b_ii, s_ii)"
 
 
@@ -463,7 +478,7 @@ def index_gaps(s, d):
 FLAGS = [(e, s, t) for e in (False, True) for s in (False, True) for t in (False, True)]
 QUERIES = {
     f.__name__: f
-    for f in (level_history, level_intervals_coalesced, snapshot_at, decoded_flags, asof_index, asof_index_compat, hit_times, crossings, nbbo_published, nbbo_every_event, nbbo_stats, fob_encode, fob_roundtrip, book_format, cumulate, distinct_prices, counts_by_side, topn_per_side, anti_times, union_books, window_clamp, time_texts, sim_time_grid, sim_mid, sim_orders, sim_book, snapshot_encode, update_encode, book_snapshots, level_history_bucketed, level_intervals_bucketed, cumulate_bucketed, depth_close, argsort_side_price_time, argsort_side_price_venue_time, argsort_price_time, hits_total, scaled_prices, participants, sql_functions, fob_deep, fob_scales, snapshot_resets, snapshot_resets_coalesced, crossings_all, crossings_all_above, crossings_per_price, violations_all, violations_all_touch, orders_while_level, orders_alive_together, fob_encode_runs, asof_gaps, history_gaps, cumulate_gaps, argsort_gaps, index_gaps)
+    for f in (level_history, level_intervals_coalesced, snapshot_at, decoded_flags, asof_index, asof_index_compat, hit_times, crossings, nbbo_published, nbbo_every_event, nbbo_stats, nbbo_many_venues, nbbo_many_published, fob_encode, fob_roundtrip, book_format, cumulate, distinct_prices, counts_by_side, topn_per_side, anti_times, union_books, window_clamp, time_texts, sim_time_grid, sim_mid, sim_orders, sim_book, snapshot_encode, update_encode, book_snapshots, level_history_bucketed, level_intervals_bucketed, cumulate_bucketed, depth_close, argsort_side_price_time, argsort_side_price_venue_time, argsort_price_time, hits_total, scaled_prices, participants, sql_functions, fob_deep, fob_scales, snapshot_resets, snapshot_resets_coalesced, crossings_all, crossings_all_above, crossings_per_price, violations_all, violations_all_touch, orders_while_level, orders_alive_together, fob_encode_runs, asof_gaps, history_gaps, cumulate_gaps, argsort_gaps, index_gaps)
 } | {"crossings_above": _crossings("above", 30000), "crossings_below": _crossings("below", 20000)} | {"asof_inclusive": _asof(True), "asof_strict": _asof(False), "asof_by_user": _asof(True, ("user_id",)), "asof_forward": _asof(True, direction="forward"), "asof_tolerance": _asof(True, tolerance=HOUR)}
 QUERIES |= {f"verify_eq{int(e)}_same{int(s)}_touch{int(t)}": _verify(e, s, t) for e, s, t in FLAGS}
 QUERIES["verify_pdiff"] = _verify(False, False, False, -100)
@@ -495,6 +510,8 @@ ORACLE_SQL = {
     "crossings": f"WITH {EV}, g AS (SELECT t, max(cents) AS v FROM ev WHERE event_type='view' GROUP BY t), n AS (SELECT t, v, lead(t) OVER (ORDER BY t) AS next_time, lead(v) OVER (ORDER BY t) AS next_value FROM g) SELECT * FROM n WHERE next_value IS NOT NULL AND sign(v-5000)<>sign(next_value-5000)",
     "nbbo_every_event": f"WITH {_nbbo_sql()} SELECT * FROM al WHERE b_ii<>0 OR s_ii<>0",
     "nbbo_published": f"WITH {_nbbo_sql()}, e AS (SELECT * FROM al QUALIFY row_number() OVER (PARTITION BY time ORDER BY iline DESC)=1), c AS (SELECT *, {_FIELDS} AS f, lag({_FIELDS}) OVER (ORDER BY time) AS lf FROM e) SELECT * EXCLUDE (f, lf) FROM c WHERE lf IS NULL OR f<>lf",
+    "nbbo_many_venues": f"WITH {_nbbo_sql(64, _V64)} SELECT * FROM al WHERE b_ii<>0 OR s_ii<>0",
+    "nbbo_many_published": f"WITH {_nbbo_sql(64, _V64)}, e AS (SELECT * FROM al QUALIFY row_number() OVER (PARTITION BY time ORDER BY iline DESC)=1), c AS (SELECT *, {_FIELDS} AS f, lag({_FIELDS}) OVER (ORDER BY time) AS lf FROM e) SELECT * EXCLUDE (f, lf) FROM c WHERE lf IS NULL OR f<>lf",
     "nbbo_stats": f"WITH {_nbbo_sql()} SELECT iline, lpad(bin(b_ii), 8, '0') AS bid_mask, CAST(bit_count(s_ii) AS INTEGER) AS ask_venues, CAST(b_ii>>3 & 1 AS INTEGER) AS has3, s_ii - (s_ii & 2) AS without1 FROM al WHERE b_ii<>0 OR s_ii<>0",
     "fob_encode": f"WITH {EV}, x AS ({ENC}) {_text_sql('x')}",
     "fob_roundtrip": f"WITH {EV}, x AS ({ENC}) SELECT time, CAST(bs01 AS INTEGER) AS bs01, CAST(row_number() OVER (PARTITION BY time, bs01 ORDER BY seq) - 1 AS INTEGER) AS pos, price, qty FROM x",
