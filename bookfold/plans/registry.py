@@ -13,7 +13,7 @@ from ..operators.nbbo import nbbo
 from ..operators.intervals import interval_join
 from ..operators.verify import all_crossings, all_violations, first_violation, level_crossings
 from ..sources import fob
-from ..storage import new_path
+from ..storage import new_path, stored
 
 HOUR = 3_600_000_000
 #: Time buckets of the unkeyed operators, in microseconds of event time.
@@ -446,6 +446,17 @@ def fob_encode_runs(s, d):
     return fob.encode_runs(e.withColumn("time", F.col("third") * 7919 % 4), bucket=500)
 
 
+def fob_faults(s, d):
+    """Where lines with faults of seven kinds break."""
+    e = ev(s, d)
+    one = lambda k: F.concat(F.lit("["), (F.col("cents") + k).cast("string"), F.lit(", "), F.col("qty").cast("string"), F.lit("]"))
+    a, b, c = one(0), one(1), one(2)
+    k = F.col("event_id") % 8
+    text = F.when(k == 1, F.concat(F.lit("["), a, F.lit(",,"), b, F.lit("]"))).when(k == 2, F.concat(F.lit("["), a, F.lit(" "), b, F.lit("]"))).when(k == 3, F.concat(F.lit("["), a, F.lit(","), b)).when(k == 4, F.concat(F.lit("["), a, F.lit(", [x"), b, F.lit("]"))).when(k == 5, F.concat(F.lit("["), a, F.lit("] ]"))).when(k == 6, F.concat(F.lit("["), a, F.lit(", ["), F.col("cents").cast("string"), F.lit(",1 ,"), c, F.lit("]"))).when(k == 7, a).otherwise(F.concat(F.lit("["), a, F.lit(" , "), b, F.lit(","), c, F.lit("] ")))
+    lines = e.select(F.col("event_id").alias("line_no"), F.concat(F.col("t").cast("string"), F.lit(";u;"), F.when(k == 7, F.lit("[]")).otherwise(text), F.lit(";"), F.when(k == 7, text).otherwise(F.lit("[ ]"))).alias("value"))
+    return fob.faults(stored(lines))
+
+
 def _gaps(e):
     """Events with gaps: no user, level or time on some."""
     nullif = lambda c, n: F.nullif(F.col(c) % n, F.lit(0).cast("long")).cast("long")
@@ -478,7 +489,7 @@ def index_gaps(s, d):
 FLAGS = [(e, s, t) for e in (False, True) for s in (False, True) for t in (False, True)]
 QUERIES = {
     f.__name__: f
-    for f in (level_history, level_intervals_coalesced, snapshot_at, decoded_flags, asof_index, asof_index_compat, hit_times, crossings, nbbo_published, nbbo_every_event, nbbo_stats, nbbo_many_venues, nbbo_many_published, fob_encode, fob_roundtrip, book_format, cumulate, distinct_prices, counts_by_side, topn_per_side, anti_times, union_books, window_clamp, time_texts, sim_time_grid, sim_mid, sim_orders, sim_book, snapshot_encode, update_encode, book_snapshots, level_history_bucketed, level_intervals_bucketed, cumulate_bucketed, depth_close, argsort_side_price_time, argsort_side_price_venue_time, argsort_price_time, hits_total, scaled_prices, participants, sql_functions, fob_deep, fob_scales, snapshot_resets, snapshot_resets_coalesced, crossings_all, crossings_all_above, crossings_per_price, violations_all, violations_all_touch, orders_while_level, orders_alive_together, fob_encode_runs, asof_gaps, history_gaps, cumulate_gaps, argsort_gaps, index_gaps)
+    for f in (level_history, level_intervals_coalesced, snapshot_at, decoded_flags, asof_index, asof_index_compat, hit_times, crossings, nbbo_published, nbbo_every_event, nbbo_stats, nbbo_many_venues, nbbo_many_published, fob_encode, fob_roundtrip, book_format, cumulate, distinct_prices, counts_by_side, topn_per_side, anti_times, union_books, window_clamp, time_texts, sim_time_grid, sim_mid, sim_orders, sim_book, snapshot_encode, update_encode, book_snapshots, level_history_bucketed, level_intervals_bucketed, cumulate_bucketed, depth_close, argsort_side_price_time, argsort_side_price_venue_time, argsort_price_time, hits_total, scaled_prices, participants, sql_functions, fob_deep, fob_scales, snapshot_resets, snapshot_resets_coalesced, crossings_all, crossings_all_above, crossings_per_price, violations_all, violations_all_touch, orders_while_level, orders_alive_together, fob_encode_runs, fob_faults, asof_gaps, history_gaps, cumulate_gaps, argsort_gaps, index_gaps)
 } | {"crossings_above": _crossings("above", 30000), "crossings_below": _crossings("below", 20000)} | {"asof_inclusive": _asof(True), "asof_strict": _asof(False), "asof_by_user": _asof(True, ("user_id",)), "asof_forward": _asof(True, direction="forward"), "asof_tolerance": _asof(True, tolerance=HOUR)}
 QUERIES |= {f"verify_eq{int(e)}_same{int(s)}_touch{int(t)}": _verify(e, s, t) for e, s, t in FLAGS}
 QUERIES["verify_pdiff"] = _verify(False, False, False, -100)
@@ -568,6 +579,7 @@ ORACLE_SQL |= {
     "orders_while_level": f"WITH {EV}, {LEVELS}, {_LIVES} SELECT o.order_id, lv.event_id, greatest(o.open, lv.open) AS since FROM o JOIN lv ON o.side=lv.side AND o.lvl=lv.lvl AND lv.onqty<>0 AND lv.open < coalesce(o.close, {1 << 62}) AND o.open < coalesce(lv.close, {1 << 62}) AND (lv.close IS NULL OR lv.close>lv.open) AND (o.close IS NULL OR o.close>o.open)",
     "orders_alive_together": f"WITH {EV}, {_LIVES}, p AS (SELECT * FROM o WHERE close IS NULL OR close>open) SELECT a.order_id, count(*) AS n FROM p a JOIN p b ON a.order_id<>b.order_id AND b.open < coalesce(a.close, {1 << 62}) AND a.open < coalesce(b.close, {1 << 62}) GROUP BY 1",
     "fob_encode_runs": "WITH " + EV + ", z AS (SELECT (event_id//3)*7919%4 AS time, event_id AS seq, side AS bs01, cents AS price, qty FROM ev), y AS (SELECT *, CASE WHEN lag(time) OVER (ORDER BY seq) IS DISTINCT FROM time THEN 1 ELSE 0 END AS f FROM z), x AS (SELECT *, CAST(sum(f) OVER (ORDER BY seq ROWS UNBOUNDED PRECEDING) - 1 AS BIGINT) AS run FROM y) " + _text_sql("x").replace("SELECT time AS timestamp", "SELECT run, time AS timestamp", 1) + ", run",
+    "fob_faults": f"WITH {EV}, x AS (SELECT event_id AS line_no, event_id%8 AS k, length(CAST(cents AS VARCHAR)) AS c, length('['||cents||', '||qty||']') AS a, length('['||(cents+1)||', '||qty||']') AS b FROM ev) SELECT line_no, CASE WHEN k=7 THEN 'bids' ELSE 'asks' END AS field, CASE k WHEN 1 THEN 'level' WHEN 2 THEN 'comma or end' WHEN 3 THEN 'comma or end' WHEN 4 THEN 'price' WHEN 5 THEN 'nothing' WHEN 6 THEN 'level end' ELSE 'level' END AS kind, CAST(CASE k WHEN 1 THEN 1+a+1 WHEN 2 THEN 1+a+1 WHEN 3 THEN 1+a+1+b WHEN 4 THEN 1+a+3 WHEN 5 THEN 1+a+2 WHEN 6 THEN 1+a+3+c+3 ELSE 1 END AS INTEGER) AS place, CAST(CASE k WHEN 3 THEN 2 WHEN 7 THEN 0 ELSE 1 END AS INTEGER) AS levels FROM x WHERE k<>0",
     "asof_gaps": f"WITH {_GAPS} SELECT l.event_id, l.t, l.user_id, r.event_id AS view_id, r.t AS right_time FROM (SELECT * FROM gp WHERE event_type='purchase') l ASOF LEFT JOIN (SELECT * FROM gp WHERE event_type='view' AND t IS NOT NULL) r ON l.user_id=r.user_id AND l.t >= r.t",
     "history_gaps": f"WITH {_GAPS}, q AS (SELECT * FROM gp WHERE event_id%17<>0), x AS (SELECT event_id, side, lvl, t AS open, lead(t) OVER w AS close, qty, qty - coalesce(lag(qty) OVER w, 0) AS onqty FROM q WINDOW w AS (PARTITION BY side, lvl ORDER BY t NULLS FIRST, event_id)) SELECT * FROM x WHERE onqty<>0",
     "cumulate_gaps": f"WITH {_GAPS}, o AS (SELECT side, lvl, qty, t AS t0, CASE WHEN event_id%5<>0 THEN t+cents*1000000 END AS t1 FROM gp WHERE event_type='purchase'), n AS (SELECT side, lvl, time, sum(q) AS q FROM (SELECT side, lvl, t0 AS time, qty AS q FROM o UNION ALL SELECT side, lvl, t1, -qty FROM o WHERE t1 IS NOT NULL) GROUP BY ALL) SELECT side, lvl, time, CAST(sum(q) OVER (PARTITION BY side, lvl ORDER BY time NULLS FIRST) AS BIGINT) AS cm_qty FROM n",

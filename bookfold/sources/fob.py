@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,10 +27,81 @@ def parse_levels(text: Column, price_scale: int, qty_scale: int) -> Column:
 
 
 def well_formed(text: Column) -> Column:
-    """Whether a nested list holds levels only: without them only one pair of brackets, commas and blanks are left.
-
-    No pattern repeats a group, so a line may have any number of levels."""
-    return F.coalesce(F.regexp_replace(text, LEVEL, "").rlike(r"^\s*\[[\s,]*\]\s*$"), F.lit(False))
+    """Whether a nested list holds levels with single commas between them and nothing else.
+
+    Levels become one character each, so no pattern repeats a group and a line may have any number of levels."""
+    mark = "\u0001"
+    bare = F.regexp_replace(F.regexp_replace(text, LEVEL, mark), r"\s", "")
+    lists = (bare == "[]") | (F.replace(bare, F.lit(f"{mark},"), F.lit("")) == f"[{mark}]")
+    return F.coalesce(~F.contains(text, F.lit(mark)) & lists, F.lit(False))
+
+
+#: What may stand at a place of a list: after its opening, levels of five tokens and what follows each.
+_TOKEN = r"\s*(?:[0-9]*\.?[0-9]+|\S)|\s+$"
+_EXPECTED = ("level", "price", "comma", "quantity", "level end", "comma or end")
+
+
+def _let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then`` of a value that is worked out once."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
+def fault(text: Column) -> Column:
+    """The first fault of a nested list, null if there is none: ``kind`` (what was expected, ``list``, one of ``_EXPECTED``, or ``nothing``
+    after its end), ``place`` (the character, from 0, where that should stand) and ``levels`` (how many whole ones come before it).
+
+    A list has one sequence of tokens, so what a token must be follows from its number; the place is the length of those before it."""
+
+    def kind(x: Column) -> Column:
+        bare = F.ltrim(F.regexp_replace(x, r"\s", " "))
+        return F.when(bare.rlike(r"^[0-9.]*[0-9]$"), "0").otherwise(F.trim(bare))
+
+    def wrong(last: Column) -> Callable[[Column, Column], Column]:
+        def at(x: Column, i: Column) -> Column:
+            step = F.pmod(i - 1, F.lit(6))
+            fits = F.when(i == 0, x == "[").when((i == 1) & (x == "]"), True).when(step == 0, x == "[").when(step.isin(1, 3), x == "0").when(step == 2, x == ",").when(step == 4, x == "]").otherwise(x.isin(",", "]"))
+            return F.when((last >= 0) & (i > last), x != "").otherwise(~fits)
+
+        return at
+
+    def told(raw: Column, kinds: Column, last: Column, first: Column) -> Column:
+        at = F.when(first >= 0, first).when(last < 0, F.size(kinds)).cast("int")
+        after = (last >= 0) & (at > last)
+        before = F.aggregate(F.slice(raw, 1, at), F.lit(0), lambda n, x: n + F.length(x))
+        # the blanks before a wrong token are no part of it
+        blank = F.when(first >= 0, F.length(F.get(raw, at)) - F.length(F.get(kinds, at))).otherwise(0)
+        blank = F.when(F.get(kinds, at) == "0", F.length(F.get(raw, at)) - F.length(F.trim(F.get(raw, at)))).otherwise(blank)
+        name = F.when(at == 0, "list").when(after, "nothing").otherwise(F.get(F.array(*map(F.lit, _EXPECTED)), F.pmod(at - 1, F.lit(6))))
+        levels = F.floor(F.when(after, last).otherwise(at) / 6).cast("int")
+        return F.when(at.isNotNull(), F.struct(name.alias("kind"), (before + blank).cast("int").alias("place"), levels.alias("levels")))
+
+    # a list ends where it may: at once, or after a level
+    ends = lambda x, i: (x == "]") & ((i == 1) | ((i > 1) & (F.pmod(i, F.lit(6)) == 0)))
+    place = lambda xs, test: F.array_position(F.transform(xs, test), F.lit(True)) - 1
+    tokens = F.coalesce(F.regexp_extract_all(text, F.lit(_TOKEN), F.lit(0)), F.array().cast("array<string>"))
+    return _let(tokens, lambda raw: _let(F.transform(raw, kind), lambda kinds: _let(place(kinds, ends), lambda last: _let(place(kinds, wrong(last)), lambda first: told(raw, kinds, last, first)))))
+
+
+def faults(lines: DataFrame, before: bool = False) -> DataFrame:
+    """``line_no, field, kind, place, levels`` of the first fault of each line that isn't well formed: its time (``kind`` ``time``), else
+    its asks, else its bids. ``before``: also the ``asks`` and ``bids`` that whole levels before the fault give, as texts of price and quantity."""
+    bad = _fields(lines).where(~_readable())
+    good_time = F.coalesce(F.col("ts").rlike(r"^\d{1,19}$") & F.col("ts").try_cast("long").isNotNull(), F.lit(False))
+    told = lambda c, f: F.struct(F.lit(c).alias("field"), f["kind"].alias("kind"), f["place"].alias("place"), f["levels"].alias("levels"))
+    lists = _let(fault(F.col("asks")), lambda fa: F.when(fa.isNotNull(), told("asks", fa)).otherwise(_let(fault(F.col("bids")), lambda fb: told("bids", fb))))
+    time = F.struct(F.lit("time").alias("field"), F.lit("time").alias("kind"), F.lit(0).alias("place"), F.lit(0).alias("levels"))
+    # a generator, so that the scan is done once and not for each field taken from it; an outer one, as Spark filters by what others get
+    found = bad.select("line_no", "asks", "bids", F.inline_outer(F.array(F.when(~good_time, time).otherwise(lists))))
+    if not before:
+        return found.select("line_no", "field", "kind", "place", "levels")
+
+    def levels(c: str, own: Column) -> Column:
+        prices, quantities = _numbers(F.col(c))
+        return F.slice(F.arrays_zip(prices.alias("price"), quantities.alias("qty")), 1, own)
+
+    asks = F.when(F.col("field") == "time", 0).when(F.col("field") == "asks", F.col("levels")).otherwise(F.lit(1 << 30))
+    bids = F.when(F.col("field") == "bids", F.col("levels")).otherwise(0)
+    return found.select("line_no", "field", "kind", "place", "levels", levels("asks", asks).alias("asks"), levels("bids", bids).alias("bids"))
 
 
 def _fields(lines: DataFrame) -> DataFrame:
