@@ -258,20 +258,29 @@ def time_texts(s, d):
     return ev(s, d).select("event_id", S.hms_text(ns).alias("hms"), S.time_text(ns).alias("full_text"))
 
 
+def _observed(s, d):
+    """Start (ns) and numbers of mid prices and orders of a simulated book: those of the events."""
+    r = ev(s, d).agg(F.min("t"), F.count(F.when(F.col("event_type") == "view", 1)), F.count(F.when(F.col("event_type") == "purchase", 1))).first()
+    return r[0] * 1000, r[1], r[2]
+
+
 def sim_time_grid(s, d):
-    return G.time_grid(s, 1_700_000_000 * G.SECOND, 1000, G.SECOND)
+    start, n_mid, _ = _observed(s, d)
+    return G.time_grid(s, start, n_mid, G.SECOND)
 
 
 def sim_mid(s, d):
-    return G.mid_price(s, 1_700_000_000 * G.SECOND, 2000, G.SECOND)
+    start, n_mid, _ = _observed(s, d)
+    return G.mid_price(s, start, n_mid, G.SECOND)
 
 
 def sim_orders(s, d):
-    return G.fake_orders(s, 2000, 1000)
+    start, n_mid, n = _observed(s, d)
+    return G.fake_orders(s, n, n_mid, start_ns=start)
 
 
 def sim_book(s, d):
-    return G.fake_book(G.fake_orders(s, 2000, 1000))
+    return G.fake_book(sim_orders(s, d))
 
 
 def _history(s, d):
@@ -535,7 +544,7 @@ ORACLE_SQL = {
     "union_books": f"WITH {EV} SELECT event_id, side, lvl FROM ev WHERE side=0 OR (side=1 AND lvl>5)",
     "window_clamp": f"WITH {EV}, {ORDERS} SELECT order_id, greatest(open, {T0}-1000) AS open, least(coalesce(close, {1 << 62}), {T0}+{HOUR * 100}+1000) AS close FROM o WHERE open<={T0}+{HOUR * 100} AND coalesce(close, {1 << 62})>={T0}",
     "time_texts": f"WITH {EV}, x AS (SELECT event_id, t*1000+qty*100 AS ns FROM ev), y AS (SELECT *, strftime(make_timestamp(ns//1000), '%H:%M:%S') AS hms0, rtrim(lpad(CAST(ns%1000000000 AS VARCHAR), 9, '0'), '0') AS fr FROM x) SELECT event_id, CASE WHEN fr='' THEN hms0 ELSE hms0||'.'||fr END AS hms, strftime(make_timestamp(ns//1000), '%Y-%m-%d %H:%M:%S') || '.' || lpad(CAST(ns%1000000000 AS VARCHAR), 9, '0') AS full_text FROM y",
-    "sim_time_grid": "SELECT i, CAST(1700000000-250+i AS BIGINT)*1000000000 AS t FROM range(1500) r(i)",
+    "sim_time_grid": f"WITH {EV}, c AS (SELECT min(t)*1000 AS t0, count(*) FILTER (event_type='view') AS n FROM ev) SELECT i, CAST(t0 + (i - n//4)*1000000000 AS BIGINT) AS t FROM c, range((SELECT n + n//2 FROM c)) r(i)",
     "snapshot_encode": f"WITH {_H}, x AS (SELECT {T0} AS time, price AS seq, bs01, price, qty FROM h WHERE open<={T0} AND (close IS NULL OR close>={T0}) AND (open={T0} OR qty>0)) {_SORTED}",
     "update_encode": f"WITH {_H}, x AS (SELECT open AS time, price AS seq, bs01, price, qty FROM h WHERE open=(SELECT min(open) FROM h WHERE event_id%397=5)) {_SORTED.replace(chr(39) + 's' + chr(39), chr(39) + 'u' + chr(39), 1)}",
     "book_snapshots": f"WITH {_H}, tm AS (SELECT DISTINCT open AS time FROM h WHERE event_id%397=0), x AS (SELECT tm.time, price AS seq, bs01, price, qty FROM h JOIN tm ON open<=tm.time AND (close IS NULL OR close>=tm.time) AND (open=tm.time OR qty>0)), up AS (SELECT open AS time, price AS seq, bs01, price, qty FROM h WHERE open NOT IN (SELECT time FROM tm)) {_SORTED} UNION ALL {_text_sql('up').replace('ORDER BY seq', 'ORDER BY seq, price, qty')}",
