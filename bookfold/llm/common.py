@@ -42,7 +42,8 @@ def shuffles_removed(spark: SparkSession):
 
 
 def materialize(df: DataFrame) -> DataFrame:
-    """Cut the lineage of ``df`` with a reliable checkpoint, which Spark removes with its last reader."""
+    """Cut the lineage of ``df`` with a reliable checkpoint. Spark removes it with its last reader only where
+    ``spark.cleaner.referenceTracking.cleanCheckpoints`` is set; else it stays in the shared folder."""
     shared_folder(df.sparkSession)
     with shuffles_removed(df.sparkSession):
         return df.checkpoint(eager=True)
@@ -252,10 +253,11 @@ def connected_components(edges: DataFrame, scratch: Scratch) -> DataFrame:
         if hot:
             few = F.broadcast(now.sparkSession.createDataFrame(hot, "u long, m long"))
             rest = both.join(F.broadcast(few.select("u")), "u", "left_anti").select("u", "v", "changed")
-        large = rest.repartition("u").sortWithinPartitions("u", "v").mapInArrow(_star(True), _EDGE)
+        # one Python worker for both steps: a task with two keeps two alive
+        large = rest.repartition("u").sortWithinPartitions("u", "v").mapInArrow(lambda batches: _forest(_star(True)(batches)), _EDGE)
         if hot:
-            large = large.unionByName(both.join(few, "u").where("v > u").select(F.col("v").alias("hi"), F.col("m").alias("lo"), (F.col("m") != F.col("u")).alias("changed")))
-        small = large.mapInArrow(_forest, _EDGE).select(F.col("hi").alias("u"), F.col("lo").alias("v"), "changed")
+            large = large.unionByName(both.join(few, "u").where("v > u").select(F.col("v").alias("hi"), F.col("m").alias("lo"), (F.col("m") != F.col("u")).alias("changed")).mapInArrow(_forest, _EDGE))
+        small = large.select(F.col("hi").alias("u"), F.col("lo").alias("v"), "changed")
         small = small.repartition("u").sortWithinPartitions("u", "v").mapInArrow(_star(False), _EDGE)
         after = scratch.keep(small)
         scratch.drop(now)

@@ -244,6 +244,8 @@ def _packer(path: str, end_id: int, length: int, block: int, words_held: int = W
         if held:
             yield flush(True)
         words.forget()
+        if words_held < WORDS_HELD:
+            _word_ids.cache_clear()  # where memory is short, the tokenizer goes as well
 
     return run
 

@@ -468,7 +468,7 @@ def set_links(own: DataFrame, sets_of: Callable[[DataFrame], DataFrame], scratch
         rows = found.where("key is not null").select("key", "cell", F.col("a").alias("node"), F.col("b").alias("component"))
         if not rows.isEmpty():
             sets = scratch.keep(sets_of(rows.select("node").distinct()))
-            edges = edges.unionByName(rows.join(sets, "node").groupBy("key", "cell").applyInArrow(_jaccard_across(similarity), "a long, b long"))
+            edges = edges.unionByName(scratch.keep(rows.join(sets, "node").groupBy("key", "cell").applyInArrow(_jaccard_across(similarity), "a long, b long")))
     return edges
 
 
