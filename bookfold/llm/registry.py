@@ -19,4 +19,20 @@ QUERIES = {
     "op12_variants": variants.op12_variants,
     "op13_toxicity": toxicity.op13_toxicity,
 }
-ORACLE_SQL: dict[str, str] = {}
+#: Checksums byte by byte from a table that SQL makes, near words by what is left without one letter, chains by recursion.
+_VARIANTS = """
+WITH RECURSIVE tb AS (SELECT list_transform(range(256), lambda i: list_reduce([CAST(i AS BIGINT), 0, 0, 0, 0, 0, 0, 0, 0], lambda c, x: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END)) AS t),
+runs AS (SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS d, translate(unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS w FROM documents),
+per AS (SELECT d, w, count(*) AS n, hex(d || ':' || w) AS x FROM runs GROUP BY d, w),
+crc AS (SELECT w, n, xor(list_reduce(list_prepend(4294967295, list_transform(range(length(x) // 2), lambda i: CAST('0x' || substr(x, 2 * i + 1, 2) AS BIGINT))), lambda c, b: xor(c // 256, t[xor(c % 256, b) + 1])), 4294967295) AS h FROM per, tb),
+cut AS (SELECT CASE WHEN h % 199 = 0 THEN substr(w, 1, h % length(w)) || substr(w, h % length(w) + 2) ELSE w END AS word, n FROM crc),
+words AS (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM cut WHERE length(word) >= 6 GROUP BY word HAVING sum(n) >= 5),
+del AS (SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS rest FROM words, LATERAL (SELECT unnest(range(1, length(word) + 1)) AS i)),
+pairs AS (SELECT a.word AS a, b.word AS b FROM del a JOIN del b ON a.i = b.i AND a.rest = b.rest AND length(a.word) = length(b.word) AND a.word <> b.word UNION SELECT a.word, b.word FROM del a JOIN words b ON a.rest = b.word UNION SELECT b.word, a.word FROM del a JOIN words b ON a.rest = b.word),
+best AS (SELECT p.a AS word, count(*) AS n_near, first(p.b ORDER BY w.n DESC, p.b) AS near, max(w.n) AS most FROM pairs p JOIN words w ON w.word = p.b GROUP BY p.a),
+forms AS (SELECT w.word, w.n, coalesce(b.n_near, 0) AS n_near, CASE WHEN b.most >= 5 * w.n THEN b.near END AS form, CASE WHEN b.most >= 5 * w.n THEN b.most END AS form_n FROM words w LEFT JOIN best b USING (word)),
+chain AS (SELECT word, word AS root, 0 AS k FROM forms UNION ALL SELECT c.word, f.form, c.k + 1 FROM chain c JOIN forms f ON f.word = c.root WHERE f.form IS NOT NULL),
+roots AS (SELECT word, arg_max(root, k) AS root FROM chain GROUP BY word)
+SELECT word, form, root, n, n_near, form_n FROM forms JOIN roots USING (word)
+"""
+ORACLE_SQL: dict[str, str] = {"op12_variants": _VARIANTS}
