@@ -19,6 +19,15 @@ QUERIES = {
     "op12_variants": variants.op12_variants,
     "op13_toxicity": toxicity.op13_toxicity,
 }
+#: All windows of 20 words; those whose words came before cover what goes.
+_SUBSTRING = r"""
+WITH texts AS (SELECT doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), CAST([] AS VARCHAR[])) AS ws FROM documents),
+words AS (SELECT doc_id, len(ws) AS n, i, ws[i] AS word, CASE WHEN i + 19 <= len(ws) THEN sha256(array_to_string(ws[i : i + 19], ' ')) END AS wd FROM texts, LATERAL (SELECT unnest(range(1, len(ws) + 1)) AS i)),
+again AS (SELECT *, CASE WHEN wd IS NOT NULL AND row_number() OVER (PARTITION BY wd ORDER BY doc_id, i) > 1 THEN 1 ELSE 0 END AS later FROM words),
+gone AS (SELECT doc_id, n, i, word, max(later) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) AS removed FROM again),
+kept AS (SELECT doc_id, CAST(sum(removed) AS BIGINT) AS n_removed, string_agg(word, ' ' ORDER BY i) FILTER (removed = 0) AS rest FROM gone GROUP BY doc_id)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(rest, '')) AS kept_sha256 FROM texts LEFT JOIN kept USING (doc_id)
+"""
 #: Checksums byte by byte from a table that SQL makes, near words by what is left without one letter, chains by recursion.
 _VARIANTS = """
 WITH RECURSIVE tb AS (SELECT list_transform(range(256), lambda i: list_reduce([CAST(i AS BIGINT), 0, 0, 0, 0, 0, 0, 0, 0], lambda c, x: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END)) AS t),
@@ -35,4 +44,4 @@ chain AS (SELECT word, word AS root, 0 AS k FROM forms UNION ALL SELECT c.word,
 roots AS (SELECT word, arg_max(root, k) AS root FROM chain GROUP BY word)
 SELECT word, form, root, n, n_near, form_n FROM forms JOIN roots USING (word)
 """
-ORACLE_SQL: dict[str, str] = {"op12_variants": _VARIANTS}
+ORACLE_SQL: dict[str, str] = {"op3_substring": _SUBSTRING, "op12_variants": _VARIANTS}
