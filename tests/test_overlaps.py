@@ -6,6 +6,7 @@ from collections import Counter
 import pytest
 
 from bookfold.operators import intervals, verify
+from bookfold.operators import nbbo as nbbo_module
 from bookfold.operators.asof import asof_join, row_index
 from bookfold.operators.intervals import interval_join
 from bookfold.operators.levels import argsort, cumulate, level_history, run_numbers
@@ -179,3 +180,17 @@ def test_runs_of_unsorted_times(spark):
         own = [x for x in rows if runs[x[1]] == r.run]
         assert r.timestamp == own[0][0]
         assert r.bids == "[" + ",".join(f"[{x[3]},{x[4]}]" for x in own if x[2] == 0) + "]"
+
+
+@pytest.mark.parametrize("mode", ["every_event", "published"])
+def test_nbbo_as_streams_equals_windows(spark, monkeypatch, mode):
+    rnd = random.Random(12)
+    price = lambda: rnd.choice([None, 0, *range(95, 105)])
+    rows = [(rnd.choice([None, *range(40)]), i, rnd.choice([None, *range(10)]), price(), rnd.choice([None, 0, -1, 3, 7]), rnd.choice([None, *range(10)]), price(), rnd.choice([None, 0, 2, 5])) for i in range(160)]
+    quotes = spark.createDataFrame(rows, "t long, iline long, bv int, bp long, bq long, sv int, sp long, sq long")
+    found = []
+    for few in (16, 0):
+        monkeypatch.setattr(nbbo_module, "FEW", few)
+        found.append(order(tuple(r) for r in nbbo_module.nbbo(quotes, 10, mode, 6).select("time", "nbb", "nbo", "nbbq", "nboq", "b_ii", "s_ii", "iline", "num_b", "num_s").collect()))
+    assert found[0] == found[1] and len(found[0]) > 20
+    assert nbbo_module.nbbo(quotes.where("false"), 64, mode, 6).count() == 0
