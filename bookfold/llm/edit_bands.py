@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, connected_components, join_hot
+from .common import Scratch, connected_components, join_hot, thrifty
 from .edit_embedding import CHANCE, FULL, PER_OCTAVE, SEED, _WEIGHTS, _mix
 
 #: Fingerprints of fewer digits meet on blocks of all their digits.
@@ -313,10 +313,10 @@ def near_components(prints: DataFrame, scratch: Scratch, likeness: float = 0.8,
         if n:
             yield local_stars(*map(np.concatenate, zip(*held)))
 
-    star = scratch.keep(stars(own.select("node", "digits", "n_digits").mapInArrow(cut, _STAR)))
+    star = scratch.keep(stars(own.select("node", "digits", "n_digits").mapInArrow(thrifty(cut), _STAR)))
     sides = [own.select(F.col("node").alias(k), F.col("digits").alias(f"f_{s}"), F.col("n_digits").alias(f"n_{s}")) for k, s in (("rep", "a"), ("node", "b"))]
     pairs = scratch.keep(star.select("rep", "node").distinct().join(sides[1], "node"))
-    judged = scratch.keep(join_hot(pairs, sides[0], "rep").select("rep", "node", "f_a", "n_a", "f_b", "n_b").mapInArrow(_judge(likeness), "rep long, node long, close boolean"))
+    judged = scratch.keep(join_hot(pairs, sides[0], "rep").select("rep", "node", "f_a", "n_a", "f_b", "n_b").mapInArrow(thrifty(_judge(likeness)), "rep long, node long, close boolean"))
     scratch.drop(pairs)
     parts = connected_components(judged.where("close").select(F.col("rep").alias("a"), F.col("node").alias("b")), scratch)
     apart = not_joined(judged, parts, scratch)

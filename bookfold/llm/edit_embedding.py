@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, join_hot, materialize, table, text_bytes
+from .common import Scratch, by_bytes, give_back, join_hot, materialize, table, text_bytes, thrifty
 
 SEED, CLASSES, PERIOD = 42, 256, 4096
 #: Sampled steps: all below 2 ** FULL, then PER_OCTAVE between 2 ** k and 2 ** (k + 1).
@@ -187,7 +187,7 @@ def fingerprint_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         options = pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 3))
-        for b in batches:
+        for b in by_bytes(batches, 1, part_bytes):
             if not b.num_rows:
                 continue
             ids, h = b.column(0).to_numpy(), b.column(3).to_numpy()
@@ -220,12 +220,14 @@ def fingerprint_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str
                 end += 1
             out.append(walked(rows[at:end], (rows[end] if end < len(rows) else after)[2].decode()))
             at = end
+        del rows, found
+        give_back()
         return pa.concat_tables(out)
 
     from .edit_bands import near_components
 
     scratch = Scratch(docs.sparkSession)
-    rows = scratch.keep(own.mapInArrow(deal, "part long, kind int, rows binary").groupBy("part").applyInArrow(walk, _PACKED))
+    rows = scratch.keep(own.mapInArrow(thrifty(deal), "part long, kind int, rows binary").groupBy("part").applyInArrow(walk, _PACKED))
     distinct = scratch.keep(rows.groupBy("node").agg(F.min("doc_id").alias("low"), F.min(F.struct("n_digits", "digits")).alias("f")).select("node", "low", "f.digits", "f.n_digits"))
     parts_of = scratch.keep(distinct.select("node", "low").join(near_components(distinct, scratch), "node", "left").withColumn("component", F.coalesce("component", "node")))
     lows = parts_of.groupBy("component").agg(F.min("low").alias("near_component"))
