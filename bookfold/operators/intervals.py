@@ -44,3 +44,17 @@ def interval_join(left: DataFrame, right: DataFrame, start: str = "open", end: s
     l, r = sides(left), sides(right)
     within = _starts_within(l, r, keys, True, bucket).toDF("left", "right")
     return within.unionByName(_starts_within(r, l, keys, False, bucket).toDF("right", "left"))
+
+
+def overlap_counts(rows: DataFrame, start: str = "open", end: str = "close", by=(), name: str = "n", bucket: int = 3_600_000_000) -> DataFrame:
+    """``rows`` with ``name``: how many of them share the values of ``by`` and a moment with each, itself included, by the rules of ``interval_join``.
+
+    These are the rows that start before its end, less those of them that end by its start: two ranks, no pairs. Rows that meet nothing are left out."""
+    keys = [f"__key_of{i}" for i in range(len(by))]
+    own = rows.dropna(subset=[start, *by]).where(F.col(f"`{end}`").isNull() | (F.col(f"`{end}`") > F.col(f"`{start}`")))
+    own = stored(own.select("*", *[F.col(f"`{c}`").alias(k) for c, k in zip(by, keys)]))
+    starts = row_index(own.select(*keys, F.col(f"`{start}`").alias("__s")), "__s", bucket, by=keys)
+    ends = row_index(own.select(*keys, F.col(f"`{end}`").alias("__e")).dropna(), "__e", bucket, by=keys)
+    counted = range_before(own, F.col(f"`{end}`"), starts, "__s", "__begun", keys, bucket=bucket)
+    counted = range_before(counted, F.col(f"`{start}`"), ends, "__e", "__over", keys, or_at=True, bucket=bucket)
+    return counted.withColumn(name, F.col("__begun") - F.col("__over")).drop("__begun", "__over", *keys)

@@ -10,7 +10,7 @@ from ..operators import levels as L
 from ..operators import simulate as G
 from ..operators.asof import asof_join, row_index
 from ..operators.nbbo import nbbo
-from ..operators.intervals import interval_join
+from ..operators.intervals import interval_join, overlap_counts
 from ..operators.verify import all_crossings, all_violations, first_violation, level_crossings
 from ..sources import fob
 from ..storage import new_path, stored
@@ -445,8 +445,11 @@ def orders_while_level(s, d):
 
 def orders_alive_together(s, d):
     """How many other orders are alive at some time of each order's life."""
-    own = _lives(ev(s, d)).select("order_id", "open", "close")
-    return interval_join(own, own, bucket=BUCKET).where("left.order_id <> right.order_id").groupBy("left.order_id").agg(F.count("*").alias("n"))
+    own = _lives(ev(s, d)).select("order_id", "open", "close").dropna(subset=["order_id"])
+    # those of the same id, as a rule the order itself, don't count
+    alive, same = overlap_counts(own, bucket=BUCKET), overlap_counts(own, by=("order_id",), bucket=BUCKET)
+    parts = alive.select("order_id", "n").unionByName(same.select("order_id", (-F.col("n")).alias("n")))
+    return parts.groupBy("order_id").agg(F.sum("n").alias("n")).where("n > 0")
 
 
 def fob_encode_runs(s, d):
