@@ -219,3 +219,14 @@ def test_overlaps_are_counted_without_pairs(spark, monkeypatch):
     ends = lambda x: EVER if x[2] is None else x[2]
     pairs = Counter(x[0] for x in live for y in live if x[0] != y[0] and y[1] < ends(x) and x[1] < ends(y))
     assert {r.order_id: r.n for r in registry.orders_alive_together(spark, "").collect()} == dict(pairs)
+
+
+@pytest.mark.parametrize("search", [first_violation, all_violations])
+def test_the_plan_of_violations_grows_with_the_levels(spark, monkeypatch, search):
+    monkeypatch.setattr(verify, "FEW", 3)
+    barrier = spark.createDataFrame([(t, t % 7, t % 7 + 5) for t in range(300)], "t long, nbb int, nbo int")
+    orders = spark.createDataFrame([(1, "b", 11, 3, 250), (2, "s", 1, 299, None)], "order_id int, side string, price int, open long, close long")
+    found = search(orders, barrier, bucket=50)
+    # four levels; twice as many joins for each once made 127 of them
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Join ") <= 8
+    assert found.count() == (2 if search is first_violation else 212 + 1)
