@@ -43,6 +43,37 @@ def test_interval_join_equals_all_pairs(spark, monkeypatch, bins):
     assert free.count() == 0
 
 
+@pytest.mark.parametrize("length", [3, 40, 1100])
+def test_bins_follow_the_ranges(spark, monkeypatch, length):
+    # ranges of 3 met a bin of 256 each, long ones a bin more with every 256 ranks: pieces that grew with the pairs
+    monkeypatch.setattr(intervals, "PAIRS", 200)
+    rnd = random.Random(length)
+    ranges = [(1, i, a := rnd.randrange(10**6), a + rnd.randrange(1, 2 * length)) for i in range(90)]
+    pieces, width = intervals._in_pieces(spark.createDataFrame(ranges, "k0 int, row int, a long, b long"), ["k0"])
+    pairs = sum(r[3] - r[2] for r in ranges)
+    got = pieces.collect()
+    assert sum(len(range(max(r.a, r.bin * width), min(r.b, (r.bin + 1) * width))) for r in got) == pairs
+    assert len(got) <= (2 * intervals.TOUCHED + 2) * len(ranges) and len(got) * width <= pairs * 9 / 8
+    assert pieces.rdd.getNumPartitions() == pairs // 200 or length == 3
+
+
+def test_interval_join_in_wide_bins(spark, monkeypatch):
+    monkeypatch.setattr(intervals, "PAIRS", 500)
+    seen = []
+    pieces_of = intervals._in_pieces
+    monkeypatch.setattr(intervals, "_in_pieces", lambda *a: seen.append(pieces_of(*a)) or seen[-1])
+    rnd = random.Random(5)
+    left = [(i, a := rnd.randrange(400), rnd.choice([None, a + rnd.randrange(300)])) for i in range(80)]
+    right = [(i, a := rnd.randrange(400), a + rnd.randrange(1, 90)) for i in range(500)]
+    schema = "id int, open long, close long"
+    got = interval_join(spark.createDataFrame(left, schema), spark.createDataFrame(right, schema), bucket=50)
+    end = lambda x: EVER if x[2] is None else x[2]
+    want = Counter((x[0], y[0]) for x in left for y in right if x[1] < end(x) and y[1] < end(x) and x[1] < end(y))
+    assert Counter((r.left.id, r.right.id) for r in got.collect()) == want and len(want) > 10000
+    pieces, width = seen[0]  # right rows that start in left ones; the other part has few pairs
+    assert 1 < width < 256 and pieces.rdd.getNumPartitions() > 4
+
+
 def test_all_violations_equal_a_nested_loop(spark, monkeypatch):
     monkeypatch.setattr(verify, "FEW", 3)
     rnd = random.Random(8)
