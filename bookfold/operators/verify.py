@@ -2,8 +2,10 @@
 
 The barrier rows become the leaves of a tree of fan-out 16 that keeps each node's least and greatest value, siblings in one row, their
 block. An order's rows are a range of leaves, parts of at most two blocks a level; the first node that holds a violation is found
-by an equi-join of blocks, then followed down level by level. For all violations every node with one is followed, so the work
-grows with what is found. No range join, no nested loop. Each level has a join of its own, so the plan grows with the levels."""
+by an equi-join of blocks, then followed down level by level. Each level has a join of its own, so the plan grows with the levels.
+
+For all violations the barrier rows are cut into lists, the worst first, of a length that an order's range spans a few times: in a list that
+it spans those that violate it are the beginning, whose end is found by halving, so a row that is returned costs no join. No range join, no nested loop."""
 
 from __future__ import annotations
 
@@ -29,16 +31,21 @@ def first_violation(orders: DataFrame, barrier: DataFrame, pdiff: float = 0, eqs
     ids may repeat or be null, and other columns may have any names. Side is text or bytes; what starts with b or B buys.
     """
     whole, at, what = _numbered(orders)
-    found, n = _violations(whole.select("order_id", *what), [], barrier, pdiff, eqstate, sameside, timetouch, bucket, False)
+    found, n = _violations(whole.select("order_id", *what), barrier, pdiff, eqstate, sameside, timetouch, bucket)
     return whole.join(found, "order_id", "left").select(*at, F.coalesce("node", F.lit(n)).cast("long").alias("first_violation_k"))
 
 
 def all_violations(orders: DataFrame, barrier: DataFrame, pdiff: float = 0, eqstate: bool = False, sameside: bool = False, timetouch: bool = False, bucket: int = 3_600_000_000) -> DataFrame:
     """A row of ``orders`` with ``violation_k`` for each row of ``barrier`` that violates it, by the rules of ``first_violation``.
 
-    An order that none violates has no row; each pair comes once. Nodes of the tree without a violation aren't entered."""
+    An order that none violates has no row; each pair comes once. Only the lists at the ends of an order's range hold violations outside of it."""
     whole, at, what = _numbered(orders)
-    found, _ = _violations(whole.select("*", *what), whole.columns[:-1], barrier, pdiff, eqstate, sameside, timetouch, bucket, True)
+    rows, n, spans = _spans(whole.select("*", *what), whole.columns[:-1], barrier, sameside, timetouch, bucket)
+    if not n:
+        return whole.where("false").select(*at, F.lit(0).cast("long").alias("violation_k"))
+    orders_in, total = spans.agg(F.count("*"), F.coalesce(F.sum(F.col("b") - F.col("a")), F.lit(0))).first()
+    width = min(LIST, max(LEAST, total // (SPANNED * max(1, orders_in))))
+    found = reduce(DataFrame.unionByName, [_listed(spans, rows, buys, pdiff, eqstate, width, total) for buys in (True, False)])
     return found.select(*at, F.col("node").cast("long").alias("violation_k"))
 
 
@@ -50,62 +57,97 @@ def _numbered(orders: DataFrame) -> tuple[DataFrame, list[Column], list[Column]]
     return whole, [*at.values()], [at["side"], at["price"], at["open"], at["close"]]
 
 
-#: Nodes of the tree that are broadcast at most.
+#: Nodes of the tree, or rows in lists, that are broadcast at most.
 FEW = 1 << 18
+#: Rows of a list at least and at most, and lists that an order's range spans on average, unless lists are full.
+LEAST, LIST, SPANNED = 64, 1 << 16, 8
+#: Leaves in the ranges of a task where a shuffle's usual partitions are too few, as long as there are no more than ``TASKS``.
+LEAVES = 1 << 28
+TASKS = 2048
+
 
+def _hit(buy: Column, price: Column, least: Column, most: Column, pdiff: float, eqstate: bool) -> Column:
+    up, down = price + pdiff, price - pdiff
+    if eqstate:
+        return F.when(buy, up >= least).otherwise(down <= most)
+    return F.when(buy, up > least).otherwise(down < most)
 
-def _violations(orders: DataFrame, kept: list[str], barrier: DataFrame, pdiff: float, eqstate: bool, sameside: bool, timetouch: bool, bucket: int, every: bool) -> tuple[DataFrame, int]:
-    """``order_id, node`` of the first (``every``: each) violating row with the columns ``kept`` of its order, and the number of rows."""
+
+def _spans(orders: DataFrame, kept: list[str], barrier: DataFrame, sameside: bool, timetouch: bool, bucket: int) -> tuple[DataFrame, int, DataFrame]:
+    """The barrier's rows in their order (``k, least, most``), their number, and ``order_id, buy, price`` and ``kept`` of the orders with the rows ``a`` to ``b`` - 1
+    that each lives through. All stored; no orders without rows."""
     buys, sells = ("nbb", "nbo") if sameside else ("nbo", "nbb")
     rows = stored(row_index(barrier, "t", bucket).select("t", "k", F.col(buys).alias("least"), F.col(sells).alias("most")))
     n = rows.count()
     if not n:
-        return orders.where("false").select("order_id", *kept, F.lit(0).cast("long").alias("node")), n
-    levels = 1
-    while FAN ** (levels - 1) < n:
-        levels += 1
+        return rows, n, orders
     last = 1 << 62
     alive = orders.withColumn("__close", F.coalesce(F.col("close"), F.lit(last)))
     # the row in force at open: the last with t <= open; touching takes the one before a row that starts at open
     lo = asof_join(alive.withColumn("t", F.col("open")), rows.select("t", "k"), "t", values=("k",), allow_exact=not timetouch, bucket=bucket).drop("t", "right_time").withColumnRenamed("k", "__lo")
     hi = asof_join(lo.withColumn("t", F.col("__close")), rows.select("t", "k"), "t", values=("k",), allow_exact=timetouch, bucket=bucket).drop("t", "right_time").withColumnRenamed("k", "__hi")
+    spans = hi.select("order_id", *kept, (F.lower(F.substring(F.col("side").cast("string"), 1, 1)) == "b").alias("buy"), "price", F.coalesce("__lo", F.lit(0)).alias("a"), (F.col("__hi") + 1).alias("b"))
+    return rows, n, stored(spans.where("a < b"))
+
+
+def _listed(spans: DataFrame, rows: DataFrame, buys: bool, pdiff: float, eqstate: bool, width: int, total: int) -> DataFrame:
+    """Orders of one side with each ``node`` (a row's ``k``) that violates them, from lists of ``width`` rows."""
+    hit = lambda price, value: _hit(F.lit(buys), price, value, value, pdiff, eqstate)
+    own = spans.where(F.coalesce("buy", F.lit(False)) == buys)
+    value = F.col("least" if buys else "most")
+    # rows that violate the order that is easiest violated; no other is ever listed
+    limit = own.agg((F.max if buys else F.min)("price").alias("limit"))
+    some = rows.withColumn("v", value).join(F.broadcast(limit), hit(F.col("limit"), F.col("v")))  # one row
+    worst = F.sort_array(F.collect_list(F.struct("v", "k")), asc=buys)
+    lists = some.groupBy(F.floor(F.col("k") / width).alias("block")).agg(worst.alias("x")).select("block", F.col("x.v").alias("vs"), F.col("x.k").alias("ks"))
+    lists = stored(lists)
+    few = lists.agg(F.coalesce(F.sum(F.size("ks")), F.lit(0))).first()[0] <= FEW
+    tasks = min(TASKS, total // LEAVES)
+    # Spark sizes partitions by what goes into the join; few are dealt by order, as those open for ever lie together where their close was looked up
+    dealt = [tasks] if tasks > int(spans.sparkSession.conf.get("spark.sql.shuffle.partitions")) else []
+    pieces = (own.repartition(*dealt, "order_id") if few else own).withColumn("block", F.explode(F.expr(f"sequence(a div {width}, (b - 1) div {width})")))
+    met = pieces.join(F.broadcast(lists), "block") if few else (pieces.repartition(*dealt, "block") if dealt else pieces).join(lists, "block")
+    met = met.withColumn("__n", F.lit(0))
+    for bit in range(width.bit_length() - 1, -1, -1):
+        further = hit(F.col("price"), F.get("vs", F.col("__n") + ((1 << bit) - 1)))
+        met = met.withColumn("__n", F.when(further, F.col("__n") + (1 << bit)).otherwise(F.col("__n")))
+    return met.select(*own.columns, F.explode(F.slice("ks", F.lit(1), F.col("__n"))).alias("node")).where("node >= a and node < b")
+
+
+def _violations(orders: DataFrame, barrier: DataFrame, pdiff: float, eqstate: bool, sameside: bool, timetouch: bool, bucket: int) -> tuple[DataFrame, int]:
+    """``order_id, node`` of the first violating row, and the number of rows."""
+    rows, n, spans = _spans(orders, [], barrier, sameside, timetouch, bucket)
+    if not n:
+        return orders.where("false").select("order_id", F.lit(0).cast("long").alias("node")), n
+    levels = 1
+    while FAN ** (levels - 1) < n:
+        levels += 1
     # what lasts to the end has the whole tree before it, not the block of the last rows that all such orders would meet in
-    end = F.when(F.col("__hi") == n - 1, F.lit(FAN**levels)).otherwise(F.col("__hi") + 1)
-    spans = hi.select("order_id", *kept, (F.lower(F.substring(F.col("side").cast("string"), 1, 1)) == "b").alias("buy"), "price", F.coalesce("__lo", F.lit(0)).alias("a"), F.col("__hi").alias("b"), end.alias("e"))
-    spans = stored(spans.where("a <= b").withColumn("b", F.col("e")).drop("e"))
+    spans = spans.withColumn("b", F.when(F.col("b") == n, F.lit(FAN**levels)).otherwise(F.col("b")))
     blocks, below = [], rows.select(F.col("k").alias("node"), "least", "most")
     for _ in range(levels):
         child = F.struct((F.col("node") % FAN).alias("c"), "least", "most")
         own = stored(below.groupBy(F.floor(F.col("node") / FAN).alias("block")).agg(F.min("least").alias("least"), F.max("most").alias("most"), F.collect_list(child).alias("children")))
         blocks.append(own.select("block", "children"))
         below = own.select(F.col("block").alias("node"), "least", "most")
-    up, down = F.col("price") + pdiff, F.col("price") - pdiff
+    own = ["order_id", "buy", "price"]
 
     def hit(x: Column) -> Column:
-        if eqstate:
-            return F.when(F.col("buy"), up >= x["least"]).otherwise(down <= x["most"])
-        return F.when(F.col("buy"), up > x["least"]).otherwise(down < x["most"])
-
-    own = ["order_id", *kept, "buy", "price"]
+        return _hit(F.col("buy"), F.col("price"), x["least"], x["most"], pdiff, eqstate)
 
     def met(pieces: DataFrame, level: int) -> DataFrame:
-        """The nodes with a violation of the range ``p`` of a block, as ``node``: the first, or each."""
+        """The first node with a violation of the range ``p`` of a block, as ``node``."""
         # the upper levels have few nodes, which are broadcast, only lower ones are met in a shuffle
         few = 16 / 15 * n / FAN**level <= FEW
         meet = pieces.select(*own, "p.*").join(F.broadcast(blocks[level]) if few else blocks[level], "block")
         nodes = F.transform(F.filter("children", lambda x: (x["c"] >= F.col("lo")) & (x["c"] < F.col("hi")) & hit(x)), lambda x: F.col("block") * FAN + x["c"])
-        return meet.select(*own, (F.explode(nodes) if every else F.array_min(nodes)).alias("node")).where("node is not null")
+        return meet.select(*own, F.array_min(nodes).alias("node")).where("node is not null")
 
     def under(nodes: DataFrame) -> DataFrame:
         whole = F.struct(F.col("node").alias("block"), F.lit(0).cast("long").alias("lo"), F.lit(FAN).cast("long").alias("hi"))
         return nodes.select(*own, whole.alias("p"))
 
     pieces = [spans.select(*own, F.explode(part).alias("p")) for part in _cover(levels)]
-    if every:
-        found = met(pieces[-1], levels - 1)
-        for level in range(levels - 2, -1, -1):
-            found = met(pieces[level].unionByName(under(found)), level)
-        return found.select("order_id", *kept, "node"), n
     at = F.col("node") * F.col("level").cast("long")
     tops = [met(p, level).withColumn("level", F.lit(FAN**level).cast("long")) for level, p in enumerate(pieces)]
     first = reduce(DataFrame.unionByName, tops).groupBy("order_id", "buy", "price").agg(F.min(F.struct(at.alias("at"), "level", "node")).alias("m"))

@@ -261,3 +261,24 @@ def test_the_plan_of_violations_grows_with_the_levels(spark, monkeypatch, search
     # four levels; twice as many joins for each once made 127 of them
     assert found._jdf.queryExecution().optimizedPlan().toString().count("Join ") <= 8
     assert found.count() == (2 if search is first_violation else 212 + 1)
+
+
+@pytest.mark.parametrize("width, few", [(4, 0), (16, 1 << 18), (1 << 16, 1 << 18)])
+def test_a_violation_that_is_listed_costs_no_join(spark, monkeypatch, width, few):
+    # each level of the tree had a join that rows in the making went through
+    for name, value in {"FEW": few, "LIST": width, "LEAST": 1, "LEAVES": 600}.items():
+        monkeypatch.setattr(verify, name, value)
+    rnd = random.Random(width)
+    barrier = [(t, rnd.choice([None, float(v := rnd.randrange(40))]), float(v + 3)) for t in range(0, 600, 2)]
+    orders = [(rnd.choice(["b", "Sell", None]), rnd.choice([None, *map(float, range(15, 30))]), a := rnd.randrange(620), rnd.choice([None, a + rnd.randrange(300)])) for _ in range(60)]
+    df = spark.createDataFrame(orders + orders[:2], "side string, price double, open long, close long")
+    got = all_violations(df, spark.createDataFrame(barrier, "t long, nbb double, nbo double"), 1, eqstate=True, bucket=50)
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 2
+    want = Counter()
+    for side, price, start, close in orders + orders[:2]:
+        for k, (t, bid, ask) in enumerate(barrier):
+            alive = (close is None or t < close) and (k + 1 == len(barrier) or barrier[k + 1][0] > start) and (close is None or close > start or t < start)
+            value = ask if side == "b" else bid
+            if alive and None not in (price, value) and (price + 1 >= value if side == "b" else price - 1 <= value):
+                want[(side, price, start, close, k)] += 1
+    assert Counter(tuple(r) for r in got.collect()) == want and len(want) > 1000
