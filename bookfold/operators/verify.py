@@ -64,6 +64,8 @@ LEAST, LIST, SPANNED = 64, 1 << 16, 8
 #: Leaves in the ranges of a task where a shuffle's usual partitions are too few, as long as there are no more than ``TASKS``.
 LEAVES = 1 << 28
 TASKS = 2048
+#: Parts that the orders of a list are dealt over where lists are broadcast.
+DEALT = 16
 
 
 def _hit(buy: Column, price: Column, least: Column, most: Column, pdiff: float, eqstate: bool) -> Column:
@@ -103,10 +105,14 @@ def _listed(spans: DataFrame, rows: DataFrame, buys: bool, pdiff: float, eqstate
     lists = stored(lists)
     few = lists.agg(F.coalesce(F.sum(F.size("ks")), F.lit(0))).first()[0] <= FEW
     tasks = min(TASKS, total // LEAVES)
-    # Spark sizes partitions by what goes into the join; few are dealt by order, as those open for ever lie together where their close was looked up
+    # Spark sizes partitions by what goes into the join, which says little of what comes out
     dealt = [tasks] if tasks > int(spans.sparkSession.conf.get("spark.sql.shuffle.partitions")) else []
-    pieces = (own.repartition(*dealt, "order_id") if few else own).withColumn("block", F.explode(F.expr(f"sequence(a div {width}, (b - 1) div {width})")))
-    met = pieces.join(F.broadcast(lists), "block") if few else (pieces.repartition(*dealt, "block") if dealt else pieces).join(lists, "block")
+    pieces = own.withColumn("block", F.explode(F.expr(f"sequence(a div {width}, (b - 1) div {width})")))
+    if few:
+        # orders of a list follow each other, as their rows begin alike and so take little room where they are written
+        met = pieces.repartition(*dealt, "block", F.pmod("order_id", F.lit(DEALT))).join(F.broadcast(lists), "block")
+    else:
+        met = (pieces.repartition(*dealt, "block") if dealt else pieces).join(lists, "block")
     met = met.withColumn("__n", F.lit(0))
     for bit in range(width.bit_length() - 1, -1, -1):
         further = hit(F.col("price"), F.get("vs", F.col("__n") + ((1 << bit) - 1)))
